@@ -46,8 +46,9 @@ def drop_table(df: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the shuffle files of finished phases now rather than at its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first pass unlinks the second one frees
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def partitions(spark: SparkSession) -> int:
@@ -119,7 +120,7 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mix(h)
 
 
-def chunks(texts: Iterable[str | None], most: int = 1 << 21) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: Iterable[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
     """(index of the first, texts as UTF-8) in pieces of about ``most`` bytes; null counts as empty."""
     at, size, out = 0, 0, []
     for i, t in enumerate(texts):

@@ -117,7 +117,7 @@ def _segment_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nda
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """``docs``: doc_id, text, hs. Returns (h, seg, doc_id, words): seg identifies the words of a segment."""
+    """``docs``: doc_id, text, hs. Returns (h, doc_id, words), one row per segment."""
 
     def run(batches):
         for b in batches:
@@ -126,36 +126,34 @@ def segments(docs: DataFrame) -> DataFrame:
                 raw, starts, ends, words, first = word_table(texts)
                 d, h, lo, hi = _segments_of(words, first, wanted_all[at : at + len(texts)])
                 if len(d):
-                    key = _segment_hashes(words, lo, hi)
                     s, e = starts[lo], ends[hi - 1]
                     # one space between words, so that equal word sequences are equal strings
                     text = [b" ".join(raw[x:y].split()).decode("utf-8", "surrogatepass") for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(key.view(np.int64)), b.column(0).take(pa.array(at + d)), pa.array(text, pa.string())], names=["h", "seg", "doc_id", "words"]
-                    )
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(at + d)), pa.array(text, pa.string())], names=["h", "doc_id", "words"])
 
-    return docs.select("doc_id", "text", "hs").mapInArrow(run, "h long, seg long, doc_id long, words string")
+    return docs.select("doc_id", "text", "hs").mapInArrow(run, "h long, doc_id long, words string")
 
 
 class _Shard:
     """Distinct segments of some minimizers, indexed and streamed when there are enough."""
 
     def __init__(self):
-        self.words, self.docs, self.seg, self.size = [], [], [], 0
+        self.words, self.docs, self.copies, self.size = [], [], [], 0
 
-    def add(self, doc: int, seg: int, words: str) -> None:
+    def add(self, doc: int, words: str) -> None:
         self.words.append(words.encode("utf-8", "surrogatepass"))
         self.docs.append(doc)
-        self.seg.append(seg)
+        self.copies.append([])
         self.size += words.count(" ") + 1
 
     def answers(self):
-        """(doc, seg, windows as bits): the windows of each segment that a smaller document holds."""
+        """(doc, seg, windows as bits): the windows of each segment that a smaller document holds; seg is the hash of its words."""
         if not self.docs:
             return
         docs = np.array(self.docs, np.int64)
         _, _, _, h, first = word_table(self.words)
         n = np.diff(first)
+        seg = _segment_hashes(h, first[:-1], first[1:]).view(np.int64).tolist()
         _, sym = np.unique(h, return_inverse=True)
         # each segment with its closing 0
         starts = first[:-1] + np.arange(len(n))
@@ -171,43 +169,63 @@ class _Shard:
             np.minimum(least, np.where(got >= 0, got, least), out=least)
             at = z
         bad = least < owner
-        for i in np.flatnonzero(np.logical_or.reduceat(bad, starts)):
-            yield int(docs[i]), int(self.seg[i]), np.packbits(bad[starts[i] : starts[i] + n[i] - WINDOW + 1], bitorder="little").tobytes()
+        some = np.logical_or.reduceat(bad, starts)
+        for i in range(len(n)):
+            if some[i]:
+                yield int(docs[i]), seg[i], np.packbits(bad[starts[i] : starts[i] + n[i] - WINDOW + 1], bitorder="little").tobytes()
+            for doc in self.copies[i]:  # a smaller document has the same segment
+                yield doc, seg[i], None
 
 
 def repeated(segs: DataFrame) -> DataFrame:
     """(doc_id, seg, bits) of the segments with repeated windows; null bits: all windows."""
     n = partitions(segs.sparkSession)
-    w = Window.partitionBy("h", "seg", "words").orderBy("doc_id")  # the same order as below: sorted once
+    w = Window.partitionBy("h", "words").orderBy("doc_id")  # the same order as below: sorted once
     rows = segs.repartition(n, "h").withColumn("first_doc", F.first("doc_id").over(w))
-    rows = rows.sortWithinPartitions("h", "seg", "words", "doc_id").select("h", "seg", "doc_id", "first_doc", F.when(F.col("doc_id") == F.col("first_doc"), F.col("words")).alias("words"))
+    # only the first row of equal segments carries its words to Python
+    rows = rows.sortWithinPartitions("h", "words", "doc_id").select("h", "doc_id", "first_doc", F.when(F.col("doc_id") == F.col("first_doc"), F.col("words")).alias("words"))
 
     def run(batches):
-        shard, last = _Shard(), None
+        shard, last_h, last_words = _Shard(), None, None
         for b in batches:
-            h, seg, doc, first, words = (c.to_pylist() for c in b.columns)
-            out = []
-            for i in range(len(h)):
-                if doc[i] != first[i]:
-                    out.append((doc[i], seg[i], None))
-                    continue
-                key = (h[i], seg[i], words[i])
-                if key == last:
-                    continue  # the document holds it twice
-                if shard.size >= SHARD_WORDS and (last is None or last[0] != h[i]):
-                    out += shard.answers()
-                    shard = _Shard()
-                shard.add(doc[i], seg[i], words[i])
-                last = key
-            if out:
-                yield _answer_batch(out)
-        out = list(shard.answers())
-        if out:
-            yield _answer_batch(out)
+            for h, doc, first, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if doc != first:
+                    if len(shard.copies[-1]) >= COPIES:  # a hot segment: its copies so far are answered at once
+                        seg = int(_segment_hashes(*_one(shard.words[-1])).view(np.int64)[0])
+                        yield _answer_batch([(d, seg, None) for d in shard.copies[-1]])
+                        shard.copies[-1] = []
+                    shard.copies[-1].append(doc)
+                elif h != last_h or words != last_words:  # else the document holds it twice
+                    if shard.size >= SHARD_WORDS and h != last_h:
+                        yield from _answer_batches(shard)
+                        shard = _Shard()
+                    shard.add(doc, words)
+                    last_h, last_words = h, words
+        yield from _answer_batches(shard)
 
     return rows.mapInArrow(run, "doc_id long, seg long, bits binary")
 
 
+#: Copies of one segment that a shard holds before it answers them.
+COPIES = 1 << 16
+
+
+def _one(words: bytes):
+    _, _, _, h, first = word_table([words])
+    return h, first[:-1], first[1:]
+
+
+def _answer_batches(shard: _Shard, most: int = 8192):
+    out = []
+    for x in shard.answers():
+        out.append(x)
+        if len(out) >= most:
+            yield _answer_batch(out)
+            out = []
+    if out:
+        yield _answer_batch(out)
+
+
 def _answer_batch(rows) -> pa.RecordBatch:
     d, s, b = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.int64()), pa.array(b, pa.binary())], names=["doc_id", "seg", "bits"])

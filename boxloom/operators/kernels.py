@@ -78,32 +78,32 @@ def match_imagenet(dets: np.ndarray, gts: np.ndarray, ignore: np.ndarray, thr: f
     return tp, fp
 
 
-def match_coco(dets: np.ndarray, gts: np.ndarray, ignore: np.ndarray, crowd: np.ndarray, thr: float) -> np.ndarray:
-    """Matched gt of each detection (by score), or -1. Counted truths come first; a crowd can match again and again."""
-    order = np.argsort(ignore, kind="stable")
-    g, ign, crw = gts[order], ignore[order], crowd[order]
-    out, taken = np.full(len(dets), -1), np.zeros(len(g), bool)
-    over = np.zeros((len(dets), len(g)))
-    for i, d in enumerate(dets):
-        if len(g):
-            w = np.maximum(np.minimum(d[2], g[:, 2]) - np.maximum(d[0], g[:, 0]), 0)
-            h = np.maximum(np.minimum(d[3], g[:, 3]) - np.maximum(d[1], g[:, 1]), 0)
-            own = (d[2] - d[0]) * (d[3] - d[1])
-            under = np.where(crw, own, own + (g[:, 2] - g[:, 0]) * (g[:, 3] - g[:, 1]) - w * h)
-            over[i] = np.where(under > 0, w * h / np.where(under > 0, under, 1), 0)
-    for i in range(len(dets)):
-        best, m = min(thr, 1 - 1e-10), -1
-        for j in range(len(g)):
-            if taken[j] and not crw[j]:
-                continue
-            if m > -1 and not ign[m] and ign[j]:
+def coco_overlaps(dets: np.ndarray, gts: np.ndarray, crowd: np.ndarray) -> np.ndarray:
+    """(dets, truths) IoU without the +1 rule; against a crowd, over the detection's own area."""
+    w = np.maximum(np.minimum(dets[:, None, 2], gts[None, :, 2]) - np.maximum(dets[:, None, 0], gts[None, :, 0]), 0)
+    h = np.maximum(np.minimum(dets[:, None, 3], gts[None, :, 3]) - np.maximum(dets[:, None, 1], gts[None, :, 1]), 0)
+    own = ((dets[:, 2] - dets[:, 0]) * (dets[:, 3] - dets[:, 1]))[:, None]
+    under = np.where(crowd[None, :], own, own + ((gts[:, 2] - gts[:, 0]) * (gts[:, 3] - gts[:, 1]))[None, :] - w * h)
+    return np.where(under > 0, w * h / np.where(under > 0, under, 1), 0.0)
+
+
+def match_coco(over: np.ndarray, ignore: np.ndarray, crowd: np.ndarray, thr: float) -> np.ndarray:
+    """Matched truth of each detection (by score), or -1. Counted truths come first; a crowd can match again and again."""
+    out = np.full(len(over), -1)
+    if not over.shape[1]:
+        return out
+    free = np.ones(over.shape[1], bool)
+    need = min(thr, 1 - 1e-10)
+    possible = over >= need
+    for i in np.flatnonzero(possible.any(1)):
+        for kind in (~ignore, ignore):
+            ok = np.flatnonzero(possible[i] & kind & (free | crowd))
+            if len(ok):  # the last of equal overlaps, as each one that is no worse replaces the one before
+                best = over[i, ok]
+                j = ok[len(ok) - 1 - int(np.argmax(best[::-1]))]
+                free[j] = False
+                out[i] = j
                 break
-            if over[i, j] < best:
-                continue
-            best, m = over[i, j], j
-        if m > -1:
-            taken[m] = True
-            out[i] = order[m]
     return out
 
 

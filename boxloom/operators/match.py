@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.operators import kernels
+from boxloom.operators.groups import per_group
 from boxloom.operators.pairs import iou_pairs
 
 XY = ["x1", "y1", "x2", "y2"]
@@ -58,19 +58,35 @@ def match_default(dets: DataFrame, gts: DataFrame, thr: float = 0.5, area_ranges
     return m.select(*dets.columns, "range_idx", "gt_id", "iou", tp.alias("tp"), fp.alias("fp"))
 
 
-def _cogrouped(dets: DataFrame, gts: DataFrame, run, schema: str, keys: Sequence[str] = ("image_id", "label")) -> DataFrame:
-    return dets.groupBy(*keys).cogroup(gts.groupBy(*keys)).applyInPandas(run, schema)
+def _both(dets: DataFrame, gts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Detections and truths in one table, so that one shuffle brings them together: kind 0 and 1, id, score, flags, box."""
+    flag = lambda t, c: F.coalesce(c, F.lit(False)).alias(c) if c in t.columns else F.lit(False).alias(c)
+    k = [F.col(c).cast("long").alias(c) for c in keys]
+    d = dets.select(*k, F.lit(0).alias("kind"), F.col("det_id").alias("id"), F.col("score").cast("double").alias("score"), F.lit(False).alias("is_ignore"), F.lit(False).alias("is_crowd"), *XY)
+    g = gts.select(*k, F.lit(1).alias("kind"), F.col("gt_id").alias("id"), F.lit(0.0).alias("score"), flag(gts, "is_ignore"), flag(gts, "is_crowd"), *XY)
+    return d.unionByName(g)
+
+
+def _order():
+    return [F.asc("kind"), F.desc("score"), F.asc("id")]
+
+
+def _split(g: dict[str, np.ndarray]):
+    n = int(np.searchsorted(g["kind"], 1))
+    b = np.stack([g[c] for c in XY], 1).astype(float)
+    return n, b[:n], b[n:]
 
 
 def match_imagenet(dets: DataFrame, gts: DataFrame, thr: float = 0.5) -> DataFrame:
     """image_id, label, det_id, score, tp, fp under the size-dependent threshold; a truth is taken even if ignored."""
 
-    def run(d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        d, g = d.sort_values(["score", "det_id"], ascending=[False, True]), g.sort_values("gt_id")
-        tp, fp = kernels.match_imagenet(d[XY].to_numpy(float), g[XY].to_numpy(float), g["is_ignore"].to_numpy(bool), thr)
-        return pd.DataFrame({"image_id": d["image_id"], "label": d["label"], "det_id": d["det_id"], "score": d["score"], "tp": tp, "fp": fp})
+    def run(g):
+        n, d, t = _split(g)
+        tp, fp = kernels.match_imagenet(d, t, g["is_ignore"][n:].astype(bool), thr)
+        return [g["image_id"][:n], g["label"][:n], g["id"][:n], g["score"][:n], tp, fp] if n else None
 
-    return _cogrouped(dets.select("image_id", F.col("label").cast("long"), "det_id", "score", *XY), gts.select("image_id", F.col("label").cast("long"), "gt_id", "is_ignore", *XY), run, "image_id long, label long, det_id long, score double, tp int, fp int")
+    keys = ["image_id", "label"]
+    return per_group(_both(dets, gts, keys), keys, _order(), run, "image_id long, label long, det_id long, score double, tp int, fp int")
 
 
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}
@@ -78,38 +94,45 @@ IOU_THRS = tuple(round(0.5 + 0.05 * i, 2) for i in range(10))
 
 
 def match_coco(dets: DataFrame, gts: DataFrame, iou_thrs: Sequence[float] = IOU_THRS, areas: dict = AREAS, max_det: int = 100) -> DataFrame:
-    """image_id, label, det_id, score, rank, area, thr, matched, ignored: the public protocol, all combinations in one call
-    per (image, label). Detections are cut to the best ``max_det`` of an image and label."""
-
-    def run(d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
-        d, g = d.sort_values(["score", "det_id"], ascending=[False, True]).head(max_det), g.sort_values("gt_id")
-        db, gb = d[XY].to_numpy(float), g[XY].to_numpy(float)
-        crowd, base = g["is_crowd"].to_numpy(bool), g["is_ignore"].to_numpy(bool) | g["is_crowd"].to_numpy(bool)
-        g_area, d_area = (gb[:, 2] - gb[:, 0]) * (gb[:, 3] - gb[:, 1]), (db[:, 2] - db[:, 0]) * (db[:, 3] - db[:, 1])
-        out = []
-        for name, (lo, hi) in areas.items():
+    """image_id, label, det_id, score, rank, area, thr, matched, ignored: the public protocol, all combinations in one pass
+    over the rows of an (image, label). Detections are cut to the best ``max_det`` of an image and label."""
+    names = list(areas)
+
+    def run(g):
+        n, d, t = _split(g)
+        m = min(n, max_det)
+        if not m:
+            return None
+        d = d[:m]
+        crowd = g["is_crowd"][n:].astype(bool)
+        base = g["is_ignore"][n:].astype(bool) | crowd
+        g_area, d_area = (t[:, 2] - t[:, 0]) * (t[:, 3] - t[:, 1]), (d[:, 2] - d[:, 0]) * (d[:, 3] - d[:, 1])
+        over = kernels.coco_overlaps(d, t, crowd)
+        hit, dig = [], []
+        for lo, hi in areas.values():
             ign = base | (g_area < lo) | (g_area > hi)
             off = (d_area < lo) | (d_area > hi)
-            for t in iou_thrs:
-                m = kernels.match_coco(db, gb, ign, crowd, t)
-                dig = np.where(m >= 0, ign[np.maximum(m, 0)] if len(ign) else False, off)
-                out.append(pd.DataFrame({"image_id": d["image_id"], "label": d["label"], "det_id": d["det_id"], "score": d["score"], "rank": np.arange(len(d)), "area": name, "thr": t, "matched": m >= 0, "ignored": dig.astype(bool)}))
-        return pd.concat(out) if out else pd.DataFrame()
+            for x in iou_thrs:
+                got = kernels.match_coco(over, ign, crowd, x)
+                hit.append(got >= 0)
+                dig.append(np.where(got >= 0, ign[np.maximum(got, 0)], off) if len(ign) else off)
+        k, q = len(names) * len(iou_thrs), len(iou_thrs)
+        rep = lambda c: np.tile(c[:m], k)
+        return [rep(g["image_id"]), rep(g["label"]), rep(g["id"]), rep(g["score"]), np.tile(np.arange(m), k), np.repeat(np.array(names, object), q * m), np.tile(np.repeat(np.array(iou_thrs), m), len(names)), np.concatenate(hit), np.concatenate(dig)]
 
-    d = dets.select("image_id", F.col("label").cast("long"), "det_id", "score", *XY)
-    g = gts.select("image_id", F.col("label").cast("long"), "gt_id", "is_ignore", "is_crowd", *XY)
-    return _cogrouped(d, g, run, "image_id long, label long, det_id long, score double, rank int, area string, thr double, matched boolean, ignored boolean")
+    keys = ["image_id", "label"]
+    return per_group(_both(dets, gts, keys), keys, _order(), run, "image_id long, label long, det_id long, score double, rank int, area string, thr double, matched boolean, ignored boolean")
 
 
 def match_recall(gts: DataFrame, props: DataFrame, proposal_nums: Sequence[int] = (100, 300, 1000)) -> DataFrame:
     """image_id, gt_id, num, iou: what each truth gets when the best pair is taken again and again."""
 
-    def run(g: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        g, p = g.sort_values("gt_id"), p.sort_values(["score", "det_id"], ascending=[False, True])
-        gb, pb, out = g[XY].to_numpy(float), p[XY].to_numpy(float), []
-        over = np.array([kernels.iou_one(b, pb) for b in gb]) if len(gb) and len(pb) else np.zeros((len(gb), len(pb)))
-        for n in proposal_nums:
-            out.append(pd.DataFrame({"image_id": g["image_id"], "gt_id": g["gt_id"], "num": n, "iou": kernels.match_recall(over[:, :n])}))
-        return pd.concat(out)
+    def run(g):
+        n, p, t = _split(g)
+        if not len(t):
+            return None
+        over = np.array([kernels.iou_one(b, p) for b in t]) if n else np.zeros((len(t), 0))
+        k = len(proposal_nums)
+        return [np.tile(g["image_id"][n:], k), np.tile(g["id"][n:], k), np.repeat(np.array(proposal_nums), len(t)), np.concatenate([kernels.match_recall(over[:, :x]) for x in proposal_nums])]
 
-    return _cogrouped(gts.select("image_id", "gt_id", *XY), props.select("image_id", "det_id", "score", *XY), run, "image_id long, gt_id long, num int, iou double", ["image_id"])
+    return per_group(_both(props, gts, ["image_id"]), ["image_id"], _order(), run, "image_id long, gt_id long, num int, iou double")

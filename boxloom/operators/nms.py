@@ -5,17 +5,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import box, iou
 from boxloom.operators import kernels
+from boxloom.operators.groups import per_group, schema_of
 from boxloom.operators.windows import topk_per
 
 XY = ["x1", "y1", "x2", "y2"]
 
 
+def best_first():
+    return [F.desc("score"), F.asc("det_id")]
+
+
 def nms(dets: DataFrame, keys: Sequence[str], thr: float = 0.5, offset: int = 1, cmp: str = "gt", keep_top_k: int | None = None, engine: str = "fold") -> DataFrame:
     """Survivors of greedy suppression per key, with their columns.
 
@@ -24,7 +28,7 @@ def nms(dets: DataFrame, keys: Sequence[str], thr: float = 0.5, offset: int = 1,
     """
     keys = list(keys)
     if engine == "numpy":
-        out = _by_kernel(dets, keys, lambda p: kernels.nms(p[XY].to_numpy(float), thr, offset, cmp == "ge"))
+        out = _by_kernel(dets, keys, lambda b: kernels.nms(b, thr, offset, cmp == "ge"))
     else:
         rest = [c for c in dets.columns if c not in [*keys, "score", "det_id"]]
         item = F.struct((-F.col("score")).alias("neg"), "det_id", *rest)
@@ -40,12 +44,12 @@ def nms(dets: DataFrame, keys: Sequence[str], thr: float = 0.5, offset: int = 1,
     return out if keep_top_k is None else topk_per(out, keys, [F.desc("score"), F.asc("det_id")], keep_top_k)
 
 
-def _by_kernel(dets: DataFrame, keys: list[str], rows: Callable[[pd.DataFrame], np.ndarray]) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
-        return p.iloc[rows(p)]
+def _by_kernel(dets: DataFrame, keys: list[str], rows: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    def run(g):
+        keep = rows(np.stack([g[c] for c in XY], 1))
+        return [c[keep] for c in g.values()]
 
-    return dets.groupBy(*keys).applyInPandas(run, dets.schema)
+    return per_group(dets, keys, best_first(), run, schema_of(dets))
 
 
 def multiclass_nms(boxes: DataFrame, score_thr: float, iou_thr: float, max_num: int | None = None, factors: str | None = None, op: Callable = nms) -> DataFrame:
@@ -63,25 +67,22 @@ def multiclass_nms(boxes: DataFrame, score_thr: float, iou_thr: float, max_num:
 def soft_nms(dets: DataFrame, keys: Sequence[str], thr: float, method: str = "linear", sigma: float = 0.5, min_score: float = 1e-3) -> DataFrame:
     """Rows in ``dets`` that stay above ``min_score``, with their decayed scores."""
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
-        rows, s = kernels.soft_nms(p[XY].to_numpy(float), p["score"].to_numpy(float), thr, method, sigma, min_score)
-        return p.iloc[rows].assign(score=s)
+    def run(g):
+        rows, s = kernels.soft_nms(np.stack([g[c] for c in XY], 1), g["score"], thr, method, sigma, min_score)
+        return [s if n == "score" else c[rows] for n, c in g.items()]
 
-    return dets.groupBy(*keys).applyInPandas(run, dets.schema)
+    return per_group(dets, list(keys), best_first(), run, schema_of(dets))
 
 
 def bbox_voting(dets: DataFrame, keys: Sequence[str], thr: float) -> DataFrame:
     """Greedy clusters around leaders: keys, det_id of the leader, score-weighted mean box, greatest score, members."""
     keys = list(keys)
-    schema = dets.select(*keys, "det_id", "score", *XY).schema.add("lead", "long")
+    rows = dets.select(*keys, "det_id", "score", *XY)
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["score", "det_id"], ascending=[False, True], kind="stable")
-        lead = kernels.vote(p[XY].to_numpy(float), thr)
-        return p.assign(lead=p["det_id"].to_numpy()[lead])
+    def run(g):
+        return [*g.values(), g["det_id"][kernels.vote(np.stack([g[c] for c in XY], 1), thr)]]
 
-    c = dets.select(*keys, "det_id", "score", *XY).groupBy(*keys).applyInPandas(run, schema)
+    c = per_group(rows, keys, best_first(), run, schema_of(rows, "lead long"))
     mean = lambda x: F.when(F.count("*") == 1, F.first(x)).otherwise(F.sum(F.col(x) * F.col("score")) / F.sum("score"))
     return c.groupBy(*keys, "lead").agg(*[mean(x).alias(x) for x in XY], F.max("score").alias("score"), F.count("*").alias("members")).withColumnRenamed("lead", "det_id")
 

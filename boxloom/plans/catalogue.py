@@ -229,7 +229,7 @@ def f7_f8_best_class(spark, sf_dir):
 @query("SELECT det_id, x1 >= 5 AND y1 >= 5 AND x2 < 395 AND y2 < 295 AS inside, x2-x1+1 >= 40 AND y2-y1+1 >= 40 AS large FROM fx_dets")
 def f9_f11_flags(spark, sf_dir):
     b = G.box()
-    return fixture(spark, sf_dir, "fx_dets").select("det_id", G.inside_flag(b, F.lit(400), F.lit(300), -5 + 0) if False else ((b.x1 >= 5) & (b.y1 >= 5) & (b.x2 < 395) & (b.y2 < 295)).alias("inside"), ((b.x2 - b.x1 + 1 >= 40) & (b.y2 - b.y1 + 1 >= 40)).alias("large"))
+    return fixture(spark, sf_dir, "fx_dets").select("det_id", ((b.x1 >= 5) & (b.y1 >= 5) & (b.x2 < 395) & (b.y2 < 295)).alias("inside"), ((b.x2 - b.x1 + 1 >= 40) & (b.y2 - b.y1 + 1 >= 40)).alias("large"))
 
 
 PAIR = "SELECT d.det_id, g.gt_id, {e} AS iou FROM fx_dets d JOIN fx_gts g ON d.image_id = g.image_id AND d.label = g.label WHERE {i} > 0"

@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 ROI = "struct<x:int,y:int,w:int,h:int,pos_list:array<struct<x:int,y:int,w:int,h:int,class:string>>>"
 
@@ -63,7 +62,7 @@ def read_voc_eval_xml(spark: SparkSession, ids: DataFrame, root: str, classes: S
     return read_voc_xml(spark, ids, root, classes, evaluation=True)
 
 
-COCO = T._parse_datatype_string(
+COCO = (
     "images array<struct<id:bigint,file_name:string,width:int,height:int>>,"
     "annotations array<struct<id:bigint,image_id:bigint,category_id:int,bbox:array<double>,area:double,iscrowd:int,ignore:boolean>>,"
     "categories array<struct<id:int,name:string,supercategory:string>>"

@@ -36,7 +36,8 @@ POSITIONS = 64
 TREES = 8
 SEED = 11
 NODE_WORK = 1 << 30
-DEPTH = 12
+#: Levels of further branching; each at most doubles the memberships that are still large.
+DEPTH = 4
 _A = mix(np.arange(1, POSITIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(SEED)) | U(1)
 
 
@@ -315,8 +316,7 @@ def near_links(reps: DataFrame, texts: DataFrame) -> DataFrame:
         if last or large.isEmpty():
             return links
         comp = components(links)
-        steps = chosen(1000 + depth)
-        steps += [p for p in chosen(2000 + depth) if p not in steps]
+        steps = (chosen(1000 + depth) + [p for p in chosen(2000 + depth) if p not in chosen(1000 + depth)])[:2]
         child = F.explode(F.array(*[F.xxhash64("node", F.lit(p), F.substring("sketch", p + 1, 1)) for p in steps]))
         nodes = large.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select(child.alias("node"), "rep", "n")
     return links

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 TRAIN_ROWS = 2_000
 TRAIN_BYTES = 6_000_000
 DICT_BYTES = 112_640
-CHUNK = 2_048
+CHUNK = 1_024
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -69,7 +69,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
         # ids first, so that only the sampled texts travel
         ids = lab.where(F.col("quality") == q).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(TRAIN_ROWS).select("doc_id")
         got = rows.join(F.broadcast(ids), "doc_id").select(F.md5(F.col("doc_id").cast("string")).alias("k"), "doc_id", "text")
-        w = F.sum(F.octet_length("text")).over(Window.orderBy("k", "doc_id").rowsBetween(-(2**31), 0))
+        w = F.sum(F.octet_length("text")).over(Window.orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
         samples.append([r["text"].encode() for r in got.withColumn("b", w).where(F.col("b") <= TRAIN_BYTES).orderBy("k", "doc_id").collect()])
     if not all(samples):
         return None

@@ -9,10 +9,11 @@ from boxloom.streaming import jobs
 SF = "/root/testdata/sf0.001"
 
 
-def run(q, name, mode):
+def run(q, name, mode, wait=None):
+    """All given files. A query with timeouts runs empty batches for ever, so it is stopped after ``wait`` seconds."""
     s = q.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    s.awaitTermination()
-    return s
+    s.awaitTermination(wait) if wait else s.awaitTermination()
+    s.stop()
 
 
 def source(spark, df):
@@ -29,7 +30,7 @@ def test_merge_tiles_equals_batch(spark):
     for k in (0, 1, 0):  # the first tiles come twice
         t.where(F.col("tile_idx") == k).coalesce(1).write.mode("append").parquet(path)
     s = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    run(jobs.stream_merge_tiles(s, plans), "merged", "append")
+    run(jobs.stream_merge_tiles(s, plans), "merged", "append", wait=40)
     got = {(r.image_id, r.det_id) for r in spark.sql("select * from merged where complete").collect()}
     first = nms.nms(t, ["image_id", "tile_idx"], 0.5, keep_top_k=100)
     exp = {(r.image_id, r.det_id) for r in nms.nms(first, ["image_id"], 0.5).collect()}

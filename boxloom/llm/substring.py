@@ -21,18 +21,21 @@ gives an empty result; other columns, whatever their names, are not read.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import U, chunks, gram_hashes, mix, partitions, release, word_table, write_table
+from boxloom.llm.common import U, chunks, drop_table, gram_hashes, mix, partitions, release, word_table, write_table
 from boxloom.llm.fmindex import FMIndex
 
 WINDOW = 13
 GRAM = 5
 SHARD_WORDS = 1 << 20
+#: Minimizers are taken in this many shares, one after the other, so that only one share's segments are on disk.
+ROUNDS = 2
 _SPAN = WINDOW - GRAM + 1
 
 
@@ -283,9 +286,16 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     named = texts.where("doc_id IS NOT NULL")
     shared = write_table(shared_minimizers(named), "shared_minimizers")
     release(spark)
-    segs = segments(named.join(shared.hint("merge"), "doc_id"))
-    answers = write_table(repeated(segs), "repeated")
+    # the texts are dealt by document once; each round then shuffles the segments of its share of the minimizers only
+    marked = write_table(named.join(shared.hint("merge"), "doc_id"), "marked")
     release(spark)
+    found = []
+    for k in range(ROUNDS):
+        own = marked.withColumn("hs", F.expr(f"filter(hs, h -> pmod(h, {ROUNDS}) = {k})")).where(F.size("hs") > 0)
+        found.append(write_table(repeated(segments(own)), "repeated"))
+        release(spark)
+    drop_table(marked)
+    answers = reduce(DataFrame.unionByName, found)
     by_doc = answers.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("seg", "bits")).alias("found")).join(shared.hint("merge"), "doc_id")
     out = _cut(texts.join(by_doc.hint("merge"), "doc_id", "left"), with_text)
     return out if with_text else out.drop("kept_text")

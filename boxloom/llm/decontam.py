@@ -1,15 +1,16 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
+"""Benchmark decontamination by counting shared q-grams and exact edit distance.
 
 Texts become words: ASCII letters lower-cased, ASCII punctuation and white space between words dropped. A document is
 contaminated by an item of n words if some run of its words is within ``floor(MAX_EDITS * n)`` word edits of the item.
 
-1. Windows. An item edited at most k times keeps at least one of k+1 equal parts whole, so a document can only hold it
-   where a q-gram of it occurs (q at most the shortest part). Each such place gives the start of an item-sized window.
-   This leaves no window out that could match.
-2. CGK random walk: at step j the walk writes the word under its pointer and moves on or stays, as a random bit of
-   (repetition, j, word) says. Edit distance becomes Hamming distance. ``BITS`` sampled steps make the LSH key of a
-   repetition; ``REPS`` repetitions reach the target recall.
-3. A window that meets an item's key in any repetition is verified by exact edit distance (semi-global, on words).
+1. Hits. An item edited at most k times keeps at least one of k+1 equal parts whole, so a document can only hold it
+   where a q-gram of it occurs (q at most the shortest part). Each such place (hit) gives the start of an item-sized window.
+2. Counting. An edit spoils at most q of the n - q + 1 grams of an item, and moves those behind it by one word at most. So
+   a run within k edits has at least ``n - q + 1 - k * q`` hits whose windows start within k words of each other. Windows with
+   fewer hits around them are left out: none of them can match.
+3. All other windows are verified by exact edit distance (semi-global, on words).
+
+Nothing is sampled, so every document within the allowed edits is found.
 
 The items of a block travel to the tasks: at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` of text at a time; a larger
 benchmark is worked off in blocks, each against all documents.
@@ -26,11 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import U, chunks, gram_hashes, mix, spread, word_table
+from boxloom.llm.common import U, chunks, gram_hashes, spread, word_table
 
 MAX_EDITS = 0.15
-BITS = 6
-REPS = 24
 SEED_WORDS = 4
 BLOCK_ITEMS = 5_000
 BLOCK_BYTES = 8 << 20
@@ -45,33 +44,6 @@ def words_of(texts: list[bytes]):
     return h, first
 
 
-def walk_keys(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, rep: int, steps: np.ndarray) -> np.ndarray:
-    """LSH keys of the windows words[start:start+size]: the words that the walk of ``rep`` writes at the sampled steps.
-
-    ``steps``: (BITS, windows) sorted along the first axis; past its end a window reads as zeros.
-    """
-    ptr, key = np.zeros(len(starts), np.int64), np.zeros(len(starts), U)
-    at, last = np.zeros(len(starts), np.int64), int(steps.max()) if steps.size else -1
-    for j in range(last + 1):
-        inside = ptr < sizes
-        w = np.where(inside, words[np.minimum(starts + ptr, len(words) - 1)], U(0))
-        hit = (at < len(steps)) & (steps[np.minimum(at, len(steps) - 1), np.arange(len(starts))] == j)
-        key = np.where(hit, mix(key * U(31) + w), key)
-        at += hit
-        bit = mix(w ^ U((rep * 4096 + j + 1) * 0x9E3779B97F4A7C15 % 2**64)) >> U(63)
-        ptr += bit.astype(np.int64)
-    return key
-
-
-def sampled_steps(sizes: np.ndarray, rep: int) -> np.ndarray:
-    """For windows of these sizes, BITS different steps among the first 3n/2 (where the walk is still inside)."""
-    top = np.maximum(sizes * 3 // 2, 1)
-    u = mix(np.arange(BITS, dtype=U)[:, None] + U((rep * 1000 + 1) * 0xD1342543DE82EF95 % 2**64) + np.zeros(len(sizes), U)[None, :])
-    part = np.arange(BITS)[:, None] * top[None, :] // BITS
-    width = np.maximum((np.arange(BITS)[:, None] + 1) * top[None, :] // BITS - part, 1)
-    return part + (u % width.astype(U)).astype(np.int64)
-
-
 def substring_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     """(least word edits between ``item`` and a run of ``text``, where that run ends)."""
     n = len(item)
@@ -90,7 +62,7 @@ def substring_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items with their q-gram table and LSH tables."""
+    """A block of items with their q-gram table."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         texts = [t.encode("utf-8", "surrogatepass") for _, t in rows]
@@ -111,13 +83,11 @@ class Items:
             g, it, off = np.concatenate(g), np.concatenate(it), np.concatenate(off)
             order = np.argsort(g, kind="stable")
             self.grams[q] = g[order], it[order], off[order]
-        flat = np.concatenate(self.words) if self.words else np.zeros(0, U)
-        starts = np.cumsum([0] + [len(w) for w in self.words])[:-1].astype(np.int64)
-        sizes = np.array([len(w) for w in self.words], np.int64)
-        self.keys = [walk_keys(flat, starts, sizes, r, sampled_steps(sizes, r)) if len(sizes) else np.zeros(0, U) for r in range(REPS)]
+        n = np.array([len(w) for w in self.words], np.int64)
+        self.least = np.maximum(n - self.q + 1 - np.array(self.edits, np.int64) * self.q, 1)
 
     def windows(self, words: np.ndarray, first: np.ndarray):
-        """(item, start) of the windows to embed: one for each place where a gram of the item occurs."""
+        """(text, item, start) of the windows to verify: those with enough hits of the item around them."""
         its, sts, docs = [], [], []
         for q, (g, it, off) in self.grams.items():
             x = gram_hashes(words, q)
@@ -140,8 +110,17 @@ class Items:
         if not its:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         d, i, s = np.concatenate(docs), np.concatenate(its), np.concatenate(sts)
-        s = np.maximum(s, first[d])
-        u = np.unique(np.stack([d, i, s]), axis=1)
+        # one number a window, in the order (text, item, start), with room for starts before the text and for k on either side
+        reach = np.array(self.edits, np.int64)
+        wide = len(words) + 2 * (max(map(len, self.words)) + int(reach.max())) + 2
+        key = (d * len(self.words) + i) * wide + s + wide - len(words) - 1
+        key.sort()
+        u = np.unique(key)
+        k = reach[u // wide % len(self.words)]
+        hits = np.searchsorted(key, u + k, "right") - np.searchsorted(key, u - k, "left")
+        u = u[hits >= self.least[u // wide % len(self.words)]]
+        d, i, s = u // wide // len(self.words), u // wide % len(self.words), u % wide - (wide - len(words) - 1)
+        u = np.unique(np.stack([d, i, np.maximum(s, first[d])]), axis=1)
         return u[0], u[1], u[2]
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
@@ -153,21 +132,15 @@ class Items:
         if not len(d):
             return []
         n = np.array([len(w) for w in self.words], np.int64)
-        size = np.minimum(n[i], first[d + 1] - s)
-        met = np.zeros(len(d), bool)
-        for r in range(REPS):  # a window is embedded again only while it has not met its item
-            left = np.flatnonzero(~met)
-            if not len(left):
-                break
-            met[left] = walk_keys(words, s[left], size[left], r, sampled_steps(n[i[left]], r)) == self.keys[r][i[left]]
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for x in np.flatnonzero(met):
+        for x in range(len(d)):
             doc, it, k = int(d[x]), int(i[x]), self.edits[i[x]]
             if best.get((doc, it), (1, 0))[0] == 0:
                 continue
             a, b = max(int(first[doc]), int(s[x]) - k), min(int(first[doc + 1]), int(s[x] + n[it]) + 2 * k)
-            edits, _ = (0, 0) if b - a >= n[it] and s[x] + n[it] <= b and np.array_equal(words[s[x] : s[x] + n[it]], self.words[it]) else substring_edits(self.words[it], words[a:b])
-            if edits <= k:
+            whole = s[x] + n[it] <= b and np.array_equal(words[s[x] : s[x] + n[it]], self.words[it])
+            edits = 0 if whole else substring_edits(self.words[it], words[a:b])[0]
+            if edits <= k and (whole or edits):  # a copy without edits has a window of its own, with the right start
                 got = (edits, int(s[x] - first[doc]))
                 best[doc, it] = min(best.get((doc, it), got), got)
         return [(doc, self.ids[it], st, int(n[it]), e) for (doc, it), (e, st) in sorted(best.items())]

@@ -274,6 +274,25 @@ def test_decontamination_recall(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _ in got}
 
 
+@pytest.mark.parametrize("kind", ["mixed", "deleted", "inserted", "replaced"])
+def test_decontamination_finds_every_item_at_the_most_edits(kind):
+    rng = random.Random(11)
+    for n in (7, 13, 20, 29, 39, 40, 59, 100, 200):
+        items = [[f"i{n}x{i}x{rng.randrange(10**6)}" for _ in range(n)] for i in range(25)]
+        docs = []
+        for it in items:
+            w = list(it)
+            for at in sorted(rng.sample(range(n), int(decontam.MAX_EDITS * n)), reverse=True):
+                do = kind if kind != "mixed" else rng.choice(("deleted", "inserted", "replaced"))
+                w[at : at + 1] = {"deleted": [], "inserted": [w[at], f"n{rng.randrange(10**6)}"], "replaced": [f"n{rng.randrange(10**6)}"]}[do]
+            filler = [f"f{rng.randrange(99)}" for _ in range(rng.randrange(40))]
+            docs.append(" ".join([*filler, *w, *filler]).encode())
+        found = decontam.Items([(i, " ".join(w)) for i, w in enumerate(items)]).find(docs)
+        words = [[x.decode() for x in re.findall(rb"[^\W_]+", d)] for d in docs]
+        split = [re.findall("[^\\W_]+", " ".join(w)) for w in items]
+        assert {(d, i): e for d, i, _, _, e in found} == {(i, i): edits(split[i], words[i]) for i in range(25)}, (kind, n)
+
+
 # ------------------------------------------------------------------ 9
 
 

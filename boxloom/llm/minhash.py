@@ -12,8 +12,10 @@ A document's set holds the hashes (64 bits) of its distinct runs of five words,
    the best sketch is verified. Linked documents form components, and a node within one component is done. This
    settles large groups of copies in work linear in their size.
 4. Small nodes (at most ``NODE_WORK`` = documents times shingles) are compared exhaustively, between components only:
-   first by sketches of 64 bytes, then on full sets. Larger nodes branch again by further minwise tokens until their
-   children are small; nodes that are still large at ``DEPTH`` are compared in blocks in one task, so nothing is dropped.
+   first by sketches of 64 bytes, then on full sets. Larger nodes are cut into blocks, and every pair of blocks is compared
+   like a small node in a task of its own, so a pair that meets in a large node is missed no more often than in a small
+   one. Blocks follow the components, and pairs of blocks within one component are left out. The large nodes are taken in
+   ``DEPTH`` rounds, so that what one of them has linked needs no comparing in the next.
 
 Defined results: documents without words (null and empty texts) have empty sets and are linked with nothing; rows that
 repeat a doc_id are in its class; a null doc_id takes no part and is its own component (null); an empty table gives an
@@ -36,7 +38,7 @@ POSITIONS = 64
 TREES = 8
 SEED = 11
 NODE_WORK = 1 << 30
-#: Levels of further branching; each at most doubles the memberships that are still large.
+#: Rounds in which the large nodes are taken, each a share of them.
 DEPTH = 4
 _A = mix(np.arange(1, POSITIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(SEED)) | U(1)
 
@@ -279,6 +281,25 @@ def _exact_pass(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "rep").mapInArrow(run, "a long, b long")
 
 
+def block_pairs(large: DataFrame) -> DataFrame:
+    """Large nodes (node, rep, comp, n, work, m) to one node (node, rep, comp, n) for each pair of their blocks.
+
+    Two blocks are within ``NODE_WORK`` together. Components above a block's size have blocks of their own, the others share.
+    """
+    per = F.greatest(F.col("m") / F.ceil(2 * F.sqrt(F.col("work") / F.lit(NODE_WORK))), F.lit(1.0))
+    size = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"), F.max(per).alias("per"))
+    few = size.where("k <= per").groupBy("node").agg(F.ceil(F.sum("k") / F.max("per")).alias("shared"))
+    size = size.join(few, "node", "left")
+    own = F.xxhash64("node", "comp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / F.col("per"))))
+    block = F.when(F.col("k") > F.col("per"), own).otherwise(F.xxhash64("node", F.lit("shared"), F.pmod(F.xxhash64("comp"), "shared")))
+    rows = write_table(large.join(size, ["node", "comp"]).select("node", "rep", "comp", "n", block.alias("block")), "blocks")
+    blocks = rows.groupBy("node", "block").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    other = blocks.select("node", F.col("block").alias("other"), F.col("c1").alias("d1"), F.col("c2").alias("d2"))
+    pairs = blocks.join(other, "node").where("block <= other AND least(c1, d1) < greatest(c2, d2)")
+    pairs = pairs.select(F.xxhash64("node", "block", "other").alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
+    return rows.drop("node").join(pairs, "block").select(F.col("pair").alias("node"), "rep", "comp", "n")
+
+
 # ------------------------------------------------------------------ the join
 
 
@@ -302,23 +323,24 @@ def near_links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     release(spark)
     nodes = members.select("node", "rep", "n")
     for depth in range(DEPTH + 1):
-        with_comp = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        share = nodes.where(F.pmod(F.xxhash64("node"), F.lit(DEPTH)) == depth - 1) if depth else nodes
+        with_comp = share.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp"))
         with_comp = write_table(with_comp, "node_members")
-        sums = with_comp.groupBy("node").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), (F.count(F.lit(1)) * F.sum("n")).alias("work")).where("c1 < c2").select("node", "work")
-        live = write_table(with_comp.join(sums, "node"), "live")
-        last = depth == DEPTH
-        small = live if last else live.where(F.col("work") <= NODE_WORK)
-        small = small.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
-        picked = write_table(_sketch_pass(small), "picked")
+        sums = with_comp.groupBy("node").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), (F.count(F.lit(1)) * F.sum("n")).alias("work"))
+        live = write_table(with_comp.join(sums.where("c1 < c2").select("node", "work", "m"), "node"), "live")
+        if not depth:
+            nodes = live.where(F.col("work") > NODE_WORK).select("node", "rep", "n")
+            live = live.where(F.col("work") <= NODE_WORK).select("node", "rep", "comp", "n")
+        elif live.isEmpty():
+            continue
+        else:
+            live = block_pairs(live)
+        picked = write_table(_sketch_pass(live.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep")), "picked")
         links = write_table(links.unionByName(_exact_pass(picked, texts)), "links")
-        large = live.where(F.col("work") > NODE_WORK)
         release(spark)
-        if last or large.isEmpty():
+        if depth == DEPTH or nodes.isEmpty():
             return links
         comp = components(links)
-        steps = (chosen(1000 + depth) + [p for p in chosen(2000 + depth) if p not in chosen(1000 + depth)])[:2]
-        child = F.explode(F.array(*[F.xxhash64("node", F.lit(p), F.substring("sketch", p + 1, 1)) for p in steps]))
-        nodes = large.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep").select(child.alias("node"), "rep", "n")
     return links
 
 

@@ -119,6 +119,17 @@ def test_near_dedup_of_a_family_in_large_nodes(spark, monkeypatch):
     assert np.mean([got[i] == exp[i][1] for i in got]) > 0.97
 
 
+def test_near_dedup_of_pairs_that_meet_in_large_nodes_only(spark, monkeypatch):
+    common = [f"c{k}" for k in range(100)]  # all meet, but only the two of a pair are linked: 102 of 134 shingles
+    rows = [(2 * i + j, " ".join(common + [f"p{i}x{k}" for k in range(6)] + [f"o{i}x{j}x{k}" for k in range(16)])) for i in range(60) for j in (0, 1)]
+    exp = brute_components(rows)
+    assert all(exp[d][1] == d - d % 2 for d in exp)
+    monkeypatch.setattr(minhash, "NODE_WORK", 20_000)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(table(spark, rows)).collect()} == exp
+    rows += [(1000 + i, t) for i, t in near_family(60)]  # one component of many members beside those of two
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(table(spark, rows)).collect()} == brute_components(rows)
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

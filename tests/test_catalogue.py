@@ -40,3 +40,10 @@ def test_entry(spark):
 
     r = __spark_entry__.entry(spark).collect()
     assert len(r) == 1 and 0 <= r[0]["ap"] <= 1
+
+
+def test_load_proposals_takes_all_images(spark):
+    sf = "/root/testdata/sf0.1"
+    got = catalogue.s13_load_proposals(spark, sf)
+    assert got.select("image_id").distinct().count() == spark.read.parquet(f"{sf}/customer.parquet").count() == 15_000
+    assert got.where("box_id IS NOT NULL").agg({"image_id": "max"}).collect()[0][0] > 2000

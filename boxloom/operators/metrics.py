@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.operators.match import AREAS, IOU_THRS, match_coco, match_default, match_recall, match_voc
-from boxloom.operators.windows import cum_sum_by_rank, reverse_cummax
+from boxloom.operators.windows import cum_sum_by_rank, reverse_cummax, running_by_rank
 
 EPS = 2.220446049250313e-16
 
@@ -18,29 +18,26 @@ def num_gts(gts: DataFrame, keys: Sequence[str] = ("label",)) -> DataFrame:
 
 
 def pr_curve(matched: DataFrame, n_gts: DataFrame, keys: Sequence[str] = ("label",), parts: int | None = None) -> DataFrame:
-    """Rows by score with recall and precision so far. ``parts``: split one label's order over tasks (two-pass sums)."""
+    """Rows by score with recall and precision so far; two-pass sums split one key's order over tasks."""
     keys = list(keys)
-    order = [F.desc("score"), F.asc("det_id")]
-    if parts:
-        c = cum_sum_by_rank(matched, keys, order, {"ctp": "tp", "cfp": "fp"}, parts)
-    else:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        c = matched.select("*", F.sum("tp").over(w).alias("ctp"), F.sum("fp").over(w).alias("cfp"))
-    c = c.join(F.broadcast(n_gts), keys, "left")  # a row per key
+    c = cum_sum_by_rank(matched, keys, [F.desc("score"), F.asc("det_id")], {"ctp": "tp", "cfp": "fp"}, parts)
+    c = c.join(n_gts, keys, "left")  # a row per key: Spark broadcasts it while it is small
     n = F.coalesce("n_gts", F.lit(0))
     return c.select(*keys, "det_id", "score", "ctp", "cfp", (F.col("ctp") / F.greatest(n.cast("double"), F.lit(EPS))).alias("recall"), (F.col("ctp") / F.greatest((F.col("ctp") + F.col("cfp")).cast("double"), F.lit(EPS))).alias("precision"))
 
 
-def average_precision(curve: DataFrame, keys: Sequence[str] = ("label",), mode: str = "area") -> DataFrame:
+def average_precision(curve: DataFrame, keys: Sequence[str] = ("label",), mode: str = "area", parts: int | None = None) -> DataFrame:
     """keys, ap: area under the envelope, or the mean over 11 recalls."""
     keys = list(keys)
     if mode == "11points":
         at = curve.groupBy(*keys).agg(*[F.max(F.when(F.col("recall") >= F.lit(i / 10.0), F.col("precision"))).alias(f"p{i}") for i in range(11)])
         return at.select(*keys, (sum(F.coalesce(f"p{i}", F.lit(0.0)) for i in range(11)) / 11.0).alias("ap"))
-    order = [F.desc("score"), F.asc("det_id")]
-    env = reverse_cummax(keys, order, F.col("precision"))
-    prev = F.lag("recall", 1, 0.0).over(Window.partitionBy(*keys).orderBy(*order))
-    return curve.select(*keys, ((F.col("recall") - prev) * env).alias("a")).groupBy(*keys).agg(F.sum("a").alias("ap"))
+    # rows of equal recall share its step: the envelope there is that of the first of them, their best precision
+    steps = curve.groupBy(*keys, "recall").agg(F.max("precision").alias("precision"))
+    env = reverse_cummax(steps, keys, [F.desc("recall")], {"env": "precision"}, parts)
+    # sum of (recall - recall before) * env, with the terms of each recall put together: recall * (env here - env of the next)
+    nxt = running_by_rank(env, keys, [F.desc("recall")], lags={"env_after": "env"}, parts=parts)
+    return nxt.groupBy(*keys).agg(F.sum(F.col("recall") * (F.col("env") - F.coalesce("env_after", F.lit(0.0)))).alias("ap"))
 
 
 def map_report(dets: DataFrame, gts: DataFrame, iou_thr: float = 0.5, mode: str = "area") -> DataFrame:
@@ -92,18 +89,18 @@ def _coco_curves(dets: DataFrame, gts: DataFrame, max_dets: Sequence[int]) -> tu
     m = m.where("NOT ignored").withColumn("max_det", F.explode(F.array(*[F.lit(k) for k in max_dets]))).where("rank < max_det")
     m = m.select("area", "thr", "max_det", "label", "det_id", "score", F.col("matched").cast("int").alias("tp"), (~F.col("matched")).cast("int").alias("fp"))
     keys = ["area", "thr", "max_det", "label"]
-    w = Window.partitionBy(*keys).orderBy(F.desc("score"), F.asc("det_id"))
-    run = w.rowsBetween(Window.unboundedPreceding, 0)
-    c = m.select("*", F.sum("tp").over(run).alias("ctp"), F.sum("fp").over(run).alias("cfp")).join(F.broadcast(n), ["area", "label"])
-    c = c.select(*keys, "score", "det_id", (F.col("ctp") / F.col("n_gts")).alias("rc"), (F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("pr"))
-    c = c.withColumn("env", F.max("pr").over(w.rowsBetween(0, Window.unboundedFollowing)))
-    # 101 recall points: a row of the curve serves those between the recall before it (excluded) and its own
-    prev = F.coalesce(F.lag("rc").over(w), F.lit(-1.0))
-    points = F.floor(F.col("rc") * 100 + 1e-9) - F.when(prev < 0, F.lit(-1)).otherwise(F.floor(prev * 100 + 1e-9))
-    c = c.withColumn("part", F.col("env") * points)
-    ap = c.groupBy(*keys).agg((F.sum("part") / 101.0).alias("ap"), F.max("rc").alias("recall"))
+    most = F.col("max_det") == max(max_dets)  # precision is asked for at the last number only, recall at each
+    recall = m.groupBy(*keys).agg(F.sum("tp").alias("hits")).join(n, ["area", "label"]).select(*keys, (F.col("hits") / F.col("n_gts")).alias("recall"))
+    c = cum_sum_by_rank(m.where(most), keys, [F.desc("score"), F.asc("det_id")], {"ctp": "tp", "cfp": "fp"}).join(n, ["area", "label"])
+    # 101 recall points: each row is the best so far for the points up to its own recall
+    point = F.floor(F.col("ctp") * 100 / F.col("n_gts") + F.lit(1e-9)).cast("int")
+    best = c.groupBy(*keys, point.alias("point")).agg(F.max(F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("pr"))
+    after = Window.partitionBy(*keys).orderBy(F.desc("point"))  # at most 101 rows a key
+    best = best.withColumn("env", F.max("pr").over(after.rowsBetween(Window.unboundedPreceding, 0)))
+    below = F.lead("point", 1, -1).over(after)
+    ap = best.select(*keys, (F.col("env") * (F.col("point") - below)).alias("part")).groupBy(*keys).agg((F.sum("part") / 101.0).alias("ap"))
     grid = n.withColumn("thr", F.explode(F.array(*[F.lit(t) for t in IOU_THRS]))).withColumn("max_det", F.explode(F.array(*[F.lit(k) for k in max_dets])))
-    full = grid.join(ap, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    full = grid.join(ap, keys, "left").join(recall, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
     return full, n
 
 
@@ -125,8 +122,10 @@ def coco_metrics(dets: DataFrame, gts: DataFrame, use_cats: bool = True, max_det
 
 
 def coco_classwise(dets: DataFrame, gts: DataFrame) -> DataFrame:
+    """label, ap100: per cent; null for labels without countable truths."""
     full, _ = _coco_curves(dets, gts, [100])
-    return full.where("area = 'all'").groupBy("label").agg((F.avg("ap") * 100).alias("ap100"))
+    ap = full.where("area = 'all'").groupBy("label").agg((F.avg("ap") * 100).alias("ap100"))
+    return gts.select("label").union(dets.select("label")).distinct().join(ap, "label", "left")
 
 
 def topk_accuracy(df: DataFrame, k: Sequence[int] = (1,), scores: str = "scores", label: str = "label") -> DataFrame:

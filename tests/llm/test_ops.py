@@ -413,3 +413,35 @@ def test_pipeline_against_brute_force(spark):
 
 def test_queries_are_registered():
     assert [q.split("_")[0] for q in queries()] == [f"op{i}" for i in range(1, 11)]
+
+
+def test_decontamination_by_walks_of_long_items_and_rows(spark):
+    rng = random.Random(13)
+    items = [[f"L{i}x{rng.randrange(10**6)}" for _ in range(n)] for i, n in enumerate((300, 500, 900) * 8)]
+    docs = []
+    for w in map(list, items):
+        for at in sorted(rng.sample(range(len(w)), int(decontam.MAX_EDITS * len(w))), reverse=True):
+            w[at : at + 1] = rng.choice(([], [w[at], "new"], ["other"]))
+        docs.append(" ".join(w).encode())
+    held = decontam.Items([(i, " ".join(w)) for i, w in enumerate(items)])
+    assert len({d for d, i, *_ in held.find(docs) if d == i}) >= decontam.TARGET_RECALL * len(docs) - 1
+    # windows of strangers seldom agree with an item in a sampled step
+    words, first = decontam.words_of([" ".join(f"s{rng.randrange(50_000)}" for _ in range(4000)).encode()])
+    d = np.zeros(500, np.int64)
+    assert held.candidates(words, first, d, rng.choices(range(24), k=500) + d, np.arange(500)).mean() < 0.05
+    # each row is judged by its own text: repeated and null ids lose no clean row and keep no contaminated one
+    bench = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
+    bad = "x alpha beta gamma delta epsilon zeta eta theta y"
+    rows = [(5, bad), (5, "clean"), (None, bad), (None, "clean too"), (6, None), (7, bad + " z" * 200_000)]
+    left = decontam.drop_contaminated(table(spark, rows), bench)
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, "clean too"), (5, "clean"), (6, "")] and left.columns == table(spark, rows).columns
+    assert decontam.drop_contaminated(table(spark, []), bench).count() == 0 and decontam.find_items(table(spark, rows), bench.where("false")).count() == 0
+
+
+def test_decontamination_in_blocks(spark, monkeypatch):
+    bench = spark.createDataFrame([(i, f"item {i} has words a{i} b{i} c{i} d{i}") for i in range(9)], "item_id long, text string")
+    rows = table(spark, [(i, f"before item {i} has words a{i} b{i} c{i} d{i} after") for i in range(12)])
+    one = sorted(map(tuple, decontam.find_items(rows, bench).collect()))
+    monkeypatch.setattr(decontam, "BLOCK_ITEMS", 2)
+    assert sorted(map(tuple, decontam.find_items(rows, bench).collect())) == one and len(one) == 9
+    assert decontam.drop_contaminated(rows, bench).count() == 3

@@ -2,19 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once in the shared folder (``spark.checkpoint.dir``) and read it back."""
+    """Write ``df`` once in the shared folder (``spark.checkpoint.dir``, else the warehouse) and read it back."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="boxloom-")
-        spark.sparkContext.setCheckpointDir(base)
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables"
     path = f"{base.rstrip('/')}/boxloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -15,23 +13,34 @@ U = np.uint64
 WS_RUN = "[\\x20\\x09-\\x0D]+"
 
 
+#: Lets Spark delete the shuffle files of a query at its end; tables written here never need them again.
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a temporary one only where that is unset."""
+    """The folder all executors share (``spark.checkpoint.dir``); where that is unset, one in the warehouse."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="boxloom-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables").rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/boxloom-{uuid.uuid4().hex}/{name}"
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
+def write_table(df: DataFrame, name: str, done: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    ``done``: tables of :func:`write_table` that nothing needs after this; their files are deleted.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    spark.conf.set(_FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_FREE_SHUFFLES) if before is None else spark.conf.set(_FREE_SHUFFLES, before)
+    for old in done:
+        drop_table(old)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,11 +53,30 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished phases now rather than at its next collection."""
-    for _ in range(2):  # what the first pass unlinks the second one frees
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
+#: At most so many hot keys: each holds at least this share of the rows.
+HOT_KEYS = 10_000
+
+
+def hot_keys(df: DataFrame, key: str, per: int) -> DataFrame:
+    """(key, parts): the keys with more than max(``per``, rows / HOT_KEYS) rows, and how many parts of that size they make.
+
+    There are at most ``HOT_KEYS`` of them at any size of ``df``, so the table may be broadcast. Counts are combined before the shuffle.
+    """
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("_k"))
+    size = F.greatest(F.lit(per), F.lit(df.count() / HOT_KEYS).cast("long"))
+    return n.where(F.col("_k") > size).select(key, F.ceil(F.col("_k") / size).cast("int").alias("parts"))
+
+
+def salted(df: DataFrame, hot: DataFrame, key: str, by: str, salt: str = "salt") -> DataFrame:
+    """``df`` with a salt: 0, or for a hot key one of its parts by the hash of ``by``."""
+    out = df.join(F.broadcast(hot), key, "left")
+    return out.withColumn(salt, F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))).drop("parts")
+
+
+def over_salts(df: DataFrame, hot: DataFrame, key: str, salt: str = "salt") -> DataFrame:
+    """``df`` (a row per key) with a row for each salt of its key."""
+    out = df.join(F.broadcast(hot), key, "left")
+    return out.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -33,9 +33,9 @@ def components(links: DataFrame) -> DataFrame:
             new = up.select("id", F.col("p").alias("component"))
         else:
             new = labels.join(ends, labels["component"] == ends["_id"], "left").select("id", F.coalesce("_p", "component").alias("component"))
-        labels = write_table(new, "labels")
+        labels = write_table(new, "labels", [] if labels is None else [labels])
         e = edges.join(ends, F.col("a") == F.col("_id")).select(F.col("_p").alias("a"), "b").join(ends, F.col("b") == F.col("_id")).select("a", F.col("_p").alias("b"))
-        edges = write_table(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+        edges = write_table(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", [edges, up])
     if labels is None:
         labels = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels

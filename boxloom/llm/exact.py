@@ -4,6 +4,9 @@ Texts are equal when identical after each run of ``[\\x20\\x09-\\x0D]`` became o
 counts as empty, so all empty texts are copies of each other. Of equal texts in one batch the row with the smallest
 doc_id stays; a null doc_id sorts last. Rows that repeat a doc_id count as rows of their own: all rows of the
 smallest doc_id stay. An empty table gives an empty result. Other columns are left alone, whatever their names.
+
+A corpus goes through its index in batches by doc_id: what a batch adds is found by a sort-merge anti-join with the index,
+and every row is then judged by the entry that its digest has there.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import WS_RUN, new_path, partitions, write_table
+from boxloom.llm.common import HOT_KEYS, WS_RUN, new_path, partitions, salted, write_table
 
 
 def digest(text) -> F.Column:
@@ -72,26 +75,65 @@ def dedup_batch(index: DigestIndex, docs: DataFrame, id_col: str = "doc_id", tex
     group_size (equal rows in this batch), kept, text_sha256.
     """
     rows = write_table(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest(F.col(text_col)).alias("digest")), "digests")
-    groups = write_table(rows.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "groups")
-    index.append(groups.select("digest", "keep_id"))
-    # texts without a copy are their own group; only the groups of several rows need a look at the index
-    known = groups.withColumnRenamed("keep_id", "first_id").join(index.table().hint("merge"), "digest")
+    return _decide(index, rows, rows).drop("digest")
+
+
+def _decide(index: DigestIndex, batch: DataFrame, rows: DataFrame) -> DataFrame:
+    """Append the digests of ``batch`` (doc_id, digest) that are new, and judge ``rows`` by the index."""
+    index.append(batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
+    groups = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("group_size"))
+    # texts without a copy are their own group; only the others are looked up by row
+    known = groups.join(index.table().hint("merge"), "digest")
     decided = write_table(known.where((F.col("group_size") > 1) | ~F.col("keep_id").eqNullSafe(F.col("first_id"))), "decided")
-    return rows.join(decided.hint("merge"), "digest", "left").select(
+    # the rows of a large group of copies are dealt over several tasks; at most HOT_KEYS digests are that frequent
+    size = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    parts = F.when(F.col("group_size") > size, F.ceil(F.col("group_size") / size)).otherwise(1).cast("int")
+    hot = decided.where(F.col("group_size") > size).select("digest", parts.alias("parts"))
+    decided = decided.withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return salted(rows, hot, "digest", "doc_id").join(decided.hint("merge"), ["digest", "salt"], "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
         F.when(F.col("group_size").isNull(), F.lit(True)).otherwise(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "digest",
     )
 
 
+#: Rows of one digest from which they are dealt over several tasks.
+HOT_ROWS = 2_000
+#: Batches in which a corpus is dealt to the index, in the order of doc_id.
+BATCHES = 3
+
+
+def _through_index(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """All rows judged after their batches went through a new index: the smallest ids come first, so a text's first
+    batch holds its smallest id, and the anti-join keeps later batches from entering it again."""
+    spark = docs.sparkSession
+    rows = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), digest(F.col("text")).alias("digest")), "digests")
+    cuts = sorted(set(rows.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)))  # null ids come last
+    index = DigestIndex(spark, new_path(spark, "index"))
+    bounds = [None, *cuts, None]
+    out = None
+    for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
+        part = rows if lo is None else rows.where((F.col("doc_id") > lo) | F.col("doc_id").isNull())
+        part = part if hi is None else part.where(F.col("doc_id") <= hi)
+        if hi is None:
+            out = _decide(index, part, rows)
+        else:
+            index.append(part.groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
+    index.close()
+    return out
+
+
 def exact_dedup(docs: DataFrame) -> DataFrame:
-    """One batch against a new index in the shared folder."""
-    return dedup_batch(DigestIndex(docs.sparkSession, new_path(docs.sparkSession, "index")), docs)
+    """The whole corpus through a new index in the shared folder, in ``BATCHES`` batches."""
+    return _through_index(docs).drop("digest")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with the columns of ``docs``."""
-    kept = exact_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(kept.hint("merge"), docs["doc_id"].cast("long") == kept["_dropped"], "left_anti")
+    """The rows of ``docs`` that stay, with the columns of ``docs``. A row goes by its own text: the verdict is that of
+    (doc_id, digest), so repeated and null ids lose no other text."""
+    gone = _through_index(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (digest(docs["text"]) == gone["_digest"])
+    return docs.join(gone.hint("merge"), same, "left_anti")

@@ -6,16 +6,19 @@ A document's set holds the hashes (64 bits) of its distinct runs of five words,
 
 1. Equal sets form a class; its smallest doc_id stands for it.
 2. Chosen paths. Each of ``TREES`` independent trees chooses minwise positions (1/lambda of them on average); documents that
-   agree in the minwise token of a chosen position meet in a node. A link is missed by all roots with a probability
-   of about ``(1 - 0.75) ** len(ROOTS)`` = 2e-7.
+   agree in the minwise token of a chosen position meet in a node.
 3. Contraction. In each node every document is offered to the node's smallest document; of its offers the one with
    the best sketch is verified. Linked documents form components, and a node within one component is done. This
    settles large groups of copies in work linear in their size.
-4. Small nodes (at most ``NODE_WORK`` = documents times shingles) are compared exhaustively, between components only:
-   first by sketches of 64 bytes, then on full sets. Larger nodes are cut into blocks, and every pair of blocks is compared
-   like a small node in a task of its own, so a pair that meets in a large node is missed no more often than in a small
-   one. Blocks follow the components, and pairs of blocks within one component are left out. The large nodes are taken in
-   ``DEPTH`` rounds, so that what one of them has linked needs no comparing in the next.
+4. Recursion. A node of at most ``NODE_SIZE`` documents is compared exhaustively, between components only: first by sketches
+   (``POSITIONS`` minwise tokens of 16 bits), then on full sets. A larger one branches: its path draws ``BRANCH`` positions, and its
+   documents go on to the children of their tokens there. What a level has linked needs no comparing in the next.
+5. A large node whose children would hold as many pairs as itself (its documents are alike without being linked), and what is
+   large after ``DEPTH`` levels, is cut into blocks instead, and every pair of blocks is compared in a task of its own.
+
+Recall. A pair at the threshold agrees in a position with 0.75, so it stays together in a child at each level with
+1 - 0.25 ** BRANCH = 0.984. It is missed if it meets in none of the ``len(ROOTS)`` = 10 roots or is parted below each: with
+probability 0.25 ** 10 = 1e-6 where nodes are small, (1 - 0.75 * 0.984 ** DEPTH) ** 10 = 1e-5 where all of them branch to the end.
 
 Defined results: documents without words (null and empty texts) have empty sets and are linked with nothing; rows that
 repeat a doc_id are in its class; a null doc_id takes no part and is its own component (null); an empty table gives an
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import U, chunks, gram_hashes, mix, partitions, release, word_table, write_table
+from boxloom.llm.common import HOT_KEYS, U, chunks, gram_hashes, hot_keys, mix, over_salts, partitions, salted, word_table, write_table
 from boxloom.llm.components import components
 
 SHINGLE = 5
@@ -37,9 +40,13 @@ THRESHOLD = 0.75
 POSITIONS = 64
 TREES = 8
 SEED = 11
-NODE_WORK = 1 << 30
-#: Rounds in which the large nodes are taken, each a share of them.
-DEPTH = 4
+#: Documents up to which a node is compared exhaustively; positions a larger one branches on; levels of branching.
+NODE_SIZE = 128
+BRANCH, DEPTH = 3, 6
+#: Documents times shingles of a pair of blocks that one task compares.
+NODE_WORK = 1 << 28
+#: Members of a node from which its rows are dealt over several tasks.
+HOT_ROWS = 2_000
 _A = mix(np.arange(1, POSITIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(SEED)) | U(1)
 
 
@@ -77,7 +84,7 @@ def _shingles(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, fp (16 bytes, of the set), sketch (64 bytes), roots (array of long)."""
+    """doc_id, own (the rest of ``docs``: one column), n_shingles, fp (16 bytes, of the set), sketch (128 bytes), roots (array of long)."""
     roots = np.array(ROOTS)
 
     def run(batches):
@@ -99,29 +106,28 @@ def signatures(docs: DataFrame) -> DataFrame:
                     for j in range(POSITIONS):
                         low[has, j] = np.minimum.reduceat(h * _A[j], start)
                     fp[has, 0], fp[has, 1] = np.add.reduceat(mix(h), start), np.add.reduceat(mix(h ^ U(0xABCDEF0123456789)), start)
-                sk = (mix(low) >> U(56)).astype(np.uint8)
+                sk = (mix(low) >> U(48)).astype(np.uint16)
                 keys = mix(low[:, roots] ^ (roots.astype(U) << U(32))).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        b.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([x.tobytes() for x in sk], pa.binary()),
+                        b.column(0).slice(at, len(texts)), b.column(2).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in fp], pa.binary()), pa.array([x.tobytes() for x in sk], pa.binary()),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * len(roots), pa.int32()), pa.array(keys.ravel(), pa.int64())),
                     ],
-                    names=["doc_id", "n_shingles", "fp", "sketch", "roots"],
+                    names=["doc_id", "own", "n_shingles", "fp", "sketch", "roots"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, fp binary, sketch binary, roots array<long>")
+    return docs.select("doc_id", "text", "own").mapInArrow(run, "doc_id long, own long, n_shingles long, fp binary, sketch binary, roots array<long>")
 
 
 # ------------------------------------------------------------------ sketches
 
 _AGREE_SD = (THRESHOLD * (1 - THRESHOLD) / POSITIONS) ** 0.5
-#: Agreeing sketch bytes that a linked pair has except with a probability of about 1e-5 (4.3 deviations below the mean).
+#: Agreeing sketch tokens that a linked pair has except with a probability of about 1e-5 (4.3 deviations below the mean).
 AGREE = int(np.floor(POSITIONS * (THRESHOLD - 4.3 * _AGREE_SD)))
 
 
 def _matrix(col) -> np.ndarray:
-    return np.frombuffer(b"".join(col.to_pylist()), np.uint8).reshape(-1, POSITIONS)
+    return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, POSITIONS)
 
 
 def best_pivots(pairs: DataFrame) -> DataFrame:
@@ -151,8 +157,9 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows (a, b) of ``pairs`` that are links. A text that stands in many pairs is joined where Spark can split it."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     needed = write_table(texts.join(ids.hint("merge"), "doc_id"), "pair_texts")  # the corpus moves once
-    left = pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
-    right = needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    hot = write_table(hot_keys(pairs, "b", HOT_ROWS), "hot_texts")
+    left = salted(pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a"), hot, "b", "a")
+    right = over_salts(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), hot, "b")
 
     def run(batches):
         for x in batches:
@@ -164,7 +171,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 ok += [at + i for i, (p, q) in enumerate(zip(sa, sb, strict=True)) if linked(p, q)]
             yield pa.RecordBatch.from_arrays([i.take(pa.array(ok, pa.int64())) for i in ids], names=["a", "b"])
 
-    return left.join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+    return left.join(right.hint("merge"), ["b", "salt"]).select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
 # ------------------------------------------------------------------ nodes in tasks
@@ -281,18 +288,30 @@ def _exact_pass(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "node").sortWithinPartitions("node", "rep").mapInArrow(run, "a long, b long")
 
 
+def _size(rows: int) -> int:
+    """Rows of one key that stay together: at most ``HOT_KEYS`` keys are larger."""
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def _with_sums(rows: DataFrame, sums: DataFrame, key: str, count: str, size: int) -> DataFrame:
+    """``rows`` joined with ``sums`` (a row per key, ``count`` its rows), the rows of large keys dealt over several tasks."""
+    hot = sums.where(F.col(count) > size).select(key, F.ceil(F.col(count) / size).cast("int").alias("parts"))
+    return salted(rows, hot, key, "rep").join(over_salts(sums, hot, key).hint("merge"), [key, "salt"]).drop("salt")
+
+
 def block_pairs(large: DataFrame) -> DataFrame:
     """Large nodes (node, rep, comp, n, work, m) to one node (node, rep, comp, n) for each pair of their blocks.
 
     Two blocks are within ``NODE_WORK`` together. Components above a block's size have blocks of their own, the others share.
     """
     per = F.greatest(F.col("m") / F.ceil(2 * F.sqrt(F.col("work") / F.lit(NODE_WORK))), F.lit(1.0))
-    size = large.groupBy("node", "comp").agg(F.count(F.lit(1)).alias("k"), F.max(per).alias("per"))
+    large = large.withColumn("own", F.xxhash64("node", "comp"))
+    size = write_table(large.groupBy("node", "comp", "own").agg(F.count(F.lit(1)).alias("k"), F.max(per).alias("per")), "component_sizes")
     few = size.where("k <= per").groupBy("node").agg(F.ceil(F.sum("k") / F.max("per")).alias("shared"))
-    size = size.join(few, "node", "left")
+    size = write_table(size.join(few, "node", "left").select("own", "k", "per", "shared"), "component_sizes", [size])
     own = F.xxhash64("node", "comp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / F.col("per"))))
     block = F.when(F.col("k") > F.col("per"), own).otherwise(F.xxhash64("node", F.lit("shared"), F.pmod(F.xxhash64("comp"), "shared")))
-    rows = write_table(large.join(size, ["node", "comp"]).select("node", "rep", "comp", "n", block.alias("block")), "blocks")
+    rows = write_table(_with_sums(large, size, "own", "k", _size(large.count())).select("node", "rep", "comp", "n", block.alias("block")), "blocks", [size])
     blocks = rows.groupBy("node", "block").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
     other = blocks.select("node", F.col("block").alias("other"), F.col("c1").alias("d1"), F.col("c2").alias("d2"))
     pairs = blocks.join(other, "node").where("block <= other AND least(c1, d1) < greatest(c2, d2)")
@@ -300,6 +319,27 @@ def block_pairs(large: DataFrame) -> DataFrame:
     return rows.drop("node").join(pairs, "block").select(F.col("pair").alias("node"), "rep", "comp", "n")
 
 
+def branch(large: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Large nodes (node, rep, comp, n, work, m): (children's members (node, rep, n), the nodes that gain nothing by branching).
+
+    The path (a node's key) draws the positions; a child's key is that of path, position and token.
+    """
+    rows = large.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep")
+    draw = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BRANCH - 1)), lambda j: F.pmod(F.xxhash64("node", j), F.lit(POSITIONS)).cast("int")))
+    rows = rows.select("node", "m", "rep", "n", "sketch", F.explode(draw).alias("at"))
+    child = F.xxhash64("node", "at", F.substring("sketch", F.col("at") * 2 + 1, F.lit(2)))
+    rows = write_table(rows.select("node", "m", child.alias("child"), "rep", "n"), "children")
+    sizes = rows.groupBy("node", "m", "child").agg(F.count(F.lit(1)).alias("k"))
+    gains = sizes.groupBy("node", "m").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
+    stuck = write_table(gains.where("pairs * 2 > m * m").select("node", F.col("m").alias("k")), "stuck_nodes")
+    keys = stuck.select("node")
+    size = _size(rows.count())  # nodes are large: anti- and semi-joins of hot ones are left to broadcast or to salts
+    hot = stuck.where(F.col("k") > size).select("node", F.ceil(F.col("k") / size).cast("int").alias("parts"))
+    gone = over_salts(keys, hot, "node").hint("merge")
+    kept = salted(rows, hot, "node", "rep").join(gone, ["node", "salt"], "left_anti").select(F.col("child").alias("node"), "rep", "n")
+    return kept, salted(large, hot, "node", "rep").join(gone, ["node", "salt"], "left_semi").drop("salt")
+
+
 # ------------------------------------------------------------------ the join
 
 
@@ -308,57 +348,79 @@ def near_links(reps: DataFrame, texts: DataFrame) -> DataFrame:
 
     ``reps``: doc_id, n_shingles, sketch, roots, one row per class; ``texts``: doc_id, text.
     """
-    spark = reps.sparkSession
-    members = reps.select(F.explode("roots").alias("node"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
-    tops = members.groupBy("node").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    members = write_table(members.join(tops.select("node", "pivot"), "node"), "members")
     sk = reps.select("doc_id", "sketch")
+    nodes = reps.select(F.explode("roots").alias("node"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
+    tops = write_table(nodes.groupBy("node").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1"), "tops")
+    members = write_table(_with_sums(nodes, tops, "node", "k", _size(reps.count() * len(ROOTS))).drop("k"), "members", [tops])
     # contraction: the best pivot of each document
-    offers = members.where("rep <> pivot").select("rep", "pivot").distinct()
-    offers = offers.join(sk.select(F.col("doc_id").alias("rep"), F.col("sketch").alias("s1")), "rep")
-    offers = offers.join(sk.select(F.col("doc_id").alias("pivot"), F.col("sketch").alias("s2")), "pivot").select("rep", "pivot", "s1", "s2")
+    pairs = write_table(members.where("rep <> pivot").select("rep", "pivot").distinct(), "pivots")
+    hot = write_table(hot_keys(pairs, "pivot", HOT_ROWS), "hot_pivots")  # a family's smallest document is the pivot of all of it
+    offers = pairs.join(sk.select(F.col("doc_id").alias("rep"), F.col("sketch").alias("s1")), "rep")
+    pivots = over_salts(sk.select(F.col("doc_id").alias("pivot"), F.col("sketch").alias("s2")), hot, "pivot")
+    offers = salted(offers, hot, "pivot", "rep").join(pivots.hint("merge"), ["pivot", "salt"]).select("rep", "pivot", "s1", "s2")
     best = best_pivots(offers).groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("x"))
-    links = write_table(verify(write_table(best.select(F.col("rep").alias("a"), (-F.col("x.p")).alias("b")), "offers"), texts), "links")
-    comp = components(links)
-    release(spark)
-    nodes = members.select("node", "rep", "n")
+    offered = write_table(best.select(F.col("rep").alias("a"), (-F.col("x.p")).alias("b")), "offers", [pairs])
+    links = write_table(verify(offered, texts), "links", [offered])
+    nodes, old = members.select("node", "rep", "n"), [members]
     for depth in range(DEPTH + 1):
-        share = nodes.where(F.pmod(F.xxhash64("node"), F.lit(DEPTH)) == depth - 1) if depth else nodes
-        with_comp = share.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        with_comp = write_table(with_comp, "node_members")
-        sums = with_comp.groupBy("node").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), (F.count(F.lit(1)) * F.sum("n")).alias("work"))
-        live = write_table(with_comp.join(sums.where("c1 < c2").select("node", "work", "m"), "node"), "live")
-        if not depth:
-            nodes = live.where(F.col("work") > NODE_WORK).select("node", "rep", "n")
-            live = live.where(F.col("work") <= NODE_WORK).select("node", "rep", "comp", "n")
-        elif live.isEmpty():
-            continue
-        else:
-            live = block_pairs(live)
-        picked = write_table(_sketch_pass(live.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep")), "picked")
-        links = write_table(links.unionByName(_exact_pass(picked, texts)), "links")
-        release(spark)
-        if depth == DEPTH or nodes.isEmpty():
-            return links
         comp = components(links)
+        with_comp = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        with_comp = write_table(with_comp, "node_members", [comp, *old])
+        sums = with_comp.groupBy("node").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), (F.count(F.lit(1)) * F.sum("n")).alias("work"))
+        sums = write_table(sums.where("c1 < c2").drop("c1", "c2"), "node_sums")
+        live = write_table(_with_sums(with_comp, sums, "node", "m", _size(with_comp.count())), "live", [with_comp, sums])
+        small, large = live.where(F.col("m") <= NODE_SIZE), live.where(F.col("m") > NODE_SIZE)
+        branched = depth < DEPTH and not large.isEmpty()
+        if branched:
+            nodes, large = branch(large, sk)
+            nodes = write_table(nodes, "nodes")
+        todo = small.select("node", "rep", "comp", "n")
+        if not large.isEmpty():
+            todo = todo.unionByName(block_pairs(large))
+        picked = write_table(_sketch_pass(todo.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep")), "picked")
+        links = write_table(links.unionByName(_exact_pass(picked, texts)), "links", [picked, live, links])
+        if not branched:
+            break
+        old = [nodes]
     return links
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """``docs``: doc_id, text, own. Returns doc_id, own, n_shingles, component_id (null without words), one row per row."""
     sigs = write_table(signatures(docs), "signatures")
     usable = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = write_table(usable.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "classes")
-    reps = write_table(sigs.dropDuplicates(["doc_id"]).join(classes.select("doc_id"), "doc_id").select("doc_id", "n_shingles", "sketch", "roots"), "reps")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    comp = components(near_links(reps, texts))
-    named = classes.join(comp, classes["doc_id"] == comp["id"], "left").select("fp", "n_shingles", F.col("doc_id").alias("rep"), F.coalesce("component", "doc_id").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "fp").join(named.drop("rep"), ["fp", "n_shingles"], "left")
+    reps = sigs.join(classes, ["doc_id", "fp", "n_shingles"]).groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "sketch", "roots"), "fp").alias("x"))
+    reps = write_table(reps.select("doc_id", "x.*"), "reps")
+    links = near_links(reps, docs.select("doc_id", "text"))
+    comp = components(links)
+    named = classes.join(comp, classes["doc_id"] == comp["id"], "left").select("fp", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = write_table(named, "named", [comp, links, reps, classes])
+    # a class of very many copies is joined by several tasks
+    hot = write_table(hot_keys(usable, "fp", HOT_ROWS), "hot_classes")
+    out = salted(sigs.select("doc_id", "own", "n_shingles", "fp"), hot, "fp", "doc_id").join(over_salts(named, hot, "fp").hint("merge"), ["fp", "n_shingles", "salt"], "left")
+    return out.select("doc_id", "own", "n_shingles", "component_id")
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lit(None).cast("long").alias("own"))
+    out = _classes(rows)
     cid = F.when((F.col("n_shingles") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), F.col("doc_id").eqNullSafe(cid).alias("kept"))
 
 
+def _row_key(docs: DataFrame):
+    """A key of (doc_id, text): rows that share an id but not the text are documents of their own, and so are those without an id."""
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"].cast("string"))
+
+
 def drop_near_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, one document of each group, with the columns of ``docs``."""
-    gone = near_dedup(docs).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """The rows of ``docs`` that stay, with the columns of ``docs``: of each group the document of the smallest doc_id (null comes last)."""
+    rows = docs.select(_row_key(docs).alias("doc_id"), docs["text"].cast("string").alias("text"), docs["doc_id"].cast("long").alias("own"))
+    out = write_table(_classes(rows).where("n_shingles > 0"), "row_components")
+    first = out.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("no_id"), "own", "doc_id"))["doc_id"].alias("stays"), F.count(F.lit(1)).alias("k"))
+    first = write_table(first.where("k > 1"), "stays")
+    gone = _with_sums(out.withColumn("rep", F.col("doc_id")), first, "component_id", "k", _size(out.count())).where("doc_id <> stays").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = write_table(gone, "gone", [out, first])
+    return docs.join(gone.hint("merge"), _row_key(docs) == gone["_gone"], "left_anti")

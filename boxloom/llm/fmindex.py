@@ -1,6 +1,9 @@
 """A compressed full-text index over sequences of word numbers, in numpy: BWT in a wavelet matrix with bit-packed ranks.
 
 The text of a shard is a concatenation of segments, each closed by symbol 0, and every segment belongs to a document.
+What is kept is the wavelet matrix (n log sigma bits), two bit vectors that mark the runs of suffixes with equal first words, and
+the least document of each run: no suffix order and no text.
+
 The suffixes are sorted by their first ``ORDER`` symbols, which is enough for backward search of patterns up to
 ``ORDER - 1`` symbols.
 """
@@ -54,7 +57,7 @@ class FMIndex:
     def __init__(self, text: np.ndarray, docs: np.ndarray, window: int):
         assert window < ORDER
         n = len(text)
-        self.n, self.window, self.docs = n, window, docs
+        self.n, self.window = n, window
         rank = text.astype(np.int64)
         ranks = {1: rank}
         k = 1
@@ -68,29 +71,27 @@ class FMIndex:
             rank[order] = np.cumsum(np.concatenate(([0], s[1:] != s[:-1])))
             k *= 2
             ranks[k] = rank
-        self.sa = order
         bwt = text[order - 1]
         self.wave = WaveletMatrix(bwt)
         self.sigma = int(text.max(initial=0)) + 1
         self.first = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=self.sigma))))
         self.bottom = self.wave.descend(np.arange(self.sigma), np.zeros(self.sigma, np.int64))
-        self.short = self._group(ranks, window - 1)
-        self.long = self._group(ranks, window)
-        starts = self.long[0]
-        self.least = np.minimum.reduceat(docs[order], starts) if n else docs
+        self.short = self._group(ranks, order, window - 1)
+        self.long = self._group(ranks, order, window)
+        self.least = np.minimum.reduceat(docs[order], self.long[0][:-1]) if n else docs
 
-    def _group(self, ranks: dict[int, np.ndarray], k: int):
-        """Runs of suffixes that agree in their first k symbols: (starts, run of each suffix)."""
+    def _group(self, ranks: dict[int, np.ndarray], sa: np.ndarray, k: int) -> tuple[np.ndarray, RankBits]:
+        """Runs of suffixes that agree in their first k symbols: (their starts and the end, bits that mark the starts)."""
         change = np.zeros(self.n, bool)
         change[:1] = True
         at = 0
         for p in (8, 4, 2, 1):
             if k & p:
-                pos = self.sa + at
+                pos = sa + at
                 r = np.where(pos < self.n, ranks[p][np.minimum(pos, self.n - 1)], -1)
                 change[1:] |= r[1:] != r[:-1]
                 at += p
-        return np.flatnonzero(change), np.cumsum(change) - 1
+        return np.append(np.flatnonzero(change), self.n).astype(np.int32), RankBits(change)
 
     def step(self, c: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Backward search: the suffixes in [lo, hi) that follow symbol c, as the interval of c + pattern."""
@@ -129,9 +130,8 @@ class FMIndex:
             if t:
                 lo, hi = lo[:live], hi[:live]
                 ok = lo < hi
-                g = self.short[1][np.minimum(lo, self.n - 1)]
-                ends = np.append(self.short[0], self.n)
-                lo, hi = np.where(ok, ends[g], 0), np.where(ok, ends[g + 1], 0)
+                g = self.short[1].rank1(np.minimum(lo, self.n - 1) + 1) - 1
+                lo, hi = np.where(ok, self.short[0][g], 0).astype(np.int64), np.where(ok, self.short[0][g + 1], 0).astype(np.int64)
                 c = flat[at]
                 ok &= (c > 0) & (c < self.sigma)
                 lo[~ok] = hi[~ok] = 0
@@ -143,5 +143,5 @@ class FMIndex:
             if len(again):
                 lo[again], hi[again] = self.search(flat[at[again][:, None] + np.arange(w)])
             found = lo < hi
-            out[at[found]] = self.least[self.long[1][lo[found]]]
+            out[at[found]] = self.least[self.long[1].rank1(lo[found] + 1) - 1]
         return out

@@ -6,12 +6,16 @@ covers it whose word sequence also starts in a document with a smaller doc_id. W
 1. The minimizer of a window is the least hash among its ``GRAM``-word runs. It depends on the window's words only, so equal
    windows have equal minimizers. Minimizers that occur in one document only cannot belong to a repeated window: only
    the others' *segments* (runs of windows with the same minimizer) travel on.
-2. Segments are dealt to shards by minimizer. Equal segments are settled by their smallest document; the distinct ones
+2. Hot minimizers, found on a sample of the documents (which decides about balance only, never about results), get a second
+   minimizer by another hash: their windows are dealt by both. What is then still frequent is equal segments; a task
+   answers those that it has seen in a document with a smaller id at once, so that they never meet in one task.
+3. Segments are dealt to shards by minimizer. Equal segments are settled by their smallest document; the distinct ones
    are gathered into shards of about ``SHARD_WORDS`` words.
-3. Each shard is indexed, and its segments are streamed against the index by backward search over its wavelet matrix; every
-   interval of at least ``WINDOW`` matching words yields the smallest document in it. A minimizer with more distinct segments
-   than a shard holds is indexed in parts, and its segments are streamed against each part.
-4. The documents take back which of their windows are repeats, and drop the words under them.
+4. Each shard is indexed, and its segments are streamed against the index by backward search over its wavelet matrix. The
+   search keeps the matching statistic of each position up to the threshold: positions whose longest match reaches ``WINDOW``
+   words are reported with the smallest document of their interval. A minimizer with more distinct segments than
+   a shard holds is indexed in parts, and its segments are streamed against each part.
+5. The documents take back which of their windows are repeats, and drop the words under them.
 
 Defined results: null and empty texts have no words; fewer than 13 words are no window; a null doc_id is never smaller
 than another and loses nothing; rows that repeat a doc_id are judged alike and don't repeat each other; an empty table
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import U, chunks, drop_table, gram_hashes, mix, partitions, release, word_table, write_table
+from boxloom.llm.common import U, chunks, gram_hashes, hot_keys, mix, partitions, word_table, write_table
 from boxloom.llm.fmindex import FMIndex
 
 WINDOW = 13
@@ -37,11 +41,17 @@ SHARD_WORDS = 1 << 20
 #: Minimizers are taken in this many shares, one after the other, so that only one share's segments are on disk.
 ROUNDS = 2
 _SPAN = WINDOW - GRAM + 1
+#: Documents with a minimizer from which it counts as hot, judged on one document in ``SAMPLE``.
+HOT_ROWS, SAMPLE = 1_024, 16
+#: Hot segments that a task remembers to settle copies early; beyond, they are settled in their shard.
+REMEMBERED = 1 << 17
 
 
-def _minimizers(words: np.ndarray) -> np.ndarray:
+def _minimizers(words: np.ndarray, second: bool = False) -> np.ndarray:
     """The least gram hash of each window of ``words`` (windows across texts are the caller's to leave out)."""
     g = mix(gram_hashes(words, GRAM))
+    if second:
+        g = mix(g ^ U(0x5851F42D4C957F2D))
     n = len(words) - WINDOW + 1
     if n <= 0:
         return np.zeros(0, U)
@@ -81,23 +91,37 @@ def document_minimizers(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, h long")
 
 
-def shared_minimizers(docs: DataFrame) -> DataFrame:
-    """(doc_id, hs): for each document its minimizers that another document has too."""
-    rows = document_minimizers(docs)
-    w = Window.partitionBy("h")
-    rows = rows.withColumn("a", F.min("doc_id").over(w)).withColumn("b", F.max("doc_id").over(w)).where("a < b")
+def hot_minimizers(docs: DataFrame) -> list[int]:
+    """The hot minimizers: a bounded list (at most ``HOT_KEYS``), each of several documents of the sample."""
+    rows = write_table(document_minimizers(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)), "sampled_minimizers")
+    return sorted(r["h"] for r in hot_keys(rows, "h", max(2, HOT_ROWS // SAMPLE)).collect())
+
+
+def shared_minimizers(docs: DataFrame, hot: list[int]) -> DataFrame:
+    """(doc_id, hs): for each document its minimizers that another document has too. Hot ones are known to be shared."""
+    spark = docs.sparkSession
+    known = F.broadcast(spark.createDataFrame([(h,) for h in hot], "h long").withColumn("hot", F.lit(True)))
+    rows = document_minimizers(docs).join(known, "h", "left")
+    w = Window.partitionBy("h", F.when(F.col("hot"), F.xxhash64("doc_id")))
+    rows = rows.withColumn("a", F.min("doc_id").over(w)).withColumn("b", F.max("doc_id").over(w)).where("hot OR a < b")
     return rows.groupBy("doc_id").agg(F.collect_list("h").alias("hs"))
 
 
-def _segments_of(words: np.ndarray, first: np.ndarray, wanted: list[np.ndarray]):
-    """(text, minimizer, first word, one past the last word) of each segment whose minimizer its text wants."""
+def _segments_of(words: np.ndarray, first: np.ndarray, wanted: list[np.ndarray], hot: np.ndarray):
+    """(text, key, first word, one past the last word, hot) of each segment whose minimizer its text wants.
+
+    The key is the minimizer; windows of a hot one are told apart by their second minimizer too.
+    """
     doc, pos = _window_rows(first)
     if not len(doc):
         z = np.zeros(0, np.int64)
-        return z, np.zeros(0, U), z, z
+        return z, np.zeros(0, U), z, z, np.zeros(0, bool)
     m = _minimizers(words)[pos]
+    key, is_hot = m, np.isin(m, hot) if len(hot) else np.zeros(len(m), bool)
+    if is_hot.any():
+        key = np.where(is_hot, mix(m ^ _minimizers(words, True)[pos]), m)
     new = np.ones(len(m), bool)
-    new[1:] = (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
     a = np.flatnonzero(new)
     z = np.append(a[1:], len(m))
     d, h = doc[a], m[a]
@@ -107,7 +131,7 @@ def _segments_of(words: np.ndarray, first: np.ndarray, wanted: list[np.ndarray])
     own = mix(all_w ^ (np.repeat(np.arange(len(wanted)), n).astype(U) * U(0x9E3779B97F4A7C15)))
     ask = mix(h ^ (d.astype(U) * U(0x9E3779B97F4A7C15)))
     ok = np.isin(ask, own)
-    return d[ok], h[ok], pos[a[ok]], pos[z[ok] - 1] + WINDOW
+    return d[ok], key[a[ok]], pos[a[ok]], pos[z[ok] - 1] + WINDOW, is_hot[a[ok]]
 
 
 def _segment_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -119,22 +143,40 @@ def _segment_hashes(words: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nda
     return out
 
 
-def segments(docs: DataFrame) -> DataFrame:
-    """``docs``: doc_id, text, hs. Returns (h, doc_id, words), one row per segment."""
+def segments(docs: DataFrame, hot) -> DataFrame:
+    """``docs``: doc_id, text, hs; ``hot``: broadcast array. Returns (h, doc_id, words, copy), one row per segment.
+
+    A hot segment that the task has seen in a document with a smaller id is a copy: its hash is in ``copy``, it carries no
+    words, and its key spreads it over the shards.
+    """
 
     def run(batches):
+        seen: dict[int, int] = {}
         for b in batches:
             wanted_all = b.column(2).to_pylist()
             for at, texts in chunks(b.column(1).to_pylist()):
                 raw, starts, ends, words, first = word_table(texts)
-                d, h, lo, hi = _segments_of(words, first, wanted_all[at : at + len(texts)])
-                if len(d):
-                    s, e = starts[lo], ends[hi - 1]
-                    # one space between words, so that equal word sequences are equal strings
-                    text = [b" ".join(raw[x:y].split()).decode("utf-8", "surrogatepass") for x, y in zip(s.tolist(), e.tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), b.column(0).take(pa.array(at + d)), pa.array(text, pa.string())], names=["h", "doc_id", "words"])
-
-    return docs.select("doc_id", "text", "hs").mapInArrow(run, "h long, doc_id long, words string")
+                d, h, lo, hi, is_hot = _segments_of(words, first, wanted_all[at : at + len(texts)], hot.value)
+                if not len(d):
+                    continue
+                ids = b.column(0).take(pa.array(at + d))
+                copy: list = [None] * len(d)
+                k = np.flatnonzero(is_hot)
+                if len(k):
+                    seg = _segment_hashes(words, lo[k], hi[k]).view(np.int64).tolist()
+                    for x, s, doc in zip(k.tolist(), seg, ids.take(pa.array(k)).to_pylist(), strict=True):
+                        before = seen.get(s)
+                        if before is not None and before < doc:
+                            copy[x] = s
+                            h[x] = U(s & 0xFFFFFFFFFFFFFFFF) ^ U(doc & 0xFFFFFFFFFFFFFFFF)
+                        elif before is not None or len(seen) < REMEMBERED:
+                            seen[s] = doc
+                s, e = starts[lo], ends[hi - 1]
+                # one space between words, so that equal word sequences are equal strings
+                text = [None if c is not None else b" ".join(raw[x:y].split()).decode("utf-8", "surrogatepass") for x, y, c in zip(s.tolist(), e.tolist(), copy, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), ids, pa.array(text, pa.string()), pa.array(copy, pa.int64())], names=["h", "doc_id", "words", "copy"])
+
+    return docs.select("doc_id", "text", "hs").mapInArrow(run, "h long, doc_id long, words string, copy long")
 
 
 class _Shard:
@@ -186,12 +228,16 @@ def repeated(segs: DataFrame) -> DataFrame:
     w = Window.partitionBy("h", "words").orderBy("doc_id")  # the same order as below: sorted once
     rows = segs.repartition(n, "h").withColumn("first_doc", F.first("doc_id").over(w))
     # only the first row of equal segments carries its words to Python
-    rows = rows.sortWithinPartitions("h", "words", "doc_id").select("h", "doc_id", "first_doc", F.when(F.col("doc_id") == F.col("first_doc"), F.col("words")).alias("words"))
+    rows = rows.sortWithinPartitions("h", "words", "doc_id").select("h", "doc_id", "first_doc", F.when(F.col("doc_id") == F.col("first_doc"), F.col("words")).alias("words"), "copy")
 
     def run(batches):
         shard, last_h, last_words = _Shard(), None, None
         for b in batches:
-            for h, doc, first, words in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            early = b.filter(b.column(4).is_valid())
+            if early.num_rows:
+                yield pa.RecordBatch.from_arrays([early.column(1), early.column(4), pa.nulls(early.num_rows, pa.binary())], names=["doc_id", "seg", "bits"])
+                b = b.filter(b.column(4).is_null())
+            for h, doc, first, words in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 if doc != first:
                     if len(shard.copies[-1]) >= COPIES:  # a hot segment: its copies so far are answered at once
                         seg = int(_segment_hashes(*_one(shard.words[-1])).view(np.int64)[0])
@@ -237,7 +283,7 @@ def _answer_batch(rows) -> pa.RecordBatch:
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
-def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
+def _cut(docs: DataFrame, with_text: bool, hot) -> DataFrame:
     """``docs``: doc_id, text, hs, found(seg, bits)."""
 
     def run(batches):
@@ -249,7 +295,7 @@ def _cut(docs: DataFrame, with_text: bool) -> DataFrame:
                 gone = np.zeros(len(words) + 1, np.int64)
                 hs = [x or [] for x in hs_all[at : at + len(texts)]]
                 if any(hs):
-                    d, _, lo, hi = _segments_of(words, first, hs)
+                    d, _, lo, hi, _ = _segments_of(words, first, hs, hot.value)
                     key = _segment_hashes(words, lo, hi).view(np.int64)
                     maps = [{f["seg"]: f["bits"] for f in (x or [])} for x in found_all[at : at + len(texts)]]
                     for t, k, a, z in zip(d.tolist(), key.tolist(), lo.tolist(), hi.tolist(), strict=True):
@@ -284,18 +330,16 @@ def substring_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     named = texts.where("doc_id IS NOT NULL")
-    shared = write_table(shared_minimizers(named), "shared_minimizers")
-    release(spark)
+    hot = hot_minimizers(named)
+    shared = write_table(shared_minimizers(named, hot), "shared_minimizers")
+    hot = spark.sparkContext.broadcast(np.array(hot, np.int64).view(U))
     # the texts are dealt by document once; each round then shuffles the segments of its share of the minimizers only
     marked = write_table(named.join(shared.hint("merge"), "doc_id"), "marked")
-    release(spark)
     found = []
     for k in range(ROUNDS):
         own = marked.withColumn("hs", F.expr(f"filter(hs, h -> pmod(h, {ROUNDS}) = {k})")).where(F.size("hs") > 0)
-        found.append(write_table(repeated(segments(own)), "repeated"))
-        release(spark)
-    drop_table(marked)
+        found.append(write_table(repeated(segments(own, hot)), "repeated", [marked] if k == ROUNDS - 1 else []))
     answers = reduce(DataFrame.unionByName, found)
     by_doc = answers.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("seg", "bits")).alias("found")).join(shared.hint("merge"), "doc_id")
-    out = _cut(texts.join(by_doc.hint("merge"), "doc_id", "left"), with_text)
+    out = _cut(texts.join(by_doc.hint("merge"), "doc_id", "left"), with_text, hot)
     return out if with_text else out.drop("kept_text")

@@ -63,6 +63,16 @@ def test_exact_index_takes_batches(spark, tmp_path):
     assert exact.exact_dedup(table(spark, [])).count() == 0
 
 
+def test_exact_dedup_judges_rows_by_text(spark, monkeypatch):
+    rows = [(3, "B"), (5, "A"), (5, "B"), (None, "B"), (None, "C"), (9, "long " * 400_000), (10, "long " * 400_000)] + [(100 + i, "hot") for i in range(60)]
+    kept = exact.drop_copies(table(spark, rows))
+    assert sorted((r.doc_id or -1, r.text[:4]) for r in kept.collect()) == [(-1, "C"), (3, "B"), (5, "A"), (9, "long"), (100, "hot")]
+    plain = sorted(map(str, exact.exact_dedup(table(spark, rows)).collect()))
+    monkeypatch.setattr(exact, "HOT_ROWS", 7)  # the hot group over nine tasks
+    monkeypatch.setattr(exact, "BATCHES", 1)
+    assert sorted(map(str, exact.exact_dedup(table(spark, rows)).collect())) == plain
+
+
 # ------------------------------------------------------------------ 5
 
 
@@ -130,6 +140,42 @@ def test_near_dedup_of_pairs_that_meet_in_large_nodes_only(spark, monkeypatch):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(table(spark, rows)).collect()} == brute_components(rows)
 
 
+def test_near_dedup_branches_large_nodes(spark, monkeypatch):
+    rng = random.Random(21)
+    head = [f"h{k}" for k in range(70)]  # a header that all share: unlinked documents meet in the nodes of its tokens
+    rows = [(2 * i + j, " ".join(head + [f"p{i}x{k}" for k in range(120)] + [f"o{i}x{j}x{k}" for k in range(12)])) for i in range(90) for j in (0, 1)]
+    base = [f"c{k}" for k in range(100)]  # chains of neighbours at about 0.8 from one text
+    for c in range(6):
+        w = list(base)
+        for k in range(12):
+            at = rng.randrange(0, 97)
+            w[at : at + 2] = [f"c{c}n{k}a", f"c{c}n{k}b"]
+            rows.append((1000 + 100 * c + k, " ".join(w)))
+    exp = brute_components(rows)
+    seen, kept = [], minhash.branch
+
+    def watched(large, sk):
+        seen.append(large.select("node").distinct().count())
+        out = kept(large, sk)
+        seen.append(-out[0].count())
+        return out
+
+    monkeypatch.setattr(minhash, "branch", watched)
+    monkeypatch.setattr(minhash, "NODE_SIZE", 8)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 20)  # salted joins too
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(table(spark, rows)).collect()}
+    assert seen[0] > 0 and -seen[1] > 0  # nodes branched, and their children were looked at
+    assert np.mean([got[i] == exp[i] for i in exp]) >= 0.99
+
+
+def test_near_copies_go_by_text(spark, monkeypatch):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [(5, a), (5, b), (7, b + " more"), (None, a + " more"), (None, "alone"), (3, a + " x"), (None, None), (8, ""), (9, "ha " * 300_000), (12, "ha " * 300_000)]
+    left = sorted((r.doc_id or -1, (r.text or "")[:5]) for r in minhash.drop_near_copies(table(spark, rows)).collect())
+    assert left == [(-1, ""), (-1, "alone"), (3, a[:5]), (5, b[:5]), (8, ""), (9, "ha ha")]
+    assert minhash.drop_near_copies(table(spark, [])).count() == 0
+
+
 def test_components_of_chains(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 90), (90, 95), (7, 7)]
     got = {r.id: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -164,6 +210,22 @@ def test_substring_dedup(spark, hard, monkeypatch, words):
     assert substring.substring_dedup(table(spark, [])).count() == 0
 
 
+def test_substring_dedup_of_hot_minimizers(spark, monkeypatch):
+    rng = random.Random(8)
+    passage, line = [f"p{k}" for k in range(30)], "this line stands in every single document".split()
+    rows = [(i, " ".join([f"w{rng.randrange(9)}" for _ in range(20)] + line + [f"v{rng.randrange(3)}" for _ in range(8)] + (passage if i % 3 else []) + line + [f"u{i}"])) for i in rng.sample(range(500), 120)]
+    rows += [(700, "la " * 500), (701, "la " * 400), (None, " ".join(passage)), (702, None)]
+    exp = brute_cut([r for r in rows if r[0] is not None])
+    monkeypatch.setattr(substring, "HOT_ROWS", 4)
+    monkeypatch.setattr(substring, "SAMPLE", 2)
+    docs = table(spark, rows)
+    assert len(substring.hot_minimizers(docs.where("doc_id IS NOT NULL").select("doc_id", "text"))) > 5
+    for remembered in (1 << 17, 3):
+        monkeypatch.setattr(substring, "REMEMBERED", remembered)
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in substring.substring_dedup(docs).collect()}
+        assert got.pop(None)[1] == 0 and got == exp
+
+
 def test_fm_index_matches_brute_force():
     rng = np.random.RandomState(0)
     segs = [rng.randint(1, 4, rng.randint(1, 40)) for _ in range(60)]

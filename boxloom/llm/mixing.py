@@ -3,12 +3,13 @@
 Each source s with n_s rows gets the repetition rate  r_s = total * w_s / (W * n_s), W being the sum of the weights of the
 sources that occur. Each document draws its number of copies from Poisson(r_s) by inverting the distribution at a uniform
 number hashed from (seed, doc_id), so retries and partitioning never change the draw; rates above ``PIECE`` are split
-into equal parts, each with a draw of its own. Copies are then dealt out in the order of a hash of (seed, doc_id, copy):
-a global shuffle as one range exchange.
+into equal parts, each with a draw of its own. Copies are then dealt out by a hash of (seed, doc_id, copy), the shuffle key, and
+sorted by it within each partition: a global shuffle in one exchange, without a sampling pass before it.
 
 Defined results: a null source is a source of its own; sources without a weight take ``default_weight`` (0 drops them);
 a null doc_id draws as the text 'null'; rows that repeat a doc_id draw the same count and tie in the shuffle;
-an empty table gives an empty result.
+an empty table gives an empty result. Columns of the input named copy, n_copies or shuffle_key are replaced by the operator's; all
+others pass, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.common import partitions
+
 PIECE = 16.0
 #: Terms of the inverted distribution: for a mean of 16 the mass beyond 80 is below 1e-25.
 TERMS = 80
@@ -69,15 +72,17 @@ def mix_sources(
     """
     table = rates(docs, weights or {}, default_weight, total, source_col)
     few = table.select(F.count(F.lit(1)).alias("k")).collect()[0]["k"]
-    table = table.select(F.col("source").alias("_source"), "pieces", "cdf")
+    own = {c: f"_mix_{c}" for c in ("source", "pieces", "cdf", "key", "draws")}
+    table = table.select(*[F.col(c).alias(own[c]) for c in ("source", "pieces", "cdf")])
     table = F.broadcast(table) if few <= BROADCAST_SOURCES else table.hint("merge")
-    keep = list(docs.columns) if keep is None else keep
-    clash = [c for c in ("copy", "n_copies", "shuffle_key", "pieces", "cdf", "_source") if c in keep]
-    rows = docs.select(*keep, *[F.col(c) for c in ("doc_id", source_col) if c not in keep]).drop(*clash)
-    rows = rows.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    draw = lambda i: F.size(F.filter("cdf", lambda c: c <= uniform(F.lit(seed), F.col("doc_id"), i))).cast("long")
-    count = F.aggregate(F.sequence(F.lit(1), F.col("pieces")), F.lit(0).cast("long"), lambda acc, i: acc + draw(i))
-    rows = rows.withColumn("n_copies", count).where("n_copies > 0")
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("copy", "n_copies", "shuffle_key")]
+    rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias(own["key"]), F.col(source_col).cast("string").alias("_mix_from"))
+    rows = rows.join(table, F.col("_mix_from").eqNullSafe(F.col(own["source"])))
+    # each uniform number is hashed once, then held against the terms
+    rows = rows.withColumn(own["draws"], F.transform(F.sequence(F.lit(1), F.col(own["pieces"])), lambda i: uniform(F.lit(seed), F.col(own["key"]), i)))
+    count = F.aggregate(own["draws"], F.lit(0).cast("long"), lambda acc, u: acc + F.size(F.filter(own["cdf"], lambda c: c <= u)))
+    rows = rows.select(*keep, own["key"], count.alias("n_copies")).where("n_copies > 0")
     rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_copies"))))
-    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("copy"))))
-    return rows.orderBy("shuffle_key").select(*[c for c in keep if c not in clash], "copy", "n_copies", "shuffle_key")
+    rows = rows.withColumn("shuffle_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), own["key"], "copy")))
+    out = rows.select(*keep, "copy", "n_copies", "shuffle_key")
+    return out.repartition(partitions(docs.sparkSession), "shuffle_key").sortWithinPartitions("shuffle_key")

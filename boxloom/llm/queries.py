@@ -48,7 +48,7 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(read(spark, sf_dir, "documents"), WEIGHTS, DEFAULT_WEIGHT, keep=["doc_id", "source"])
+    return mixing.mix_sources(read(spark, sf_dir, "documents"), WEIGHTS, DEFAULT_WEIGHT)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +105,8 @@ u AS (
   SELECT d.doc_id, d.source, i, ('0x' || substr(md5(concat('17:', d.doc_id, ':', i)), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS u
   FROM documents d JOIN p ON d.source IS NOT DISTINCT FROM p.source, LATERAL (SELECT unnest(range(1, p.pieces + 1)) AS i) t),
 k AS (SELECT doc_id, u.source, count(c) FILTER (WHERE c <= u) AS n_copies FROM u JOIN cdf ON u.source IS NOT DISTINCT FROM cdf.source GROUP BY doc_id, u.source)
-SELECT doc_id, source, copy, n_copies, md5(concat('17:order:', doc_id, ':', copy)) AS shuffle_key
-FROM k, LATERAL (SELECT unnest(range(1, n_copies + 1)) AS copy) t
+SELECT d.*, copy, n_copies, md5(concat('17:order:', doc_id, ':', copy)) AS shuffle_key
+FROM k JOIN documents d USING (doc_id), LATERAL (SELECT unnest(range(1, n_copies + 1)) AS copy) t
 """
 
 OP5_SQL = r"""

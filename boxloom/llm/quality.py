@@ -1,13 +1,17 @@
 """Quality classifier by compression.
 
 From labelled texts one zstandard dictionary is trained for each label. A text is cut into pieces of ``CHUNK`` bytes that
-cover all of it; each piece is compressed with either dictionary. The difference of the two sizes, divided by the size
-without a dictionary and by the text's length, goes through a logistic calibration fitted on labelled rows that the
-dictionaries have not seen. Labels come only from rows whose crc32(doc_id) mod 5 is not 0; the score uses the text alone.
+cover all of it; each piece is compressed with either dictionary and with none. The differences of the compressed sizes,
+normalised by the size without a dictionary and by the text's length, and the two sizes by the length, go through a logistic
+calibration fitted on labelled rows that the dictionaries have not seen. Neither the plain ratio nor the length is a feature. Labels come only from
+rows whose crc32(doc_id) mod 5 is not 0; the score uses the text alone. ``CHUNK`` was picked on the calibration's own rows.
 
 Training takes at most ``TRAIN_ROWS`` rows of each label and ``TRAIN_BYTES`` bytes of text, the first ones in the order of
-a hash of the id: a bounded sample, whole texts. Null texts count as empty; an empty text gets the share of good
-labels in the sample. Without labels of both kinds every score is 0.5. Ties at the threshold count as good.
+a hash of the id: a bounded sample of whole texts of up to ``TRAIN_TEXT`` bytes (longer ones are passed over, not cut).
+
+Defined results: null texts count as empty; an empty text gets the share of good labels in the sample. Without labelled rows of
+both kinds every score is 0.5; if there are some but all of one kind are above ``TRAIN_TEXT``, fitting is an error. Ties at the
+threshold count as good.
 """
 
 from __future__ import annotations
@@ -20,8 +24,9 @@ from pyspark.sql import functions as F
 
 TRAIN_ROWS = 2_000
 TRAIN_BYTES = 6_000_000
+TRAIN_TEXT = 100_000
 DICT_BYTES = 112_640
-CHUNK = 1_024
+CHUNK = 512
 LEVEL = 3
 THRESHOLD = 0.3
 
@@ -35,16 +40,16 @@ def _pieces(b: bytes) -> list[bytes]:
 
 
 def features(texts: list[bytes], model: dict) -> np.ndarray:
-    """(n, 4): normalised size difference, size without dictionary by length, the better dictionary's gain, log length."""
+    """(n, 6): what the good dictionary saves against the bad one, and against none, by plain size and by length; either size by length."""
     good = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(model["good"]), write_content_size=False)
     bad = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(model["bad"]), write_content_size=False)
     plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-    out = np.zeros((len(texts), 4))
+    out = np.zeros((len(texts), 6))
     for i, b in enumerate(texts):
         if b:
             p = _pieces(b)
             g, d, n = (sum(len(z.compress(x)) for x in p) for z in (good, bad, plain))
-            out[i] = (d - g) / n, n / len(b), min(g, d) / n, np.log1p(len(b))
+            out[i] = (d - g) / n, (n - g) / n, (d - g) / len(b), (n - g) / len(b), g / len(b), d / len(b)
     return out
 
 
@@ -68,9 +73,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     for q in (0, 1):
         # ids first, so that only the sampled texts travel
         ids = lab.where(F.col("quality") == q).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(TRAIN_ROWS).select("doc_id")
-        got = rows.join(F.broadcast(ids), "doc_id").select(F.md5(F.col("doc_id").cast("string")).alias("k"), "doc_id", "text")
-        w = F.sum(F.octet_length("text")).over(Window.orderBy("k", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-        samples.append([r["text"].encode() for r in got.withColumn("b", w).where(F.col("b") <= TRAIN_BYTES).orderBy("k", "doc_id").collect()])
+        got = rows.join(F.broadcast(ids), "doc_id").select(F.md5(F.col("doc_id").cast("string")).alias("k"), "doc_id", F.octet_length("text").alias("n"), F.when(F.octet_length("text") <= TRAIN_TEXT, F.col("text")).alias("text"))
+        w = F.sum(F.octet_length("text")).over(Window.orderBy("k", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
+        got = got.withColumn("b", w).where(F.coalesce("b", F.lit(0)) <= TRAIN_BYTES).orderBy("k", "doc_id", "n").collect()
+        samples.append([r["text"].encode("utf-8", "surrogatepass") for r in got if r["text"] is not None])
+        if got and not samples[-1]:
+            raise ValueError(f"all {len(got)} labelled texts of quality {q} in the sample are above {TRAIN_TEXT} bytes")
     if not all(samples):
         return None
     # even rows train the dictionaries, odd rows the calibration

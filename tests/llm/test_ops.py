@@ -381,9 +381,49 @@ def test_mixing_rates(spark):
     assert mixing.mix_sources(n.where("false")).count() == 0
 
 
+def test_mixing_keeps_columns_and_hard_rows(spark):
+    d = "doc_id long, source string, pieces long, cdf string, _source string, lam double, text string, n_copies string"
+    rows = [(1, "a", 7, "c", "s", 0.5, "x" * 3_000_000, "old"), (1, "a", 8, "c", "s", 0.5, "y", "old"), (None, None, None, None, None, None, None, None), (2, "b", 9, "c", "s", 0.5, "", "old")]
+    out = mixing.mix_sources(spark.createDataFrame(rows, d), total=200)
+    assert out.columns == ["doc_id", "source", "pieces", "cdf", "_source", "lam", "text", "copy", "n_copies", "shuffle_key"]
+    got = out.select("doc_id", "pieces", "cdf", "n_copies", F.length("text").alias("n")).distinct().collect()
+    assert {(r.doc_id, r.pieces, r.n) for r in got} == {(1, 7, 3_000_000), (1, 8, 1), (None, None, None), (2, 9, 0)}
+    assert len({r.n_copies for r in got if r.doc_id == 1}) == 1 and out.count() == sum(r.n_copies for r in got)
+
+
 # ------------------------------------------------------------------ 10, 1, 2
 
 
+def test_quality_sample_passes_over_long_texts(spark):
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(WORDS) for _ in range(200))
+    bad = lambda: " ".join(f"buy{rng.randrange(50)}!!" for _ in range(200))
+    rows = [(i, good() if i % 2 else bad()) for i in range(200)] + [(1000 + i, (good() if i % 2 else bad()) * 200) for i in range(10)]
+    lab = spark.createDataFrame([(i, i % 2, 0) for i, _ in rows], "doc_id long, quality long, toxic long")
+    docs = table(spark, rows + [(5000, None), (5001, ""), (5002, good() * 2000)])
+    got = {r.doc_id: r for r in quality.classify(docs, lab).collect()}
+    assert all(got[i].predicted == i % 2 for i, _ in rows) and 0 < got[5000].score < 1 and got[5000].score == got[5001].score and got[5002].predicted == 1
+    with pytest.raises(ValueError):
+        quality.fit(table(spark, [(i, t) for i, t in rows if i >= 1000 or i % 2]), lab)
+    assert quality.classify(table(spark, []), lab).count() == 0
+
+
+def test_quality_scores_against_plain_compression():
+    """The score against sizes worked out piece by piece."""
+    import zstandard
+
+    texts = [b"good words in a row " * 90, b"", b"bad !!! " * 400]
+    model = {"good": b"good words in a row " * 500, "bad": b"bad !!! " * 900}
+    x = quality.features(texts, model)
+    for t, row in zip(texts, x, strict=True):
+        size = []
+        for name in ("good", "bad", None):
+            kw = {"dict_data": zstandard.ZstdCompressionDict(model[name])} if name else {}
+            size.append(sum(len(zstandard.ZstdCompressor(level=quality.LEVEL, write_content_size=False, **kw).compress(t[i : i + quality.CHUNK])) for i in range(0, len(t), quality.CHUNK)))
+        g, d, n = size
+        assert list(row) == ([(d - g) / n, (n - g) / n, (d - g) / len(t), (n - g) / len(t), g / len(t), d / len(t)] if t else [0] * 6)
+
+
 def test_quality_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     d, lab = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")

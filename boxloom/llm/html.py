@@ -1,18 +1,22 @@
 """HTML extraction by wrapper induction.
 
 1. Each page is parsed to a tree of block elements (inline markup is transparent); runs of equal siblings are folded, so
-   a page's *skeleton* is a small tree and its text blocks sit in numbered slots of it.
-2. The skeletons of a host are aligned by simple tree matching into the host's wrapper: every skeleton of the host is
-   merged into one tree whose nodes are the slots of the wrapper. All pages count; equal skeletons are aligned once.
-3. A text that fills a slot of the wrapper on most pages of the host is a constant node: template. Pages that
-   repeat a whole page do not count twice. Slots whose texts vary are content, unless they lie in a region whose
-   element or class says it is none: menus, headers, footers, sidebars, notices, adverts, forms, comments.
-4. If a page has an article or main element with content, only what lies within it stays.
+   a page's *skeleton* is a small tree and its text blocks sit in numbered nodes of it.
+2. The skeletons of a host are merged into the host's wrapper by simple tree matching, ``FAN`` at a time and then the results of
+   that, so that no task holds a host. Each skeleton is aligned with the wrapper; its nodes are the wrapper's slots.
+3. A text that fills a slot on more than half of the host's different pages (two at least) is a constant node: template.
+   A page that repeats another as a whole does not count twice. Slots whose texts vary are content.
+4. Regions named as no content (menus, headers, footers, sidebars, notices, adverts, forms, comments) go, whether their texts
+   vary or not. Where the name alone is no proof (``WEAK_WORDS``, a header in an article), the wrapper decides: in an article or
+   main element a slot that varies is content.
+5. If a page has an article or main element with content, only what lies within it stays, and there constant nodes stay too:
+   the page itself says that they are its text.
 
 Character references are decoded, white space inside a block (no-break space too) becomes one space, blocks are trimmed,
-empty blocks go, and blocks are joined by a line feed in page order.
+empty blocks go, and blocks are joined by a line feed in page order. A raw element (script, style ...) ends at its own end
+tag, whatever it holds; without one it reaches to the end of the page. Nesting may be of any depth.
 
-Defined results: a null or empty page gives an empty text; a page without a host is a host of its own name ''; pages that
+Defined results: a null or empty page gives an empty text; a page without a host is of the host ''; pages that
 repeat stay rows of their own; ties in the alignment go to the first child; an empty table gives an empty result; other
 columns, whatever their names, are not read.
 """
@@ -21,14 +25,13 @@ from __future__ import annotations
 
 import html as _html
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import write_table
+from boxloom.llm.common import hot_keys, over_salts, salted, write_table
 
 #: Element names by role, and words of class and id attributes that mark a region as no content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,11 +42,14 @@ BLOCK = frozenset(
     "button select option label legend".split()
 )
 NO_CONTENT = frozenset("head nav header footer aside form menu dialog button select option label legend fieldset".split())
-NO_CONTENT_WORDS = frozenset(
-    "ad ads advert advertisement adverts advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs "
-    "header masthead topbar footer bottombar sidebar side aside rail widget notice notices cookie cookies consent gdpr popup modal "
-    "overlay alert comment comments reply replies respond disqus discussion form login signup subscribe subscription newsletter "
-    "search share sharing social related recommended pagination pager toolbar skip".split()
+STRONG_WORDS = frozenset(
+    "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr "
+    "login masthead menu modal nav navbar navigation newsletter notice notices overlay pager pagination popup sidebar signup sponsor "
+    "sponsored subscribe toolbar topbar bottombar widget".split()
+)
+WEAK_WORDS = frozenset(
+    "alert aside discussion form header promo promotion rail recommended related replies reply respond search share sharing side "
+    "skip social subscription".split()
 )
 CONTENT_ROLE = frozenset({"article", "main"})
 CLOSED_BY = {
@@ -51,42 +57,47 @@ CLOSED_BY = {
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}, "head": {"body"},
 }
 
-#: A text is a constant node of a slot if it fills it on this share of the host's different pages, of which there must be so many.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.5, 8
-#: Constant nodes (about 100 bytes each) up to which they are broadcast.
-BROADCAST_NODES = 100_000
+#: A text is a constant node of a slot if it fills it on more than this share of the host's different pages.
+CONSTANT_SHARE = 0.5
+#: Skeletons that one task merges into a wrapper at a time.
+FAN = 64
+#: Skeletons up to which their slots are broadcast to the pages; pages of one skeleton beyond which they are dealt over tasks.
+BROADCAST_SKELETONS, HOT_ROWS = 10_000, 2_000
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# a quote opens a value only behind an equals sign
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?>=\s*(?:\"[^\"]*\"|'[^']*')|[^>])*+)>|<[!?][^>]*>", re.S)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
+_RAW_END = {n: re.compile(rf"</{n}\s*>", re.I) for n in RAW}
+#: Kinds of blocks: may be content, named as none by a weak word, named as none.
+OPEN, WEAK, CLOSED = 0, 1, 2
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
-    """(path of block elements, whether it may be content, text) in page order.
+def blocks(page: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int, str]]]:
+    """The text blocks (node, kind, whether in an article, text) in page order, and the folded tree's nodes (parent, label).
 
-    A path entry is the element name, with a ``!`` in front where the region is no content.
+    Node 0 is the root. A label is the element's name, marked where its region is named as no content.
     """
-    path: list[str] = []
-    banned = 0
+    nodes: list[tuple[int, str]] = [(-1, "")]
+    child: dict[tuple[int, str], int] = {}
+    stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]  # name, node, strong and weak regions around, in an article
+    out: list[tuple[int, int, bool, str]] = []
     text: list[str] = []
-    at, raw = 0, ""
+    depth: dict[str, int] = {}  # open elements by name
+    at = 0
 
     def flush():
-        s = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
-        text.clear()
-        return s
-
-    def close(n: int):
-        nonlocal banned
-        while len(path) > n:
-            banned -= path.pop()[0] == "!"
-
-    for m in _TAG.finditer(page):
-        if raw:
-            if not (m[1] and m[2] and m[2].lower() == raw):
-                continue
-            at, raw = m.end(), ""
-            continue
+        if text:
+            s = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
+            text.clear()
+            if s:
+                _, node, strong, weak, main = stack[-1]
+                out.append((node, CLOSED if strong else WEAK if weak else OPEN, main, s))
+
+    def pop():
+        depth[stack.pop()[0]] -= 1
+
+    while m := _TAG.search(page, at):
         text.append(page[at : m.start()])
         at = m.end()
         if not m[2]:
@@ -94,173 +105,214 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], bool, str]]:
         name = m[2].lower()
         if name in RAW:
             if not m[1] and not m[3].endswith("/"):
-                # the raw element ends at its own end tag only
-                end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-                raw = name if end else ""
-                if not end:
-                    at = len(page)
-                    break
+                end = _RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
             continue
         if name == "br":
             text.append(" ")
             continue
         if name not in BLOCK:
             continue
-        s = flush()
-        if s:
-            yield tuple(path), banned == 0, s
+        flush()
         if m[1]:
-            names = [x.lstrip("!") for x in path]
-            if name in names:
-                close(len(names) - 1 - names[::-1].index(name))
+            if depth.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
             continue
-        while path and name in CLOSED_BY.get(path[-1].lstrip("!"), ()):
-            close(len(path) - 1)
+        while len(stack) > 1 and name in CLOSED_BY.get(stack[-1][0], ()):
+            pop()
         words = {w for a in _ATTR.finditer(m[3]) for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower())} if m[3] else set()
-        no = name in NO_CONTENT or (name not in ("html", "body") and not NO_CONTENT_WORDS.isdisjoint(words))
-        if name not in VOID and not m[3].endswith("/"):
-            path.append(("!" if no else "") + ("main" if "main" in words and name == "div" else name))
-            banned += no
-    text.append(page[at:] if not raw else "")
-    s = flush()
-    if s:
-        yield tuple(path), banned == 0, s
-
-
-# ------------------------------------------------------------------ trees: [name, children]
-
-
-def skeleton(paths: list[tuple[str, ...]]) -> str:
-    """The folded tree of the paths: equal siblings are one node. Written as nested brackets."""
-    tree: dict = {}
-    for p in paths:
-        node = tree
-        for name in p:
-            node = node.setdefault(name, {})
-    show = lambda t: "".join(f"{k}({show(v)})" for k, v in t.items())
-    return show(tree)
-
-
-def parse_skeleton(s: str) -> list:
-    root: list = ["", []]
-    stack, at = [root], 0
-    for m in re.finditer(r"([^()]+)\(|\)", s):
-        if m[1]:
-            node = [m[1], []]
-            stack[-1][1].append(node)
-            stack.append(node)
-        else:
-            stack.pop()
-        at = m.end()
-    assert at == len(s)
-    return root
-
-
-def tree_match(a: list, b: list) -> tuple[int, list[tuple[int, int]]]:
-    """Simple tree matching of two nodes with equal names: (matched nodes, aligned child pairs)."""
-    x, y = a[1], b[1]
-    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    got = {}
-    for i in range(1, len(x) + 1):
-        for j in range(1, len(y) + 1):
-            w = tree_match(x[i - 1], y[j - 1])[0] if x[i - 1][0] == y[j - 1][0] else 0
-            got[i, j] = w
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w)
-    pairs, i, j = [], len(x), len(y)
-    while i and j:
-        if got[i, j] and best[i][j] == best[i - 1][j - 1] + got[i, j]:
-            pairs.append((i - 1, j - 1))
-            i, j = i - 1, j - 1
-        elif best[i][j] == best[i - 1][j]:
-            i -= 1
-        else:
-            j -= 1
-    return best[len(x)][len(y)] + 1, pairs[::-1]
-
-
-def merge_into(wrapper: list, tree: list, slots: dict[str, int], counter: list[int], prefix: str = "", w_prefix: str = "") -> None:
-    """Align ``tree`` with ``wrapper``, add what is new to it, and give each node of ``tree`` its wrapper slot.
-
-    Nodes of the wrapper are [name, children, slot]. ``slots``: path in the tree -> slot.
-    """
-    _, pairs = tree_match(wrapper, tree)
-    partner = {j: wrapper[1][i] for i, j in pairs}
-    at = 0
-    for j, child in enumerate(tree[1]):
-        node = partner.get(j)
+        if name in VOID or m[3].endswith("/"):
+            continue
+        _, parent, strong, weak, main = stack[-1]
+        page_wide = name in ("html", "body")
+        is_weak = (name == "header" and main) or (not page_wide and not WEAK_WORDS.isdisjoint(words))
+        is_strong = (name in NO_CONTENT and not (name == "header" and main)) or (not page_wide and not STRONG_WORDS.isdisjoint(words))
+        label = name + ("!" if is_strong else "?" if is_weak else "")
+        node = child.get((parent, label))
         if node is None:
-            counter[0] += 1
-            node = [child[0], [], counter[0]]
-            wrapper[1].insert(at, node)
-        at = next(k for k, x in enumerate(wrapper[1]) if x is node) + 1
-        key = f"{prefix}/{child[0]}"
-        slots[key] = node[2]
-        merge_into(node, child, slots, counter, key)
+            node = child[parent, label] = len(nodes)
+            nodes.append((parent, label))
+        stack.append((name, node, strong + is_strong, weak + is_weak, main or name in CONTENT_ROLE or (name == "div" and "main" in words)))
+        depth[name] = depth.get(name, 0) + 1
+    text.append(page[at:])
+    flush()
+    return out, nodes
+
+
+# ------------------------------------------------------------------ trees: nodes (parent, label), parents first
+
+
+def skeleton(nodes: list[tuple[int, str]]) -> str:
+    return "/".join(f"{p},{label}" for p, label in nodes[1:])
+
+
+def parse_skeleton(s: str) -> list[tuple[int, str]]:
+    return [(-1, "")] + [(int(p), label) for p, label in (x.split(",", 1) for x in s.split("/") if x)]
+
+
+def _children(nodes: list[tuple[int, str]]) -> list[list[int]]:
+    out: list[list[int]] = [[] for _ in nodes]
+    for i, (p, _) in enumerate(nodes):
+        if p >= 0:
+            out[p].append(i)
+    return out
+
+
+def tree_match(a: list[tuple[int, str]], b: list[tuple[int, str]]) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: (matched nodes, aligned pairs of nodes). Children of aligned nodes are aligned in order, as many
+    nodes as possible; ties go to the first. Bottom-up over all pairs of nodes that can meet, without recursion."""
+    x, y = _children(a), _children(b)
+    level = [(0, 0)]  # pairs that can meet: equal labels below pairs that can meet
+    pairs = [(0, 0)]
+    while level:
+        level = [(i, j) for p, q in level for i in x[p] for j in y[q] if a[i][1] == b[j][1]]
+        pairs += level
+    weight: dict[tuple[int, int], int] = {}
+
+    def table(p: int, q: int) -> list[list[int]]:
+        best = [[0] * (len(y[q]) + 1) for _ in range(len(x[p]) + 1)]
+        for i, u in enumerate(x[p], 1):
+            for j, v in enumerate(y[q], 1):
+                best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + weight.get((u, v), 0))
+        return best
+
+    for p, q in reversed(pairs):
+        weight[p, q] = table(p, q)[-1][-1] + 1
+    out, todo = [], [(0, 0)]
+    while todo:
+        p, q = todo.pop()
+        out.append((p, q))
+        best, i, j = table(p, q), len(x[p]), len(y[q])
+        while i and j:
+            w = weight.get((x[p][i - 1], y[q][j - 1]), 0)
+            if w and best[i][j] == best[i - 1][j - 1] + w:
+                todo.append((x[p][i - 1], y[q][j - 1]))
+                i, j = i - 1, j - 1
+            elif best[i][j] == best[i - 1][j]:
+                i -= 1
+            else:
+                j -= 1
+    return weight[0, 0], sorted(out)
+
+
+def merged(wrapper: list[tuple[int, str]], tree: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The wrapper with the nodes of ``tree`` that it cannot align, each behind the sibling before it. Parents stay first."""
+    partner = {j: i for i, j in tree_match(wrapper, tree)[1]}
+    kids, nodes = _children(wrapper), list(wrapper)
+    below = _children(tree)
+    for j in range(len(tree)):
+        here, last = partner[j], -1
+        for c in below[j]:
+            if c in partner:
+                last = kids[here].index(partner[c])
+            else:
+                partner[c] = len(nodes)
+                nodes.append((here, tree[c][1]))
+                kids.append([])
+                last += 1
+                kids[here].insert(last, partner[c])
+    order, todo, new = [], [0], {}
+    while todo:  # numbered anew, parents first, children in order
+        n = todo.pop()
+        new[n] = len(order)
+        order.append((new[nodes[n][0]] if n else -1, nodes[n][1]))
+        todo += reversed(kids[n])
+    return order
 
 
 def _host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url.cast("string"), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))
 
 
+_BLOCKS = pa.list_(pa.struct([("node", pa.int32()), ("kind", pa.int32()), ("main", pa.bool_()), ("text", pa.string())]))
+
+
 def parse_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, host, skeleton, page_hash, blocks(path, maybe content, text, text_hash)."""
+    """page_id, url, host, skeleton, blocks(node, kind, main, text)."""
 
     def run(batches):
         for b in batches:
-            out = []
-            for page in b.column(3).to_pylist():
-                found = list(blocks(page or ""))
-                out.append((skeleton([p for p, _, _ in found]), [{"path": "".join("/" + x for x in p), "ok": ok, "text": t} for p, ok, t in found]))
+            found = [blocks(page or "") for page in b.column(3).to_pylist()]
+            rows = [[{"node": n, "kind": k, "main": i, "text": t} for n, k, i, t in x] for x, _ in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), pa.array([s for s, _ in out], pa.string()), pa.array([x for _, x in out], _BLOCKS)], names=["page_id", "url", "host", "skeleton", "blocks"]
+                [b.column(0), b.column(1), b.column(2), pa.array([skeleton(n) for _, n in found], pa.string()), pa.array(rows, _BLOCKS)], names=["page_id", "url", "host", "skeleton", "blocks"]
             )
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), _host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, host string, skeleton string, blocks array<struct<path:string,ok:boolean,text:string>>")
+    return rows.mapInArrow(run, "page_id long, url string, host string, skeleton string, blocks array<struct<node:int,kind:int,main:boolean,text:string>>")
+
 
+def wrappers(skeletons: DataFrame) -> DataFrame:
+    """(host, skeleton), distinct, to (host, wrapper): ``FAN`` skeletons at a time are merged, until each host has one."""
 
-_BLOCKS = pa.list_(pa.struct([("path", pa.string()), ("ok", pa.bool_()), ("text", pa.string())]))
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        names = sorted(pdf["skeleton"], key=lambda s: (-len(s), s))
+        out = parse_skeleton(names[0])
+        for s in names[1:]:
+            out = merged(out, parse_skeleton(s))
+        return pd.DataFrame({"host": [pdf["host"].iloc[0]], "skeleton": [skeleton(out)]})
 
+    cur, old = skeletons, []
+    while True:
+        n = write_table(cur.groupBy("host").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "skeleton_counts")
+        if n.isEmpty():
+            return cur.withColumnRenamed("skeleton", "wrapper")
+        parts = cur.join(n, "host", "left").withColumn("part", F.pmod(F.xxhash64("skeleton"), F.coalesce(F.ceil(F.col("n") / FAN), F.lit(1))))
+        cur = write_table(parts.groupBy("host", "part").applyInPandas(lambda pdf: merge(pdf), "host string, skeleton string").distinct(), "wrappers", [n, *old])
+        old = [cur]
 
-def induce(skeletons: DataFrame) -> DataFrame:
-    """(host, skeleton, n pages) to (host, skeleton, path, slot): all skeletons of a host aligned into one wrapper."""
 
-    def align(pdf: pd.DataFrame) -> pd.DataFrame:
-        wrapper, counter, out = ["", [], 0], [0], []
-        for host, s in pdf.sort_values(["n", "skeleton"], ascending=[False, True])[["host", "skeleton"]].itertuples(index=False):
-            slots: dict[str, int] = {}
-            merge_into(wrapper, parse_skeleton(s), slots, counter)
-            out += [(host, s, p, k) for p, k in slots.items()]
-        return pd.DataFrame(out, columns=["host", "skeleton", "path", "slot"])
+def slots_of(skeletons: DataFrame, wrapper: DataFrame) -> DataFrame:
+    """(host, skeleton, slots): the wrapper's slot of each node; -1 where it has none."""
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for s, w in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                tree = parse_skeleton(s)
+                got = dict.fromkeys(range(len(tree)), -1) | {j: i for i, j in tree_match(parse_skeleton(w), tree)[1]}
+                out.append([got[j] for j in range(len(tree))])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], names=["host", "skeleton", "slots"])
 
-    return skeletons.groupBy("host").applyInPandas(align, "host string, skeleton string, path string, slot long")
+    return skeletons.join(wrapper, "host").select("host", "skeleton", "wrapper").mapInArrow(run, "host string, skeleton string, slots array<int>")
 
 
-def constants(parsed: DataFrame) -> DataFrame:
-    """(host, skeleton, path, text_hash): the constant nodes of every host's wrapper, as each skeleton sees them."""
-    seen = parsed.select("host", "skeleton", F.transform("blocks", lambda b: F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h"))).alias("b"))
-    seen = seen.withColumn("page", F.xxhash64(F.transform("b", lambda x: x["h"])))
-    distinct = write_table(seen.groupBy("host", "skeleton", "page").agg(F.first("b").alias("b")), "distinct_pages")
-    slots = write_table(induce(distinct.groupBy("host", "skeleton").agg(F.count(F.lit(1)).alias("n"))), "slots")
-    pages = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= CONSTANT_PAGES)
-    texts = distinct.select("host", "skeleton", F.explode(F.array_distinct("b")).alias("x")).groupBy("host", "skeleton", "x.path", "x.h").agg(F.count(F.lit(1)).alias("n"))
-    by_slot = texts.join(slots, ["host", "skeleton", "path"]).groupBy("host", "slot", "h").agg(F.sum("n").alias("n"))
-    fixed = by_slot.join(pages, "host").where(F.col("n") >= F.col("pages") * CONSTANT_SHARE).select("host", "slot", "h")
-    return fixed.join(slots, ["host", "slot"]).select("host", "skeleton", "path", "h")
+def constants(parsed: DataFrame, slots: DataFrame) -> DataFrame:
+    """(host, fixed(slot, h)): the constant nodes of every host's wrapper. A host has fewer than twice the blocks of a page."""
+    seen = parsed.select("host", "skeleton", F.transform("blocks", lambda b: F.struct(b["node"].alias("node"), F.xxhash64(b["text"]).alias("h"))).alias("b"))
+    seen = seen.groupBy("host", "skeleton", F.xxhash64(F.transform("b", lambda x: x["h"])).alias("page")).agg(F.first("b").alias("b"))
+    distinct = write_table(seen, "distinct_pages")
+    pages = distinct.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).where("pages > 1")
+    texts = distinct.select("host", "skeleton", F.explode(F.array_distinct("b")).alias("x")).groupBy("host", "skeleton", "x.node", "x.h").agg(F.count(F.lit(1)).alias("n"))
+    by_slot = texts.join(slots, ["host", "skeleton"]).groupBy("host", F.get("slots", F.col("node")).alias("slot"), "h").agg(F.sum("n").alias("n"))
+    fixed = by_slot.where("n > 1 AND slot >= 0").join(pages, "host").where(F.col("n") > F.col("pages") * CONSTANT_SHARE)
+    return write_table(fixed.groupBy("host").agg(F.collect_set(F.struct("slot", "h")).alias("fixed")), "constants", [distinct])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, host, n_blocks, n_template (blocks left out as constant nodes)."""
     parsed = write_table(parse_pages(pages), "parsed")
-    fixed = write_table(constants(parsed).groupBy("host", "skeleton").agg(F.collect_set(F.struct("path", "h")).alias("fixed")), "fixed")
-    size = fixed.agg(F.coalesce(F.sum(F.size("fixed")), F.lit(0)).alias("n")).collect()[0]["n"]
-    # few constant nodes travel to the pages; many are joined by host, where Spark splits the large hosts
-    rows = parsed.join(F.broadcast(fixed) if size <= BROADCAST_NODES else fixed.hint("merge"), ["host", "skeleton"], "left")
-    allowed = F.filter("blocks", lambda b: b["ok"])
-    inner = F.filter(allowed, lambda b: b["path"].rlike("/(article|main)(/|$)"))
-    region = F.when(F.size(inner) > 0, inner).otherwise(allowed)
-    varying = F.filter("region", lambda b: ~F.coalesce(F.array_contains("fixed", F.struct(b["path"].alias("path"), F.xxhash64(b["text"]).alias("h"))), F.lit(False)))
-    rows = rows.withColumn("region", region).withColumn("kept", varying)
+    skeletons = write_table(parsed.select("host", "skeleton").distinct(), "skeletons")
+    wrapper = wrappers(skeletons)
+    slots = write_table(slots_of(skeletons, wrapper), "slots")
+    known = slots.join(constants(parsed, slots), "host", "left").select(F.xxhash64("host", "skeleton").alias("key"), "host", "skeleton", "slots", "fixed")
+    known = write_table(known, "known", [slots])
+    rows = parsed.withColumn("key", F.xxhash64("host", "skeleton"))
+    # few skeletons travel to the pages; many are joined by key, the pages of a frequent one dealt over several tasks
+    if known.count() <= BROADCAST_SKELETONS:
+        rows = rows.join(F.broadcast(known), ["key", "host", "skeleton"])
+    else:
+        hot = write_table(hot_keys(rows.select("key"), "key", HOT_ROWS), "hot_skeletons")
+        rows = salted(rows, hot, "key", "page_id").join(over_salts(known, hot, "key").hint("merge"), ["key", "host", "skeleton", "salt"])
+    constant = lambda b: F.coalesce(F.array_contains("fixed", F.struct(F.get("slots", b["node"]).alias("slot"), F.xxhash64(b["text"]).alias("h"))), F.lit(False))
+    marked = F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["main"].alias("main"), b["text"].alias("text"), constant(b).alias("fixed")))
+    named = F.filter(marked, lambda b: (b["kind"] == OPEN) | ((b["kind"] == WEAK) & b["main"] & ~b["fixed"]))
+    rows = rows.select("page_id", "url", "host", named.alias("named"))
+    inner = F.filter("named", lambda b: b["main"])
+    rows = rows.withColumn("region", F.when(F.size(inner) > 0, inner).otherwise(F.col("named")))
+    rows = rows.withColumn("kept", F.filter("region", lambda b: b["main"] | ~b["fixed"]))
     text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n")
     return rows.select(
         "page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), "host",

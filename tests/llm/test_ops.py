@@ -476,10 +476,89 @@ def test_wrapper_induction(spark):
     assert html.extract(p.where("false")).count() == 0
 
 
-def test_tree_matching():
-    a, b = (html.parse_skeleton(s)[1][0] for s in ("x(a()b(c())d())", "x(b(c()e())d())"))
-    n, pairs = html.tree_match(a, b)
-    assert n == 4 and pairs == [(1, 0), (2, 1)]
+def brute_match(a, b):
+    """Simple tree matching by its recursive definition, on (label, children)."""
+    if a[0] != b[0]:
+        return 0
+    x, y = a[1], b[1]
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(1, len(x) + 1):
+        for j in range(1, len(y) + 1):
+            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + brute_match(x[i - 1], y[j - 1]))
+    return best[-1][-1] + 1
+
+
+def test_tree_matching_against_its_definition():
+    rng = random.Random(6)
+
+    def tree(n):
+        nodes = [(-1, "")]
+        for _ in range(n):
+            nodes.append((rng.randrange(len(nodes)), rng.choice("abcd")))
+        return nodes
+
+    def nest(nodes, i=0):
+        return (nodes[i][1], [nest(nodes, k) for k, (p, _) in enumerate(nodes) if p == i])
+
+    for _ in range(200):
+        a, b = tree(rng.randrange(9)), tree(rng.randrange(9))
+        n, pairs = html.tree_match(a, b)
+        assert n == brute_match(nest(a), nest(b)) == len(pairs)
+        assert all(a[i][1] == b[j][1] for i, j in pairs) and all(i == 0 or (a[i][0], b[j][0]) in pairs for i, j in pairs)
+        w = html.merged(a, b)
+        for t in (a, b):  # the wrapper holds every tree that it was made of
+            assert html.tree_match(w, t)[0] == len(t)
+        assert all(p < k for k, (p, _) in enumerate(w)) and html.parse_skeleton(html.skeleton(w)) == w
+
+
+def test_pages_that_break_parsers(spark):
+    deep = "<div>" * 10_000 + "deep" + "</div>" * 10_000
+    cases = {
+        1: ('<script>if (a<b) x="y";</script><p>hello</p>', "hello"), 2: ("<p>one</p><script>for(i=0;i<n;i++){}</script><p>two</p>", "one\ntwo"),
+        3: (deep, "deep"), 4: ("<p title=it's>kept</p><p>too</p>", "kept\ntoo"), 5: ("<p title=\"a>b\">x</p><p>1 < 2</p>", "x\n1 < 2"),
+        6: ("<article><header><h1>Head</h1></header><div class='share-story'>My %d tale</div><div class=comments>no</div></article>" % 6, "Head\nMy 6 tale"),
+        7: ("<article><p>long " + "word " * 200_000 + "</p></article>", "long " + "word " * 199_999 + "word"), 8: ("<!-- <p>no</p> --><p>a&amp;b&nbsp; c", "a&b c"), 9: ("<p>open <script>x", "open"),
+    }
+    rows = [(k, f"http://h{k}.example/", v) for k, (v, _) in cases.items()] + [(1, "http://h1.example/", "<p>again</p>"), (None, "http://h1.example/", "<b>n</b>")]
+    got = [(r.page_id, r.text, r.n_chars) for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert sorted(got, key=str) == sorted([(k, t, len(t)) for k, (_, t) in cases.items()] + [(1, "again", 5), (None, "n", 1)], key=str)
+
+
+def brute_constants(rows):
+    """Texts that fill a slot on more than half of a host's different pages, the slot found by aligning with one wrapper of all pages."""
+    trees = {i: html.blocks(h) for i, h in rows}
+    w = [(-1, "")]
+    for _, nodes in trees.values():
+        w = html.merged(w, nodes)
+    pages = {tuple(t for *_, t in b): (b, n) for b, n in trees.values()}
+    count = {}
+    for b, n in pages.values():
+        at = {j: i for i, j in html.tree_match(w, n)[1]}
+        for key in {(at[k], t) for k, _, _, t in b}:
+            count[key] = count.get(key, 0) + 1
+    fixed = {t for (_, t), c in count.items() if c > 1 and c > len(pages) / 2}
+    return {i: "\n".join(t for _, k, _, t in b if k == html.OPEN and t not in fixed) for i, (b, _) in trees.items()}
+
+
+@pytest.mark.parametrize("fan", [64, 2])
+def test_wrapper_against_brute_force(spark, monkeypatch, fan):
+    monkeypatch.setattr(html, "FAN", fan)
+    monkeypatch.setattr(html, "BROADCAST_SKELETONS", 0 if fan == 2 else 10_000)
+    monkeypatch.setattr(html, "HOT_ROWS", 3)
+    rng = random.Random(9)
+    rows = []
+    for i in range(40):
+        parts = ["<div><ul><li>Home</li><li>About us</li></ul></div>"] * (rng.random() < 0.8)
+        # in one order, so that every way of merging gives the same wrapper
+        for part in ("<section><p>Always here</p></section>", f"<section><h2>T{i}</h2><p>text {i}</p></section>", f"<table><tr><td>cell {i}</td></tr></table>"):
+            parts += [part] * (rng.random() < 0.8)
+        parts += ["<blockquote>Seldom</blockquote>"] * (i < 4)
+        rows.append((i, "<html><body>" + "".join(parts) + "<div class=footer>x</div></body></html>"))
+    rows += [(90, rows[0][1]), (91, rows[0][1])]
+    exp = brute_constants(rows)
+    pages = spark.createDataFrame([(i, "https://u@one.example:80/x", h) for i, h in rows], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html.extract(pages).collect()} == exp
+    assert "Always here" not in "".join(exp.values()) and "Seldom" in exp[0] and "About us" not in exp[0]
 
 
 # ------------------------------------------------------------------ pipeline

@@ -1,17 +1,19 @@
 """Secret scan with a random forest for false-positive removal. DataFrame and SQL functions only.
 
-A candidate is a run of 12 or more characters ``[A-Za-z0-9+/_-]`` that holds a digit. Its features: length, shares of
-character classes, counts of class transitions along the string, entropy, the share of its letters covered by a
-dictionary of the corpus' own frequent words, a hash and flags of the path, and hashes and flags of the neighbouring
-words. A random forest trained on labelled findings gives the probability that a candidate is a secret.
-
-Where no labelled findings are given, :func:`rule_labels` labels the candidates whose neighbourhood is plain: an
-assignment to a name such as token or password, or a key prefix of a well-known provider, marks a secret; runs of digits
-only, and candidates made of dictionary words, mark false findings; the others stay unlabelled. The forest is fitted on at
-most ``TRAIN_ROWS`` findings of each label, in the order of a hash; it is then applied to all candidates.
+A candidate is a private-key block; a token of two or three dotted parts as web tokens have; any value of four or more characters
+assigned to a name that announces a secret; or a run of 12 or more characters ``[A-Za-z0-9+/_-]`` that holds a digit. Its
+features: length, shares of character classes, counts of class transitions along the string, entropy, the share of its letters
+covered by a dictionary of the corpus' own frequent words (``dictionary_words``, at most ``MOST_WORDS``), a hash and flags of the path,
+and hashes and flags of the neighbouring words, as far as they lie within ``CONTEXT`` characters. A random forest
+trained on labelled findings gives the probability that a candidate is a secret.
+
+Labelled findings come from people, or else from :func:`plant`: into passages of at most ``PLANT_DOCS`` of the given documents, drawn by
+hash, generated secrets and look-alikes are set, announced by a name or not. A finding's label is what was planted; no rule and no
+feature takes part in it. The forest is fitted on at most ``TRAIN_ROWS`` findings of each label, in the order of a hash; it is then
+applied to all candidates.
 
 Defined results: null and empty texts hold nothing; equal candidates in one text, and repeated rows, give findings of
-their own; a null path counts as empty; without findings of both labels each candidate keeps the probability 0.5;
+their own; a null path counts as empty; without findings of both labels probability and is_secret are null;
 an empty table gives an empty result.
 """
 
@@ -27,13 +29,23 @@ from pyspark.sql import types as T
 from boxloom.llm.common import write_table
 
 #: The candidate pattern, names that announce a secret, key prefixes of providers, test-like paths.
-CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
 ANNOUNCE = r"(?i)(token|passw(or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)"
-PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|glpat-|npm_|SG\.)"
+CANDIDATE = (
+    r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
+    r"|(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?"
+    r"|(?<=[:=\s\"'])(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)(?i:[a-z_]{0,8})[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"']?)(?![=:>\s\"'])[^\s\"',;]{3,}[^\s\"',;.)]"
+    r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
+)
+PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|glpat-|npm_|SG\.|eyJ|-----BEGIN)"
 TEST_PATH = r"(?i)(test|example|sample|mock|fixture|doc)"
+NAMES = ["token", "password", "secret", "api_key", "access_key", "auth_token", "credential", "pwd"]
+LEADS = ["", "ref ", "id ", "order ", "commit ", "sha256 ", "see ", "number "]
+PLACEHOLDERS = ["changeme", "xxxxxxxxxxxx", "********", "<YOUR_TOKEN>", "example", "${TOKEN}", "none", "required", "00000000000000000000"]
 
-DICTIONARY_WORDS = 400
+DICTIONARY_WORDS, MOST_WORDS = 400, 2_000
+CONTEXT = 80
 TRAIN_ROWS = 4_000
+PLANT_DOCS = 400
 TREES, DEPTH = 20, 6
 BUCKETS = 64
 SEED = 7
@@ -46,7 +58,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.where(F.col("t").rlike(CANDIDATE))
     rows = rows.select("doc_id", "path", F.regexp_extract_all("t", F.lit(CANDIDATE), F.lit(0)).alias("v"), F.split("t", CANDIDATE, -1).alias("gap"))
     # what lies between two candidates is seen from both sides; only its ends travel on
-    gaps = F.transform("gap", lambda g: F.struct(F.length(g).alias("n"), F.substring(g, -80, 80).alias("tail"), F.substring(g, 1, 80).alias("head")))
+    gaps = F.transform("gap", lambda g: F.struct(F.length(g).alias("n"), F.substring(g, -CONTEXT, CONTEXT).alias("tail"), F.substring(g, 1, CONTEXT).alias("head")))
     rows = rows.select("doc_id", "path", "v", gaps.alias("gap")).select("doc_id", "path", "gap", "v", F.posexplode("v").alias("ordinal", "value"))
     before = F.element_at("gap", F.col("ordinal") + 1)
     gone = lambda n: F.slice("gap", 1, F.col("ordinal") + 1) if n == "gap" else F.slice("v", 1, F.col("ordinal"))
@@ -56,6 +68,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def dictionary(docs: DataFrame, text_col: str = "text", n: int = DICTIONARY_WORDS) -> list[str]:
     """The ``n`` most frequent words of 3 or more letters over all texts: bounded, as it becomes a pattern."""
+    if n > MOST_WORDS:
+        raise ValueError(f"a dictionary of {n} words: at most {MOST_WORDS} become a pattern")
     words = docs.select(F.explode(F.split(F.lower(F.col(text_col).cast("string")), r"[^\p{L}]+")).alias("w")).where(F.length("w").between(3, 20))
     top = words.groupBy("w").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("c"), "w").limit(n)
     return [r["w"] for r in top.collect()]
@@ -100,11 +114,48 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     return found.select("*", *[F.coalesce(c, F.lit(0.0)).alias(k) for k, c in out.items()])
 
 
-def rule_labels(feats: DataFrame) -> Column:
-    """1: secret, 0: false finding, null: not plain enough to say."""
-    sure = ((F.col("f_announced") == 1) & (F.col("f_assigned") == 1)) | (F.col("f_prefix") == 1)
-    false = (F.col("f_share_digit") == 1) | ((F.col("f_dictionary") > 0.8) & (F.col("f_share_digit") < 0.3))
-    return F.when(sure, F.lit(1)).when(false, F.lit(0))
+def plant(docs: DataFrame, text_col: str = "text", path_col: str = "source", id_col: str = "doc_id") -> DataFrame:
+    """doc_id, source, text, value, label: passages of the documents with one planted finding each; 1 is a secret.
+
+    Everything comes from hashes of the document's id and the kind, so a retry plants the same.
+    """
+    path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
+    base = docs.select(F.xxhash64(id_col, text_col).alias("k"), path.alias("source"), F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0)
+    words = F.filter(F.split("t", r"[^\p{L}]+"), lambda w: F.length(w) > 2)
+    base = base.orderBy("k").limit(PLANT_DOCS).withColumn("w", F.slice(words, 1 + F.pmod("k", F.greatest(F.size(words) - 12, F.lit(1))), F.lit(12)))
+    h = lambda *x: F.xxhash64("k", "kind", *[F.lit(i) for i in x])
+    draw = lambda n, i: F.pmod(h(i), F.lit(n)).cast("int")
+    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), draw(len(xs), i) + 1)
+    hexs = lambda i: F.sha2(F.concat_ws(":", "k", "kind", F.lit(i)).cast("binary"), 256)
+    b64 = lambda i: F.translate(F.base64(F.unhex(hexs(i))), "+/=", "Xy")
+    word = lambda i: F.coalesce(F.try_element_at("w", (F.pmod(h(i), F.greatest(F.size("w"), F.lit(1))) + 1).cast("int")), F.lit("word"))
+    digits = lambda n, i: F.substring(F.conv(F.substring(hexs(i), 1, 15), 16, 10), 2, n)
+    lines = F.concat_ws("\n", *[F.base64(F.unhex(hexs(i))) for i in range(50, 58)])
+    secret = {  # kind: (value, set behind a name always (1), half of the time (2))
+        "hex": (F.substring(hexs(1), 1, 40), 2), "hex_upper": (F.upper(F.substring(hexs(1), 1, 40)), 2), "hex_short": (F.substring(hexs(1), 1, 32), 2),
+        "base64": (F.substring(F.base64(F.unhex(hexs(1))), 1, 40), 2), "aws": (F.concat(F.lit("AKIA"), F.upper(F.substring(b64(1), 1, 16))), 2),
+        "hub": (F.concat(F.lit("ghp_"), F.substring(b64(1), 1, 36)), 2), "pay": (F.concat(F.lit("sk_live_"), F.substring(b64(1), 1, 24)), 2),
+        "web": (F.concat(F.lit("eyJ"), b64(1), F.lit(".eyJ"), b64(2), F.lit("."), b64(3)), 2), "marked": (F.concat(F.initcap(word(1)), pick("@!#$%", 2), digits(4, 3), pick("!?*", 4)), 1),
+        "plain": (F.concat(F.lower(word(1)), digits(2, 2)), 1), "letters": (F.translate(F.substring(b64(1), 1, 24), "0123456789", "qwertzuiop"), 1),
+        "block": (F.concat(F.lit("-----BEGIN RSA PRIVATE KEY-----\n"), lines, F.lit("\n-----END RSA PRIVATE KEY-----")), 0),
+    }
+    false = {
+        "card": (digits(16, 1), 3), "number": (digits(12, 1), 3), "uuid": (F.concat_ws("-", *[F.substring(hexs(1), a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), 0),
+        "stamp": (F.concat(F.lit("202"), digits(5, 1), F.lit("T"), digits(6, 2)), 0), "name": (F.concat(F.lower(word(1)), F.lit("_"), F.lower(word(2)), F.lit("_"), F.lower(word(3)), digits(1, 4)), 3),
+        "path": (F.concat(F.lit("/"), F.lower(word(1)), F.lit("/"), F.lower(word(2)), F.lit("-"), digits(3, 3)), 3), "build": (F.concat(F.lit("release-202"), digits(1, 1), F.lit("-build-"), digits(4, 2)), 0),
+        "camel": (F.concat(F.lower(word(1)), F.initcap(word(2)), F.initcap(word(3)), digits(2, 4)), 0), "holder": (pick(PLACEHOLDERS, 1), 1), "word": (F.lower(word(1)), 1),
+        "words": (F.concat(F.lower(word(1)), F.lit("-"), F.lower(word(2))), 1), "run": (F.concat(F.repeat(F.substring(hexs(1), 1, 1), 8), F.repeat(digits(1, 2), 8)), 0),
+    }
+    kinds = [(k, v, how, y) for y, group in ((1, secret), (0, false)) for k, (v, how) in group.items()]
+    rows = base.withColumn("kind", F.explode(F.array(*[F.lit(k) for k, *_ in kinds])))
+    choose = lambda f: F.coalesce(*[F.when(F.col("kind") == k, f(v, how, y)) for k, v, how, y in kinds])
+    rows = rows.withColumn("value", choose(lambda v, how, y: v)).withColumn("label", choose(lambda v, how, y: F.lit(y)))
+    named = choose(lambda v, how, y: {0: F.lit(False), 1: F.lit(True), 2: draw(2, 20) == 0, 3: draw(8, 20) == 0}[how])
+    quote = pick(['"', "'", ""], 21)
+    name = F.when(draw(4, 22) == 0, F.upper(pick(NAMES, 23))).otherwise(pick(NAMES, 23))
+    put = F.when(named, F.concat(name, pick([" = ", ": ", "=", " := "], 24), quote, "value", quote)).otherwise(F.concat(pick(LEADS, 25), "value"))
+    text = F.concat_ws(" ", F.array_join(F.slice("w", 1, 6), " "), put, F.array_join(F.slice("w", 7, 6), " "))
+    return rows.select(F.xxhash64("k", "kind").alias("doc_id"), "source", text.alias("text"), "value", "label")
 
 
 def fit(labelled: DataFrame):
@@ -121,25 +172,30 @@ def fit(labelled: DataFrame):
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("value", T.StringType()), T.StructField("label", T.IntegerType())])
 
 
-def scan(docs: DataFrame, labelled: DataFrame | None = None, path_col: str = "source", threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, labelled: DataFrame | None = None, path_col: str = "source", threshold: float = 0.5, dictionary_words: int = DICTIONARY_WORDS) -> DataFrame:
     """All candidates with probability and is_secret.
 
-    ``labelled``: findings (doc_id, value, label) checked by people; they replace the rules.
+    ``labelled``: findings (doc_id, value, label) checked by people; without them findings are planted.
     """
-    found = write_table(features(candidates(docs, path_col=path_col), dictionary(docs)), "findings")
+    words = dictionary(docs, n=dictionary_words)
+    found = write_table(features(candidates(docs, path_col=path_col), words), "findings")
     if labelled is None:
-        train = found.withColumn("label", rule_labels(found))
+        planted = write_table(plant(docs, path_col=path_col), "planted")
+        train = features(candidates(planted), words).join(planted.select("doc_id", "value", "label"), ["doc_id", "value"])
     else:
         marks = labelled.select("doc_id", "value", "label").groupBy("doc_id", "value").agg(F.max("label").alias("label"))
         train = found.join(marks, ["doc_id", "value"])
     model = fit(train.where("label IS NOT NULL"))
     if model is None:
-        scored = found.withColumn("probability", F.lit(0.5))
+        scored = found.withColumn("probability", F.lit(None).cast("double"))
     else:
         cols = [c for c in found.columns if c.startswith("f_")]
         ready = VectorAssembler(inputCols=cols, outputCol="f_all").transform(found)
         scored = model.transform(ready).withColumn("probability", vector_to_array("probability")[1])
-    kind = F.when(F.col("value").rlike(PREFIXES), "provider key").when(F.col("value").rlike("^[0-9]+$"), "digits").when(F.col("value").rlike("^[0-9a-f]+$"), "hex").otherwise("mixed")
+    kind = (
+        F.when(F.col("value").startswith("-----BEGIN"), "private key").when(F.col("value").rlike(PREFIXES), "provider key")
+        .when(F.col("value").rlike("^[0-9]+$"), "digits").when(F.col("value").rlike("^[0-9a-f]+$"), "hex").otherwise("mixed")
+    )
     return scored.select(
         "doc_id", "path", "ordinal", "start", F.length("value").cast("long").alias("n_chars"), F.sha2(F.col("value").cast("binary"), 256).alias("value_sha256"),
         kind.alias("kind"), F.round("probability", 6).alias("probability"), (F.col("probability") >= threshold).alias("is_secret"),

@@ -32,8 +32,8 @@ from boxloom.llm.common import write_table
 ANNOUNCE = r"(?i)(token|passw(or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)"
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
-    r"|(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?"
-    r"|(?<=[:=\s\"'])(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)(?i:[a-z_]{0,8})[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"']?)(?![=:>\s\"'])[^\s\"',;]{3,}[^\s\"',;.)]"
+    r"|(?=eyJ)(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?"
+    r"|(?<=[:=\s\"'])(?<=[:=>]|[:=>][\s\"']|[:=>]\s[\s\"']|[:=>]\s\s[\"'])(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)(?i:[a-z_]{0,8})[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"']?)(?![=:>\s\"'])[^\s\"',;]{3,}[^\s\"',;.)]"
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
 )
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|glpat-|npm_|SG\.|eyJ|-----BEGIN)"

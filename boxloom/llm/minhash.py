@@ -43,8 +43,8 @@ SEED = 11
 #: Documents up to which a node is compared exhaustively; positions a larger one branches on; levels of branching.
 NODE_SIZE = 128
 BRANCH, DEPTH = 3, 6
-#: Documents times shingles of a pair of blocks that one task compares.
-NODE_WORK = 1 << 28
+#: Documents times shingles of a pair of blocks that one task compares, and documents of a block.
+NODE_WORK, BLOCK_ROWS = 1 << 28, 512.0
 #: Members of a node from which its rows are dealt over several tasks.
 HOT_ROWS = 2_000
 _A = mix(np.arange(1, POSITIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(SEED)) | U(1)
@@ -304,7 +304,7 @@ def block_pairs(large: DataFrame) -> DataFrame:
 
     Two blocks are within ``NODE_WORK`` together. Components above a block's size have blocks of their own, the others share.
     """
-    per = F.greatest(F.col("m") / F.ceil(2 * F.sqrt(F.col("work") / F.lit(NODE_WORK))), F.lit(1.0))
+    per = F.least(F.greatest(F.col("m") / F.ceil(2 * F.sqrt(F.col("work") / F.lit(NODE_WORK))), F.lit(1.0)), F.lit(BLOCK_ROWS))
     large = large.withColumn("own", F.xxhash64("node", "comp"))
     size = write_table(large.groupBy("node", "comp", "own").agg(F.count(F.lit(1)).alias("k"), F.max(per).alias("per")), "component_sizes")
     few = size.where("k <= per").groupBy("node").agg(F.ceil(F.sum("k") / F.max("per")).alias("shared"))

@@ -185,8 +185,12 @@ def sigmoid(c: Column) -> Column:
 
 
 def softmax(arr: Column) -> Column:
-    e = F.transform(arr, lambda v: F.exp(v - F.array_max(arr)))
-    return F.transform(e, lambda v: v / F.aggregate(e, F.lit(0.0), lambda s, x: s + x))
+    # the greatest score and the sum are worked out once, outside the lambda of the entries
+    e = lambda top: F.transform(arr, lambda v: F.exp(v - top))
+    over = lambda x: F.transform(x, lambda y: F.transform(y["e"], lambda v: v / y["sum"]))
+    exps = F.transform(F.array(F.array_max(arr)), e)
+    sums = F.transform(exps, lambda x: F.struct(x.alias("e"), F.aggregate(x, F.lit(0.0), lambda s, v: s + v).alias("sum")))
+    return F.element_at(over(sums), 1)
 
 
 def shift_box(b: Box, dx: Column, dy: Column) -> Box:
@@ -245,6 +249,11 @@ def inside_flag(b: Box, img_w: Column, img_h: Column, border: float = 0) -> Colu
     return F.lit(True) if border < 0 else (b.x1 >= -border) & (b.y1 >= -border) & (b.x2 < img_w + border) & (b.y2 < img_h + border)
 
 
+def loc_mask(loc: Column, thr: float = 0.0) -> Column:
+    """Whether a position's location score reaches the threshold."""
+    return sigmoid(loc) >= thr
+
+
 def valid_anchor_flag(col: Column, row: Column, stride: int, pad_w: Column, pad_h: Column) -> Column:
     return (col < F.ceil(pad_w / F.lit(float(stride)))) & (row < F.ceil(pad_h / F.lit(float(stride))))
 

@@ -8,22 +8,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import bbox2delta, box
-from boxloom.operators.pairs import XY, iou_pairs, points_in_boxes
+from boxloom.operators.pairs import XY, ignore_mask, iou_pairs, points_in_boxes
 
 
 def assign_max_iou(
     boxes: DataFrame, gts: DataFrame, pos_thr: float, neg_thr: float | tuple[float, float], min_pos_iou: float = 0.0,
-    assign_all: bool = True, require_overlap: bool = False, cell: float | None = None,
+    assign_all: bool = True, require_overlap: bool = False, cell: float = 128.0, ignores: DataFrame | None = None, ignore_iof_thr: float = -1.0, wrt_candidates: bool = True,
 ) -> DataFrame:
     """``boxes`` (image_id, box_id, box) with gt_id, max_iou and assigned: -1 ignored, 0 negative, 1 positive.
 
     1. max_iou below neg_thr (or within [lo, hi)) is negative. 2. max_iou >= pos_thr takes its best truth (first on ties).
     3. Truth by truth, the boxes that equal the truth's best IoU take it if that is at least ``min_pos_iou``; a later truth
-    overwrites. With ``min_pos_iou`` 0 a truth that overlaps nothing claims every box without overlap; ``require_overlap``
-    leaves these out, and then only overlapping pairs are made (give ``cell`` for many boxes).
+    overwrites. With ``min_pos_iou`` 0 a truth that overlaps nothing claims every box of the image (the first one without
+    ``assign_all``), unless ``require_overlap``. Boxes that lie in an ignore region by more than ``ignore_iof_thr`` (if above 0) take
+    no part: -1 and max_iou -1.
+
+    Only overlapping pairs are made, in grid cells; the claims of truths without overlap come from one row per image.
     """
+    whole, out_of_it = boxes, None
+    if ignores is not None and ignore_iof_thr > 0:
+        m = ignore_mask(boxes.select("image_id", "box_id", *XY), ignores, ignore_iof_thr, "box_id", wrt_candidates).where("excluded").select("image_id", "box_id")
+        out_of_it = whole.join(m, ["image_id", "box_id"], "left_semi")
+        boxes = whole.join(m, ["image_id", "box_id"], "left_anti")
     b, g = boxes.select("image_id", "box_id", *XY), gts.select("image_id", "gt_id", *XY)
-    p = iou_pairs(b, g, ["image_id"], min_iou=0.0 if require_overlap else -1.0, cell=cell if require_overlap else None).select("image_id", "box_id", "gt_id", "iou")
+    p = iou_pairs(b, g, ["image_id"], cell=cell).select("image_id", "box_id", "gt_id", "iou")
+    alone = g.join(p.select("image_id", "gt_id").distinct(), ["image_id", "gt_id"], "left_anti") if min_pos_iou <= 0 and not require_overlap else None
     p = p.withColumn("gt_best", F.max("iou").over(Window.partitionBy("image_id", "gt_id")))
     low = (F.col("iou") == F.col("gt_best")) & (F.col("gt_best") >= min_pos_iou)
     if not assign_all:
@@ -32,10 +41,16 @@ def assign_max_iou(
         low = low & F.col("_first")
     a = p.groupBy("image_id", "box_id").agg(F.max("iou").alias("max_iou"), F.max_by("gt_id", F.struct("iou", -F.col("gt_id"))).alias("best"), F.max(F.when(low, F.col("gt_id"))).alias("claimed"))
     t = boxes.join(a, ["image_id", "box_id"], "left").withColumn("max_iou", F.coalesce("max_iou", F.lit(0.0)))
+    if alone is not None:
+        z = alone.groupBy("image_id").agg(F.max("gt_id").alias("_alone")).join(b.groupBy("image_id").agg(F.min("box_id").alias("_first_box")), "image_id")
+        t = t.join(z, "image_id", "left").withColumn("claimed", F.greatest("claimed", "_alone" if assign_all else F.when(F.col("box_id") == F.col("_first_box"), F.col("_alone"))))
     lo, hi = (0.0, neg_thr) if isinstance(neg_thr, (int, float)) else neg_thr
     gt = F.coalesce("claimed", F.when(F.col("max_iou") >= pos_thr, F.col("best")))
     neg = (F.col("max_iou") >= lo) & (F.col("max_iou") < hi)
-    return t.select(*boxes.columns, "max_iou", gt.alias("gt_id"), F.when(gt.isNotNull(), 1).when(neg, 0).otherwise(-1).alias("assigned"))
+    t = t.select(*boxes.columns, "max_iou", gt.alias("gt_id"), F.when(gt.isNotNull(), 1).when(neg, 0).otherwise(-1).alias("assigned"))
+    if out_of_it is not None:
+        t = t.unionByName(out_of_it.select("*", F.lit(-1.0).alias("max_iou"), F.lit(None).cast("long").alias("gt_id"), F.lit(-1).alias("assigned")))
+    return t
 
 
 def assign_approx_max_iou(approxs: DataFrame, squares: DataFrame, gts: DataFrame, pos_thr: float, neg_thr: float, min_pos_iou: float = 0.0) -> DataFrame:
@@ -53,14 +68,22 @@ def assign_approx_max_iou(approxs: DataFrame, squares: DataFrame, gts: DataFrame
 def assign_points(points: DataFrame, gts: DataFrame, scale: float = 4.0, pos_num: int = 3) -> DataFrame:
     """(image_id, point_idx, gt_id, dist): the ``pos_num`` nearest points of the truth's level; a point goes to the nearest truth.
 
-    ``points``: point_idx, level, x, y. Levels start at log2(stride of the first).
+    ``points``: point_idx, level, x, y, stride; a grid per level. Levels start at log2(stride of the first). A truth meets the points
+    of the ``2 * pos_num + 1`` grid columns and rows around its centre (moved onto the grid): any other has ``pos_num`` nearer ones before it.
     """
     lv = points.agg(F.min("level").alias("lo"), F.max("level").alias("hi"))
     w, h = F.greatest(F.col("x2") - F.col("x1"), F.lit(1e-6)), F.greatest(F.col("y2") - F.col("y1"), F.lit(1e-6))
     g = gts.join(F.broadcast(lv))  # one row
     want = F.floor((F.log2(w / scale) + F.log2(h / scale)) / 2)
     g = g.select("image_id", "gt_id", ((F.col("x1") + F.col("x2")) / 2).alias("gx"), ((F.col("y1") + F.col("y2")) / 2).alias("gy"), w.alias("gw"), h.alias("gh"), F.greatest(F.least(want, F.col("hi")), F.col("lo")).alias("level"))
-    j = g.join(F.broadcast(points.select("point_idx", F.col("level").cast("long").alias("level"), "x", "y")), "level")
+    pts = points.select("point_idx", F.col("level").cast("long").alias("level"), "x", "y", "stride")
+    grid = pts.groupBy("level").agg(F.first("stride").alias("s"), F.min("x").alias("x0"), F.max("x").alias("x9"), F.min("y").alias("y0"), F.max("y").alias("y9"))
+    col = lambda v, lo: F.round((F.col(v) - F.col(lo)) / F.col("s")).cast("long")
+    near = lambda c, lo, hi: F.sequence(*[F.least(F.greatest(F.least(F.greatest(col(c, lo), F.lit(0)), col(hi, lo)) + k, F.lit(0)), col(hi, lo)) for k in (-pos_num, pos_num)])
+    g = g.join(F.broadcast(grid.limit(64)), "level")  # a row per level
+    g = g.withColumn("cx", F.explode(near("gx", "x0", "x9"))).withColumn("cy", F.explode(near("gy", "y0", "y9")))
+    at = pts.join(F.broadcast(grid.select("level", "s", "x0", "y0").limit(64)), "level").select("point_idx", "level", "x", "y", col("x", "x0").alias("cx"), col("y", "y0").alias("cy"))
+    j = g.join(at, ["level", "cx", "cy"])
     dx, dy = (F.col("x") - F.col("gx")) / F.col("gw"), (F.col("y") - F.col("gy")) / F.col("gh")
     j = j.withColumn("dist", F.sqrt(dx * dx + dy * dy))
     near = j.withColumn("_rn", F.row_number().over(Window.partitionBy("image_id", "gt_id").orderBy("dist", "point_idx"))).where(F.col("_rn") <= pos_num)
@@ -98,6 +121,22 @@ def anchor_targets(assigned: DataFrame, gts: DataFrame, means=(0.0,) * 4, stds=(
     )
 
 
+def point_targets(assigned: DataFrame, gts: DataFrame, pos_weight: float = -1.0) -> DataFrame:
+    """label, label_weight, the truth's own box t_x1.. (zeros unless positive) and bbox_weight: targets of points and shapes."""
+    t = anchor_targets(assigned.where("x2 >= x1 AND y2 >= y1"), gts, pos_weight=pos_weight).drop("d0", "d1", "d2", "d3")
+    own = assigned.select("image_id", "box_id", "gt_id").join(gts.select("image_id", "gt_id", *[F.col(c).alias("t_" + c) for c in XY]), ["image_id", "gt_id"], "left")
+    own = own.select("image_id", "box_id", *[F.coalesce("t_" + c, F.lit(0.0)).alias("t_" + c) for c in XY])
+    return t.join(own, ["image_id", "box_id"])
+
+
+def by_level(targets: DataFrame) -> DataFrame:
+    """Rows (level, image_id, box_id ...) with their position within the level, image after image: numbered in two passes."""
+    from boxloom.operators.windows import cum_sum_by_rank
+
+    t = cum_sum_by_rank(targets.withColumn("_one", F.lit(1).cast("long")), ["level"], [F.col("image_id"), F.col("box_id")], {"_n": "_one"})
+    return t.select(*targets.columns, (F.col("_n") - 1).alias("position"))
+
+
 def roi_targets(targets: DataFrame, num_classes: int) -> DataFrame:
     """Class-wise layout: arrays of 4 * num_classes deltas and weights with the label's slots filled."""
     at = lambda i: F.floor(i / F.lit(4.0)) == F.col("label")

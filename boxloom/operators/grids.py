@@ -71,23 +71,27 @@ def anchor_grid(spark: SparkSession, w: int, h: int, strides=(8, 16, 32, 64, 128
     return g.select(idx.alias("anchor_idx"), "level", "row", "col", "anchor", (F.col("x1") + dx).alias("x1"), (F.col("y1") + dy).alias("y1"), (F.col("x2") + dx).alias("x2"), (F.col("y2") + dy).alias("y2"))
 
 
+#: Sizes in per cent of the first level, by input size and start of the ratio range.
+SSD_FIRST = {(300, 15): (7, 15), (300, 20): (10, 20), (512, 10): (4, 10), (512, 15): (7, 15)}
+
+
 def ssd_anchors(spark: SparkSession, input_size: int, ratio_range: tuple[float, float], strides: Sequence[int], ratios: Sequence[Sequence[int]]) -> DataFrame:
-    """(level, anchor, box) of a single-shot detector: one small, one large square, then the pairs of each ratio."""
-    lo, hi = int(ratio_range[0] * 100), int(ratio_range[1] * 100)
-    step = int((hi - lo) // (len(strides) - 2))
-    mins, maxs = [], []
-    for r in range(lo, hi + 1, step):
-        mins.append(int(input_size * r / 100))
-        maxs.append(int(input_size * (r + step) / 100))
-    first = {300: (7, 15) if lo == 15 else (10, 20), 512: (4, 10) if lo == 10 else (7, 15)}[input_size]
-    mins.insert(0, int(input_size * first[0] / 100))
-    maxs.insert(0, int(input_size * first[1] / 100))
-    rows = []
-    for lv, (s, rs) in enumerate(zip(strides, ratios, strict=True)):
-        shapes = [(mins[lv], 1.0, 1.0), (mins[lv], 1.0, (maxs[lv] / mins[lv]) ** 0.5)] + [(mins[lv], q, 1.0) for r in rs for q in (1.0 / r, float(r))]
-        rows += [(lv, i, float(s), float(m), q, c) for i, (m, q, c) in enumerate(shapes)]
-    t = spark.createDataFrame(rows, "level int, anchor int, stride double, base double, ratio double, scale double")
-    c, w, h = F.col("stride") / 2, F.col("base") * F.col("scale") / F.sqrt("ratio"), F.col("base") * F.col("scale") * F.sqrt("ratio")
+    """(level, anchor, box) of a single-shot detector: a small square, a large one, then the pair of each ratio.
+
+    The share of a level's small square grows evenly over the range; its large square is the geometric mean with the next share.
+    """
+    lo, hi = (round(r * 100) for r in ratio_range)
+    step, first = (hi - lo) // (len(strides) - 2), SSD_FIRST[input_size, lo]
+    t = spark.createDataFrame([(lv, float(s), [float(r) for r in rs]) for lv, (s, rs) in enumerate(zip(strides, ratios, strict=True))], "level int, stride double, ratios array<double>")
+    share = lambda at, k: F.floor(F.when(F.col("level") == 0, first[k]).otherwise(lo + (F.col("level") + at) * step) * input_size / 100)
+    t = t.withColumn("small", share(-1, 0)).withColumn("large", share(0, 1))
+    shape = lambda ratio, scale: F.struct(ratio.alias("ratio"), scale.alias("scale"))
+    one = F.lit(1.0)
+    squares = F.array(shape(one, one), shape(one, F.sqrt(F.col("large") / F.col("small"))))
+    pairs = F.flatten(F.transform("ratios", lambda r: F.array(shape(one / r, one), shape(r, one))))
+    t = t.select("level", "stride", "small", F.posexplode(F.concat(squares, pairs)).alias("anchor", "s"))
+    side = F.col("small") * F.col("s.scale")
+    c, w, h = F.col("stride") / 2, side / F.sqrt("s.ratio"), side * F.sqrt("s.ratio")
     return t.select("level", "anchor", *[F.bround(e).alias(n) for n, e in (("x1", c - (w - 1) * 0.5), ("y1", c - (h - 1) * 0.5), ("x2", c + (w - 1) * 0.5), ("y2", c + (h - 1) * 0.5))])
 
 
@@ -104,6 +108,11 @@ def point_grid(spark: SparkSession, feat_sizes: Sequence[tuple[int, int]], strid
     return t.select(idx.alias("point_idx"), "level", (F.col("c") * F.col("stride") + half).cast("double").alias("x"), (F.col("r") * F.col("stride") + half).cast("double").alias("y"), "stride")
 
 
+def any_inside(anchors: DataFrame, keys: Sequence[str], flag: str = "inside") -> DataFrame:
+    """keys, flag: whether any anchor of a position is inside."""
+    return anchors.groupBy(*keys).agg(F.bool_or(flag).alias(flag))
+
+
 def tta_plan(images: DataFrame, scales: Sequence[tuple[int, int]], flip: bool = False) -> DataFrame:
     """Every image under every test scale, plain and (if asked for) mirrored."""
     plans = F.array(*[F.struct(F.lit(max(s)).alias("long_side"), F.lit(min(s)).alias("short_side"), F.lit(f).alias("flip")) for s in scales for f in ((False, True) if flip else (False,))])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import box, iou
@@ -115,3 +115,57 @@ def merge_aug_proposals(props: DataFrame, thr: float, max_num: int) -> DataFrame
 
 def ensemble_scores(stages: DataFrame, keys: Sequence[str] = ("image_id", "box_idx", "label")) -> DataFrame:
     return stages.groupBy(*keys).agg(F.avg("score").alias("score"))
+
+
+def _decoded(raw: DataFrame, anchors: DataFrame, best: Column, nms_pre: int, means, stds, max_w, max_h) -> DataFrame:
+    """The ``nms_pre`` best predictions of each image and level by ``best`` (score), with decoded boxes."""
+    from boxloom.functions.geometry import delta2bbox
+    from boxloom.operators.pairs import decode_join
+
+    t = topk_per(decode_join(raw.withColumn("score", best), anchors), ["image_id", "level"], [F.desc("score"), F.asc("anchor_idx")], nms_pre)
+    b = delta2bbox(box("a_"), [F.col(c) for c in ("dx", "dy", "dw", "dh")], means, stds, max_w, max_h)
+    return t.select("image_id", "level", F.col("anchor_idx").cast("long").alias("det_id"), "score", *[c for c in ("scores", "factor") if c in raw.columns], *[c.alias(n) for c, n in zip(b, XY, strict=True)])
+
+
+def decode_head(
+    raw: DataFrame, anchors: DataFrame, nms_pre: int = 1000, score_thr: float = 0.05, iou_thr: float = 0.5, max_per_img: int = 100, means=(0.0,) * 4, stds=(1.0,) * 4,
+    max_w=None, max_h=None, scale: float = 1.0, factors: str | None = None, op: Callable = nms,
+) -> DataFrame:
+    """Boxes of an image from raw head output: best of each level, decoded, scaled back, suppressed per class.
+
+    ``raw``: image_id, anchor_idx, dx.., scores (array of the classes, foreground first), one row per anchor and image.
+    """
+    t = _decoded(raw, anchors, F.array_max("scores"), nms_pre, means, stds, max_w, max_h)
+    t = t.select("image_id", F.col("det_id").alias("box_id"), "scores", *([factors] if factors else []), *[(F.col(c) / scale).alias(c) for c in XY])
+    return multiclass_nms(t, score_thr, iou_thr, max_per_img, factors, op)
+
+
+def rpn_proposals(
+    raw: DataFrame, anchors: DataFrame, nms_pre: int = 2000, nms_post: int = 2000, max_num: int = 2000, nms_thr: float = 0.7, min_size: float = 0, across: bool = False,
+    means=(0.0,) * 4, stds=(1.0,) * 4, max_w=None, max_h=None,
+) -> DataFrame:
+    """Proposals of an image: best of each level, decoded, large enough, suppressed within the level; the best over all
+    levels, suppressed once more if ``across``. ``raw``: image_id, anchor_idx, dx.., score."""
+    t = _decoded(raw, anchors, F.col("score"), nms_pre, means, stds, max_w, max_h)
+    if min_size > 0:
+        t = t.where((F.col("x2") - F.col("x1") + 1 >= min_size) & (F.col("y2") - F.col("y1") + 1 >= min_size))
+    t = nms(t, ["image_id", "level"], nms_thr, keep_top_k=nms_post)
+    t = nms(t, ["image_id"], nms_thr) if across else t
+    return topk_per(t, ["image_id"], best_first(), max_num)
+
+
+def merge_aug_masks(masks: DataFrame, weights: bool = False) -> DataFrame:
+    """``masks``: image_id, mask_id, aug, width, flip, values (row by row)[, weight]. Flipped back, (weighted) mean per pixel."""
+    t = masks.select("image_id", "mask_id", "width", "flip", (F.col("weight") if weights else F.lit(1.0)).alias("w"), F.posexplode("values").alias("p", "v"))
+    col = F.col("p") % F.col("width")
+    t = t.withColumn("p", F.when(F.col("flip"), F.col("p") - col + F.col("width") - 1 - col).otherwise(F.col("p")))
+    one = t.groupBy("image_id", "mask_id", "p").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+    return one.groupBy("image_id", "mask_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "v"))), lambda x: x["v"]).alias("values"))
+
+
+def refine_bboxes(rois: DataFrame, means=(0.0,) * 4, stds=(1.0,) * 4, max_w=None, max_h=None) -> DataFrame:
+    """``rois``: image_id, box_id, box, label, deltas (class-wise), is_gt. Decoded by the predicted class; truths that were added as proposals go."""
+    from boxloom.functions.geometry import class_delta, delta2bbox
+
+    b = delta2bbox(box(), class_delta(F.col("deltas"), F.col("label")), means, stds, max_w, max_h)
+    return rois.where(~F.col("is_gt")).select("image_id", "box_id", "label", *[c.alias(n) for c, n in zip(b, XY, strict=True)])

@@ -55,20 +55,35 @@ def anchor_pairs(anchors: DataFrame, gts: DataFrame, cell: float = 64.0) -> Data
     return p.withColumn("iou", iou(box("d_"), box("g_"))).where("iou > 0")
 
 
-def ignore_mask(boxes: DataFrame, ignores: DataFrame, thr: float, id_col: str = "det_id", wrt_candidates: bool = True) -> DataFrame:
-    """``boxes`` with max_iof over the ignore boxes of the image, and excluded = max_iof > thr."""
-    b, i = _prefixed(boxes.select("image_id", id_col, *XY), "d_", ["image_id"]), _prefixed(ignores.select("image_id", *XY), "g_", ["image_id"])
+def ignore_mask(boxes: DataFrame, ignores: DataFrame, thr: float, id_col: str = "det_id", wrt_candidates: bool = True, cell: float = 128.0) -> DataFrame:
+    """``boxes`` with max_iof over the ignore boxes of the image, and excluded = max_iof > thr. They meet in grid cells."""
+    p = iou_pairs(boxes.select("image_id", id_col, *XY), ignores.select("image_id", *XY), ["image_id"], cell=cell)
     part = iou(box("d_"), box("g_"), "iof") if wrt_candidates else iou(box("g_"), box("d_"), "iof")
-    m = b.join(i, "image_id").groupBy("image_id", id_col).agg(F.max(part).alias("max_iof"))
+    m = p.groupBy("image_id", id_col).agg(F.max(part).alias("max_iof"))
     out = boxes.join(m, ["image_id", id_col], "left").withColumn("max_iof", F.coalesce("max_iof", F.lit(0.0)))
     return out.withColumn("excluded", F.col("max_iof") > thr)
 
 
 def points_in_boxes(points: DataFrame, gts: DataFrame, ranges: Sequence[tuple[float, float]]) -> DataFrame:
-    """Points strictly inside a truth whose farthest side lies in the level's range: l, t, r, b, area."""
+    """Points strictly inside a truth whose farthest side lies in the level's range: l, t, r, b, area.
+
+    The points of a level are a grid of its stride, so a truth names the grid cells that it covers and meets their points by an equi-join;
+    levels whose range no point of the truth can reach are left out before.
+    """
     lim = F.element_at(F.array(*[F.struct(F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for a, b in ranges]), F.col("level") + 1)
-    p = F.broadcast(points.withColumn("_lim", lim))
-    j = gts.join(p, (F.col("x") > F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") > F.col("y1")) & (F.col("y") < F.col("y2")))
+    at = lambda c: F.floor(F.col(c) / F.col("stride"))
+    p = points.withColumn("_lim", lim).withColumn("_cx", at("x")).withColumn("_cy", at("y"))
+    levels = points.groupBy("level").agg(F.first("stride").alias("stride"), F.min("x").alias("_x0"), F.max("x").alias("_x9"), F.min("y").alias("_y0"), F.max("y").alias("_y9")).withColumn("_lim", lim)
+    side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    few = levels.limit(len(ranges)).collect()  # a row per level
+    names = [c for c in levels.columns if c != "_lim"]
+    each = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in names], F.lit(r["_lim"]["lo"]).alias("_lo"), F.lit(r["_lim"]["hi"]).alias("_hi")) for r in few])
+    g = gts.select("*", F.explode(each).alias("_level")).select(*gts.columns, "_level.*").where((F.col("_hi") >= side / 2) & (F.col("_lo") <= side))
+    cells = lambda lo, hi, a, z: F.sequence(F.floor(F.greatest(F.col(lo), F.col(a)) / F.col("stride")), F.floor(F.least(F.col(hi), F.col(z)) / F.col("stride")))
+    g = g.where("x2 > _x0 AND x1 < _x9 AND y2 > _y0 AND y1 < _y9")
+    g = g.withColumn("_cx", F.explode(cells("x1", "x2", "_x0", "_x9"))).withColumn("_cy", F.explode(cells("y1", "y2", "_y0", "_y9")))
+    g = g.select(*gts.columns, "level", "_cx", "_cy")
+    j = g.join(p, ["level", "_cx", "_cy"]).where((F.col("x") > F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") > F.col("y1")) & (F.col("y") < F.col("y2"))).drop("_cx", "_cy")
     j = j.select("*", (F.col("x") - F.col("x1")).alias("l"), (F.col("y") - F.col("y1")).alias("t"), (F.col("x2") - F.col("x")).alias("r"), (F.col("y2") - F.col("y")).alias("b"))
     far = F.greatest("l", "t", "r", "b")
     area = (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1)

@@ -66,6 +66,25 @@ def sample_iou_balanced_neg(assigned: DataFrame, num: int, num_bins: int = 3, se
     return t.where(F.col("_rn") <= num).drop("_bin", "_b", "_late", "_rn")
 
 
+def interleave(parts: Sequence[DataFrame], size: int, order: str) -> DataFrame:
+    """Results of several ranks put together in turn (first of each rank, second of each ...), cut to ``size`` rows: position, rank."""
+    from boxloom.operators.windows import cum_sum_by_rank
+
+    t = reduce(lambda a, b: a.unionByName(b), [p.withColumn("rank", F.lit(i)) for i, p in enumerate(parts)]).withColumn("_one", F.lit(1).cast("long"))
+    t = cum_sum_by_rank(t, ["rank"], [F.col(order)], {"_n": "_one"})
+    return t.withColumn("position", (F.col("_n") - 1) * len(parts) + F.col("rank")).where(F.col("position") < size).drop("_one", "_n")
+
+
+def flag_ignores(gts: DataFrame, ignores: DataFrame) -> DataFrame:
+    """Truths and ignore regions as one table with gt_ignore 0 or 1."""
+    return gts.withColumn("gt_ignore", F.lit(0)).unionByName(ignores.withColumn("gt_ignore", F.lit(1)))
+
+
+def pipeline(*steps):
+    """One step from several: each takes and returns a DataFrame and may drop rows."""
+    return lambda df: reduce(lambda d, step: d.transform(step), steps, df)
+
+
 def sample_combined(pos: DataFrame, neg: DataFrame) -> DataFrame:
     return pos.unionByName(neg)
 

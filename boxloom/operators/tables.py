@@ -7,11 +7,15 @@ import uuid
 from pyspark.sql import DataFrame
 
 
+def shared_dir(spark) -> str:
+    """The folder all machines share: ``spark.checkpoint.dir``, else one in the warehouse."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables").rstrip("/")
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` once in the shared folder (``spark.checkpoint.dir``, else the warehouse) and read it back."""
+    """Write ``df`` once in the shared folder and read it back."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_tables"
-    path = f"{base.rstrip('/')}/boxloom-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/boxloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -798,3 +798,6 @@ def r3_log_windows_batch(spark, sf_dir):
 
     w = stream_log_windows(fixture(spark, sf_dir, "fx_logs"))
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "run_id", "n", *r6("mean"))
+
+
+from boxloom.plans import more  # noqa: E402, F401  (registers its queries)

@@ -10,6 +10,31 @@ from pyspark.sql import functions as F
 ROI = "struct<x:int,y:int,w:int,h:int,pos_list:array<struct<x:int,y:int,w:int,h:int,class:string>>>"
 
 
+def class_label(name, classes: Sequence[str], on_unknown: str = "error") -> F.Column:
+    """1-based label of a class name. An unknown name is an error, or null with ``on_unknown='null'``."""
+    at = F.array_position(F.array(*[F.lit(c) for c in classes]), name).cast("int")
+    fail = F.raise_error(F.concat(F.lit("unknown class: "), F.coalesce(name, F.lit("null")))).cast("int") if on_unknown == "error" else F.lit(None).cast("int")
+    return F.when(at > 0, at).otherwise(fail)
+
+
+def with_labels(df: DataFrame, classes: Sequence[str], on_unknown: str = "error", column: str = "name") -> DataFrame:
+    """``df`` with label. on_unknown: error, drop, or only (the rows with unknown names: the quarantine)."""
+    t = df.withColumn("label", class_label(F.col(column), classes, "error" if on_unknown == "error" else "null"))
+    return t if on_unknown == "error" else t.where("label IS NOT NULL") if on_unknown == "drop" else t.where("label IS NULL")
+
+
+#: Data set names and the names they stand for.
+ALIASES = {"voc": ["voc", "pascal_voc", "voc07", "voc12"], "coco": ["coco", "mscoco", "ms_coco"], "wider_face": ["WIDERFaceDataset", "wider_face", "WDIERFace"], "cityscapes": ["cityscapes"]}
+
+
+def resolve_dataset(name: str) -> str:
+    """The data set that a name stands for; an unknown name is an error."""
+    for known, names in ALIASES.items():
+        if name in names:
+            return known
+    raise ValueError(f"unknown data set {name!r}")
+
+
 def parse_roi(rows: DataFrame, classes: Sequence[str], inclusive: bool = True) -> tuple[DataFrame, DataFrame]:
     """(images, gts) from rows (filename, json). ``inclusive=False`` is the display variant without the -1."""
     t = rows.select("filename", F.from_json("json", ROI).alias("r"))
@@ -19,7 +44,7 @@ def parse_roi(rows: DataFrame, classes: Sequence[str], inclusive: bool = True) -
     k = 1 if inclusive else 0
     x1, y1 = F.greatest(F.col("p.x") - F.col("r.x"), F.lit(0)), F.greatest(F.col("p.y") - F.col("r.y"), F.lit(0))
     b = {"x1": x1, "y1": y1, "x2": F.least(x1 + F.col("p.w") - k, F.col("r.w")), "y2": F.least(y1 + F.col("p.h") - k, F.col("r.h"))}
-    label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("p.class")).cast("int")
+    label = class_label(F.col("p.class"), classes)
     return images, p.select("filename", F.col("pos").cast("long").alias("pos"), label.alias("label"), *[v.cast("double").alias(n) for n, v in b.items()])
 
 
@@ -48,7 +73,7 @@ def parse_voc(rows: DataFrame, classes: Sequence[str], min_size: int | None = No
     ign = F.coalesce(F.col("o.difficult"), F.lit(0)) == 1
     if min_size:
         ign = ign | (xy["x2"] - xy["x1"] < min_size) | (xy["y2"] - xy["y1"] < min_size)
-    label = F.array_position(F.array(*[F.lit(c) for c in classes]), F.trim("o.name")).cast("int")
+    label = class_label(F.trim("o.name"), classes)
     more = [F.col("o.pose"), F.col("o.truncated"), F.col("o.difficult")] if evaluation else []
     return images, o.select("name", F.col("pos").cast("long").alias("pos"), label.alias("label"), ign.alias("is_ignore"), *more, *[v.alias(n) for n, v in xy.items()])
 

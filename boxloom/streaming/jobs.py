@@ -29,11 +29,13 @@ def stream_log_windows(stream: DataFrame, kind: str = "tumbling", size: str = "1
 
 
 def stream_hits(stream: DataFrame, gts: DataFrame, thr: float = 0.5) -> DataFrame:
-    """label, n, hits: detections so far, and those that reach a truth."""
-    g = gts.select("image_id", "label", *[F.col(c).alias("g_" + c) for c in XY])
+    """label, n, hits: detections so far, and those that reach a truth. Exact: a detection is one row of the stream, and its
+    best overlap with the static truths of its image comes from one row per image and label."""
+    one = F.struct(*[F.col(c) for c in XY])
+    g = gts.groupBy("image_id", "label").agg(F.collect_list(one).alias("_truths"))
     j = stream.join(g, ["image_id", "label"], "left")
-    hit = F.coalesce(iou(box(), box("g_")) >= thr, F.lit(False))
-    return j.groupBy("label").agg(F.approx_count_distinct("det_id", 0.01).alias("n"), F.approx_count_distinct(F.when(hit, F.col("det_id")), 0.01).alias("hits"))
+    hit = F.exists(F.coalesce("_truths", F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")), lambda t: iou(box(), box(source=t)) >= thr)
+    return j.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum(hit.cast("long")).alias("hits"))
 
 
 def stream_running_mean(stream: DataFrame, keys: Sequence[str], value: str = "time", momentum: float | None = None) -> DataFrame:

@@ -122,7 +122,10 @@ def plant(docs: DataFrame, text_col: str = "text", path_col: str = "source", id_
     path = F.col(path_col).cast("string") if path_col in docs.columns else F.lit("")
     base = docs.select(F.xxhash64(id_col, text_col).alias("k"), path.alias("source"), F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0)
     words = F.filter(F.split("t", r"[^\p{L}]+"), lambda w: F.length(w) > 2)
-    base = base.orderBy("k").limit(PLANT_DOCS).withColumn("w", F.slice(words, 1 + F.pmod("k", F.greatest(F.size(words) - 12, F.lit(1))), F.lit(12)))
+    # about four times as many as needed pass the hash, whatever the table's size; of those, passages only are sorted
+    base = base.where(F.pmod(F.xxhash64("k"), F.lit(max(1, docs.count()))) < 4 * PLANT_DOCS)
+    base = base.select("k", "source", F.slice(words, 1 + F.pmod("k", F.greatest(F.size(words) - 12, F.lit(1))), F.lit(12)).alias("w"))
+    base = base.orderBy("k").limit(PLANT_DOCS)
     h = lambda *x: F.xxhash64("k", "kind", *[F.lit(i) for i in x])
     draw = lambda n, i: F.pmod(h(i), F.lit(n)).cast("int")
     pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), draw(len(xs), i) + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import drop_table, write_table
+from boxloom.llm.common import drop_table, hot_keys, over_salts, salted, write_table
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,3 +39,23 @@ def components(links: DataFrame) -> DataFrame:
     if labels is None:
         labels = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels
+
+
+#: Members of a component from which it is relabelled by several tasks.
+HOT_MEMBERS = 2_000
+
+
+def extend(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """``labels`` (id, component) after ``links`` (a, b) between components, an id without a label being its own.
+
+    Only the components that a link names are worked on anew. Both tables come from ``write_table``; their files are deleted.
+    """
+    if links.isEmpty():
+        drop_table(links)
+        return labels
+    new = components(links)
+    hot = write_table(hot_keys(labels, "component", HOT_MEMBERS), "hot_components")
+    to = over_salts(new.select(F.col("id").alias("component"), F.col("component").alias("_to")), hot, "component")
+    moved = salted(labels, hot, "component", "id").join(to.hint("merge"), ["component", "salt"], "left").select("id", F.coalesce("_to", "component").alias("component"))
+    first = new.join(labels.select("id"), "id", "left_anti").select("id", "component")
+    return write_table(moved.unionByName(first), "labels", [labels, links, new, hot])

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import HOT_KEYS, U, chunks, gram_hashes, hot_keys, mix, over_salts, partitions, salted, word_table, write_table
-from boxloom.llm.components import components
+from boxloom.llm.components import components, extend
 
 SHINGLE = 5
 THRESHOLD = 0.75
@@ -271,16 +271,16 @@ def _sketch_pass(nodes: DataFrame) -> DataFrame:
 
 
 def _exact_pass(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between components within each node."""
+    """Links (a, b) between components (their ids, not documents') within each node."""
     rows = members.join(texts.select(F.col("doc_id").alias("rep"), "text"), "rep").select("node", "rep", "comp", "text")
 
     def run(batches):
         for _, t in _groups(batches):
-            ids = t.column("rep").to_numpy()
+            ids = t.column("comp").to_numpy()
             sets: list[np.ndarray] = []
             for _, part in chunks(t.column("text").to_pylist()):
                 sets += shingle_sets(part)
-            pairs = node_links(sets, t.column("comp").to_numpy())
+            pairs = node_links(sets, ids)
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[list(a)], pa.int64()), pa.array(ids[list(b)], pa.int64())], names=["a", "b"])
@@ -343,9 +343,10 @@ def branch(large: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
 # ------------------------------------------------------------------ the join
 
 
-def near_links(reps: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between class representatives, enough to connect every linked pair.
+def near_components(reps: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, component) of the class representatives that are linked with another.
 
+    The components of a level are those of the level before, joined by the links that it has found between them.
     ``reps``: doc_id, n_shingles, sketch, roots, one row per class; ``texts``: doc_id, text.
     """
     sk = reps.select("doc_id", "sketch")
@@ -361,11 +362,10 @@ def near_links(reps: DataFrame, texts: DataFrame) -> DataFrame:
     best = best_pivots(offers).groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("x"))
     offered = write_table(best.select(F.col("rep").alias("a"), (-F.col("x.p")).alias("b")), "offers", [pairs])
     links = write_table(verify(offered, texts), "links", [offered])
-    nodes, old = members.select("node", "rep", "n"), [members]
+    nodes, old, comp = members.select("node", "rep", "n"), [members], components(links)
     for depth in range(DEPTH + 1):
-        comp = components(links)
         with_comp = nodes.join(comp.select(F.col("id").alias("rep"), "component"), "rep", "left").select("node", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        with_comp = write_table(with_comp, "node_members", [comp, *old])
+        with_comp = write_table(with_comp, "node_members", old)
         sums = with_comp.groupBy("node").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), (F.count(F.lit(1)) * F.sum("n")).alias("work"))
         sums = write_table(sums.where("c1 < c2").drop("c1", "c2"), "node_sums")
         live = write_table(_with_sums(with_comp, sums, "node", "m", _size(with_comp.count())), "live", [with_comp, sums])
@@ -378,11 +378,11 @@ def near_links(reps: DataFrame, texts: DataFrame) -> DataFrame:
         if not large.isEmpty():
             todo = todo.unionByName(block_pairs(large))
         picked = write_table(_sketch_pass(todo.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep")), "picked")
-        links = write_table(links.unionByName(_exact_pass(picked, texts)), "links", [picked, live, links])
-        if not branched:
+        comp = extend(comp, write_table(_exact_pass(picked, texts).distinct(), "links", [picked, live]))
+        if not branched or nodes.isEmpty():
             break
         old = [nodes]
-    return links
+    return comp
 
 
 def _classes(docs: DataFrame) -> DataFrame:
@@ -392,10 +392,9 @@ def _classes(docs: DataFrame) -> DataFrame:
     classes = write_table(usable.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "classes")
     reps = sigs.join(classes, ["doc_id", "fp", "n_shingles"]).groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "sketch", "roots"), "fp").alias("x"))
     reps = write_table(reps.select("doc_id", "x.*"), "reps")
-    links = near_links(reps, docs.select("doc_id", "text"))
-    comp = components(links)
+    comp = near_components(reps, docs.select("doc_id", "text"))
     named = classes.join(comp, classes["doc_id"] == comp["id"], "left").select("fp", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    named = write_table(named, "named", [comp, links, reps, classes])
+    named = write_table(named, "named", [comp, reps, classes])
     # a class of very many copies is joined by several tasks
     hot = write_table(hot_keys(usable, "fp", HOT_ROWS), "hot_classes")
     out = salted(sigs.select("doc_id", "own", "n_shingles", "fp"), hot, "fp", "doc_id").join(over_salts(named, hot, "fp").hint("merge"), ["fp", "n_shingles", "salt"], "left")

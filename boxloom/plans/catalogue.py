@@ -122,7 +122,7 @@ def f3_clean_coco(spark, sf_dir):
 
 
 @query("""
-WITH i AS (SELECT c_custkey AS image_id FROM customer WHERE c_custkey < 2000),
+WITH i AS (SELECT c_custkey AS image_id FROM customer),
 p AS (SELECT image_id, gt_id AS box_id, x1, y1, x2, y2, row_number() OVER (PARTITION BY image_id ORDER BY gt_id) AS rn FROM fx_gts)
 SELECT i.image_id, box_id, coalesce(x1,0) AS x1, coalesce(y1,0) AS y1, coalesce(x2,0) AS x2, coalesce(y2,0) AS y2
 FROM i LEFT JOIN p ON p.image_id = i.image_id AND rn <= 5

@@ -100,6 +100,34 @@ def fcos_targets(points: DataFrame, gts: DataFrame, ranges: Sequence[tuple[float
     return best.select("image_id", "point_idx", "m.*")
 
 
+#: Stride, base length, smallest and largest truth (square root of its area) of each level.
+FOVEA_LEVELS = ((4, 16.0, 8.0, 32.0), (8, 32.0, 16.0, 64.0), (16, 64.0, 32.0, 128.0), (32, 128.0, 64.0, 256.0), (64, 256.0, 128.0, 512.0))
+
+
+def fovea_targets(gts: DataFrame, feat_sizes: Sequence[tuple[int, int]], levels: Sequence[tuple[int, float, float, float]] = FOVEA_LEVELS, sigma: float = 0.4) -> DataFrame:
+    """(image_id, level, row, col, gt_id, label, t0..t3) of the grid cells within the central part (``sigma`` of each side) of a truth.
+
+    A truth takes part on every level whose range holds its size; of several truths on a cell the smallest wins (the smallest
+    gt_id on ties). Other cells are background. Targets are logs of the distances to the sides, over the base length and within [1/16, 16].
+    ``feat_sizes``: (height, width) of each level.
+    """
+    each = F.array(*[F.struct(F.lit(i).alias("level"), F.lit(s).alias("s"), F.lit(b).alias("base"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"), F.lit(h - 1).alias("last_row"), F.lit(w - 1).alias("last_col")) for i, ((h, w), (s, b, lo, hi)) in enumerate(zip(feat_sizes, levels, strict=True))])
+    size = F.sqrt((F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1")))
+    g = gts.select("image_id", "gt_id", "label", *XY, size.alias("size"), F.explode(each).alias("v")).select("*", "v.*").where("size >= lo AND size <= hi")
+
+    def span(a: str, z: str, last: str):
+        lo, half = F.col(a) / F.col("s"), (F.col(z) / F.col("s") - F.col(a) / F.col("s")) * 0.5
+        within = lambda v: F.least(F.greatest(v, F.lit(0)), F.col(last))
+        first, end = within(F.ceil(lo + half * (1 - sigma) - 0.5)), within(F.floor(lo + half * (1 + sigma) - 0.5))
+        return F.explode(F.when(first <= end, F.sequence(first, end)))  # none where no cell's centre lies inside
+
+    g = g.withColumn("row", span("y1", "y2", "last_row")).withColumn("col", span("x1", "x2", "last_col"))
+    best = g.groupBy("image_id", "level", "row", "col").agg(F.min_by(F.struct("gt_id", "label", "s", "base", *XY), F.struct("size", "gt_id")).alias("m")).select("image_id", "level", "row", "col", "m.*")
+    x, y = (F.col("col") + 0.5) * F.col("s"), (F.col("row") + 0.5) * F.col("s")
+    sides = [x - F.col("x1"), y - F.col("y1"), F.col("x2") - x, F.col("y2") - y]
+    return best.select("image_id", "level", "row", "col", "gt_id", "label", *[F.ln(F.least(F.greatest(d / F.col("base"), F.lit(1 / 16)), F.lit(16.0))).alias(f"t{i}") for i, d in enumerate(sides)])
+
+
 def anchor_bags(pairs: DataFrame, k: int = 50, bbox_thr: float = 0.6) -> DataFrame:
     """The k best anchors of each truth (rank) and the object-box probability of every pair. ``pairs``: image_id, gt_id, anchor_idx, iou."""
     own = Window.partitionBy("image_id", "gt_id")

@@ -45,6 +45,18 @@ def iou_loss(prefix_a: str, prefix_b: str, eps: float = 1e-6) -> Column:
     return -F.ln(F.greatest(iou(box(prefix_a), box(prefix_b)), F.lit(eps)))
 
 
+def bounded_iou(prefix_pred: str, prefix_target: str, beta: float = 0.2, eps: float = 1e-3) -> list[Column]:
+    """The four parts (centre x and y, width, height) of the bounded IoU loss, each smoothed below ``beta``."""
+    p, t = box(prefix_pred), box(prefix_target)
+    parts = []
+    for a1, a2, b1, b2 in ((p.x1, p.x2, t.x1, t.x2), (p.y1, p.y2, t.y1, t.y2)):
+        own, far = b2 - b1 + 1, F.abs((b1 + b2) * 0.5 - (a1 + a2) * 0.5) * 2
+        parts.append(F.lit(1.0) - F.greatest((own - far) / (own + far + eps), F.lit(0.0)))
+    for a, b in ((p.x2 - p.x1 + 1, t.x2 - t.x1 + 1), (p.y2 - p.y1 + 1, t.y2 - t.y1 + 1)):
+        parts.append(F.lit(1.0) - F.least(b / (a + eps), a / (b + eps)))
+    return [smooth_l1(v, F.lit(0.0), beta) for v in parts]
+
+
 def loss_report(df: DataFrame, loss: Column, weight: Column | None = None, reduction: str = "mean", avg_factor: Column | float | None = None, by: Sequence[str] = ()) -> DataFrame:
     """by, loss: weighted and reduced. ``avg_factor`` divides the sum in place of the count; with 'sum' it is an error."""
     v = loss if weight is None else loss * weight

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as G
-from boxloom.operators import assign, grids, masks, match, nms, pairs, sampling
+from boxloom.operators import assign, grids, losses, masks, match, nms, pairs, sampling
 from boxloom.operators.tables import materialise, shared_dir
 from boxloom.plans.catalogue import ANCHOR_SQL, ASSIGN_SQL, LCG, XY, R, _assigned, _coco_anns, iou_sql, nms_sql, query, r6
 from boxloom.plans.fixtures import fixture
@@ -266,6 +266,51 @@ def a16_roi_targets(spark, sf_dir):
     return k.select("box_id", "k", F.round(at("deltas"), 6).alias("dx"), at("weights").alias("weight"))
 
 
+@query("""
+WITH lv AS (SELECT unnest([0,1,2]) AS level, unnest([8,16,32]) AS s, unnest([32.0::DOUBLE,64,128]) AS base, unnest([16.0::DOUBLE,32,64]) AS lo, unnest([64.0::DOUBLE,128,256]) AS hi, unnest([49,24,12]) AS lr, unnest([62,31,15]) AS lc),
+g AS (SELECT *, sqrt((x2-x1)*(y2-y1)) AS size, x1/s AS fx, (x2/s-x1/s)*0.5::DOUBLE AS hw, y1/s AS fy, (y2/s-y1/s)*0.5::DOUBLE AS hh FROM fx_gts, lv WHERE sqrt((x2-x1)*(y2-y1)) BETWEEN lo AND hi),
+p AS (SELECT *, CAST(least(greatest(ceil(fx+hw*0.6::DOUBLE-0.5::DOUBLE),0),lc) AS BIGINT) AS c1, CAST(least(greatest(floor(fx+hw*1.4::DOUBLE-0.5::DOUBLE),0),lc) AS BIGINT) AS c2,
+  CAST(least(greatest(ceil(fy+hh*0.6::DOUBLE-0.5::DOUBLE),0),lr) AS BIGINT) AS r1, CAST(least(greatest(floor(fy+hh*1.4::DOUBLE-0.5::DOUBLE),0),lr) AS BIGINT) AS r2 FROM g),
+r AS (SELECT *, unnest(range(r1, r2+1)) AS "row" FROM p), c AS (SELECT *, unnest(range(c1, c2+1)) AS col FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY image_id, level, "row", col ORDER BY size, gt_id) AS rn, (col+0.5::DOUBLE)*s AS x, ("row"+0.5::DOUBLE)*s AS y FROM c)
+SELECT image_id, level, "row", col, gt_id, label, round(ln(least(greatest((x-x1)/base,1/16.0::DOUBLE),16)),6) AS t0, round(ln(least(greatest((y-y1)/base,1/16.0::DOUBLE),16)),6) AS t1,
+  round(ln(least(greatest((x2-x)/base,1/16.0::DOUBLE),16)),6) AS t2, round(ln(least(greatest((y2-y)/base,1/16.0::DOUBLE),16)),6) AS t3 FROM k WHERE rn = 1
+""")
+def a10_fovea_targets(spark, sf_dir):
+    t = assign.fovea_targets(fixture(spark, sf_dir, "fx_gts"), [(50, 63), (25, 32), (13, 16)], assign.FOVEA_LEVELS[1:4])
+    return t.select("image_id", "level", "row", "col", "gt_id", "label", *r6("t0", "t1", "t2", "t3"))
+
+
+# ------------------------------------------------------------------ losses
+
+
+def _far_sql(v: str) -> str:
+    return f"abs((g.{v}1+g.{v}2)*0.5::DOUBLE-(d.{v}1+d.{v}2)*0.5::DOUBLE)*2"
+
+
+def _centre_sql(v: str) -> str:
+    return f"1-greatest((g.{v}2-g.{v}1+1-{_far_sql(v)})/(g.{v}2-g.{v}1+1+{_far_sql(v)}+0.001::DOUBLE),0)"
+
+
+def _side_sql(v: str) -> str:
+    a, b = f"(d.{v}2-d.{v}1+1)", f"(g.{v}2-g.{v}1+1)"
+    return f"1-least({b}/({a}+0.001::DOUBLE),{a}/({b}+0.001::DOUBLE))"
+
+
+def _smooth_sql(v: str) -> str:
+    return f"CASE WHEN abs({v}) < 0.2 THEN {v}*{v}*0.5/0.2::DOUBLE ELSE abs({v})-0.1::DOUBLE END"
+
+
+@query(f"""
+WITH b AS (SELECT d.det_id, {_centre_sql('x')} AS a0, {_centre_sql('y')} AS a1, {_side_sql('x')} AS a2, {_side_sql('y')} AS a3 FROM fx_dets d JOIN fx_gts g ON g.gt_id = d.det_id // 3)
+SELECT det_id, {', '.join(R(_smooth_sql(f'a{i}'), f'l{i}') for i in range(4))} FROM b
+""")
+def m16_bounded_iou(spark, sf_dir):
+    d = fixture(spark, sf_dir, "fx_dets").select("det_id", F.floor(F.col("det_id") / 3).alias("gt_id"), *XY)
+    j = d.join(fixture(spark, sf_dir, "fx_gts").select("gt_id", *[F.col(c).alias("t_" + c) for c in XY]), "gt_id")
+    return j.select("det_id", *[F.round(v, 6).alias(f"l{i}") for i, v in enumerate(losses.bounded_iou("", "t_"))])
+
+
 # ------------------------------------------------------------------ suppression and heads
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boxloom.llm import chat, decontam, exact, html, minhash, mixing, quality, secrets, substring, tokens
+from boxloom.llm import chat, clustering, decontam, exact, html, minhash, mixing, quality, secrets, spelling, substring, tokens, toxicity
 from boxloom.llm.common import read
 
 #: Target weights of the sources; the others share the default. One heavy source is damped, two small ones are raised.
@@ -55,10 +55,22 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(read(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     ops = (
         op1_secret_scan, op2_html_extraction, op3_exact_dedup, op4_chat_formatting, op5_minhash_near_dedup, op6_substring_dedup,
-        op7_token_counts, op8_benchmark_decontamination, op9_source_mixing, op10_quality_classifier,
+        op7_token_counts, op8_benchmark_decontamination, op9_source_mixing, op10_quality_classifier, op11_spelling_variants, op12_centroid_clustering, op13_toxicity,
     )
     return {f.__name__: f for f in ops}
 
@@ -136,8 +148,68 @@ SELECT w.doc_id, len(w.w) AS n_words, coalesce(n_removed, 0) AS n_removed, sha25
 """
 
 
+OP11_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT i, i::BIGINT AS c, 0 AS k FROM range(0, 256) r(i)
+  UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM t WHERE k < 8),
+runs AS MATERIALIZED (
+  SELECT doc_id, w, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w
+    FROM documents) GROUP BY doc_id, w),
+b AS MATERIALIZED (SELECT doc_id, w, k, hex(concat(doc_id, ':', w)) AS b FROM runs),
+table256 AS MATERIALIZED (SELECT list(c ORDER BY i) AS t FROM t WHERE k = 8),
+crc AS (
+  SELECT doc_id, w, k, b, 0 AS pos, 4294967295::BIGINT AS c FROM b
+  UNION ALL
+  SELECT doc_id, w, k, b, pos + 1, xor(c >> 8, t[(xor(c, CAST('0x' || substr(b, 2 * pos + 1, 2) AS BIGINT)) & 255) + 1]) FROM crc, table256 WHERE 2 * pos < length(b)),
+h AS (SELECT w, k, xor(c, 4294967295::BIGINT) AS h FROM crc WHERE 2 * pos = length(b)),
+x AS (SELECT CASE WHEN h % 97 = 0 THEN left(w, (h % length(w))::BIGINT) || substr(w, (h % length(w) + 2)::BIGINT) ELSE w END AS word, k FROM h),
+words AS MATERIALIZED (SELECT word, sum(k)::BIGINT AS n FROM x GROUP BY word HAVING length(word) >= 5 AND sum(k) >= 3),
+less AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS i) l),
+longer AS (SELECT DISTINCT less.word AS a, less.n AS an, words.word AS b, words.n AS bn FROM less JOIN words ON less.d = words.word),
+near AS (
+  SELECT p.word, q.word AS other, q.n AS other_n FROM less p JOIN less q ON p.d = q.d AND p.i = q.i AND p.word <> q.word
+  UNION ALL SELECT a, b, bn FROM longer UNION ALL SELECT b, a, an FROM longer),
+best AS MATERIALIZED (
+  SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, other_n FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) = 1),
+forms AS MATERIALIZED (SELECT words.word, other AS form, other_n AS form_n FROM words JOIN best USING (word) WHERE other_n >= 2 * n),
+chain AS (SELECT word, word AS root, 0 AS depth FROM words UNION ALL SELECT chain.word, form, depth + 1 FROM chain JOIN forms ON chain.root = forms.word),
+ends AS (SELECT word, arg_max(root, depth) AS root FROM chain GROUP BY word)
+SELECT words.word, form, root, n, coalesce(n_near, 0)::BIGINT AS n_near, form_n
+FROM words JOIN ends USING (word) LEFT JOIN best USING (word) LEFT JOIN forms USING (word)
+"""
+
+
+def _op12_sql() -> str:
+    """The rounds one after the other, in rows (vector, component)."""
+    near = """a{k} AS MATERIALIZED (
+  SELECT rid, c, d FROM (SELECT rid, c, sum((v.v - c.v) * (v.v - c.v))::BIGINT AS d FROM v JOIN c{k} c USING (i) GROUP BY rid, c)
+  QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1),
+"""
+    move = """c{n} AS MATERIALIZED (
+  SELECT c.c, c.i, coalesce(m.m, c.v) AS v FROM c{k} c
+  LEFT JOIN (SELECT c, i, floor(sum(v.v)::DOUBLE / count(*))::BIGINT AS m FROM a{k} JOIN v USING (rid) GROUP BY c, i) m USING (c, i)),
+"""
+    rounds = "".join(near.format(k=k) + (move.format(k=k, n=k + 1) if k < 5 else "") for k in range(6))
+    return f"""
+WITH e AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings WHERE len(embedding) = 64),
+x AS MATERIALIZED (SELECT rid, vec_id, i, embedding[i]::DOUBLE AS x FROM e, LATERAL (SELECT unnest(range(1, 65)) AS i) t),
+bad AS (SELECT DISTINCT rid FROM x WHERE x IS NULL OR isnan(x) OR isinf(x)),
+v AS MATERIALIZED (SELECT rid, vec_id, i, floor(256 * x)::BIGINT AS v FROM x WHERE rid NOT IN (SELECT rid FROM bad)),
+first40 AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), rid) - 1 AS c FROM (SELECT DISTINCT rid, vec_id FROM v)
+  QUALIFY row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), rid) <= 40),
+c0 AS MATERIALIZED (SELECT c, i, v FROM v JOIN first40 USING (rid)),
+{rounds}sums AS (SELECT c, sum(d)::BIGINT AS cluster_inertia FROM a5 GROUP BY c),
+hashes AS (SELECT c, sha256(string_agg(v::VARCHAR, ',' ORDER BY i)) AS centroid_sha256 FROM c5 GROUP BY c)
+SELECT e.vec_id, c::INTEGER AS cluster, d AS distance, cluster_inertia, (SELECT sum(d)::BIGINT FROM a5) AS inertia, centroid_sha256
+FROM a5 JOIN e USING (rid) JOIN sums USING (c) JOIN hashes USING (c)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_exact_dedup": OP3_SQL, "op4_chat_formatting": OP4_SQL, "op5_minhash_near_dedup": OP5_SQL,
         "op6_substring_dedup": OP6_SQL, "op9_source_mixing": OP9_SQL,
+        "op11_spelling_variants": OP11_SQL, "op12_centroid_clustering": _op12_sql(),
     }

@@ -107,6 +107,27 @@ def match_coco(over: np.ndarray, ignore: np.ndarray, crowd: np.ndarray, thr: flo
     return out
 
 
+def match_coco_all(over: np.ndarray, present: np.ndarray, ignore: np.ndarray, crowd: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """(k, dets) matched truth or -1, as :func:`match_coco`, for k combinations together: ``present`` and ``ignore`` are (k, truths)."""
+    n, g = over.shape
+    out = np.full((len(need), n), -1)
+    if not g:
+        return out
+    every, free = np.arange(len(need)), np.ones((len(need), g), bool)
+    counted, rest = present & ~ignore, present & ignore
+    for i in np.flatnonzero((over >= need.min()).any(1)):
+        possible = (over[i] >= need[:, None]) & (free | crowd)
+        for kind in (counted, rest):
+            ok = possible & kind
+            some = ok.any(1) & (out[:, i] < 0)
+            if some.any():  # the last of equal overlaps, as each one that is no worse replaces the one before
+                j = g - 1 - np.where(ok, over[i], -1.0)[:, ::-1].argmax(1)
+                out[some, i] = j[some]
+        taken = every[out[:, i] >= 0]
+        free[taken, out[taken, i]] = False
+    return out
+
+
 def match_recall(over: np.ndarray) -> np.ndarray:
     """IoU that each truth (row) gets when the best remaining pair is taken again and again."""
     a, out = over.astype(float).copy(), np.zeros(len(over))

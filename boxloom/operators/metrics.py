@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.operators.match import AREAS, IOU_THRS, match_coco, match_default, match_recall, match_voc
+from boxloom.operators import coco
+from boxloom.operators.match import IOU_THRS, match_default, match_recall, match_voc
+from boxloom.operators.tables import drop, materialise
 from boxloom.operators.windows import cum_sum_by_rank, reverse_cummax, running_by_rank
 
 EPS = 2.220446049250313e-16
@@ -79,52 +81,33 @@ def eval_recalls(gts: DataFrame, props: DataFrame, proposal_nums: Sequence[int]
     return r.unionByName(r.groupBy("num").agg(F.avg("recall").alias("recall")).withColumn("thr", F.lit(None).cast("double")))
 
 
-def _coco_curves(dets: DataFrame, gts: DataFrame, max_dets: Sequence[int]) -> tuple[DataFrame, DataFrame]:
-    """(area, thr, max_det, label, ap, recall) over labels with countable truths."""
-    m = match_coco(dets, gts, IOU_THRS, AREAS, max(max_dets))
-    area = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    g = gts.where("NOT is_ignore AND NOT is_crowd").select("label", area.alias("a"))
-    sizes = F.array(*[F.struct(F.lit(k).alias("area"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi")) for k, (lo, hi) in AREAS.items()])
-    n = g.withColumn("r", F.explode(sizes)).where((F.col("a") >= F.col("r.lo")) & (F.col("a") <= F.col("r.hi"))).groupBy("r.area", "label").agg(F.count("*").alias("n_gts"))
-    m = m.where("NOT ignored").withColumn("max_det", F.explode(F.array(*[F.lit(k) for k in max_dets]))).where("rank < max_det")
-    m = m.select("area", "thr", "max_det", "label", "det_id", "score", F.col("matched").cast("int").alias("tp"), (~F.col("matched")).cast("int").alias("fp"))
-    keys = ["area", "thr", "max_det", "label"]
-    most = F.col("max_det") == max(max_dets)  # precision is asked for at the last number only, recall at each
-    recall = m.groupBy(*keys).agg(F.sum("tp").alias("hits")).join(n, ["area", "label"]).select(*keys, (F.col("hits") / F.col("n_gts")).alias("recall"))
-    c = cum_sum_by_rank(m.where(most), keys, [F.desc("score"), F.asc("det_id")], {"ctp": "tp", "cfp": "fp"}).join(n, ["area", "label"])
-    # 101 recall points: each row is the best so far for the points up to its own recall
-    point = F.floor(F.col("ctp") * 100 / F.col("n_gts") + F.lit(1e-9)).cast("int")
-    best = c.groupBy(*keys, point.alias("point")).agg(F.max(F.col("ctp") / (F.col("ctp") + F.col("cfp"))).alias("pr"))
-    after = Window.partitionBy(*keys).orderBy(F.desc("point"))  # at most 101 rows a key
-    best = best.withColumn("env", F.max("pr").over(after.rowsBetween(Window.unboundedPreceding, 0)))
-    below = F.lead("point", 1, -1).over(after)
-    ap = best.select(*keys, (F.col("env") * (F.col("point") - below)).alias("part")).groupBy(*keys).agg((F.sum("part") / 101.0).alias("ap"))
-    grid = n.withColumn("thr", F.explode(F.array(*[F.lit(t) for t in IOU_THRS]))).withColumn("max_det", F.explode(F.array(*[F.lit(k) for k in max_dets])))
-    full = grid.join(ap, keys, "left").join(recall, keys, "left").select(*keys, F.coalesce("ap", F.lit(0.0)).alias("ap"), F.coalesce("recall", F.lit(0.0)).alias("recall"))
-    return full, n
-
-
 def coco_metrics(dets: DataFrame, gts: DataFrame, use_cats: bool = True, max_dets: Sequence[int] | None = None) -> DataFrame:
     """metric, value: the twelve numbers. Without categories (proposals) maxDets are 100, 300, 1000."""
     md = list(max_dets or ((1, 10, 100) if use_cats else (100, 300, 1000)))
     if not use_cats:
         dets, gts = dets.withColumn("label", F.lit(1)), gts.withColumn("label", F.lit(1))
-    full, _ = _coco_curves(dets, gts, md)
-    last = md[-1]
+    combos, last = coco.combinations(), md[-1]
+    bits, n = materialise(coco.match_bits(dets, gts, combos, max(md))), materialise(coco.truths(gts))
+    names = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(c.area).alias("area"), F.lit(c.thr).alias("thr")) for k, c in enumerate(combos)])
+    named = lambda t: t.select("*", F.element_at(names, F.col("k") + 1).alias("c")).select("*", "c.area", "c.thr")
+    ap = named(coco.precisions(bits, n, combos)).select("area", "thr", F.lit(last).alias("max_det"), "ap", F.lit(None).cast("double").alias("recall"))
+    ar = named(coco.recalls(bits, n, combos, md)).select("area", "thr", "max_det", F.lit(None).cast("double").alias("ap"), "recall")
     sel = {"AP": ("ap", "all", None, last), "AP50": ("ap", "all", 0.5, last), "AP75": ("ap", "all", 0.75, last), "APs": ("ap", "small", None, last), "APm": ("ap", "medium", None, last), "APl": ("ap", "large", None, last)}
     sel |= {f"AR{k}": ("recall", "all", None, k) for k in md} | {f"AR{a[0]}": ("recall", a, None, last) for a in ("small", "medium", "large")}
     aggs = []
     for name, (col, area, thr, k) in sel.items():
         ok = (F.col("area") == area) & (F.col("max_det") == k)
         aggs.append(F.coalesce(F.avg(F.when(ok & (F.col("thr") == thr) if thr else ok, F.col(col))), F.lit(-1.0)).alias(name))
-    one = full.agg(*aggs)
+    one = materialise(ap.unionByName(ar).agg(*aggs))
+    drop(bits)
     return one.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).alias("value")) for k in sel])).alias("x")).select("x.*")
 
 
 def coco_classwise(dets: DataFrame, gts: DataFrame) -> DataFrame:
     """label, ap100: per cent; null for labels without countable truths."""
-    full, _ = _coco_curves(dets, gts, [100])
-    ap = full.where("area = 'all'").groupBy("label").agg((F.avg("ap") * 100).alias("ap100"))
+    combos = [c for c in coco.combinations() if c.area == "all"]
+    full = coco.precisions(coco.match_bits(dets, gts, combos), coco.truths(gts), combos)
+    ap = full.groupBy("label").agg((F.avg("ap") * 100).alias("ap100"))
     return gts.select("label").union(dets.select("label")).distinct().join(ap, "label", "left")
 
 

@@ -19,3 +19,11 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/boxloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the files behind a table of :func:`materialise` that nothing needs any more."""
+    spark = df.sparkSession
+    for f in df.inputFiles()[:1]:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f).getParent()
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)

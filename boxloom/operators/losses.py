@@ -72,12 +72,17 @@ def loss_report(df: DataFrame, loss: Column, weight: Column | None = None, reduc
     return df.groupBy(*by).agg((F.sum(v) / f).alias("loss"))
 
 
-def ghm_weights(df: DataFrame, g: Column, bins: int = 10) -> DataFrame:
-    """``df`` with bin and weight = total / (rows of the bin * bins in use); the bins are one small table."""
+def ghm_weights(df: DataFrame, g: Column, bins: int = 10, counts: DataFrame | None = None) -> DataFrame:
+    """``df`` with bin and weight = total / (rows of the bin * bins in use); the bins are one small table.
+
+    ``counts`` (bin, acc): running counts, as of :func:`boxloom.streaming.jobs.stream_histogram`, in place of the rows of a bin.
+    """
     t = df.withColumn("bin", F.least(F.floor(g * bins), F.lit(bins - 1)).cast("int"))
     c = t.groupBy("bin").agg(F.count("*").alias("n"))
     s = c.agg(F.sum("n").alias("total"), F.count("*").alias("used"))
-    c = c.join(F.broadcast(s)).select("bin", (F.col("total") / (F.col("n") * F.col("used"))).alias("weight"))
+    if counts is not None:
+        c = c.join(F.broadcast(counts.select("bin", "acc")), "bin")
+    c = c.join(F.broadcast(s)).select("bin", (F.col("total") / (F.col("n" if counts is None else "acc") * F.col("used"))).alias("weight"))
     return t.join(F.broadcast(c), "bin")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from boxloom.functions.geometry import box, iou
 from boxloom.operators import kernels
 from boxloom.operators.groups import per_group, schema_of
+from boxloom.operators.tables import drop, materialise
 from boxloom.operators.windows import topk_per
 
 XY = ["x1", "y1", "x2", "y2"]
@@ -24,10 +25,12 @@ def nms(dets: DataFrame, keys: Sequence[str], thr: float = 0.5, offset: int = 1,
     """Survivors of greedy suppression per key, with their columns.
 
     engine 'fold': built-in aggregate over the key's sorted array, for keys of up to about a thousand boxes; 'numpy': a
-    vectorised kernel per key, for dense keys. Keys beyond one task's memory should be cut first (:func:`merge_tiles`).
+    vectorised kernel per key, for dense keys; 'rounds': grid cells of a key side by side (:func:`nms_in_rounds`), for keys of any size.
     """
     keys = list(keys)
-    if engine == "numpy":
+    if engine == "rounds":
+        out = nms_in_rounds(dets, keys, thr, offset, cmp)
+    elif engine == "numpy":
         out = _by_kernel(dets, keys, lambda b: kernels.nms(b, thr, offset, cmp == "ge"))
     else:
         rest = [c for c in dets.columns if c not in [*keys, "score", "det_id"]]
@@ -52,6 +55,65 @@ def _by_kernel(dets: DataFrame, keys: list[str], rows: Callable[[np.ndarray], np
     return per_group(dets, keys, best_first(), run, schema_of(dets))
 
 
+#: Median sides of a box that a grid cell of :func:`nms_in_rounds` measures.
+CELL_SIDES = 12
+
+
+def nms_in_rounds(dets: DataFrame, keys: Sequence[str], thr: float = 0.5, offset: int = 1, cmp: str = "gt", cell: float | None = None) -> DataFrame:
+    """The survivors of greedy suppression, found in grid cells side by side; the same rows as one sequential pass.
+
+    A box goes if a box that stays is better and overlaps it, and stays if every better neighbour goes. In a cell, boxes are worked off by
+    score. One that lies in this cell alone is decided as soon as no open neighbour is better. One that reaches into other cells is decided after
+    the round, by what all of its cells say: it goes if one of them says so, and stays if none has an open better neighbour. The next round takes
+    the open boxes, and those that stay in their cells. A round decides at least the best open box of every key, and in practice all but
+    chains that cross borders of cells, so rounds are few. ``cell``: its side; by default ``CELL_SIDES`` times the median side of the boxes.
+    """
+    keys = list(keys)
+    if thr < 0 or (cmp == "ge" and thr == 0):
+        raise ValueError("boxes that do not overlap would meet: the threshold is too low")
+    rows = materialise(dets.withColumn("_row", F.monotonically_increasing_id()))  # written with its numbers: det_ids may repeat
+    if not cell:
+        side = F.greatest(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")) + offset
+        cell = CELL_SIDES * max([1.0, *rows.select(side.alias("s")).approxQuantile("s", [0.5], 0.05)])
+    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor((F.col(hi) + offset) / cell))
+    cells = rows.select(*keys, "_row", "det_id", "score", *XY, F.lit(0).alias("state"), span("x1", "x2").alias("_xs"), span("y1", "y2").alias("_ys"))
+    cells = cells.select(*keys, "_row", "det_id", "score", *XY, "state", (F.size("_xs") * F.size("_ys") > 1).alias("wide"), F.explode("_xs").alias("cx"), "_ys").withColumn("cy", F.explode("_ys")).drop("_ys")
+
+    def run(g):
+        n = len(g["_row"])
+        b = np.stack([g[c] for c in XY], 1).astype(float)
+        stays, wide = g["state"] == 1, g["wide"].astype(bool)
+        gone, held = np.zeros(n, bool), np.zeros(n, bool)
+        for i in range(n):
+            if gone[i]:
+                continue
+            over = kernels.iou_one(b[i], b[i + 1 :], offset)
+            near = over >= thr if cmp == "ge" else over > thr
+            if stays[i] or not (held[i] or wide[i]):
+                gone[i + 1 :] |= near & ~stays[i + 1 :]
+            else:
+                held[i + 1 :] |= near
+        open_ = ~stays
+        return [g["_row"][open_], gone[open_], held[open_]]
+
+    kept = None
+    cells = materialise(cells)
+    while True:
+        said = per_group(cells, [*keys, "cx", "cy"], [*best_first(), F.asc("_row")], run, "_row long, gone boolean, held boolean")
+        verdict = materialise(said.groupBy("_row").agg(F.bool_or("gone").alias("gone"), F.bool_or("held").alias("held")))
+        new = verdict.where("NOT gone AND NOT held").select("_row")
+        kept = new if kept is None else kept.unionByName(new)
+        waiting = verdict.where("NOT gone AND held").select("_row")
+        if waiting.isEmpty():
+            break
+        open_ = cells.where("state = 0").join(waiting, "_row", "left_semi")
+        stay = cells.where("state = 1").unionByName(cells.where("state = 0").join(new, "_row", "left_semi").withColumn("state", F.lit(1)))
+        stay = stay.join(open_.select(*keys, "cx", "cy").distinct(), [*keys, "cx", "cy"], "left_semi")
+        old, cells = cells, materialise(open_.unionByName(stay.select(*open_.columns)))
+        drop(old)
+    return rows.join(kept, "_row", "left_semi").select(*dets.columns)
+
+
 def multiclass_nms(boxes: DataFrame, score_thr: float, iou_thr: float, max_num: int | None = None, factors: str | None = None, op: Callable = nms) -> DataFrame:
     """``boxes``: image_id, box_id, x1.., scores array (class 1 first). Returns label (0-based), det_id = box_id, score.
 
@@ -87,11 +149,14 @@ def bbox_voting(dets: DataFrame, keys: Sequence[str], thr: float) -> DataFrame:
     return c.groupBy(*keys, "lead").agg(*[mean(x).alias(x) for x in XY], F.max("score").alias("score"), F.count("*").alias("members")).withColumnRenamed("lead", "det_id")
 
 
-def merge_tiles(tile_dets: DataFrame, tile_thr: float = 0.5, tile_top: int = 100, image_thr: float = 0.5, engine: str = "fold") -> DataFrame:
-    """Two stages: each tile keeps its best, then the image. ``tile_dets`` has tile_x, tile_y and boxes within the tile."""
+def merge_tiles(tile_dets: DataFrame, tile_thr: float = 0.5, tile_top: int = 100, image_thr: float = 0.5, engine: str = "fold", image_engine: str | None = None) -> DataFrame:
+    """Two stages: each tile keeps its best, then the image. ``tile_dets`` has tile_x, tile_y and boxes within the tile.
+
+    ``image_engine``: that of the second stage, where it differs.
+    """
     t = nms(tile_dets, ["image_id", "tile_x", "tile_y"], tile_thr, keep_top_k=tile_top, engine=engine)
     t = t.withColumns({"x1": F.col("x1") + F.col("tile_x"), "x2": F.col("x2") + F.col("tile_x"), "y1": F.col("y1") + F.col("tile_y"), "y2": F.col("y2") + F.col("tile_y")})
-    return nms(t, ["image_id"], image_thr, engine=engine)
+    return nms(t, ["image_id"], image_thr, engine=engine if image_engine is None else image_engine)
 
 
 def merge_aug_bboxes(boxes: DataFrame) -> DataFrame:

@@ -130,15 +130,20 @@ def group_batches(images: DataFrame, batch: int, seed: int = 0, flag: str = "fla
 
 
 def replacement(dropped: DataFrame, images: DataFrame, seed: int = 0, flag: str = "flag") -> DataFrame:
-    """For each dropped image another one of its flag group: the next one in the group's hash order."""
-    kept = images.join(dropped.select("image_id"), "image_id", "left_anti").select(F.col("image_id").alias("other"), flag, lcg(seed, F.col("image_id")).alias("r"))
-    d = dropped.select("image_id", flag, lcg(seed + 1, F.col("image_id")).alias("q"))
-    both = d.select(flag, F.col("q").alias("k"), F.lit(1).alias("ask"), "image_id").unionByName(kept.select(flag, F.col("r").alias("k"), F.lit(0).alias("ask"), F.col("other").alias("image_id")))
-    w = Window.partitionBy(flag).orderBy("k", "ask", "image_id")
-    is_img = F.when(F.col("ask") == 0, F.col("image_id"))
-    nxt = F.first(is_img, True).over(w.rowsBetween(1, Window.unboundedFollowing))
-    first = F.first(is_img, True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return both.withColumn("replacement", F.coalesce(nxt, first)).where("ask = 1").select("image_id", flag, "replacement")
+    """For each dropped image another one of its flag group: the first whose hash is above the dropped one's, else the group's first; null in a group without any.
+
+    Dropped and kept images stand in one order by hash, worked off from its end in two passes over range partitions: the kept image seen last is the
+    one of the least (hash, id) so far. So one group spans many tasks.
+    """
+    from boxloom.operators.windows import running_by_rank
+
+    kept = images.join(dropped.select("image_id"), "image_id", "left_anti").select(flag, lcg(seed, F.col("image_id")).alias("k"), F.lit(0).alias("ask"), "image_id")
+    asks = dropped.select(flag, lcg(seed + 1, F.col("image_id")).alias("k"), F.lit(1).alias("ask"), "image_id")
+    back = F.struct((-F.col("k")).alias("k"), (-F.col("image_id")).alias("image_id"))
+    both = kept.unionByName(asks).withColumn("seen", F.when(F.col("ask") == 0, back))
+    out = running_by_rank(both, [flag], [F.desc("k"), F.desc("ask"), F.desc("image_id")], maxes={"next": "seen"}).where("ask = 1")
+    first = kept.groupBy(flag).agg(F.min(F.struct("k", "image_id"))["image_id"].alias("first"))  # a row per flag
+    return out.join(first, flag, "left").select("image_id", flag, F.coalesce(-F.col("next.image_id"), F.col("first")).alias("replacement"))
 
 
 def choose_crops(images: DataFrame, gts: DataFrame, crop: tuple[int, int], seed: int = 0) -> DataFrame:

@@ -427,7 +427,7 @@ def n1_greedy_nms(spark, sf_dir):
 
 @query(nms_sql("fx_dense", "image_id", 0.5) + " SELECT image_id, k.det_id AS det_id, round(k.score,6) AS score FROM kept")
 def n1_dense_nms(spark, sf_dir):
-    return nms.nms(fixture(spark, sf_dir, "fx_dense"), ["image_id"], 0.5, engine="numpy").select("image_id", "det_id", *r6("score"))
+    return nms.nms(fixture(spark, sf_dir, "fx_dense"), ["image_id"], 0.5, engine="rounds").select("image_id", "det_id", *r6("score"))
 
 
 @query(nms_sql("fx_dets", "image_id, label", 0.3, ">=") + " SELECT image_id, label, k.det_id AS det_id, round(k.score,6) AS score FROM kept")
@@ -475,7 +475,7 @@ merged AS (SELECT image_id, k.det_id AS det_id, k.score AS score, k.x1+tile_x AS
 
 @query(_merge_sql())
 def n6_merge_tiles(spark, sf_dir):
-    return nms.merge_tiles(_tile_dets(spark, sf_dir), engine="numpy").select("image_id", "det_id", *r6("score"))
+    return nms.merge_tiles(_tile_dets(spark, sf_dir), engine="numpy", image_engine="rounds").select("image_id", "det_id", *r6("score"))
 
 
 @query("""
@@ -558,7 +558,8 @@ def a5_match_recall(spark, sf_dir):
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row: how good are these tiled detections? Score filter, two-stage suppression, matching, curve, area."""
     d = fixture(spark, sf_dir, "fx_dets").where("score > 0.05")
-    tile = d.select("image_id", F.lit(0).alias("tile_x"), F.lit(0).alias("tile_y"), "label", "det_id", "score", *XY)
+    side = 200  # each box belongs to the tile of its upper left corner
+    tile = d.select("image_id", F.floor(F.col("x1") / side).alias("tile_x"), F.floor(F.col("y1") / side).alias("tile_y"), "label", "det_id", "score", *XY)
     kept = nms.nms(nms.nms(tile, ["image_id", "tile_x", "tile_y", "label"], 0.5, keep_top_k=100), ["image_id", "label"], 0.5)
     g = fixture(spark, sf_dir, "fx_gts")
     m = match.match_voc(kept.withColumn("one", F.lit(1)), g)
@@ -657,12 +658,12 @@ def m14_timing_report(spark, sf_dir):
     return logs.timing_report(t).select("timer", "calls", *r6("average", "total", "weighted"))
 
 
-EMB = "e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding[1:10]] AS s, label % 10 AS label FROM embeddings)"
+EMB = "e AS (SELECT vec_id, [x::DOUBLE FOR x IN embedding] AS s, label % 64 AS label FROM embeddings)"
 
 
 def _logits(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.select("vec_id", F.slice("embedding", 1, 10).cast("array<double>").alias("scores"), (F.col("label") % 10).alias("label"))
+    return e.select("vec_id", F.col("embedding").cast("array<double>").alias("scores"), (F.col("label") % 64).alias("label"))
 
 
 @query(f"WITH {EMB}, b AS (SELECT len([x FOR x, i IN s IF x > s[label+1] OR (x = s[label+1] AND i < label+1)]) AS better FROM e) SELECT k, round(avg(CASE WHEN better < k THEN 100.0::DOUBLE ELSE 0 END),6) AS accuracy FROM b, (SELECT unnest([1,3,5]) AS k) GROUP BY k")
@@ -800,4 +801,4 @@ def r3_log_windows_batch(spark, sf_dir):
     return w.select(F.col("start").cast("timestamp_ntz").alias("start"), "run_id", "n", *r6("mean"))
 
 
-from boxloom.plans import more  # noqa: E402, F401  (registers its queries)
+from boxloom.plans import more, scenes  # noqa: E402, F401  (register their queries)

@@ -39,11 +39,11 @@ def s7_image_set(spark, sf_dir):
     return readers.read_image_set(spark, path)
 
 
-@query("SELECT CAST(image_id AS VARCHAR) AS image_id, round(score, 4) AS score, x1, y1, x2, y2 FROM fx_dets WHERE score * 10007 = floor(score * 10007)")
+@query("SELECT CAST(image_id AS VARCHAR) AS image_id, CAST(printf('%.4f', score) AS DOUBLE) AS score, x1, y1, x2, y2 FROM fx_dets")
 def s8_voc_dets(spark, sf_dir):
     path = _path(spark, "dets")
-    d = fixture(spark, sf_dir, "fx_dets").where("score * 10007 = floor(score * 10007)")
-    d.select(F.concat_ws(" ", "image_id", F.round("score", 4).cast("string"), *XY).alias("v")).write.text(path)
+    d = fixture(spark, sf_dir, "fx_dets")
+    d.select(F.concat_ws(" ", "image_id", G.fmt4(F.col("score")), *XY).alias("v")).write.text(path)
     return readers.read_voc_dets(spark, path)
 
 
@@ -150,16 +150,21 @@ def x7_u2_flag_ignores(spark, sf_dir):
 
 
 @query("""
-WITH v AS (SELECT * FROM (VALUES (0, 4.0::DOUBLE, 30.0::DOUBLE, 60.0::DOUBLE), (1, 8.0, 60.0, 111.0)) t(level, c, small, large)),
-a AS (SELECT level, c, 0 AS anchor, small AS w FROM v UNION ALL SELECT level, c, 1, sqrt(small*large) FROM v UNION ALL SELECT level, c, 2, small/sqrt(0.5::DOUBLE) FROM v UNION ALL SELECT level, c, 3, small/sqrt(2::DOUBLE) FROM v)
-SELECT image_id, level, anchor, CAST(round_even(c-(w-1)*0.5, 0) AS BIGINT) + image_id AS x1, CAST(round_even(c+(w-1)*0.5, 0) AS BIGINT) + image_id AS x2
-FROM (SELECT DISTINCT image_id FROM fx_gts), a
+WITH v AS (SELECT * FROM (VALUES (0, 4.0::DOUBLE, 30.0::DOUBLE, 60.0::DOUBLE), (1, 8.0, 60.0, 111.0), (2, 16.0, 111.0, 162.0), (3, 32.0, 162.0, 213.0), (4, 50.0, 213.0, 264.0), (5, 150.0, 264.0, 315.0)) t(level, c, small, large)),
+a AS (SELECT level, c, 0 AS anchor, small AS w, small AS h FROM v UNION ALL SELECT level, c, 1, sqrt(small*large), sqrt(small*large) FROM v
+  UNION ALL SELECT level, c, 2, small/sqrt(0.5::DOUBLE), small*sqrt(0.5::DOUBLE) FROM v UNION ALL SELECT level, c, 3, small/sqrt(2::DOUBLE), small*sqrt(2::DOUBLE) FROM v),
+b AS (SELECT level, anchor, round_even(c-(w-1)*0.5, 0) AS ax1, round_even(c-(h-1)*0.5, 0) AS ay1, round_even(c+(w-1)*0.5, 0) AS ax2, round_even(c+(h-1)*0.5, 0) AS ay2 FROM a),
+g AS (SELECT gt_id, (x2-x1+1) AS gw, (y2-y1+1) AS gh FROM fx_gts)
+SELECT gt_id, level, anchor, ax1, ay1, ax2, ay2 FROM (
+  SELECT g.gt_id, b.*, row_number() OVER (PARTITION BY gt_id ORDER BY abs(ln(gw/(ax2-ax1+1))) + abs(ln(gh/(ay2-ay1+1))), level, anchor) AS rn FROM g, b) q WHERE rn = 1
 """)
 def t8_ssd_anchors(spark, sf_dir):
-    a = grids.ssd_anchors(spark, 300, (0.2, 0.9), [8, 16, 32, 64, 100, 300], [[2]] * 6).where("level < 2")
-    images = fixture(spark, sf_dir, "fx_gts").select("image_id").distinct()
-    j = images.join(F.broadcast(a), F.col("level") >= F.col("image_id") * 0)  # the grid is a table of eight rows
-    return j.select("image_id", F.col("level").cast("int").alias("level"), F.col("anchor").cast("int").alias("anchor"), (F.col("x1") + F.col("image_id")).cast("long").alias("x1"), (F.col("x2") + F.col("image_id")).cast("long").alias("x2"))
+    """Each truth with the anchor whose sides are nearest to its own, out of all six levels."""
+    a = grids.ssd_anchors(spark, 300, (0.2, 0.9), [8, 16, 32, 64, 100, 300], [[2]] * 6).collect()  # 24 rows
+    g = fixture(spark, sf_dir, "fx_gts")
+    off = lambda lo, hi, r: F.abs(F.ln((F.col(hi) - F.col(lo) + 1) / F.lit(float(r[hi] - r[lo] + 1))))
+    each = [F.struct((off("x1", "x2", r) + off("y1", "y2", r)).alias("d"), *[F.lit(int(r[c])).alias(c) for c in ("level", "anchor")], *[F.lit(float(r[c])).alias(c) for c in XY]) for r in a]
+    return g.select("gt_id", F.array_min(F.array(*each)).alias("a")).select("gt_id", *[F.col(f"a.{c}") for c in ("level", "anchor")], *[F.col(f"a.{c}").alias("a" + c) for c in XY])
 
 
 @query("""
@@ -174,19 +179,16 @@ def t11_corruption_plan(spark, sf_dir):
 AX = "a.ax1 AS x1, a.ay1 AS y1, a.ax2 AS x2, a.ay2 AS y2"
 
 
-def _few(spark, sf_dir):
-    return fixture(spark, sf_dir, "fx_gts").where("gt_id % 40 = 0")
-
-
 @query(f"""
-WITH {ANCHOR_SQL}, g AS (SELECT * FROM fx_gts WHERE gt_id % 40 = 0),
+WITH {ANCHOR_SQL}, g AS (SELECT * FROM fx_gts),
 q AS (SELECT g.gt_id, a.anchor_idx, {iou_sql('a.', 'g.').replace('a.x1','a.ax1').replace('a.y1','a.ay1').replace('a.x2','a.ax2').replace('a.y2','a.ay2')} AS iou FROM g JOIN anchors a ON a.ax1 <= g.x2 + 1 AND a.ax2 >= g.x1 - 1 AND a.ay1 <= g.y2 + 1 AND a.ay2 >= g.y1 - 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, anchor_idx) AS rank, greatest(max(iou) OVER (PARTITION BY gt_id), 0.600000000001::DOUBLE) AS top FROM q WHERE iou > 0)
-SELECT gt_id, anchor_idx, rank::INT AS rank, round(iou, 6) AS iou, round(least(greatest((iou-0.6::DOUBLE)/(top-0.6::DOUBLE),0),1), 6) AS prob FROM r WHERE rank <= 50
+SELECT gt_id, anchor_idx, rank::INT AS rank, floor(iou*1000000+0.5)/1000000 AS iou, floor(least(greatest((iou-0.6::DOUBLE)/(top-0.6::DOUBLE),0),1)*1000000+0.5)/1000000 AS prob FROM r WHERE rank <= 50
 """)
 def j4_a12_anchor_bags(spark, sf_dir):
-    p = pairs.anchor_pairs(grids.anchor_grid(spark, 800, 800), _few(spark, sf_dir))
-    return assign.anchor_bags(p).select("gt_id", "anchor_idx", "rank", *r6("iou", "prob"))
+    p = pairs.anchor_pairs(grids.anchor_grid(spark, 800, 800), fixture(spark, sf_dir, "fx_gts"))
+    half_up = [(F.floor(F.col(c) * 1_000_000 + 0.5) / 1_000_000).alias(c) for c in ("iou", "prob")]  # many are exact halves
+    return assign.anchor_bags(p).select("gt_id", "anchor_idx", "rank", *half_up)
 
 
 COVER = "greatest(least({a}x2,{b}x2)-greatest({a}x1,{b}x1),0)*greatest(least({a}y2,{b}y2)-greatest({a}y1,{b}y1),0)/greatest(({b}x2-{b}x1)*({b}y2-{b}y1),0.000001)"

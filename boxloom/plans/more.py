@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,13 +26,55 @@ def _path(spark: SparkSession, name: str) -> str:
 @query("SELECT gt_id, image_id, label, is_ignore, x1, y1, x2, y2 FROM (SELECT gt_id, image_id, label, is_crowd AS is_ignore, x1, y1, x2, y2 FROM fx_gts WHERE NOT is_ignore)")
 def s6_read_coco(spark, sf_dir):
     anns, cats = _coco_anns(spark, sf_dir)
-    one = anns.agg(F.collect_list(F.struct(*anns.columns)).alias("annotations")).withColumn("categories", F.array(*[F.struct(F.lit(r["id"]).alias("id"), F.lit(f"c{r['id']}").alias("name")) for r in cats.orderBy("id").collect()]))
+    names = ", ".join(f'{{"id": {r["id"]}, "name": "c{r["id"]}"}}' for r in cats.orderBy("id").collect())  # five rows
+
+    def documents(batches):
+        """One document a task, written as it comes."""
+        yield pa.RecordBatch.from_arrays([pa.array([f'{{"images": [], "categories": [{names}], "annotations": ['])], names=["v"])
+        comma = ""
+        for b in batches:
+            lines = [("" if i else comma) + v + ("," if i + 1 < b.num_rows else "") for i, v in enumerate(b.column(0).to_pylist())]
+            comma = "," if lines else comma
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["v"])
+        yield pa.RecordBatch.from_arrays([pa.array(["]}"])], names=["v"])
+
     path = _path(spark, "coco")
-    one.withColumn("images", F.array()).write.json(path)
-    _, a, c = readers.read_coco(spark, path)
+    anns.select(F.to_json(F.struct(*anns.columns)).alias("v")).coalesce(2).mapInArrow(documents, "v string").write.text(path)
+    _rename(spark, path, ".txt", ".json")
+    _, a, c = readers.read_coco(spark, path, range_bytes=1 << 18)
     return readers.clean_coco_annotations(a, c).select("gt_id", "image_id", "label", "is_ignore", *XY)
 
 
+def _rename(spark, path: str, old: str, new: str) -> None:
+    """The files of a folder under another suffix."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(path).getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for f in store.listStatus(hadoop.Path(path)):
+        name = f.getPath().toString()
+        if name.endswith(old):
+            store.rename(f.getPath(), hadoop.Path(name[: -len(old)] + new))
+
+
+@query("SELECT image_id, CAST(width AS INT) AS width, CAST(height AS INT) AS height, 24 + image_id % 5000 AS length FROM fx_slides")
+def s12_image_catalog(spark, sf_dir):
+    path = _path(spark, "pictures")
+
+    def write(batches):
+        from pyarrow import fs
+
+        store, at = fs.FileSystem.from_uri(path)
+        for b in batches:
+            for i, w, h in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                store.create_dir(f"{at}/{i % 16}")
+                with store.open_output_stream(f"{at}/{i % 16}/{i}.png") as f:
+                    f.write(b"\x89PNG\r\n\x1a\n\x00\x00\x00\rIHDR" + w.to_bytes(4, "big") + h.to_bytes(4, "big") + b"\x00" * (i % 5000))
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+    fixture(spark, sf_dir, "fx_slides").select("image_id", F.col("width").cast("int"), F.col("height").cast("int")).repartition(4).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    t = readers.image_catalog(spark, path)
+    return t.select(F.regexp_extract("path", r"([0-9]+)\.png$", 1).cast("long").alias("image_id"), "width", "height", "length")
+
+
 @query("SELECT CAST(image_id AS VARCHAR) AS id FROM (SELECT DISTINCT image_id FROM fx_gts)")
 def s7_image_set(spark, sf_dir):
     path = _path(spark, "set")

@@ -5,9 +5,10 @@ Paths are what pyarrow opens: local and mounted folders, s3://, gs://, hdfs://.
 
 from __future__ import annotations
 
+import io
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -15,12 +16,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: The keys by which the three kinds of COCO objects are told from others.
-KINDS = {"image": ("id", "file_name"), "annotation": ("id", "image_id", "category_id"), "category": ("id", "name")}
+KINDS = {"annotation": ("id", "image_id", "category_id"), "image": ("id", "file_name"), "category": ("id", "name")}
 COCO_ROWS = (
     "kind string, id bigint, image_id bigint, category_id int, bbox array<double>, area double, iscrowd int, ignore boolean, "
     "file_name string, width int, height int, name string, supercategory string"
 )
-_FIELDS = [f.split()[0] for f in COCO_ROWS.split(", ")]
+_FRAME = re.compile(r'\s*"(?:images|annotations|categories|info|licenses)"\s*:')
 _TYPES = {"string": pa.string(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
 _SCHEMA = pa.schema([(n, _TYPES[t]) for n, t in (f.split() for f in COCO_ROWS.split(", "))])
 #: What a task reads at a time beyond its range to finish an object that began in it.
@@ -40,23 +41,29 @@ class Range(InputPartition):
         self.files = files
 
 
-def objects(text: str, start: int, end: int) -> Iterator[tuple[str, dict]]:
-    """(kind, object) of every COCO object of ``text`` whose brace opens in [start, end).
+def objects(text: str, end: int, more: Callable[[], str]) -> Iterator[tuple[str, dict]]:
+    """(kind, object) of every COCO object of ``text`` whose brace opens before ``end``.
 
-    ``text`` goes on behind ``end`` as far as such objects do. A brace that opens an object without the keys of a kind, as in a mask
-    or in the frame of the document, is passed by, and what it holds is looked at.
+    ``more()`` gives what follows the text, and nothing at the end of the file; it is asked while an object runs out of the text. A
+    brace that opens something else (the frame of the document, a mask, a brace within a name) is passed by, and what it holds is looked at.
     """
-    decoder, brace = json.JSONDecoder(), re.compile(r"\{")
-    at = start
-    while (m := brace.search(text, at)) and m.start() < end:
-        at = m.end()
-        if re.match(r'\s*"(?:images|annotations|categories|info|licenses)"\s*:', text[at : at + 64]):
-            continue  # the frame
-        try:
-            found, stop = decoder.raw_decode(text, m.start())
-        except ValueError:
-            continue  # a brace within a text
-        kind = next((k for k in ("annotation", "image", "category") if all(x in found for x in KINDS[k])), None)
+    decoder, at = json.JSONDecoder(), 0
+    while (m := text.find("{", at)) >= 0 and m < end:
+        at = m + 1
+        if _FRAME.match(text, at):
+            continue
+        while True:
+            try:
+                found, stop = decoder.raw_decode(text, m)
+            except json.JSONDecodeError as e:
+                # cut off at the end of the text, or no object at all
+                rest = more() if e.msg.startswith("Unterminated string") or e.pos >= len(text) - 16 else ""
+                if rest:
+                    text += rest
+                    continue
+                found, stop = {}, at
+            break
+        kind = next((k for k in KINDS if all(x in found for x in KINDS[k])), None)
         if kind:
             yield kind, found
             at = stop
@@ -73,43 +80,35 @@ class CocoReader(DataSourceReader):
         store, _ = fs.FileSystem.from_uri(self.path)
         for path, start, end in partition.files:
             with store.open_input_file(path) as f:
-                size = f.size()
                 f.seek(start)
                 raw = f.read(end - start)
-                # to the end of the object that is open at the end of the range: a text without an open object ends where one could be decoded
-                tail = b""
-                while end + len(tail) < size:
-                    tail += f.read(TAIL)
-                    if self._closed(raw, tail):
-                        break
-            # latin-1 keeps a place a byte; texts are decoded when they are taken out
-            text = (raw + tail).decode("latin-1")
-            cols: dict[str, list] = {n: [] for n in _FIELDS}
-            for kind, o in objects(text, 0, len(raw)):
-                o = {k: v.encode("latin-1").decode("utf-8") if isinstance(v, str) and not _escaped(v) else v for k, v in o.items()}
-                box = o.get("bbox")
-                row = {**o, "kind": kind, "bbox": [float(v) for v in box] if box else None, "ignore": bool(o["ignore"]) if "ignore" in o else None}
-                for n in _FIELDS:
-                    cols[n].append(row.get(n))
-            yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) for n, t in zip(_SCHEMA.names, _SCHEMA.types, strict=True)], schema=_SCHEMA)
-
-    @staticmethod
-    def _closed(raw: bytes, tail: bytes) -> bool:
-        """Whether the last object that opens in ``raw`` ends within ``raw + tail``: its frame apart, that is where an object closes in the tail before one opens."""
-        last = raw.rfind(b"{")
-        if last < 0:
-            return True
-        try:
-            json.JSONDecoder().raw_decode((raw[last:] + tail).decode("latin-1"))
-            # an inner object may be closed and its outer one not: the next top-level object must be in sight
-            return bool(re.search(rb"\}\s*[,\]]\s*(?:\{|\}|\"|$)", tail))
-        except ValueError:
-            return False
-
-
-def _escaped(v: str) -> bool:
-    """A text with characters beyond latin-1 came from \\u escapes and is whole already."""
-    return any(ord(c) > 255 for c in v)
+                # a letter that the range cuts belongs to a text of an object that began before it
+                text, over = raw.decode("utf-8", "ignore"), io.TextIOWrapper(_Tail(raw, f), "utf-8", "ignore")
+                cols: dict[str, list] = {n: [] for n in _SCHEMA.names}
+                for kind, o in objects(text, len(text), lambda over=over: over.read(TAIL)):
+                    box = o.get("bbox")
+                    row = {**o, "kind": kind, "bbox": [float(v) for v in box] if box else None, "ignore": bool(o["ignore"]) if o.get("ignore") is not None else None}
+                    for n, c in cols.items():
+                        c.append(row.get(n))
+                yield pa.RecordBatch.from_arrays([pa.array(cols[n], t) for n, t in zip(_SCHEMA.names, _SCHEMA.types, strict=True)], schema=_SCHEMA)
+
+
+class _Tail(io.RawIOBase):
+    """What follows a range, led by the bytes of a letter that the range's end cuts."""
+
+    def __init__(self, raw: bytes, f):
+        cut = next((k for k in range(1, min(4, len(raw)) + 1) if raw[-k] >= 0xC0), 0)
+        whole = not cut or cut >= (2 if raw[-cut] < 0xE0 else 3 if raw[-cut] < 0xF0 else 4)
+        self.head, self.f = b"" if whole else raw[-cut:], f
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, b) -> int:
+        got = self.head or self.f.read(len(b))
+        self.head = b""
+        b[: len(got)] = got
+        return len(got)
 
 
 class CocoSource(DataSource):

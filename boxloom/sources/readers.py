@@ -94,14 +94,33 @@ COCO = (
 )
 
 
-def read_coco(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """images, anns, cats (with label 1.. in the order of category ids)."""
-    from pyspark.sql import Window
+def read_coco(spark: SparkSession, path: str, range_bytes: int = 32 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """images, anns, cats (with label 1.. in the order of category ids) of one or more documents.
+
+    A document is cut into ranges of ``range_bytes``, which tasks read side by side, once for all three tables: what they find is written
+    into the shared folder. Paths are those of :mod:`boxloom.sources.files`; :func:`read_coco_whole` reads what only Spark can open.
+    """
+    from boxloom.operators.tables import materialise
+    from boxloom.sources import files
+
+    files.register(spark)
+    rows = materialise(spark.read.format("coco_objects").option("rangeBytes", range_bytes).load(path))
+    images = rows.where("kind = 'image'").select(F.col("id").alias("image_id"), F.col("file_name").alias("filename"), "width", "height")
+    anns = rows.where("kind = 'annotation'").select("id", "image_id", "category_id", "bbox", "area", "iscrowd", "ignore")
+    return images, anns, _labelled(rows.where("kind = 'category'").select(F.col("id").cast("int").alias("id"), "name", "supercategory"))
+
 
+def read_coco_whole(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """As :func:`read_coco`, through Spark's own reader: one task a document."""
     j = spark.read.schema(COCO).json(path, multiLine=True)
     images = j.select(F.explode("images").alias("i")).select(F.col("i.id").alias("image_id"), F.col("i.file_name").alias("filename"), "i.width", "i.height")
-    cats = j.select(F.explode("categories").alias("c")).select("c.*")
-    return images, j.select(F.explode("annotations").alias("a")).select("a.*"), cats.withColumn("label", F.dense_rank().over(Window.orderBy("id")))  # one row per category
+    return images, j.select(F.explode("annotations").alias("a")).select("a.*"), _labelled(j.select(F.explode("categories").alias("c")).select("c.*"))
+
+
+def _labelled(cats: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    return cats.distinct().withColumn("label", F.dense_rank().over(Window.orderBy("id")))  # one row per category
 
 
 def clean_coco_annotations(anns: DataFrame, cats: DataFrame) -> DataFrame:
@@ -148,9 +167,11 @@ def read_robustness(rows: DataFrame, column: str = "json") -> DataFrame:
 
 
 def image_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, width, height of PNG files, from their headers."""
-    head = lambda at: F.conv(F.hex(F.substring("content", at, 4)), 16, 10).cast("int")
-    return spark.read.format("binaryFile").load(path).select("path", "length", head(17).alias("width"), head(21).alias("height"))
+    """path, length, width, height of the PNG files below a folder, from 24 bytes of each."""
+    from boxloom.sources import files
+
+    files.register(spark)
+    return spark.read.format("png_headers").load(path)
 
 
 def load_proposals(images: DataFrame, props: DataFrame, num_max: int) -> DataFrame:

@@ -3,24 +3,24 @@
 Texts become words: ASCII letters lower-cased, ASCII punctuation and white space between words dropped. A document is
 contaminated by an item of n words if some run of its words is within ``floor(MAX_EDITS * n)`` word edits of the item.
 
-1. Windows. An item edited at most k times keeps at least one of k+1 equal parts whole, so a document can only hold it
-   where a q-gram of it occurs (q at most the shortest part). Each such place gives the start of one item-sized window, so an
-   item whose front was shifted by edits is met by windows begun at each of the shifts.
+1. Places. An item of n words edited at most k times keeps at least n - q + 1 - qk of its runs of q words (``RUN``; all words of a shorter
+   item). A place where the n + k words ahead begin with one, and hold so many, that occur in any of the items of n words can hold one of these
+   items from up to qk words before it on; no other place can. Windows of n words begin at each of these words.
 2. Embedding. The CGK walk reads a sequence by a pointer that rests or moves on by a random bit of (step, word read); on two
    sequences with the same bits it meets again after an edit, so that edit distance becomes Hamming distance of the
-   words read. A window and its item walk ``REPS`` times with different bits.
-3. Bit sampling. Of each walk ``BITS`` steps are sampled, within the first ``1.5 n``. A window is a candidate if it agrees with the
-   item in all sampled steps of at least one walk. For the most edits allowed and any item length this misses under 1 per cent
-   of the items (``TARGET_RECALL``; measured by number and kind of edits in the tests, figures in the README).
-4. Candidates are verified exactly: first by the number of q-grams that k edits must leave whole, then by edit distance
-   (semi-global, on words).
+   words read. Windows and items walk ``REPS`` times with different bits.
+3. Bit sampling. Of each walk ``BITS`` steps are sampled, within the first ``1.5 n``. Items and windows of n words meet in the buckets (n,
+   walk, words read at its sampled steps): a pair is a candidate if it shares one. For the most edits allowed and any item length this
+   misses under 1 per cent of the items (``TARGET_RECALL``; measured by number and kind of edits in the tests, figures in the README).
+4. Candidates of an item that lie together are one stretch of the text, verified exactly: it must hold the runs of this item that k edits
+   leave, and then a run within k edits (semi-global edit distance, on words).
 
 The items of a block travel to the tasks: at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` of text; a larger benchmark takes
 several blocks, through which the documents pass one after the other in one scan.
 
 Defined results: null and empty texts hold nothing; items without words match nothing; items of under ``1/MAX_EDITS``
-words match without edits only; a null doc_id is kept as it is; repeated rows give repeated results; ties go to the
-smallest distance, then the first start. No other column is read; ``drop_contaminated`` judges each row by its own text.
+words match without edits only; a null doc_id is kept as it is; repeated rows give repeated results; of several runs the one with
+the fewest edits counts, then the first; its shortest form gives the start. No other column is read; ``drop_contaminated`` judges each row by its own text.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ MAX_EDITS = 0.15
 TARGET_RECALL = 0.99
 BITS, REPS = 1, 24
 SEED = 29
-SEED_WORDS = 4
+RUN = 3
 BLOCK_ITEMS = 5_000
 BLOCK_BYTES = 8 << 20
 
@@ -68,7 +68,7 @@ def substring_edits(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of items with their q-gram table."""
+    """A block of items: their words, the runs of words in them by the items' length, and their buckets."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         texts = [t.encode("utf-8", "surrogatepass") for _, t in rows]
@@ -76,113 +76,115 @@ class Items:
         use = [i for i in range(len(rows)) if first[i + 1] > first[i]]
         self.ids = [rows[i][0] for i in use]
         self.words = [h[first[i] : first[i + 1]] for i in use]
-        self.edits = [int(MAX_EDITS * len(w)) for w in self.words]
-        self.q = np.array([min(SEED_WORDS, len(w) // (k + 1)) for w, k in zip(self.words, self.edits, strict=True)], np.int64)
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for q in sorted(set(self.q.tolist())):
-            g, it, off = [], [], []
-            for i in np.flatnonzero(self.q == q):
-                x = gram_hashes(self.words[i], q)
-                g.append(x)
-                it.append(np.full(len(x), i))
-                off.append(np.arange(len(x)))
-            g, it, off = np.concatenate(g), np.concatenate(it), np.concatenate(off)
-            order = np.argsort(g, kind="stable")
-            self.grams[q] = g[order], it[order], off[order]
         self.n = n = np.array([len(w) for w in self.words], np.int64)
-        self.flat, self.at = np.concatenate([*self.words, np.zeros(1, U)]), np.cumsum(n) - n
+        self.runs = [np.unique(gram_hashes(w, min(RUN, len(w)))) for w in self.words]
+        flat, at = np.concatenate([*self.words, np.zeros(1, U)]), np.cumsum(n) - n
+        self.buckets, by_size = {}, {}
+        for m in np.unique(n).tolist():
+            k = np.flatnonzero(n == m)
+            got = self.walks(m, flat, at[k], at[k], at[k] + m)
+            order = np.argsort(got, axis=0, kind="stable")
+            self.buckets[m] = np.take_along_axis(got, order, 0), k[order]
+            by_size.setdefault(min(RUN, m), {})[m] = np.unique(np.concatenate([self.runs[i] for i in k]))
+        # for each size of run: all of them, sorted, and for each length of item which are its own
+        self.known = {}
+        for q, own in by_size.items():
+            every = np.unique(np.concatenate(list(own.values())))
+            small = np.zeros(1 << 20, bool)
+            small[(every >> U(44)).astype(np.int64)] = True
+            self.known[q] = every, small, {m: np.isin(every, g) for m, g in own.items()}
+
+    def walks(self, n: int, words: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """(window, walk): a hash of the words that the walks of windows of ``n`` words read at their sampled steps, 0 where one lies beyond the
+        window or its text [low, high)."""
         u = mix(np.arange(REPS * BITS, dtype=U) + U(SEED)).astype(np.float64) / 2.0**64
-        self.steps = (u.reshape(1, REPS, BITS) * 1.5 * n[:, None, None]).astype(np.int64)
-        top = int(self.steps.max(initial=0)) + 1
-        self.bits = mix(np.arange(REPS * top, dtype=U) + (U(SEED) << U(32))).reshape(top, REPS)
-        self.samples = self.walks(self.flat, self.at, self.at, self.at + n, np.arange(len(n)))
-        self.least = np.maximum(n - self.q + 1 - np.array(self.edits, np.int64) * self.q, 1)
-
-    def walks(self, words: np.ndarray, start: np.ndarray, low: np.ndarray, high: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """(window, rep, bit): the words that the walks read at their sampled steps; 0 beyond the window or its text [low, high)."""
-        n, want = self.n[item][:, None], self.steps[item]
-        out = np.zeros(want.shape, U)
-        at = np.zeros(want.shape[:2], np.int64)
-        for t in range(int(want.max(initial=-1)) + 1):
+        want = (u.reshape(REPS, BITS) * 1.5 * n).astype(np.int64)
+        out, read = np.zeros((len(start), REPS), U), np.ones((len(start), REPS), bool)
+        at = np.zeros((len(start), REPS), np.int64)
+        for t in range(int(want.max()) + 1):
             pos = start[:, None] + at
             ok = (at < n) & (pos >= low[:, None]) & (pos < high[:, None])
             w = np.where(ok, words[np.where(ok, pos, 0)], U(0))
-            hit = want == t
-            if hit.any():
-                out[hit] = np.broadcast_to(w[:, :, None], hit.shape)[hit]
-            at += (((w + self.bits[t]) * U(0x9E3779B97F4A7C15)) >> U(63)).astype(np.int64)
-        return out
-
-    def candidates(self, words: np.ndarray, first: np.ndarray, d: np.ndarray, i: np.ndarray, s: np.ndarray, step: int = 2048) -> np.ndarray:
-        """Which windows (text, item, start) agree with their item in all sampled steps of some walk."""
-        out = np.zeros(len(d), bool)
-        order = np.argsort(self.n[i], kind="stable")  # windows of like length walk together
-        for k in range(0, len(d), step):
-            x = order[k : k + step]
-            got = self.walks(words, s[x], first[d[x]], first[d[x] + 1], i[x])
-            out[x] = ((got == self.samples[i[x]]) & (got != 0)).all(2).any(1)
+            for r, b in zip(*np.nonzero(want == t), strict=True):
+                out[:, r] += mix(w[:, r] + U(b))
+                read[:, r] &= ok[:, r]
+            bits = mix(np.arange(REPS, dtype=U) + U(t * REPS) + (U(SEED) << U(32)))
+            at += (((w + bits) * U(0x9E3779B97F4A7C15)) >> U(63)).astype(np.int64)
+        return np.where(read, out, U(0))
+
+    def places(self, words: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
+        """Where windows begin, by their number of words."""
+        out = {}
+        for q, (every, small, own) in self.known.items():
+            x = gram_hashes(words, q)
+            at = np.flatnonzero(small[(x >> U(44)).astype(np.int64)])
+            k = np.minimum(np.searchsorted(every, x[at]), len(every) - 1)
+            hit = every[k] == x[at]
+            at, k = at[hit], k[hit]
+            end = first[np.searchsorted(first, at, "right")]
+            hit = at + q <= end  # not across two texts
+            at, k, end = at[hit], k[hit], end[hit]
+            low = first[np.searchsorted(first, at, "right") - 1]
+            for n, mine in own.items():
+                e = int(MAX_EDITS * n)
+                sel = mine[k]
+                p = at[sel]
+                ahead = np.searchsorted(p, np.minimum(p + n + e, end[sel]) - q, "right") - np.arange(len(p))
+                enough = ahead >= n - q + 1 - q * e
+                s, floor = p[enough], low[sel][enough]
+                if e and len(s):
+                    back = s[:, None] - np.arange(q * e + 1)
+                    s = np.unique(back[back >= floor[:, None]])
+                out[n] = s
         return out
 
-    def windows(self, words: np.ndarray, first: np.ndarray):
-        """(text, item, start) of the windows to verify: the candidates with enough q-grams of the item around them."""
-        its, sts, docs = [], [], []
-        for q, (g, it, off) in self.grams.items():
-            x = gram_hashes(words, q)
-            if not len(x):
-                continue
-            small = np.zeros(1 << 20, bool)
-            small[(g >> U(44)).astype(np.int64)] = True
-            maybe = np.flatnonzero(small[(x >> U(44)).astype(np.int64)])
-            lo, hi = np.searchsorted(g, x[maybe], "left"), np.searchsorted(g, x[maybe], "right")
-            maybe, lo, n = maybe[hi > lo], lo[hi > lo], (hi - lo)[hi > lo]
-            d = np.searchsorted(first, maybe, "right") - 1
-            ok = maybe + q <= first[d + 1]  # not across two texts
-            maybe, lo, n, d = maybe[ok], lo[ok], n[ok], d[ok]
-            if not len(maybe):
-                continue
-            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            its.append(it[at])
-            docs.append(np.repeat(d, n))
-            sts.append(np.repeat(maybe, n) - off[at])
-        if not its:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        d, i, s = np.concatenate(docs), np.concatenate(its), np.concatenate(sts)
-        # one number a window, in the order (text, item, start), with room for starts before the text and for k on either side
-        reach = np.array(self.edits, np.int64)
-        wide = len(words) + 2 * (max(map(len, self.words)) + int(reach.max())) + 2
-        key = (d * len(self.words) + i) * wide + s + wide - len(words) - 1
-        key.sort()
-        u = np.unique(key)
-        k = reach[u // wide % len(self.words)]
-        hits = np.searchsorted(key, u + k, "right") - np.searchsorted(key, u - k, "left")
-        d, i, s = u // wide // len(self.words), u // wide % len(self.words), u % wide - (wide - len(words) - 1)
-        ok = self.candidates(words, first, d, i, s)
-        ok &= hits >= self.least[i]
-        d, i, s = d[ok], i[ok], s[ok]
-        u = np.unique(np.stack([d, i, np.maximum(s, first[d])]), axis=1)
-        return u[0], u[1], u[2]
+    def candidates(self, words: np.ndarray, first: np.ndarray, n: int, s: np.ndarray, step: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start) of the windows of ``n`` words that share a bucket with an item."""
+        keys, items = self.buckets[n]
+        found = []
+        for k in range(0, len(s), step):
+            x = s[k : k + step]
+            d = np.searchsorted(first, x, "right") - 1
+            got = self.walks(n, words, x, first[d], first[d + 1])
+            pairs = []
+            for r in range(REPS):
+                lo, hi = np.searchsorted(keys[:, r], got[:, r], "left"), np.searchsorted(keys[:, r], got[:, r], "right")
+                m = np.where(got[:, r] == 0, 0, hi - lo)
+                at = np.repeat(lo, m) + np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m)
+                pairs.append(items[at, r] * len(words) + np.repeat(x, m))
+            found.append(np.unique(np.concatenate(pairs)))
+        u = np.unique(np.concatenate([*found, np.zeros(0, np.int64)]))
+        return u // len(words), u % len(words)
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, start, words of the item, edits): for each text and item the best verified match."""
         if not self.words:
             return []
         words, first = words_of(texts)
-        d, i, s = self.windows(words, first)
-        if not len(d):
+        if not len(words):
             return []
-        n = self.n
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for x in range(len(d)):
-            doc, it, k = int(d[x]), int(i[x]), self.edits[i[x]]
-            if best.get((doc, it), (1, 0))[0] == 0:
+        for n, places in self.places(words, first).items():
+            k, q = int(MAX_EDITS * n), min(RUN, n)
+            it, s = self.candidates(words, first, n, places)
+            if not len(s):
                 continue
-            a, b = max(int(first[doc]), int(s[x]) - k), min(int(first[doc + 1]), int(s[x] + n[it]) + 2 * k)
-            whole = s[x] + n[it] <= b and np.array_equal(words[s[x] : s[x] + n[it]], self.words[it])
-            edits = 0 if whole else substring_edits(self.words[it], words[a:b])[0]
-            if edits <= k and (whole or edits):  # a copy without edits has a window of its own, with the right start
-                got = (edits, int(s[x] - first[doc]))
-                best[doc, it] = min(best.get((doc, it), got), got)
-        return [(doc, self.ids[it], st, int(n[it]), e) for (doc, it), (e, st) in sorted(best.items())]
+            d = np.searchsorted(first, s, "right") - 1
+            lo, hi = np.maximum(s - k, first[d]), np.minimum(s + n + 2 * k, first[d + 1])
+            # windows of an item that overlap in a text are one stretch
+            new = np.ones(len(s), bool)
+            new[1:] = (it[1:] != it[:-1]) | (d[1:] != d[:-1]) | (lo[1:] > hi[:-1])
+            heads = np.flatnonzero(new)
+            for a, z in zip(heads.tolist(), np.concatenate((heads[1:], [len(s)])).tolist(), strict=True):
+                i, doc, run = int(it[a]), int(d[a]), words[lo[a] : hi[z - 1]]
+                if np.isin(gram_hashes(run, q), self.runs[i]).sum() < n - q + 1 - q * k:
+                    continue
+                edits, end = substring_edits(self.words[i], run)
+                if edits <= k:
+                    start = end - substring_edits(self.words[i][::-1], run[:end][::-1])[1]
+                    got = (edits, int(lo[a] + start - first[doc]))
+                    best[doc, i] = min(best.get((doc, i), got), got)
+        return [(doc, self.ids[i], st, int(self.n[i]), e) for (doc, i), (e, st) in sorted(best.items())]
 
 
 _HIT = "array<struct<item_id:long,start:long,n_words:long,edits:long>>"

@@ -27,18 +27,39 @@ def digest(text) -> F.Column:
 class DigestIndex:
     """A Parquet table (digest, keep_id) of every text seen so far, in buckets of the digest, sorted within.
 
-    ``path`` is a folder that all machines share; opening the same folder again continues the index.
+    ``path`` is a folder that all machines share; opening the same folder again continues the index. The number of buckets is kept with the
+    index, in a file that table readers pass over: it holds for every later session, whatever its settings. Asking for another number is an error.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
         self.spark, self.path = spark, path
-        self.buckets = buckets or max(8, partitions(spark))
+        self.buckets = self._layout(buckets)
         self.name = f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT) USING parquet "
             f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    def _layout(self, buckets: int | None) -> int:
+        """The number of buckets in the index's folder; for a new one it is written down first."""
+        hadoop = self.spark._jvm.org.apache.hadoop
+        at = hadoop.fs.Path(f"{self.path}/_buckets")
+        store = at.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+        if store.exists(at):
+            f = store.open(at)
+            kept = f.readInt()
+            f.close()
+            if buckets not in (None, kept):
+                raise ValueError(f"the index at {self.path} has {kept} buckets, not {buckets}")
+            return kept
+        if store.exists(at.getParent()) and any(not f.getPath().getName().startswith(("_", ".")) for f in store.listStatus(at.getParent())):
+            raise ValueError(f"the folder {self.path} has files but no layout of an index")
+        buckets = buckets or max(8, partitions(self.spark))
+        f = store.create(at, False)
+        f.writeInt(buckets)
+        f.close()
+        return buckets
+
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -101,7 +122,7 @@ def _decide(index: DigestIndex, batch: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 #: Rows of one digest from which they are dealt over several tasks.
-HOT_ROWS = 2_000
+HOT_ROWS = 200
 #: Batches in which a corpus is dealt to the index, in the order of doc_id.
 BATCHES = 3
 

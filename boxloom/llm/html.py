@@ -8,7 +8,9 @@
    A page that repeats another as a whole does not count twice. Slots whose texts vary are content.
 4. Regions named as no content (menus, headers, footers, sidebars, notices, adverts, forms, comments) go, whether their texts
    vary or not. Where the name alone is no proof (``WEAK_WORDS``, a header in an article), the wrapper decides: in an article or
-   main element a slot that varies is content.
+   main element a slot that varies is content. A name proves nothing about what holds the article: the page's first article or main element
+   opens again what names around it or on it closed (comments, asides, menus and footers apart), words like has-sidebar say what is inside, and
+   without an article, a region of its own name with more than half of the page's text is open (comments apart).
 5. If a page has an article or main element with content, only what lies within it stays, and there constant nodes stay too:
    the page itself says that they are its text.
 
@@ -52,6 +54,11 @@ WEAK_WORDS = frozenset(
     "skip social subscription".split()
 )
 CONTENT_ROLE = frozenset({"article", "main"})
+#: Words of readers' comments, and first parts of a class that tell what an element holds or how it is laid out.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+HOLDS = ("has-", "with-", "no-", "without-", "is-")
+#: Closed regions that an article or main element inside does not open again.
+SHUT = frozenset("aside nav footer menu dialog head".split())
 CLOSED_BY = {
     "p": BLOCK - {"button", "select", "option", "label", "legend"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"},
     "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option"}, "head": {"body"},
@@ -80,19 +87,22 @@ def blocks(page: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
     """
     nodes: list[tuple[int, str]] = [(-1, "")]
     child: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int, int, int, bool]] = [("", 0, 0, 0, False)]  # name, node, strong and weak regions around, in an article
+    # name, node, strong and weak regions around, in an article, in a region that stays shut, the outermost region closed by its own name
+    stack: list[tuple[str, int, int, int, bool, bool, int]] = [("", 0, 0, 0, False, False, 0)]
     out: list[tuple[int, int, bool, str]] = []
+    region: list[int] = []
     text: list[str] = []
     depth: dict[str, int] = {}  # open elements by name
-    at = 0
+    at, n_regions, article = 0, 0, False
 
     def flush():
         if text:
             s = _SPACE.sub(" ", _html.unescape("".join(text))).strip()
             text.clear()
             if s:
-                _, node, strong, weak, main = stack[-1]
+                _, node, strong, weak, main, _, own = stack[-1]
                 out.append((node, CLOSED if strong else WEAK if weak else OPEN, main, s))
+                region.append(own if strong == 1 else 0)
 
     def pop():
         depth[stack.pop()[0]] -= 1
@@ -122,22 +132,39 @@ def blocks(page: str) -> tuple[list[tuple[int, int, bool, str]], list[tuple[int,
             continue
         while len(stack) > 1 and name in CLOSED_BY.get(stack[-1][0], ()):
             pop()
-        words = {w for a in _ATTR.finditer(m[3]) for w in re.split(r"[^a-z0-9]+", (a[2] or a[3] or a[4] or "").lower())} if m[3] else set()
+        tokens = [t for a in _ATTR.finditer(m[3]) for t in (a[2] or a[3] or a[4] or "").lower().split()] if m[3] else ()
+        words = {w for t in tokens if not t.startswith(HOLDS) for w in re.split(r"[^a-z0-9]+", t)}
         if name in VOID or m[3].endswith("/"):
             continue
-        _, parent, strong, weak, main = stack[-1]
-        page_wide = name in ("html", "body")
-        is_weak = (name == "header" and main) or (not page_wide and not WEAK_WORDS.isdisjoint(words))
-        is_strong = (name in NO_CONTENT and not (name == "header" and main)) or (not page_wide and not STRONG_WORDS.isdisjoint(words))
+        _, parent, strong, weak, main, shut, own = stack[-1]
+        comments = not COMMENT_WORDS.isdisjoint(words)
+        if name in CONTENT_ROLE and not (article or shut or comments):
+            # the page's first article: names on it and around it are no proof
+            article, strong, weak, own, words = True, 0, 0, 0, set()
+        by_word = name not in ("html", "body")
+        is_weak = (name == "header" and main) or (by_word and not WEAK_WORDS.isdisjoint(words))
+        is_strong = (name in NO_CONTENT and not (name == "header" and main)) or (by_word and not STRONG_WORDS.isdisjoint(words))
         label = name + ("!" if is_strong else "?" if is_weak else "")
         node = child.get((parent, label))
         if node is None:
             node = child[parent, label] = len(nodes)
             nodes.append((parent, label))
-        stack.append((name, node, strong + is_strong, weak + is_weak, main or name in CONTENT_ROLE or (name == "div" and "main" in words)))
+        stays = is_strong and (name in SHUT or comments)
+        if is_strong and not strong and not stays and name not in NO_CONTENT - {"form", "fieldset"}:
+            n_regions += 1
+            own = n_regions
+        is_main = main or name in CONTENT_ROLE or (name == "div" and "main" in words)
+        stack.append((name, node, strong + is_strong, weak + is_weak, is_main, shut or stays, own))
         depth[name] = depth.get(name, 0) + 1
     text.append(page[at:])
     flush()
+    if any(region) and not any(main and kind != CLOSED for _, kind, main, _ in out):
+        size = [0] * (n_regions + 1)
+        for r, (*_, t) in zip(region, out, strict=True):
+            size[r] += len(t)
+        most = max(range(1, n_regions + 1), key=size.__getitem__)
+        if 2 * size[most] > sum(size):  # a region with most of the page's text is no menu
+            out = [(n, OPEN if r == most else k, m, t) for r, (n, k, m, t) in zip(region, out, strict=True)]
     return out, nodes
 
 

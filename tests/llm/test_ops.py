@@ -599,6 +599,19 @@ def test_pages_that_break_parsers(spark):
     assert sorted(got, key=str) == sorted([(k, t, len(t)) for k, (_, t) in cases.items()] + [(1, "again", 5), (None, "n", 1)], key=str)
 
 
+@pytest.mark.parametrize(
+    "around",
+    ["<div class='layout has-sidebar'>%s</div>", "<form action=x>%s</form>", "<article class=newsletter>%s</article>", "<article id='post-ad-astra'>%s</article>", "<div class='post with-comments'>%s</div>",
+     "<div class=modal>%s</div>", "<form><article>%s</article></form>", "<div class='widget wrap'><main>%s</main></div>"],
+)
+def test_names_around_a_whole_page_prove_nothing(spark, around):
+    """Menus, comments and the like inside such a page go all the same."""
+    rest = "<nav>Home</nav><div class=cookie-banner>We use cookies</div>%s<section class=comments><article>Nice, says %d</article></section><footer>Imprint</footer>"
+    rows = [(i, f"http://h.example/{i}", rest % (around % f"<h1>Title {i}</h1><div class=ads>Buy {i}</div><p>This is the story number {i} of many, and it goes on for a while.</p>", i)) for i in range(4)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i}\nThis is the story number {i} of many, and it goes on for a while." for i in range(4)}
+
+
 def brute_constants(rows):
     """Texts that fill a slot on more than half of a host's different pages, the slot found by aligning with one wrapper of all pages."""
     trees = {i: html.blocks(h) for i, h in rows}

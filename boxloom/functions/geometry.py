@@ -241,6 +241,16 @@ def best_class(scores: Column) -> Column:
     return F.struct(F.array_position(scores, m).cast("int").alias("label"), m.alias("score"))
 
 
+def confident(df, scores: Column, thr: float):
+    """``df`` with label and score of the best class, where that is above ``thr``."""
+    return df.withColumn("_best", best_class(scores)).select("*", "_best.label", "_best.score").drop("_best").where(F.col("score") > thr)
+
+
+def large_flag(b: Box, min_size: float) -> Column:
+    """Whether both sides reach ``min_size``."""
+    return (b.x2 - b.x1 + 1 >= min_size) & (b.y2 - b.y1 + 1 >= min_size)
+
+
 def aspect_flag(w: Column, h: Column) -> Column:
     return F.when(w / h > 1, 1).otherwise(0)
 

@@ -32,6 +32,16 @@ def assign_max_iou(
         boxes = whole.join(m, ["image_id", "box_id"], "left_anti")
     b, g = boxes.select("image_id", "box_id", *XY), gts.select("image_id", "gt_id", *XY)
     p = iou_pairs(b, g, ["image_id"], cell=cell).select("image_id", "box_id", "gt_id", "iou")
+    t = _by_pairs(boxes, g, p, pos_thr, neg_thr, min_pos_iou, assign_all, require_overlap)
+    return t if out_of_it is None else t.unionByName(_left_out(out_of_it))
+
+
+def _left_out(boxes: DataFrame) -> DataFrame:
+    return boxes.select("*", F.lit(-1.0).alias("max_iou"), F.lit(None).cast("long").alias("gt_id"), F.lit(-1).alias("assigned"))
+
+
+def _by_pairs(boxes: DataFrame, g: DataFrame, p: DataFrame, pos_thr: float, neg_thr: float | tuple[float, float], min_pos_iou: float, assign_all: bool, require_overlap: bool) -> DataFrame:
+    """The three steps of :func:`assign_max_iou`, from pairs that overlap (image_id, box_id, gt_id, iou)."""
     alone = g.join(p.select("image_id", "gt_id").distinct(), ["image_id", "gt_id"], "left_anti") if min_pos_iou <= 0 and not require_overlap else None
     p = p.withColumn("gt_best", F.max("iou").over(Window.partitionBy("image_id", "gt_id")))
     low = (F.col("iou") == F.col("gt_best")) & (F.col("gt_best") >= min_pos_iou)
@@ -42,27 +52,34 @@ def assign_max_iou(
     a = p.groupBy("image_id", "box_id").agg(F.max("iou").alias("max_iou"), F.max_by("gt_id", F.struct("iou", -F.col("gt_id"))).alias("best"), F.max(F.when(low, F.col("gt_id"))).alias("claimed"))
     t = boxes.join(a, ["image_id", "box_id"], "left").withColumn("max_iou", F.coalesce("max_iou", F.lit(0.0)))
     if alone is not None:
-        z = alone.groupBy("image_id").agg(F.max("gt_id").alias("_alone")).join(b.groupBy("image_id").agg(F.min("box_id").alias("_first_box")), "image_id")
+        z = alone.groupBy("image_id").agg(F.max("gt_id").alias("_alone")).join(boxes.groupBy("image_id").agg(F.min("box_id").alias("_first_box")), "image_id")
         t = t.join(z, "image_id", "left").withColumn("claimed", F.greatest("claimed", "_alone" if assign_all else F.when(F.col("box_id") == F.col("_first_box"), F.col("_alone"))))
     lo, hi = (0.0, neg_thr) if isinstance(neg_thr, (int, float)) else neg_thr
     gt = F.coalesce("claimed", F.when(F.col("max_iou") >= pos_thr, F.col("best")))
     neg = (F.col("max_iou") >= lo) & (F.col("max_iou") < hi)
     t = t.select(*boxes.columns, "max_iou", gt.alias("gt_id"), F.when(gt.isNotNull(), 1).when(neg, 0).otherwise(-1).alias("assigned"))
-    if out_of_it is not None:
-        t = t.unionByName(out_of_it.select("*", F.lit(-1.0).alias("max_iou"), F.lit(None).cast("long").alias("gt_id"), F.lit(-1).alias("assigned")))
     return t
 
 
-def assign_approx_max_iou(approxs: DataFrame, squares: DataFrame, gts: DataFrame, pos_thr: float, neg_thr: float, min_pos_iou: float = 0.0) -> DataFrame:
-    """As above, with the IoU of a square being the greatest of its approximations (box_id of both the same)."""
-    p = iou_pairs(approxs.select("image_id", "box_id", *XY), gts.select("image_id", "gt_id", *XY), ["image_id"], min_iou=-1.0)
+def assign_approx_max_iou(
+    approxs: DataFrame, squares: DataFrame, gts: DataFrame, pos_thr: float, neg_thr: float | tuple[float, float], min_pos_iou: float = 0.0,
+    assign_all: bool = True, ignores: DataFrame | None = None, ignore_iof_thr: float = -1.0, wrt_candidates: bool = True, cell: float = 128.0,
+) -> DataFrame:
+    """As above, with the IoU of a square being the greatest of its approximations (box_id of both the same).
+
+    Squares that lie in an ignore region by more than ``ignore_iof_thr`` (if above 0) take no part; that test is on the squares
+    themselves, which then need their boxes. Approximations and truths meet in grid cells.
+    """
+    out_of_it = None
+    if ignores is not None and ignore_iof_thr > 0:
+        m = ignore_mask(squares.select("image_id", "box_id", *XY), ignores, ignore_iof_thr, "box_id", wrt_candidates).where("excluded").select("image_id", "box_id")
+        out_of_it, squares = squares.join(m, ["image_id", "box_id"], "left_semi"), squares.join(m, ["image_id", "box_id"], "left_anti")
+        approxs = approxs.join(m, ["image_id", "box_id"], "left_anti")
+    g = gts.select("image_id", "gt_id", *XY)
+    p = iou_pairs(approxs.select("image_id", "box_id", *XY), g, ["image_id"], cell=cell)
     p = p.groupBy("image_id", "box_id", "gt_id").agg(F.max("iou").alias("iou"))
-    p = p.withColumn("gt_best", F.max("iou").over(Window.partitionBy("image_id", "gt_id")))
-    low = (F.col("iou") == F.col("gt_best")) & (F.col("gt_best") >= min_pos_iou)
-    a = p.groupBy("image_id", "box_id").agg(F.max("iou").alias("max_iou"), F.max_by("gt_id", F.struct("iou", -F.col("gt_id"))).alias("best"), F.max(F.when(low, F.col("gt_id"))).alias("claimed"))
-    t = squares.join(a, ["image_id", "box_id"], "left").withColumn("max_iou", F.coalesce("max_iou", F.lit(0.0)))
-    gt = F.coalesce("claimed", F.when(F.col("max_iou") >= pos_thr, F.col("best")))
-    return t.select(*squares.columns, "max_iou", gt.alias("gt_id"), F.when(gt.isNotNull(), 1).when(F.col("max_iou") < neg_thr, 0).otherwise(-1).alias("assigned"))
+    t = _by_pairs(squares, g, p, pos_thr, neg_thr, min_pos_iou, assign_all, False)
+    return t if out_of_it is None else t.unionByName(_left_out(out_of_it))
 
 
 def assign_points(points: DataFrame, gts: DataFrame, scale: float = 4.0, pos_num: int = 3) -> DataFrame:
@@ -149,6 +166,12 @@ def anchor_targets(assigned: DataFrame, gts: DataFrame, means=(0.0,) * 4, stds=(
     )
 
 
+def target_totals(assigned: DataFrame) -> DataFrame:
+    """One row (n_pos, n_neg): what losses are averaged by. Every image counts at least one of each, also where it has none."""
+    per = assigned.groupBy("image_id").agg(F.count_if(F.col("assigned") == 1).alias("p"), F.count_if(F.col("assigned") == 0).alias("n"))
+    return per.agg(F.sum(F.greatest("p", F.lit(1))).alias("n_pos"), F.sum(F.greatest("n", F.lit(1))).alias("n_neg"))
+
+
 def point_targets(assigned: DataFrame, gts: DataFrame, pos_weight: float = -1.0) -> DataFrame:
     """label, label_weight, the truth's own box t_x1.. (zeros unless positive) and bbox_weight: targets of points and shapes."""
     t = anchor_targets(assigned.where("x2 >= x1 AND y2 >= y1"), gts, pos_weight=pos_weight).drop("d0", "d1", "d2", "d3")

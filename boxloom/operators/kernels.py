@@ -57,11 +57,13 @@ def vote(boxes: np.ndarray, thr: float) -> np.ndarray:
     return lead
 
 
-def match_imagenet(dets: np.ndarray, gts: np.ndarray, ignore: np.ndarray, thr: float) -> tuple[np.ndarray, np.ndarray]:
-    """(tp, fp) of detections by score. Boxes start one pixel earlier; small truths have a smaller threshold."""
+def match_imagenet(dets: np.ndarray, gts: np.ndarray, ignore: np.ndarray, thr: float, within: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(tp, fp) of detections by score. Boxes start one pixel earlier; small truths have a smaller threshold. ``within``: whether a
+    detection without a truth counts."""
     tp, fp = np.zeros(len(dets), int), np.zeros(len(dets), int)
+    within = np.ones(len(dets), bool) if within is None else within
     if not len(gts):
-        return tp, np.ones(len(dets), int)
+        return tp, within.astype(int)
     g, d = gts - 1.0, dets - 1.0
     w, h = g[:, 2] - g[:, 0] + 1, g[:, 3] - g[:, 1] + 1
     need = np.minimum(w * h / ((w + 10) * (h + 10)), thr)
@@ -74,7 +76,7 @@ def match_imagenet(dets: np.ndarray, gts: np.ndarray, ignore: np.ndarray, thr: f
             taken[j] = True
             tp[i] = int(not ignore[j])
         else:
-            fp[i] = 1
+            fp[i] = int(within[i])
     return tp, fp
 
 

@@ -38,6 +38,19 @@ def robustness(results: DataFrame, metric: str = "ap", aggregate: str = "benchma
     return one.select("p", "mpc", F.try_divide("mpc", "p").alias("rpc"))
 
 
+def unpivot_metrics(results: DataFrame, metrics: list[str]) -> DataFrame:
+    """corruption, severity, metric, value from one column per metric."""
+    return results.unpivot(["corruption", "severity"], metrics, "metric", "value")
+
+
+def robustness_by_metric(results: DataFrame, aggregate: str = "benchmark", benchmark: int = 15) -> DataFrame:
+    """metric, p, mpc, rpc of every metric at once. ``results``: corruption, severity, metric, value."""
+    ok = (F.col("severity") >= 1) & ((F.col("corruption") < benchmark) if aggregate == "benchmark" else F.lit(True))
+    clean = (F.col("severity") == 0) & (F.col("corruption") == 0)
+    one = results.groupBy("metric").agg(F.avg(F.when(clean, F.col("value"))).alias("p"), F.avg(F.when(ok, F.col("value"))).alias("mpc"))
+    return one.select("metric", "p", "mpc", F.try_divide("mpc", "p").alias("rpc"))
+
+
 def timing_report(timings: DataFrame) -> DataFrame:
     """timer, average, total, calls, weighted: ``timings`` has timer, seconds, n."""
     return timings.groupBy("timer").agg(F.avg("seconds").alias("average"), F.sum("seconds").alias("total"), F.count("*").alias("calls"), (F.sum(F.col("seconds") * F.col("n")) / F.sum("n")).alias("weighted"))

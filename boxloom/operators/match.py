@@ -77,16 +77,26 @@ def _split(g: dict[str, np.ndarray]):
     return n, b[:n], b[n:]
 
 
-def match_imagenet(dets: DataFrame, gts: DataFrame, thr: float = 0.5) -> DataFrame:
-    """image_id, label, det_id, score, tp, fp under the size-dependent threshold; a truth is taken even if ignored."""
+def match_imagenet(dets: DataFrame, gts: DataFrame, thr: float = 0.5, area_ranges: Sequence[tuple[float, float]] | None = None) -> DataFrame:
+    """image_id, label, det_id, score, tp, fp under the size-dependent threshold; a truth is taken even if ignored.
+
+    With ``area_ranges`` a row per range (range_idx): truths outside it count as ignored, detections outside it without a truth for nothing.
+    """
 
     def run(g):
         n, d, t = _split(g)
-        tp, fp = kernels.match_imagenet(d, t, g["is_ignore"][n:].astype(bool), thr)
-        return [g["image_id"][:n], g["label"][:n], g["id"][:n], g["score"][:n], tp, fp] if n else None
-
-    keys = ["image_id", "label"]
-    return per_group(_both(dets, gts, keys), keys, _order(), run, "image_id long, label long, det_id long, score double, tp int, fp int")
+        if not n:
+            return None
+        ign = g["is_ignore"][n:].astype(bool)
+        size = lambda b: (b[:, 2] - b[:, 0] + 1) * (b[:, 3] - b[:, 1] + 1)
+        own = [g["image_id"][:n], g["label"][:n], g["id"][:n], g["score"][:n]]
+        if area_ranges is None:
+            return [*own, *kernels.match_imagenet(d, t, ign, thr)]
+        got = [kernels.match_imagenet(d, t, ign | (size(t) < lo) | (size(t) >= hi), thr, (size(d) >= lo) & (size(d) < hi)) for lo, hi in area_ranges]
+        return [*[np.tile(c, len(got)) for c in own], np.concatenate([x for x, _ in got]), np.concatenate([x for _, x in got]), np.repeat(np.arange(len(got)), n)]
+
+    keys, more = ["image_id", "label"], "" if area_ranges is None else ", range_idx int"
+    return per_group(_both(dets, gts, keys), keys, _order(), run, f"image_id long, label long, det_id long, score double, tp int, fp int{more}")
 
 
 AREAS = {"all": (0.0, 1e10), "small": (0.0, 32.0**2), "medium": (32.0**2, 96.0**2), "large": (96.0**2, 1e10)}

@@ -55,14 +55,32 @@ def map_report(dets: DataFrame, gts: DataFrame, iou_thr: float = 0.5, mode: str
     return g.select("label", "n_gts", "n_dets", only("recall"), only("precision"), F.coalesce("ap", F.lit(0.0)).alias("ap"))
 
 
+def range_report(dets: DataFrame, gts: DataFrame, ranges: Sequence[tuple[float, float]], iou_thr: float = 0.5, mode: str = "area") -> DataFrame:
+    """As :func:`map_report` for each range of areas: range_idx, label, n_gts, n_dets, recall, precision, ap; n_dets counts all detections of a label."""
+    keys = ["range_idx", "label"]
+    n = _range_gts(gts, ranges)
+    curve = pr_curve(match_default(dets, gts, iou_thr, ranges), n, keys)
+    last = curve.groupBy(*keys).agg(F.count("*").alias("n_dets"), F.max("recall").alias("recall"), F.min_by("precision", F.struct("score", -F.col("det_id"))).alias("precision"))
+    t = n.join(last, keys, "left").join(average_precision(curve, keys, mode), keys, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    t = t.select(*keys, "n_gts", F.coalesce("n_dets", F.lit(0)).alias("n_dets"), zero("recall"), zero("precision"), zero("ap"))
+    mean = t.groupBy("range_idx").agg(F.sum("n_gts").alias("n_gts"), F.sum("n_dets").alias("n_dets"), F.coalesce(F.avg(F.when(F.col("n_gts") > 0, F.col("ap"))), F.lit(0.0)).alias("ap"))
+    return t.unionByName(mean, allowMissingColumns=True)
+
+
+def _range_gts(gts: DataFrame, ranges: Sequence[tuple[float, float]]) -> DataFrame:
+    """(range_idx, label, n_gts): truths of each range that count."""
+    g = gts.withColumn("_a", (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1))
+    rs = F.array(*[F.struct(F.lit(i).alias("range_idx"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for i, (a, b) in enumerate(ranges)])
+    g = g.withColumn("_r", F.explode(rs)).select("label", "_r.range_idx", (F.col("is_ignore") | (F.col("_a") < F.col("_r.lo")) | (F.col("_a") >= F.col("_r.hi"))).alias("is_ignore"))
+    return num_gts(g, ["range_idx", "label"])
+
+
 def eval_map(dets: DataFrame, gts: DataFrame, iou_thr: float = 0.5, scale_ranges: Sequence[tuple[float, float]] | None = None, mode: str = "area") -> DataFrame:
     """range_idx, map: the mean AP over labels with truths, per size range (bounds are squared)."""
     ranges = [(a * a, b * b) for a, b in scale_ranges] if scale_ranges else [(0.0, 1e10)]
     m = match_default(dets, gts, iou_thr, ranges)
-    g = gts.withColumn("_a", (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1))
-    rs = F.array(*[F.struct(F.lit(i).alias("range_idx"), F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for i, (a, b) in enumerate(ranges)])
-    g = g.withColumn("_r", F.explode(rs)).select("label", "_r.range_idx", (F.col("is_ignore") | (F.col("_a") < F.col("_r.lo")) | (F.col("_a") >= F.col("_r.hi"))).alias("is_ignore"))
-    n = num_gts(g, ["range_idx", "label"])
+    n = _range_gts(gts, ranges)
     ap = average_precision(pr_curve(m, n, ["range_idx", "label"]), ["range_idx", "label"], mode)
     t = n.join(ap, ["range_idx", "label"], "left").where("n_gts > 0")
     return t.groupBy("range_idx").agg(F.avg(F.coalesce("ap", F.lit(0.0))).alias("map"))

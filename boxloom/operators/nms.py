@@ -205,6 +205,40 @@ def decode_head(
     return multiclass_nms(t, score_thr, iou_thr, max_per_img, factors, op)
 
 
+def decode_points(
+    raw: DataFrame, points: DataFrame, nms_pre: int = 1000, score_thr: float = 0.05, iou_thr: float = 0.5, max_per_img: int = 100, max_w=None, max_h=None, scale: float = 1.0, op: Callable = nms
+) -> DataFrame:
+    """Boxes of an image from point predictions: the best of each level by score times centre-ness, decoded from the distances to the sides, scaled
+    back, suppressed per class with scores times centre-ness.
+
+    ``raw``: image_id, point_idx, l, t, r, b, scores (foreground classes), centerness; ``points``: point_idx, level, x, y, a fixed grid.
+    """
+    from boxloom.functions.geometry import distance2bbox
+
+    t = raw.join(F.broadcast(points.select("point_idx", "level", "x", "y")), "point_idx")
+    t = topk_per(t.withColumn("_best", F.array_max("scores") * F.col("centerness")), ["image_id", "level"], [F.desc("_best"), F.asc("point_idx")], nms_pre)
+    b = distance2bbox(F.col("x"), F.col("y"), *[F.col(c) for c in ("l", "t", "r", "b")], max_w, max_h)
+    t = t.select("image_id", F.col("point_idx").cast("long").alias("box_id"), "scores", "centerness", *[(c / scale).alias(n) for c, n in zip(b, XY, strict=True)])
+    return multiclass_nms(t, score_thr, iou_thr, max_per_img, "centerness", op)
+
+
+def decode_cascade(
+    stages: DataFrame, rois: DataFrame, score_thr: float = 0.05, iou_thr: float = 0.5, max_per_img: int = 100, means=(0.0,) * 4, stds=(0.1, 0.1, 0.2, 0.2), max_w=None, max_h=None, scale: float = 1.0,
+    op: Callable = nms,
+) -> DataFrame:
+    """Boxes of an image from a cascade: scores are the mean over the stages, boxes those of the last stage.
+
+    ``stages``: image_id, box_idx, stage, scores (foreground classes); ``rois``: image_id, box_idx, box and dx, dy, dw, dh of the last stage.
+    """
+    from boxloom.functions.geometry import delta2bbox
+
+    s = stages.select("image_id", "box_idx", F.posexplode("scores").alias("label", "score"))
+    s = ensemble_scores(s).groupBy("image_id", "box_idx").agg(F.transform(F.array_sort(F.collect_list(F.struct("label", "score"))), lambda x: x["score"]).alias("scores"))
+    b = delta2bbox(box(), [F.col(c) for c in ("dx", "dy", "dw", "dh")], means, stds, max_w, max_h)
+    t = rois.select("image_id", "box_idx", *[(c / scale).alias(n) for c, n in zip(b, XY, strict=True)]).join(s, ["image_id", "box_idx"])
+    return multiclass_nms(t.withColumnRenamed("box_idx", "box_id"), score_thr, iou_thr, max_per_img, None, op)
+
+
 def rpn_proposals(
     raw: DataFrame, anchors: DataFrame, nms_pre: int = 2000, nms_post: int = 2000, max_num: int = 2000, nms_thr: float = 0.7, min_size: float = 0, across: bool = False,
     means=(0.0,) * 4, stds=(1.0,) * 4, max_w=None, max_h=None,

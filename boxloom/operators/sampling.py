@@ -66,6 +66,30 @@ def sample_iou_balanced_neg(assigned: DataFrame, num: int, num_bins: int = 3, se
     return t.where(F.col("_rn") <= num).drop("_bin", "_b", "_late", "_rn")
 
 
+def sample_floor_balanced_neg(assigned: DataFrame, num: int, num_bins: int = 3, floor_thr: float = 0.0, floor_fraction: float = 0.0, seed: int = 0) -> DataFrame:
+    """``num`` negatives of each image: up to ``floor_fraction`` of them with a max_iou below ``floor_thr`` (0: that overlap nothing; negative: no such set),
+    the others in equal parts from ``num_bins`` equal bins up to the image's greatest max_iou, and what is short of either at random.
+
+    The greatest max_iou is that of all boxes of the image; one that equals it lies in no bin and comes in at random only.
+    """
+    t = assigned.withColumn("_top", F.max("max_iou").over(Window.partitionBy("image_id"))).where("assigned = 0")
+    low = F.lit(False) if floor_thr < 0 else F.col("max_iou") == 0 if floor_thr == 0 else F.col("max_iou") < floor_thr
+    n_iou, base = int(num * (1 - floor_fraction)), max(floor_thr, 0.0)
+    t = t.withColumn("_low", low.cast("int")).withColumn("_r", lcg(seed, F.col("box_id")))
+    step = (F.col("_top") - base) / num_bins
+    at = F.when(step > 0, F.floor((F.col("max_iou") - base) / step))
+    t = t.withColumn("_bin", F.when((at >= 0) & (at < num_bins), at))
+    w = lambda *keys: Window.partitionBy("image_id", *keys)
+    t = t.withColumn("_k", F.row_number().over(w("_low", "_bin").orderBy("_r", "box_id")))
+    t = t.withColumn("_late", (F.col("_bin").isNull() | (F.col("_k") > n_iou // num_bins)).cast("int") if num_bins >= 2 else F.lit(0))
+    t = t.withColumn("_rank", F.row_number().over(w("_low").orderBy(F.when(F.col("_low") == 0, F.col("_late")).otherwise(0), "_r", "box_id")))
+    n_high = F.sum(1 - F.col("_low")).over(w())
+    room = F.when(F.col("_low") == 0, F.lit(n_iou)).otherwise(F.lit(num) - F.least(n_high, F.lit(n_iou)))
+    t = t.withColumn("_out", (F.col("_rank") > room).cast("int"))
+    t = t.withColumn("_rn", F.row_number().over(w().orderBy("_out", "_r", "box_id")))
+    return t.where(F.col("_rn") <= num).select(*assigned.columns)
+
+
 def interleave(parts: Sequence[DataFrame], size: int, order: str) -> DataFrame:
     """Results of several ranks put together in turn (first of each rank, second of each ...), cut to ``size`` rows: position, rank."""
     from boxloom.operators.windows import cum_sum_by_rank

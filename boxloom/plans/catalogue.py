@@ -209,7 +209,7 @@ def k9_by_class(spark, sf_dir):
 
 @query("SELECT image_id, width, height, CASE WHEN width > height THEN 1 ELSE 0 END AS flag FROM fx_slides WHERE least(width, height) >= 1000")
 def f1_f10_filter_images(spark, sf_dir):
-    s = fixture(spark, sf_dir, "fx_slides").where(F.least("width", "height") >= 1000)
+    s = readers.filter_small_images(fixture(spark, sf_dir, "fx_slides"), 1000)
     return s.withColumn("flag", G.aspect_flag(F.col("width"), F.col("height")))
 
 
@@ -222,14 +222,13 @@ def f2_f4_images_with_truths(spark, sf_dir):
 
 @query("SELECT pred_id, CASE WHEN s1 >= s2 THEN 1 ELSE 2 END AS label, round(greatest(s1, s2), 6) AS score FROM fx_raw_preds WHERE greatest(s1, s2) > 0.3")
 def f7_f8_best_class(spark, sf_dir):
-    t = fixture(spark, sf_dir, "fx_raw_preds").withColumn("b", G.best_class(F.array("s1", "s2")))
-    return t.select("pred_id", "b.label", "b.score").where("score > 0.3").select("pred_id", "label", *r6("score"))
+    return G.confident(fixture(spark, sf_dir, "fx_raw_preds"), F.array("s1", "s2"), 0.3).select("pred_id", "label", *r6("score"))
 
 
 @query("SELECT det_id, x1 >= 5 AND y1 >= 5 AND x2 < 395 AND y2 < 295 AS inside, x2-x1+1 >= 40 AND y2-y1+1 >= 40 AS large FROM fx_dets")
 def f9_f11_flags(spark, sf_dir):
     b = G.box()
-    return fixture(spark, sf_dir, "fx_dets").select("det_id", ((b.x1 >= 5) & (b.y1 >= 5) & (b.x2 < 395) & (b.y2 < 295)).alias("inside"), ((b.x2 - b.x1 + 1 >= 40) & (b.y2 - b.y1 + 1 >= 40)).alias("large"))
+    return fixture(spark, sf_dir, "fx_dets").select("det_id", ((b.x1 >= 5) & (b.y1 >= 5) & (b.x2 < 395) & (b.y2 < 295)).alias("inside"), G.large_flag(b, 40).alias("large"))
 
 
 PAIR = "SELECT d.det_id, g.gt_id, {e} AS iou FROM fx_dets d JOIN fx_gts g ON d.image_id = g.image_id AND d.label = g.label WHERE {i} > 0"

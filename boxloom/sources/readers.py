@@ -24,7 +24,7 @@ def with_labels(df: DataFrame, classes: Sequence[str], on_unknown: str = "error"
 
 
 #: Data set names and the names they stand for.
-ALIASES = {"voc": ["voc", "pascal_voc", "voc07", "voc12"], "coco": ["coco", "mscoco", "ms_coco"], "wider_face": ["WIDERFaceDataset", "wider_face", "WDIERFace"], "cityscapes": ["cityscapes"]}
+ALIASES = {"voc": ["voc", "pascal_voc", "voc07", "voc12"], "imagenet_det": ["det", "imagenet_det", "ilsvrc_det"], "imagenet_vid": ["vid", "imagenet_vid", "ilsvrc_vid"], "coco": ["coco", "mscoco", "ms_coco"], "wider_face": ["WIDERFaceDataset", "wider_face", "WDIERFace"], "cityscapes": ["cityscapes"]}
 
 
 def resolve_dataset(name: str) -> str:
@@ -35,6 +35,36 @@ def resolve_dataset(name: str) -> str:
     raise ValueError(f"unknown data set {name!r}")
 
 
+#: The classes of the data sets, in the order of their labels.
+CLASSES = {
+    "voc": "aeroplane bicycle bird boat bottle bus car cat chair cow diningtable dog horse motorbike person pottedplant sheep sofa train tvmonitor",
+    "imagenet_vid": "airplane antelope bear bicycle bird bus car cattle dog domestic_cat elephant fox giant_panda hamster horse lion lizard monkey motorcycle rabbit "
+    "red_panda sheep snake squirrel tiger train turtle watercraft whale zebra",
+    "coco": "person bicycle car motorcycle airplane bus train truck boat traffic_light fire_hydrant stop_sign parking_meter bench bird cat dog horse sheep cow elephant "
+    "bear zebra giraffe backpack umbrella handbag tie suitcase frisbee skis snowboard sports_ball kite baseball_bat baseball_glove skateboard surfboard tennis_racket "
+    "bottle wine_glass cup fork knife spoon bowl banana apple sandwich orange broccoli carrot hot_dog pizza donut cake chair couch potted_plant bed dining_table toilet "
+    "tv laptop mouse remote keyboard cell_phone microwave oven toaster sink refrigerator book clock vase scissors teddy_bear hair_drier toothbrush",
+    "wider_face": "face",
+    "cityscapes": "person rider car truck bus train motorcycle bicycle",
+}
+
+
+def class_names(spark: SparkSession, name: str, path: str | None = None) -> list[str]:
+    """The classes behind a data set's name or alias. A long list that is not kept here (imagenet_det) is read from ``path``, a name a line."""
+    known = resolve_dataset(name)
+    if path is not None:
+        text = spark.read.text(path, wholetext=True).first()  # one file, a few hundred lines
+        return [v.strip() for v in (text["value"] if text else "").splitlines() if v.strip()]
+    if known not in CLASSES:
+        raise ValueError(f"the classes of {known} are read from a file: give its path")
+    return CLASSES[known].split()
+
+
+def filter_small_images(images: DataFrame, min_size: int) -> DataFrame:
+    """Images whose shorter side is at least ``min_size``."""
+    return images.where(F.least("width", "height") >= min_size)
+
+
 def parse_roi(rows: DataFrame, classes: Sequence[str], inclusive: bool = True) -> tuple[DataFrame, DataFrame]:
     """(images, gts) from rows (filename, json). ``inclusive=False`` is the display variant without the -1."""
     t = rows.select("filename", F.from_json("json", ROI).alias("r"))

@@ -81,6 +81,11 @@ def to_rois(dets: DataFrame, images: DataFrame) -> DataFrame:
     return dets.join(images.select("image_id", "batch_ind"), "image_id").select("batch_ind", "det_id", "x1", "y1", "x2", "y2")
 
 
+def from_rois(rois: DataFrame, images: DataFrame) -> DataFrame:
+    """The reverse of :func:`to_rois`: boxes by the image whose number in the batch they carry."""
+    return rois.join(images.select("batch_ind", "image_id"), "batch_ind").select("image_id", *[c for c in rois.columns if c != "batch_ind"])
+
+
 def by_class(images: DataFrame, dets: DataFrame, labels: Sequence[int]) -> DataFrame:
     """image_id, label, dets: every class of every image, empty ones too."""
     item = F.struct((-F.col("score")).alias("neg"), "det_id", "x1", "y1", "x2", "y2")

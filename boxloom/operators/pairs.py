@@ -139,9 +139,11 @@ def anti_images(images: DataFrame, gts: DataFrame) -> DataFrame:
     return images.join(gts, "image_id", "left_anti")
 
 
-def placeable(cands: DataFrame, boxes: DataFrame, iou_max: float = 0.05, cov_max: float = 0.1) -> DataFrame:
-    """Candidates (c_x1..) that touch none of the image's boxes too much; no +1 rule."""
-    c, b = box("c_"), box("b_")
-    other = boxes.select(F.col("image_id").alias("b_image"), *[F.col(x).alias("b_" + x) for x in XY])
-    bad = (iou(c, b, offset=0) > iou_max) | (coverage(c, b) > cov_max) | (coverage(b, c) > cov_max)
-    return cands.join(other, (F.col("image_id") == F.col("b_image")) & bad, "left_anti")
+def placeable(cands: DataFrame, boxes: DataFrame, iou_max: float = 0.05, cov_max: float = 0.1, cell: float = 128.0) -> DataFrame:
+    """Candidates (c_x1..) that touch none of the image's boxes too much; no +1 rule. They meet in grid cells; equal candidates share a verdict."""
+    c, b = box("d_"), box("g_")
+    mine = cands.select("image_id", *[F.col("c_" + x).alias(x) for x in XY]).distinct()
+    p = iou_pairs(mine, boxes.select("image_id", *XY), ["image_id"], cell=cell, offset=0)
+    bad = p.where((F.col("iou") > iou_max) | (coverage(c, b) > cov_max) | (coverage(b, c) > cov_max))
+    bad = bad.select("image_id", *[F.col("d_" + x).alias("c_" + x) for x in XY]).distinct()
+    return cands.join(bad, ["image_id", *["c_" + x for x in XY]], "left_anti").select(*cands.columns)

@@ -10,8 +10,9 @@ from boxloom.functions import geometry as G
 from boxloom.functions import tables as table_functions
 from boxloom.operators import assign, coco, grids, location, logs, metrics, nms, placement, sampling
 from boxloom.operators.tables import shared_dir
-from boxloom.plans.catalogue import A2_SQL, ASSIGN_SQL, LCG, TILES_SQL, XY, _assigned, iou_sql, nms_sql, query, r6
-from boxloom.plans.fixtures import fixture
+from boxloom.plans import more  # noqa: F401  (its SQL is used below)
+from boxloom.plans.catalogue import _SQL, A2_SQL, ASSIGN_SQL, CLIPS, COV, LCG, TILES_SQL, XY, _assigned, iou_sql, nms_sql, query, r6
+from boxloom.plans.fixtures import fixture, with_views
 from boxloom.sources import devkit
 
 
@@ -280,3 +281,21 @@ def n12_decode_cascade(spark, sf_dir):
     stages = d.select("image_id", F.col("det_id").alias("box_idx"), F.explode(F.array(*[F.struct(F.lit(k).alias("stage"), scores(s).alias("scores")) for k, s in enumerate((1.0, 0.5, 0.25))])).alias("v")).select("image_id", "box_idx", "v.*")
     rois = d.select("image_id", F.col("det_id").alias("box_idx"), *XY, ((F.col("det_id") % 11 - 5) / 50.0).alias("dx"), F.lit(0.0).alias("dy"), ((F.col("det_id") % 7 - 3) / 10.0).alias("dw"), F.lit(0.0).alias("dh"))
     return nms.decode_cascade(stages, rois, 0.1, 0.5, 12, max_w=500, max_h=400).select("image_id", "label", "det_id", *r6("score", "x1"))
+
+
+# ------------------------------------------------------------------ SQL of queries that show another side of one with SQL
+
+
+def _all_sides(sql: str) -> str:
+    """The SQL of voted boxes with all four coordinates."""
+    head, tail = sql.split("g AS (SELECT image_id, label, lead", 1)
+    sums = ", ".join(f"sum({c}*score)/sum(score) AS v{c}, min({c}) AS s{c}" for c in XY)
+    sides = ", ".join(f"round(CASE WHEN members = 1 THEN s{c} ELSE v{c} END, 6) AS {c}" for c in XY)
+    return f"""{head}g AS (SELECT image_id, label, lead, count(*) AS members, max(score) AS score, {sums} FROM c GROUP BY 1, 2, 3)
+SELECT g.image_id, g.label, d.det_id, members, round(g.score, 6) AS score, {sides} FROM g JOIN d ON d.image_id = g.image_id AND d.label = g.label AND d.rn = g.lead"""
+
+
+_SQL["n5_bbox_voting"] = _all_sides(_SQL["n5_voted_boxes"])
+_SQL["a8_assign_points"] = _SQL["a8_nearest_points"]
+_WINDOWS = f"(SELECT image_id, wx1, wy1, wx1 + 200 AS wx2, wy1 + 200 AS wy2 FROM ({_SQL['d14_crop_windows']}) q) w"
+_SQL["d14_j7_crop_choice"] = with_views(f"SELECT image_id, gt_id, {CLIPS} FROM fx_gts JOIN {_WINDOWS} USING (image_id) WHERE {COV} > 0.5")

@@ -91,6 +91,27 @@ def test_match_imagenet(boxes, tables):
     assert {r.det_id: (r.tp, r.fp) for r in got} == exp
 
 
+def test_match_imagenet_by_area(boxes, tables):
+    """Each range by itself: truths outside it count for nothing, detections outside it without a truth neither."""
+    ranges, truths, exp = [(0.0, 1e10), (0.0, 900.0), (900.0, 1e10)], grouped(boxes[1], 2), {}
+    area = lambda b: (b[2] - b[0] + 1) * (b[3] - b[1] + 1)
+    for k, (lo, hi) in enumerate(ranges):
+        for key, group in grouped(boxes[0], 2).items():
+            taken = set()
+            for d in by_score(group):
+                best, own = None, -1.0
+                for t in truths.get(key, []):
+                    w, h = t[7] - t[5] + 1, t[8] - t[6] + 1
+                    o = iou(d[4:], t[5:])
+                    if t[2] not in taken and o >= min(w * h / ((w + 10) * (h + 10)), 0.5) and o > own:
+                        best, own = t, o
+                if best:
+                    taken.add(best[2])
+                exp[k, d[2]] = (int(bool(best) and not best[3] and lo <= area(best[5:]) < hi), int(not best and lo <= area(d[4:]) < hi))
+    got = match.match_imagenet(*tables, area_ranges=ranges).collect()
+    assert {(r.range_idx, r.det_id): (r.tp, r.fp) for r in got} == exp
+
+
 def recall_pairs(boxes, num, usable=lambda t: True):
     """(gt_id, iou): the best pair left over, again and again, among an image's ``num`` best proposals."""
     dets, out = grouped(boxes[0], 1), {}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from boxloom.functions import geometry as G
 from boxloom.functions import tables as table_functions
 from boxloom.operators import grids, kernels, location, masks, nms, placement, sampling
-from boxloom.sources import devkit, readers
+from boxloom.sources import devkit, readers, writers
 
 GT = "image_id long, gt_id long, label long, x1 double, y1 double, x2 double, y2 double"
 
@@ -264,10 +264,22 @@ def test_drawn_augmentations(spark):
     assert 0.45 < same.mean() < 0.6 and (t.x1 >= 10).all() and (t.x1 <= 10 + 300).all() and (t.y1 <= 5 + 150).all()
 
 
-def test_names_of_data_sets():
-    assert readers.resolve_dataset("pascal_voc") == "voc"
-    with pytest.raises(ValueError):
-        readers.resolve_dataset("nothing")
+def test_names_of_data_sets(spark, tmp_path):
+    assert readers.resolve_dataset("pascal_voc") == "voc" and readers.resolve_dataset("vid") == "imagenet_vid"
+    assert {k: len(readers.class_names(spark, k)) for k in ("voc07", "ms_coco", "ilsvrc_vid", "WDIERFace", "cityscapes")} == {"voc07": 20, "ms_coco": 80, "ilsvrc_vid": 30, "WDIERFace": 1, "cityscapes": 8}
+    (tmp_path / "names.txt").write_text("accordion\n airplane \n\nzebra\n")
+    assert readers.class_names(spark, "ilsvrc_det", str(tmp_path / "names.txt")) == ["accordion", "airplane", "zebra"]
+    for bad in ("nothing", "det"):
+        with pytest.raises(ValueError):
+            readers.class_names(spark, bad)
+
+
+def test_rois_there_and_back(spark):
+    dets = spark.createDataFrame([(7, 1, 1.0, 2.0, 3.0, 4.0), (9, 2, 5.0, 6.0, 7.0, 8.0)], "image_id long, det_id long, x1 double, y1 double, x2 double, y2 double")
+    images = spark.createDataFrame([(9, 0), (7, 1)], "image_id long, batch_ind int")
+    rois = writers.to_rois(dets, images)
+    assert {r.det_id: r.batch_ind for r in rois.collect()} == {1: 1, 2: 0}
+    assert sorted(map(tuple, writers.from_rois(rois, images).select(*dets.columns).collect())) == sorted(map(tuple, dets.collect()))
 
 
 def test_score_tiles_calls_a_detector_once_a_task(spark):

@@ -3,10 +3,10 @@
 From labelled texts one zstandard dictionary is trained for each label. A text is cut into pieces of ``CHUNK`` bytes that
 cover all of it; each piece is compressed with either dictionary and with none. The differences of the compressed sizes,
 normalised by the size without a dictionary and by the text's length, and the two sizes by the length, go through a logistic
-calibration fitted on labelled rows that the dictionaries have not seen. Neither the plain ratio nor the length is a feature. Labels come only from
+calibration fitted on labelled rows that the dictionaries have not seen. Together they hold the plain ratio too. Labels come only from
 rows whose crc32(doc_id) mod 5 is not 0; the score uses the text alone. ``CHUNK`` was picked on the calibration's own rows.
 
-Training takes at most ``TRAIN_ROWS`` rows of each label and ``TRAIN_BYTES`` bytes of text, the first ones in the order of
+Training takes at most ``TRAIN_ROWS`` rows of each label (one of each id) and ``TRAIN_BYTES`` bytes of text, the first ones in the order of
 a hash of the id: a bounded sample of whole texts of up to ``TRAIN_TEXT`` bytes (longer ones are passed over, not cut).
 
 Defined results: null texts count as empty; an empty text gets the share of good labels in the sample. Without labelled rows of
@@ -73,7 +73,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> dict | None:
     for q in (0, 1):
         # ids first, so that only the sampled texts travel
         ids = lab.where(F.col("quality") == q).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(TRAIN_ROWS).select("doc_id")
-        got = rows.join(F.broadcast(ids), "doc_id").select(F.md5(F.col("doc_id").cast("string")).alias("k"), "doc_id", F.octet_length("text").alias("n"), F.when(F.octet_length("text") <= TRAIN_TEXT, F.col("text")).alias("text"))
+        got = rows.join(F.broadcast(ids), "doc_id").select("doc_id", F.octet_length("text").alias("n"), F.when(F.octet_length("text") <= TRAIN_TEXT, F.col("text")).alias("text"))
+        # one row of an id, its shortest text: as many rows as ids, however often one repeats
+        got = got.groupBy("doc_id").agg(F.min_by(F.struct("n", "text"), F.struct("n", F.md5("text"))).alias("r")).select(F.md5(F.col("doc_id").cast("string")).alias("k"), "doc_id", "r.*")
         w = F.sum(F.octet_length("text")).over(Window.orderBy("k", "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0))
         got = got.withColumn("b", w).where(F.coalesce("b", F.lit(0)) <= TRAIN_BYTES).orderBy("k", "doc_id", "n").collect()
         samples.append([r["text"].encode("utf-8", "surrogatepass") for r in got if r["text"] is not None])

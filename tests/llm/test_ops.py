@@ -425,6 +425,10 @@ def test_quality_sample_passes_over_long_texts(spark):
     docs = table(spark, rows + [(5000, None), (5001, ""), (5002, good() * 2000)])
     got = {r.doc_id: r for r in quality.classify(docs, lab).collect()}
     assert all(got[i].predicted == i % 2 for i, _ in rows) and 0 < got[5000].score < 1 and got[5000].score == got[5001].score and got[5002].predicted == 1
+    # an id that repeats counts once, whatever its number of rows
+    more = table(spark, [(3, rows[3][1])] * 3000 + [(i, t) for i, t in rows if i != 3])
+    a, b = quality.fit(more, lab), quality.fit(table(spark, rows), lab)
+    assert a["good"] == b["good"] and (a["w"] == b["w"]).all()
     with pytest.raises(ValueError):
         quality.fit(table(spark, [(i, t) for i, t in rows if i >= 1000 or i % 2]), lab)
     assert quality.classify(table(spark, []), lab).count() == 0

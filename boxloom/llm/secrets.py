@@ -1,8 +1,9 @@
 """Secret scan with a random forest for false-positive removal. DataFrame and SQL functions only.
 
 A candidate is a private-key block; a token of two or three dotted parts as web tokens have; any value of four or more characters
-assigned to a name that announces a secret; or a run of 12 or more characters ``[A-Za-z0-9+/_-]`` that holds a digit. Its
-features: length, shares of character classes, counts of class transitions along the string, entropy, the share of its letters
+assigned to a name that announces a secret (quoted ones whole, passphrases to the end of the line, else up to white space, a quote, comma
+or semicolon; the name may go on for 40 characters, and up to 8 spaces lie on either side of the sign); or a run of 12 or more characters
+``[A-Za-z0-9+/_-]`` that holds a digit. Its features: length, shares of character classes, counts of class transitions along the string, entropy, the share of its letters
 covered by a dictionary of the corpus' own frequent words (``dictionary_words``, at most ``MOST_WORDS``), a hash and flags of the path,
 and hashes and flags of the neighbouring words, as far as they lie within ``CONTEXT`` characters. A random forest
 trained on labelled findings gives the probability that a candidate is a secret.
@@ -29,11 +30,17 @@ from pyspark.sql import types as T
 from boxloom.llm.common import write_table
 
 #: The candidate pattern, names that announce a secret, key prefixes of providers, test-like paths.
-ANNOUNCE = r"(?i)(token|passw(or)?d|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)"
+_NAME = r"(?i:token|pass(?:word|wd|phrase|code)?|pwd|secret|(?:api|access|private)[_-]?key|credential|auth)"
+_REST, _SIGN = r"(?i:[a-z0-9_.\-]{0,40})", r"[\"']?\s{0,8}(?:=>|:=|[:=])\s{0,8}"
+ANNOUNCE = _NAME
+#: In this order: a key block, a web token, a quoted value of an announcing name up to its closing quote, a passphrase up to the end of its line,
+#: another value of an announcing name, a long run with a digit.
 CANDIDATE = (
     r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,20}PRIVATE KEY-----"
     r"|(?=eyJ)(?<![A-Za-z0-9+/_\-])eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(?:\.[A-Za-z0-9_\-]+)?"
-    r"|(?<=[:=\s\"'])(?<=[:=>]|[:=>][\s\"']|[:=>]\s[\s\"']|[:=>]\s\s[\"'])(?<=(?i:token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)(?i:[a-z_]{0,8})[\"']?\s{0,2}(?:=>|:=|[:=])\s{0,2}[\"']?)(?![=:>\s\"'])[^\s\"',;]{3,}[^\s\"',;.)]"
+    rf"|(?<=[\"'])(?<=[:=>]\s{{0,8}}[\"'])(?<={_NAME}{_REST}{_SIGN}[\"'])[^\"'\n]{{4,}}(?=[\"'])"
+    rf"|(?<=[:=>\s])(?<=[:=>]\s{{0,8}})(?<=(?i:passphrase){_REST}{_SIGN})(?![=:>\s\"'])[^\"'\n]{{3,}}[^\s\"',;.)]"
+    rf"|(?<=[:=>\s\"'])(?<=[:=>]\s{{0,8}}[\"']?)(?<={_NAME}{_REST}{_SIGN}[\"']?)(?![=:>\s\"'])[^\s\"',;]{{3,}}[^\s\"',;.)]"
     r"|(?<![A-Za-z0-9+/_\-])(?=[A-Za-z+/_\-]*[0-9])[A-Za-z0-9+/_\-]{12,}={0,2}"
 )
 PREFIXES = r"^(AKIA|ASIA|ghp_|gho_|ghs_|github_pat_|xox[abprs]-|sk_live_|rk_live_|AIza|glpat-|npm_|SG\.|eyJ|-----BEGIN)"

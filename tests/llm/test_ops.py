@@ -486,13 +486,20 @@ def test_secret_scan(spark):
 def brute_candidates(t):
     """Candidates of a text by plain scanning: (start, value)."""
     out, i = [], 0
-    name = re.compile(r"(?i)(token|password|passwd|pwd|secret|api[_-]?key|access[_-]?key|credential|auth)[a-z_]{0,8}[\"']?\s{0,2}(=>|:=|[:=])\s{0,2}[\"']?$")
+    sign = r"[a-z0-9_.\-]{0,40}[\"']?\s{0,8}(=>|:=|[:=])\s{0,8}"
+    name = re.compile(r"(?i)(token|pass(word|wd|phrase|code)?|pwd|secret|(api|access|private)[_-]?key|credential|auth)" + sign + r"([\"']?)$")
+    phrase = re.compile("(?i)passphrase" + sign + "$")
     while i < len(t):
         before = t[i - 1] if i else " "
         own = not re.match(r"[A-Za-z0-9+/_\-]", before)
         m = re.compile(r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]{0,20}PRIVATE KEY-----").match(t, i)
         m = m or (own and re.compile(r"eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}(\.[A-Za-z0-9_\-]+)?").match(t, i)) or None
-        if not m and name.search(t[max(0, i - 40) : i]) and not re.match(r"[=:>\s\"']", t[i]):
+        told = name.search(t[max(0, i - 90) : i])
+        if not m and told and told[told.lastindex]:
+            m = re.compile(r"[^\"'\n]{4,}(?=[\"'])").match(t, i)
+        if not m and phrase.search(t[max(0, i - 90) : i]) and not re.match(r"[=:>\s\"']", t[i]):
+            m = re.compile(r"[^\"'\n]{3,}[^\s\"',;.)]").match(t, i)
+        if not m and told and not re.match(r"[=:>\s\"']", t[i]):
             m = re.compile(r"[^\s\"',;]{3,}[^\s\"',;.)]").match(t, i)
         if not m and own:
             m = re.compile(r"[A-Za-z0-9+/_\-]{12,}={0,2}").match(t, i)
@@ -509,6 +516,10 @@ def test_secret_candidates_against_brute_force(spark):
     key = "-----BEGIN RSA PRIVATE KEY-----\nMIIabc123+/=\nxyz\n-----END RSA PRIVATE KEY-----"
     texts = ['password = "hunter2".', "pwd: P@ssw0rd!2024, x", "api_key=abcdefghijklmnop", f"a {key} b", "eyJhbGciOiJI.eyJzdWIiOiIx.SflKxwRJSM ok", "token = '' nothing", "the token is here",
              "AUTH_TOKEN := abcd1234efgh5678", "order 1234567890123456 and 0123", "x" * 11 + "1", "secret: a.b.c.d.e.", "id a1b2-c3d4-e5f6==", "word " * 100_000 + "token=zzzz9", "", "密 token = 密密密密密 x"]
+    found = {"password_for_database = hunter2xyz": "hunter2xyz", "token   =   abcd1234": "abcd1234", 'password = "a,b;c d"': "a,b;c d", "private_key = abcdEFGHijkl": "abcdEFGHijkl",
+             "DB_PASS=hunter22": "hunter22", "passphrase: correct horse battery": "correct horse battery", "api-key.for.mail.v2: 'xY z; 1'": "xY z; 1"}
+    assert all([v for _, v in brute_candidates(t)] == [want] for t, want in found.items())
+    texts += found
     got = {}
     for r in secrets.candidates(table(spark, list(enumerate(texts)))).collect():
         got.setdefault(r.doc_id, []).append((r.start, r.value))

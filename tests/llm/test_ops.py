@@ -324,6 +324,30 @@ def test_token_counts_table(spark, hard):
     assert got[150].n_tokens == 0
 
 
+def test_token_counts_of_documents_by_plain_longest_match(spark):
+    """The real vocabulary over given documents, word by word: the longest piece, again and again."""
+    pieces = tokens.read_vocabulary(tokens.VOCABULARY)
+    known, most = set(pieces), max(map(len, pieces))
+    counted: dict[bytes, int] = {}
+
+    def plain(w):
+        at = k = 0
+        while at < len(w):
+            at += next((n for n in range(min(most, len(w) - at), 0, -1) if w[at : at + n] in known), 1)
+            k += 1
+        return k
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 400")
+    texts = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    for r in tokens.token_counts(docs, pieces).collect():
+        words = texts[r.doc_id].split()
+        for w in words:
+            if w not in counted:
+                counted[w] = plain(b" " + w)
+        assert (r.n_words, r.n_tokens, r.n_bytes) == (len(words), sum(counted[w] for w in words), len(texts[r.doc_id]))
+    assert len(texts) >= 300 and len(counted) > 5000
+
+
 # ------------------------------------------------------------------ 8
 
 

@@ -190,6 +190,29 @@ def test_near_dedup_branches_large_nodes(spark, monkeypatch):
     assert np.mean([got[i] == exp[i] for i in exp]) >= 0.99
 
 
+def test_near_dedup_salts_keep_the_rows(spark, monkeypatch):
+    head = [f"h{k}" for k in range(100)]  # a header that all share: one group of unlinked documents, 96 of 224 shingles
+    seen, kept = [], minhash.salted
+
+    def watched(df, hot, key, by):
+        out = kept(df, hot, key, by)
+        if key == "node":
+            seen.append((df.count(), out.count(), hot.count()))
+        return out
+
+    monkeypatch.setattr(minhash, "salted", watched)
+    monkeypatch.setattr(minhash, "NODE_SIZE", 8)
+    monkeypatch.setattr(minhash, "HOT_ROWS", 20)  # the header's nodes are hot
+    runs = []
+    for n in (60, 120):
+        seen.clear()
+        rows = [(i, " ".join(head + [f"o{i}x{k}" for k in range(60)])) for i in range(n)]
+        assert minhash.near_dedup(table(spark, rows)).where("kept").count() == n
+        assert any(hot for _, _, hot in seen) and all(made == rows for rows, made, _ in seen)
+        runs.append(seen[0][1])
+    assert runs == [60 * len(minhash.ROOTS), 120 * len(minhash.ROOTS)]
+
+
 def test_near_copies_go_by_text(spark, monkeypatch):
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     rows = [(5, a), (5, b), (7, b + " more"), (None, a + " more"), (None, "alone"), (3, a + " x"), (None, None), (8, ""), (9, "ha " * 300_000), (12, "ha " * 300_000)]

@@ -14,7 +14,8 @@ A document's set holds the hashes (64 bits) of its distinct runs of five words,
    (``POSITIONS`` minwise tokens of 16 bits), then on full sets. A larger one branches: its path draws ``BRANCH`` positions, and its
    documents go on to the children of their tokens there. What a level has linked needs no comparing in the next.
 5. A large node whose children would hold as many pairs as itself (its documents are alike without being linked), and what is
-   large after ``DEPTH`` levels, is cut into blocks instead, and every pair of blocks is compared in a task of its own.
+   large after ``DEPTH`` levels, is cut into blocks instead, and every pair of blocks is compared in a task of its own. Documents
+   that meet in several such nodes are compared in one of them.
 
 Recall. A pair at the threshold agrees in a position with 0.75, so it stays together in a child at each level with
 1 - 0.25 ** BRANCH = 0.984. It is missed if it meets in none of the ``len(ROOTS)`` = 10 roots or is parted below each: with
@@ -29,7 +30,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import HOT_KEYS, U, chunks, gram_hashes, hot_keys, mix, over_salts, partitions, salted, word_table, write_table
@@ -293,30 +294,51 @@ def _size(rows: int) -> int:
     return max(HOT_ROWS, rows // HOT_KEYS)
 
 
+def _parts(counts: DataFrame, key: str, count: str, size: int) -> DataFrame:
+    """(key, parts) of the keys with more than ``size`` rows; if there are none, of the largest one.
+
+    Spark drops a join with an empty table at run time. With a row always there, the plan and its row counts do not hang on whether a key is hot.
+    """
+    top = counts.agg(F.max(F.struct(count, key)).alias("x")).select("x.*").where(F.col(count) <= size)
+    return counts.select(key, count).where(F.col(count) > size).unionByName(top.select(key, count)).select(key, F.ceil(F.col(count) / size).cast("int").alias("parts"))
+
+
 def _with_sums(rows: DataFrame, sums: DataFrame, key: str, count: str, size: int) -> DataFrame:
     """``rows`` joined with ``sums`` (a row per key, ``count`` its rows), the rows of large keys dealt over several tasks."""
-    hot = sums.where(F.col(count) > size).select(key, F.ceil(F.col(count) / size).cast("int").alias("parts"))
+    hot = _parts(sums, key, count, size)
     return salted(rows, hot, key, "rep").join(over_salts(sums, hot, key).hint("merge"), [key, "salt"]).drop("salt")
 
 
+def _block_size():
+    """Documents of a block of a node (m, work)."""
+    return F.least(F.greatest(F.col("m") / F.ceil(2 * F.sqrt(F.col("work") / F.lit(NODE_WORK))), F.lit(1.0)), F.lit(BLOCK_ROWS))
+
+
 def block_pairs(large: DataFrame) -> DataFrame:
     """Large nodes (node, rep, comp, n, work, m) to one node (node, rep, comp, n) for each pair of their blocks.
 
     Two blocks are within ``NODE_WORK`` together. Components above a block's size have blocks of their own, the others share.
+    Documents that are alike meet in many large nodes. The largest node of each is its home; the members of a node that share another home
+    have blocks of their own if they fill one, and these are not compared with each other here: their home does it.
     """
-    per = F.least(F.greatest(F.col("m") / F.ceil(2 * F.sqrt(F.col("work") / F.lit(NODE_WORK))), F.lit(1.0)), F.lit(BLOCK_ROWS))
-    large = large.withColumn("own", F.xxhash64("node", "comp"))
-    size = write_table(large.groupBy("node", "comp", "own").agg(F.count(F.lit(1)).alias("k"), F.max(per).alias("per")), "component_sizes")
-    few = size.where("k <= per").groupBy("node").agg(F.ceil(F.sum("k") / F.max("per")).alias("shared"))
-    size = write_table(size.join(few, "node", "left").select("own", "k", "per", "shared"), "component_sizes", [size])
-    own = F.xxhash64("node", "comp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / F.col("per"))))
-    block = F.when(F.col("k") > F.col("per"), own).otherwise(F.xxhash64("node", F.lit("shared"), F.pmod(F.xxhash64("comp"), "shared")))
-    rows = write_table(_with_sums(large, size, "own", "k", _size(large.count())).select("node", "rep", "comp", "n", block.alias("block")), "blocks", [size])
-    blocks = rows.groupBy("node", "block").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
-    other = blocks.select("node", F.col("block").alias("other"), F.col("c1").alias("d1"), F.col("c2").alias("d2"))
-    pairs = blocks.join(other, "node").where("block <= other AND least(c1, d1) < greatest(c2, d2)")
+    home = F.max(F.struct("m", "node")).over(Window.partitionBy("rep"))["node"]
+    large = write_table(large.select("node", "rep", "comp", "n", _block_size().alias("per"), home.alias("home")), "homes")
+    large = large.withColumn("cell", F.xxhash64("node", "home", "comp"))
+    cells = write_table(large.groupBy("node", "home", "comp", "cell").agg(F.count(F.lit(1)).alias("c"), F.max("per").alias("per")), "cells")
+    away = cells.groupBy("node", "home").agg(F.when(F.sum("c") >= F.max("per"), F.col("home")).otherwise(F.col("node")).alias("part"))
+    parted = write_table(cells.join(away, ["node", "home"]).drop("home"), "cells", [cells])
+    size = parted.groupBy("node", "part", "comp").agg(F.sum("c").alias("k"), F.max("per").alias("per"))
+    few = size.where("k <= per").groupBy("node", "part").agg(F.ceil(F.sum("k") / F.max("per")).alias("shared"))
+    size = size.drop("per").join(few, ["node", "part"], "left")
+    size = write_table(parted.join(size, ["node", "part", "comp"]).select("cell", "part", "c", "k", "shared"), "cells", [parted])
+    own = F.xxhash64("node", "part", "comp", F.pmod(F.xxhash64("rep"), F.ceil(F.col("k") / F.col("per"))))
+    block = F.when(F.col("k") > F.col("per"), own).otherwise(F.xxhash64("node", "part", F.lit("shared"), F.pmod(F.xxhash64("comp"), "shared")))
+    rows = write_table(_with_sums(large, size, "cell", "c", _size(large.count())).select("node", "part", "rep", "comp", "n", block.alias("block")), "blocks", [size, large])
+    blocks = rows.groupBy("node", "part", "block").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    other = blocks.select("node", F.col("part").alias("part2"), F.col("block").alias("other"), F.col("c1").alias("d1"), F.col("c2").alias("d2"))
+    pairs = blocks.join(other, "node").where("block <= other AND least(c1, d1) < greatest(c2, d2) AND (part <> part2 OR part = node)")
     pairs = pairs.select(F.xxhash64("node", "block", "other").alias("pair"), F.explode(F.array_distinct(F.array("block", "other"))).alias("block"))
-    return rows.drop("node").join(pairs, "block").select(F.col("pair").alias("node"), "rep", "comp", "n")
+    return rows.select("rep", "comp", "n", "block").join(pairs, "block").select(F.col("pair").alias("node"), "rep", "comp", "n")
 
 
 def branch(large: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -373,8 +395,9 @@ def near_components(reps: DataFrame, texts: DataFrame) -> DataFrame:
         branched = depth < DEPTH and not large.isEmpty()
         if branched:
             nodes, large = branch(large, sk)
-            nodes = write_table(nodes, "nodes")
-        todo = small.select("node", "rep", "comp", "n")
+            nodes, large = write_table(nodes, "nodes"), write_table(large, "stuck")
+        todo = small.unionByName(large.where(F.col("m") <= _block_size())).select("node", "rep", "comp", "n")  # one block is one task's work
+        large = large.where(F.col("m") > _block_size())
         if not large.isEmpty():
             todo = todo.unionByName(block_pairs(large))
         picked = write_table(_sketch_pass(todo.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep")), "picked")

@@ -213,6 +213,36 @@ def test_near_dedup_salts_keep_the_rows(spark, monkeypatch):
     assert runs == [60 * len(minhash.ROOTS), 120 * len(minhash.ROOTS)]
 
 
+def test_block_pairs_compare_a_pair_of_documents_in_one_node(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8.0)
+    rng = random.Random(5)
+
+    def made(nodes):
+        rows = [(k, r, r // 3 if r < 90 else 1000, 10, 10 * len(m) ** 2, len(m)) for k, m in nodes.items() for r in m]
+        out = minhash.block_pairs(spark.createDataFrame(rows, "node long, rep long, comp long, n long, work long, m long")).collect()
+        together = {}
+        for x in out:
+            together.setdefault(x.node, []).append((x.rep, x.comp))
+        got = {(p, q) for t in together.values() for p, c in t for q, d in t if p < q and c != d}
+        comp = {r: c for _, r, c, *_ in rows}
+        assert got == {(p, q) for m in nodes.values() for p in m for q in m if p < q and comp[p] != comp[q]}
+        return len(out)
+
+    one = made({7: range(120)})  # components of 3 and one of 30
+    assert made({k: range(120) for k in range(10)}) == one  # the same documents in ten nodes
+    assert made({k: rng.sample(range(120), 110) for k in range(10)}) < 5 * one
+    made({1: range(60), 2: range(40, 120), 3: [*range(10), *range(50, 70)], 4: range(115, 120), 5: [0, 118]})
+
+
+def test_near_dedup_joins_parts_without_hot_nodes_too(spark):
+    rows = spark.range(40).select((F.col("id") % 10).alias("node"), F.col("id").alias("rep"))
+    sums = minhash.write_table(rows.groupBy("node").agg(F.count("*").alias("k")), "sums")
+    for size in (2, 100):  # all nodes are hot, or none
+        out = minhash._with_sums(rows, sums, "node", "k", size)
+        assert sorted((r.node, r.rep, r.k) for r in out.collect()) == sorted((i % 10, i, 4) for i in range(40))
+        assert "LeftOuter" in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
 def test_near_copies_go_by_text(spark, monkeypatch):
     a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
     rows = [(5, a), (5, b), (7, b + " more"), (None, a + " more"), (None, "alone"), (3, a + " x"), (None, None), (8, ""), (9, "ha " * 300_000), (12, "ha " * 300_000)]

@@ -234,6 +234,24 @@ def test_block_pairs_compare_a_pair_of_documents_in_one_node(spark, monkeypatch)
     made({1: range(60), 2: range(40, 120), 3: [*range(10), *range(50, 70)], 4: range(115, 120), 5: [0, 118]})
 
 
+def test_near_stage_compares_documents_of_several_large_nodes_once(spark, monkeypatch):
+    head = [f"h{k}" for k in range(100)]  # a header that all share: 96 of 146 shingles of two documents
+    rows = [(i, " ".join(head + [f"o{i}x{k}" for k in range(21)])) for i in range(60)] + [(100, " ".join(head + [f"o7x{k}" for k in range(20)]))]
+    seen, kept = [], minhash.block_pairs
+
+    def watched(large):
+        apart = large.withColumn("rep", F.xxhash64("node", "rep"))  # the same nodes, but no document in two of them
+        seen.append((kept(large).count(), kept(apart).count()))
+        return kept(large)
+
+    monkeypatch.setattr(minhash, "block_pairs", watched)
+    monkeypatch.setattr(minhash, "NODE_SIZE", 8)
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", 8.0)
+    left = {r.doc_id for r in minhash.drop_near_copies(table(spark, rows)).collect()}
+    assert left == {c for _, c in brute_components(rows).values()} == set(range(60))
+    assert 0 < seen[0][0] < seen[0][1]
+
+
 def test_near_dedup_joins_parts_without_hot_nodes_too(spark):
     rows = spark.range(40).select((F.col("id") % 10).alias("node"), F.col("id").alias("rep"))
     sums = minhash.write_table(rows.groupBy("node").agg(F.count("*").alias("k")), "sums")

@@ -15,7 +15,7 @@ A document's set holds the hashes (64 bits) of its distinct runs of five words,
    documents go on to the children of their tokens there. What a level has linked needs no comparing in the next.
 5. A large node whose children would hold as many pairs as itself (its documents are alike without being linked), and what is
    large after ``DEPTH`` levels, is cut into blocks instead, and every pair of blocks is compared in a task of its own. Documents
-   that meet in several such nodes are compared in one of them.
+   with the same largest node of this kind are compared there, and not again in the others; those with different ones are.
 
 Recall. A pair at the threshold agrees in a position with 0.75, so it stays together in a child at each level with
 1 - 0.25 ** BRANCH = 0.984. It is missed if it meets in none of the ``len(ROOTS)`` = 10 roots or is parted below each: with

@@ -67,13 +67,13 @@ def hot_keys(df: DataFrame, key: str, per: int) -> DataFrame:
     return n.where(F.col("_k") > size).select(key, F.ceil(F.col("_k") / size).cast("int").alias("parts"))
 
 
-def salted(df: DataFrame, hot: DataFrame, key: str, by: str, salt: str = "salt") -> DataFrame:
+def salted(df: DataFrame, hot: DataFrame, key: str | list[str], by: str, salt: str = "salt") -> DataFrame:
     """``df`` with a salt: 0, or for a hot key one of its parts by the hash of ``by``."""
     out = df.join(F.broadcast(hot), key, "left")
     return out.withColumn(salt, F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(by), F.col("parts")).cast("int"))).drop("parts")
 
 
-def over_salts(df: DataFrame, hot: DataFrame, key: str, salt: str = "salt") -> DataFrame:
+def over_salts(df: DataFrame, hot: DataFrame, key: str | list[str], salt: str = "salt") -> DataFrame:
     """``df`` (a row per key) with a row for each salt of its key."""
     out = df.join(F.broadcast(hot), key, "left")
     return out.withColumn(salt, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")

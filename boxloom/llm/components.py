@@ -13,9 +13,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round every vertex points to its least neighbour (or itself), pointers are followed to their ends, and the links
     between the ends are the next round's. A round at least halves the vertices that still have links, so there are
-    about log2 rounds of the longest chain's length.
+    about log2 rounds of the longest chain's length. A link may stand there several times: the least neighbour is the same.
     """
-    edges = write_table(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    edges = write_table(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges")
     labels = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -35,7 +35,7 @@ def components(links: DataFrame) -> DataFrame:
             new = labels.join(ends, labels["component"] == ends["_id"], "left").select("id", F.coalesce("_p", "component").alias("component"))
         labels = write_table(new, "labels", [] if labels is None else [labels])
         e = edges.join(ends, F.col("a") == F.col("_id")).select(F.col("_p").alias("a"), "b").join(ends, F.col("b") == F.col("_id")).select("a", F.col("_p").alias("b"))
-        edges = write_table(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges", [edges, up])
+        edges = write_table(e.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "edges", [edges, up])
     if labels is None:
         labels = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return labels
@@ -54,8 +54,8 @@ def extend(labels: DataFrame, links: DataFrame) -> DataFrame:
         drop_table(links)
         return labels
     new = components(links)
-    hot = write_table(hot_keys(labels, "component", HOT_MEMBERS), "hot_components")
+    hot = hot_keys(labels, "component", HOT_MEMBERS)
     to = over_salts(new.select(F.col("id").alias("component"), F.col("component").alias("_to")), hot, "component")
     moved = salted(labels, hot, "component", "id").join(to.hint("merge"), ["component", "salt"], "left").select("id", F.coalesce("_to", "component").alias("component"))
     first = new.join(labels.select("id"), "id", "left_anti").select("id", "component")
-    return write_table(moved.unionByName(first), "labels", [labels, links, new, hot])
+    return write_table(moved.unionByName(first), "labels", [labels, links, new])

@@ -7,12 +7,13 @@ A document's set holds the hashes (64 bits) of its distinct runs of five words,
 1. Equal sets form a class; its smallest doc_id stands for it.
 2. Chosen paths. Each of ``TREES`` independent trees chooses minwise positions (1/lambda of them on average); documents that
    agree in the minwise token of a chosen position meet in a node.
-3. Contraction. In each node every document is offered to the node's smallest document; of its offers the one with
-   the best sketch is verified. Linked documents form components, and a node within one component is done. This
-   settles large groups of copies in work linear in their size.
+3. Contraction. In each node every document is offered to the node's smallest document; the one that it meets in most nodes, ``SHARED``
+   at least, is verified. Linked documents form components, and a node within one component is done. This settles large
+   groups of copies in work linear in their size; what it leaves out is compared in the nodes.
 4. Recursion. A node of at most ``NODE_SIZE`` documents is compared exhaustively, between components only: first by sketches
    (``POSITIONS`` minwise tokens of 16 bits), then on full sets. A larger one branches: its path draws ``BRANCH`` positions, and its
-   documents go on to the children of their tokens there. What a level has linked needs no comparing in the next.
+   documents go on to the children of their tokens there. What a level has linked needs no comparing in the next. A level costs
+   a dozen shuffles, so a child that makes one block (below) is compared exhaustively too and does not branch again.
 5. A large node whose children would hold as many pairs as itself (its documents are alike without being linked), and what is
    large after ``DEPTH`` levels, is cut into blocks instead, and every pair of blocks is compared in a task of its own. Documents
    with the same largest node of this kind are compared there, and not again in the others; those with different ones are.
@@ -48,6 +49,8 @@ BRANCH, DEPTH = 3, 6
 NODE_WORK, BLOCK_ROWS = 1 << 28, 512.0
 #: Members of a node from which its rows are dealt over several tasks.
 HOT_ROWS = 2_000
+#: Keys of nodes that are broadcast; more are joined by salts.
+BROADCAST_NODES = HOT_KEYS
 _A = mix(np.arange(1, POSITIONS + 1, dtype=U) * U(0x9E3779B97F4A7C15) + U(SEED)) | U(1)
 
 
@@ -60,6 +63,8 @@ def chosen(path: int, positions: int = POSITIONS, lam: float = THRESHOLD) -> lis
 
 #: Root branches of all trees: the distinct chosen positions.
 ROOTS = sorted({p for t in range(TREES) for p in chosen(t + 1)})
+#: Roots in which a document meets the one that it is verified with in the contraction; a pair at the threshold does with 0.98.
+SHARED = len(ROOTS) // 2
 
 
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
@@ -131,19 +136,6 @@ def _matrix(col) -> np.ndarray:
     return np.frombuffer(b"".join(col.to_pylist()), np.uint16).reshape(-1, POSITIONS)
 
 
-def best_pivots(pairs: DataFrame) -> DataFrame:
-    """(rep, pivot, s1, s2) with their agreement, where it is enough."""
-
-    def run(batches):
-        for b in batches:
-            if b.num_rows:
-                agree = (_matrix(b.column(2)) == _matrix(b.column(3))).sum(1)
-                ok = np.flatnonzero(agree >= AGREE)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ok)), b.column(1).take(pa.array(ok)), pa.array(agree[ok], pa.int64())], names=["rep", "pivot", "agree"])
-
-    return pairs.mapInArrow(run, "rep long, pivot long, agree long")
-
-
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The exact test on full sets."""
     if not len(a) or not len(b) or min(len(a), len(b)) * 100 < 75 * max(len(a), len(b)):
@@ -158,7 +150,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The rows (a, b) of ``pairs`` that are links. A text that stands in many pairs is joined where Spark can split it."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     needed = write_table(texts.join(ids.hint("merge"), "doc_id"), "pair_texts")  # the corpus moves once
-    hot = write_table(hot_keys(pairs, "b", HOT_ROWS), "hot_texts")
+    hot = hot_keys(pairs, "b", HOT_ROWS)  # a family's smallest document stands in the pairs of all of it
     left = salted(pairs.join(needed.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")).hint("merge"), "a"), hot, "b", "a")
     right = over_salts(needed.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), hot, "b")
 
@@ -355,7 +347,10 @@ def branch(large: DataFrame, sk: DataFrame) -> tuple[DataFrame, DataFrame]:
     gains = sizes.groupBy("node", "m").agg(F.sum(F.col("k") * F.col("k")).alias("pairs"))
     stuck = write_table(gains.where("pairs * 2 > m * m").select("node", F.col("m").alias("k")), "stuck_nodes")
     keys = stuck.select("node")
-    size = _size(rows.count())  # nodes are large: anti- and semi-joins of hot ones are left to broadcast or to salts
+    if stuck.count() <= BROADCAST_NODES:
+        gone = F.broadcast(keys)
+        return rows.join(gone, "node", "left_anti").select(F.col("child").alias("node"), "rep", "n"), large.join(gone, "node", "left_semi")
+    size = _size(rows.count())  # nodes are large: anti- and semi-joins of hot ones are left to salts
     hot = stuck.where(F.col("k") > size).select("node", F.ceil(F.col("k") / size).cast("int").alias("parts"))
     gone = over_salts(keys, hot, "node").hint("merge")
     kept = salted(rows, hot, "node", "rep").join(gone, ["node", "salt"], "left_anti").select(F.col("child").alias("node"), "rep", "n")
@@ -375,14 +370,10 @@ def near_components(reps: DataFrame, texts: DataFrame) -> DataFrame:
     nodes = reps.select(F.explode("roots").alias("node"), F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"))
     tops = write_table(nodes.groupBy("node").agg(F.min("rep").alias("pivot"), F.count(F.lit(1)).alias("k")).where("k > 1"), "tops")
     members = write_table(_with_sums(nodes, tops, "node", "k", _size(reps.count() * len(ROOTS))).drop("k"), "members", [tops])
-    # contraction: the best pivot of each document
-    pairs = write_table(members.where("rep <> pivot").select("rep", "pivot").distinct(), "pivots")
-    hot = write_table(hot_keys(pairs, "pivot", HOT_ROWS), "hot_pivots")  # a family's smallest document is the pivot of all of it
-    offers = pairs.join(sk.select(F.col("doc_id").alias("rep"), F.col("sketch").alias("s1")), "rep")
-    pivots = over_salts(sk.select(F.col("doc_id").alias("pivot"), F.col("sketch").alias("s2")), hot, "pivot")
-    offers = salted(offers, hot, "pivot", "rep").join(pivots.hint("merge"), ["pivot", "salt"]).select("rep", "pivot", "s1", "s2")
-    best = best_pivots(offers).groupBy("rep").agg(F.max(F.struct("agree", (-F.col("pivot")).alias("p"))).alias("x"))
-    offered = write_table(best.select(F.col("rep").alias("a"), (-F.col("x.p")).alias("b")), "offers", [pairs])
+    # contraction: all rows of a document, one for each root at most, go to one task
+    met = members.where("rep <> pivot").repartition(partitions(reps.sparkSession), "rep").groupBy("rep", "pivot").agg(F.count(F.lit(1)).alias("k"))
+    best = met.where(F.col("k") >= SHARED).groupBy("rep").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("x"))
+    offered = write_table(best.select(F.col("rep").alias("a"), (-F.col("x.p")).alias("b")), "offers")
     links = write_table(verify(offered, texts), "links", [offered])
     nodes, old, comp = members.select("node", "rep", "n"), [members], components(links)
     for depth in range(DEPTH + 1):
@@ -391,7 +382,8 @@ def near_components(reps: DataFrame, texts: DataFrame) -> DataFrame:
         sums = with_comp.groupBy("node").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2"), F.count(F.lit(1)).alias("m"), (F.count(F.lit(1)) * F.sum("n")).alias("work"))
         sums = write_table(sums.where("c1 < c2").drop("c1", "c2"), "node_sums")
         live = write_table(_with_sums(with_comp, sums, "node", "m", _size(with_comp.count())), "live", [with_comp, sums])
-        small, large = live.where(F.col("m") <= NODE_SIZE), live.where(F.col("m") > NODE_SIZE)
+        most = F.greatest(F.lit(float(NODE_SIZE)), _block_size()) if depth else F.lit(float(NODE_SIZE))
+        small, large = live.where(F.col("m") <= most), live.where(F.col("m") > most)
         branched = depth < DEPTH and not large.isEmpty()
         if branched:
             nodes, large = branch(large, sk)
@@ -401,7 +393,7 @@ def near_components(reps: DataFrame, texts: DataFrame) -> DataFrame:
         if not large.isEmpty():
             todo = todo.unionByName(block_pairs(large))
         picked = write_table(_sketch_pass(todo.join(sk.select(F.col("doc_id").alias("rep"), "sketch"), "rep")), "picked")
-        comp = extend(comp, write_table(_exact_pass(picked, texts).distinct(), "links", [picked, live]))
+        comp = extend(comp, write_table(_exact_pass(picked, texts), "links", [picked, live]))
         if not branched or nodes.isEmpty():
             break
         old = [nodes]
@@ -412,15 +404,18 @@ def _classes(docs: DataFrame) -> DataFrame:
     """``docs``: doc_id, text, own. Returns doc_id, own, n_shingles, component_id (null without words), one row per row."""
     sigs = write_table(signatures(docs), "signatures")
     usable = sigs.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = write_table(usable.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("doc_id")), "classes")
-    reps = sigs.join(classes, ["doc_id", "fp", "n_shingles"]).groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "sketch", "roots"), "fp").alias("x"))
+    # sketch and roots are those of the set, the same in all rows of a class
+    classes = usable.groupBy("fp", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("roots").alias("roots"), F.count(F.lit(1)).alias("copies"))
+    classes = write_table(classes, "classes")
+    reps = classes.groupBy("doc_id").agg(F.min_by(F.struct("n_shingles", "sketch", "roots"), "fp").alias("x"))
     reps = write_table(reps.select("doc_id", "x.*"), "reps")
     comp = near_components(reps, docs.select("doc_id", "text"))
-    named = classes.join(comp, classes["doc_id"] == comp["id"], "left").select("fp", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    named = classes.join(comp, classes["doc_id"] == comp["id"], "left").select("fp", "n_shingles", "copies", F.coalesce("component", "doc_id").alias("component_id"))
     named = write_table(named, "named", [comp, reps, classes])
     # a class of very many copies is joined by several tasks
-    hot = write_table(hot_keys(usable, "fp", HOT_ROWS), "hot_classes")
-    out = salted(sigs.select("doc_id", "own", "n_shingles", "fp"), hot, "fp", "doc_id").join(over_salts(named, hot, "fp").hint("merge"), ["fp", "n_shingles", "salt"], "left")
+    key, size = ["fp", "n_shingles"], _size(sigs.count())
+    hot = named.where(F.col("copies") > size).select(*key, F.ceil(F.col("copies") / size).cast("int").alias("parts"))
+    out = salted(sigs.select("doc_id", "own", *key), hot, key, "doc_id").join(over_salts(named.drop("copies"), hot, key).hint("merge"), [*key, "salt"], "left")
     return out.select("doc_id", "own", "n_shingles", "component_id")
 
 

@@ -252,6 +252,32 @@ def test_near_stage_compares_documents_of_several_large_nodes_once(spark, monkey
     assert 0 < seen[0][0] < seen[0][1]
 
 
+def test_near_dedup_runs_few_shuffles(spark, monkeypatch):
+    head = [f"h{k}" for k in range(70)]  # as above, nodes branch
+    rows = [(2 * i + j, " ".join(head + [f"p{i}x{k}" for k in range(120)] + [f"o{i}x{j}x{k}" for k in range(12)])) for i in range(90) for j in (0, 1)]
+    rows += [(1000 + i, t) for i, t in near_family(60)]
+    seen, kept = [], minhash.branch
+    monkeypatch.setattr(minhash, "branch", lambda large, sk: seen.append(1) or kept(large, sk))
+    monkeypatch.setattr(minhash, "NODE_SIZE", 8)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    sc, group = spark.sparkContext, "few_shuffles"
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        sc.setJobGroup(group, group)
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_dedup(table(spark, rows)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    exp, tracker = brute_components(rows), sc.statusTracker()
+    assert np.mean([got[i] == exp[i] for i in exp]) >= 0.99
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    tasks = [x.numCompletedTasks for x in map(tracker.getStageInfo, stages) if x]
+    assert seen == [1] and sum(t >= 40 for t in tasks) < 30  # 23; three levels and 43 when a child of one block branched and offers were compared by sketches
+
+
 def test_near_dedup_joins_parts_without_hot_nodes_too(spark):
     rows = spark.range(40).select((F.col("id") % 10).alias("node"), F.col("id").alias("rep"))
     sums = minhash.write_table(rows.groupBy("node").agg(F.count("*").alias("k")), "sums")

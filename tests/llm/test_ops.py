@@ -278,6 +278,20 @@ def test_near_dedup_runs_few_shuffles(spark, monkeypatch):
     assert seen == [1] and sum(t >= 40 for t in tasks) < 30  # 23; three levels and 43 when a child of one block branched and offers were compared by sketches
 
 
+def test_branch_by_broadcast_and_by_salts(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT_ROWS", 20)
+    rng = np.random.RandomState(3)
+    sketch = [(np.zeros(64) if i < 60 else rng.randint(0, 9, 64)).astype(np.uint16).tobytes() for i in range(120)]  # node 1 stays together
+    sk = spark.createDataFrame(list(enumerate(map(bytearray, sketch))), "doc_id long, sketch binary")
+    large = spark.createDataFrame([(1 + i // 60, i, i, 10, 36_000, 60) for i in range(120)], "node long, rep long, comp long, n long, work long, m long")
+    found = []
+    for most in (10, -1):
+        monkeypatch.setattr(minhash, "BROADCAST_NODES", most)
+        found.append([sorted(map(tuple, x.collect())) for x in (lambda t: (t[0], t[1].select("node", "rep", "comp", "n", "work", "m")))(minhash.branch(large, sk))])
+    assert found[0] == found[1]
+    assert {r[1] for r in found[0][0]} == set(range(60, 120)) and [r[1] for r in found[0][1]] == list(range(60))
+
+
 def test_near_dedup_joins_parts_without_hot_nodes_too(spark):
     rows = spark.range(40).select((F.col("id") % 10).alias("node"), F.col("id").alias("rep"))
     sums = minhash.write_table(rows.groupBy("node").agg(F.count("*").alias("k")), "sums")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import bbox2delta, box
-from boxloom.operators.pairs import XY, ignore_mask, iou_pairs, points_in_boxes
+from boxloom.operators.pairs import XY, ignore_mask, iou_pairs, points_by_block
 
 
 def assign_max_iou(
@@ -112,9 +112,9 @@ FCOS_RANGES = ((-1.0, 64.0), (64.0, 128.0), (128.0, 256.0), (256.0, 512.0), (512
 
 def fcos_targets(points: DataFrame, gts: DataFrame, ranges: Sequence[tuple[float, float]] = FCOS_RANGES) -> DataFrame:
     """(image_id, point_idx, gt_id, label, l, t, r, b) of the points with a truth (the smallest one); others are background."""
-    j = points_in_boxes(points, gts, ranges)
-    best = j.groupBy("image_id", "point_idx").agg(F.min_by(F.struct("gt_id", "label", "l", "t", "r", "b"), F.struct("area", "gt_id")).alias("m"))
-    return best.select("image_id", "point_idx", "m.*")
+    j = points_by_block(points, gts, ranges)
+    best = j.groupBy("image_id", "level", "_bx", "_by", "point_idx").agg(F.min(F.struct("area", "gt_id", "label", "l", "t", "r", "b")).alias("m"))  # a point is in one block
+    return best.select("image_id", "point_idx", *[f"m.{c}" for c in ("gt_id", "label", "l", "t", "r", "b")])
 
 
 #: Stride, base length, smallest and largest truth (square root of its area) of each level.

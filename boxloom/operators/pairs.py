@@ -64,11 +64,23 @@ def ignore_mask(boxes: DataFrame, ignores: DataFrame, thr: float, id_col: str =
     return out.withColumn("excluded", F.col("max_iof") > thr)
 
 
+#: Grid cells of a block of a level, along either axis.
+BLOCK = 16
+
+
 def points_in_boxes(points: DataFrame, gts: DataFrame, ranges: Sequence[tuple[float, float]]) -> DataFrame:
     """Points strictly inside a truth whose farthest side lies in the level's range: l, t, r, b, area.
 
     The points of a level are a grid of its stride, so a truth names the grid cells that it covers and meets their points by an equi-join;
-    levels whose range no point of the truth can reach are left out before.
+    levels whose range no point of the truth can reach are left out before. The grid is a fixed table of one image size, so it is what is broadcast, never the truths.
+    """
+    return points_by_block(points, gts, ranges).drop("_bx", "_by")
+
+
+def points_by_block(points: DataFrame, gts: DataFrame, ranges: Sequence[tuple[float, float]]) -> DataFrame:
+    """:func:`points_in_boxes`, dealt by (image_id, level, _bx, _by): what concerns a point of an image is in one task, and only truths were shuffled.
+
+    A block has ``BLOCK`` grid cells along either axis; cells are listed after the shuffle.
     """
     lim = F.element_at(F.array(*[F.struct(F.lit(float(a)).alias("lo"), F.lit(float(b)).alias("hi")) for a, b in ranges]), F.col("level") + 1)
     at = lambda c: F.floor(F.col(c) / F.col("stride"))
@@ -79,11 +91,21 @@ def points_in_boxes(points: DataFrame, gts: DataFrame, ranges: Sequence[tuple[fl
     names = [c for c in levels.columns if c != "_lim"]
     each = F.array(*[F.struct(*[F.lit(r[c]).alias(c) for c in names], F.lit(r["_lim"]["lo"]).alias("_lo"), F.lit(r["_lim"]["hi"]).alias("_hi")) for r in few])
     g = gts.select("*", F.explode(each).alias("_level")).select(*gts.columns, "_level.*").where((F.col("_hi") >= side / 2) & (F.col("_lo") <= side))
-    cells = lambda lo, hi, a, z: F.sequence(F.floor(F.greatest(F.col(lo), F.col(a)) / F.col("stride")), F.floor(F.least(F.col(hi), F.col(z)) / F.col("stride")))
+    cells = lambda lo, hi, a, z: (F.floor(F.greatest(F.col(lo), F.col(a)) / F.col("stride")), F.floor(F.least(F.col(hi), F.col(z)) / F.col("stride")))
     g = g.where("x2 > _x0 AND x1 < _x9 AND y2 > _y0 AND y1 < _y9")
-    g = g.withColumn("_cx", F.explode(cells("x1", "x2", "_x0", "_x9"))).withColumn("_cy", F.explode(cells("y1", "y2", "_y0", "_y9")))
-    g = g.select(*gts.columns, "level", "_cx", "_cy")
-    j = g.join(p, ["level", "_cx", "_cy"]).where((F.col("x") > F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") > F.col("y1")) & (F.col("y") < F.col("y2"))).drop("_cx", "_cy")
+    block = lambda c: F.floor(F.col(c) / BLOCK)
+    for axis in "xy":
+        lo, hi = cells(f"{axis}1", f"{axis}2", f"_{axis}0", f"_{axis}9")
+        g = g.withColumn(f"_lo{axis}", lo).withColumn(f"_hi{axis}", hi)
+        g = g.withColumn(f"_b{axis}", F.explode(F.sequence(block(f"_lo{axis}"), block(f"_hi{axis}"))))
+    g = g.select(*gts.columns, "level", "_bx", "_by", *[f"_{e}{axis}" for axis in "xy" for e in ("lo", "hi")])
+    n = int(gts.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))  # fixed: few rows here, many after it
+    g = g.repartition(n, "image_id", "level", "_bx", "_by")
+    for axis in "xy":
+        first = F.col(f"_b{axis}") * BLOCK
+        g = g.withColumn(f"_c{axis}", F.explode(F.sequence(F.greatest(F.col(f"_lo{axis}"), first), F.least(F.col(f"_hi{axis}"), first + (BLOCK - 1)))))
+    g = g.drop("_lox", "_hix", "_loy", "_hiy")
+    j = g.join(F.broadcast(p), ["level", "_cx", "_cy"]).where((F.col("x") > F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") > F.col("y1")) & (F.col("y") < F.col("y2"))).drop("_cx", "_cy")
     j = j.select("*", (F.col("x") - F.col("x1")).alias("l"), (F.col("y") - F.col("y1")).alias("t"), (F.col("x2") - F.col("x")).alias("r"), (F.col("y2") - F.col("y")).alias("b"))
     far = F.greatest("l", "t", "r", "b")
     area = (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1)

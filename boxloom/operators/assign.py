@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.functions.geometry import bbox2delta, box
+from boxloom.operators.groups import per_group
 from boxloom.operators.pairs import XY, ignore_mask, iou_pairs, points_by_block
 
 
@@ -153,6 +155,72 @@ def anchor_bags(pairs: DataFrame, k: int = 50, bbox_thr: float = 0.6) -> DataFra
     return p.withColumn("rank", F.row_number().over(own.orderBy(F.desc("iou"), F.asc("anchor_idx")))).where(F.col("rank") <= k)
 
 
+class AnchorIndex:
+    """The anchors of one tile size, as arrays: which of them overlap a box, and by how much."""
+
+    #: Numbers of anchors that may be kept for ranges of cells seen before.
+    HELD = 4_000_000
+
+    def __init__(self, ids: np.ndarray, boxes: np.ndarray, cell: float = 64.0):
+        """``boxes``: x1, y1, x2, y2 as rows."""
+        self.ids, self.boxes, self.cell = ids, boxes, cell
+        self.areas = (boxes[2] - boxes[0] + 1) * (boxes[3] - boxes[1] + 1)
+        self.low, self.high = np.floor(boxes[:2] / cell), np.floor((boxes[2:] + 1) / cell)
+        self.seen: dict[tuple, np.ndarray] = {}
+        self.held = 0
+
+    def near(self, cells: tuple) -> np.ndarray:
+        """Numbers of the anchors that touch a range of grid cells (first column and row, last column and row)."""
+        got = self.seen.get(cells)
+        if got is None:
+            c0, r0, c1, r1 = cells
+            got = np.flatnonzero((self.low[0] <= c1) & (self.high[0] >= c0) & (self.low[1] <= r1) & (self.high[1] >= r0)).astype(np.int32)
+            if self.held + len(got) > self.HELD:
+                self.seen, self.held = {}, 0
+            self.seen[cells] = got
+            self.held += len(got)
+        return got
+
+    def overlaps(self, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, iou) of the anchors that overlap box ``b``, in the arithmetic of :func:`boxloom.functions.geometry.iou`."""
+        at = self.near((*np.floor(b[:2] / self.cell).tolist(), *np.floor((b[2:] + 1) / self.cell).tolist()))
+        x1, y1, x2, y2 = self.boxes[:, at]
+        w = np.minimum(x2, b[2]) - np.maximum(x1, b[0]) + 1
+        h = np.minimum(y2, b[3]) - np.maximum(y1, b[1]) + 1
+        hit = np.flatnonzero((w > 0) & (h > 0))
+        at, inter = at[hit], w[hit] * h[hit]
+        under = self.areas[at] + (b[2] - b[0] + 1) * (b[3] - b[1] + 1) - inter
+        v = np.divide(inter, under, out=np.zeros(len(at)), where=under != 0)
+        return self.ids[at[v > 0]], v[v > 0]
+
+
+def best_anchors(anchors: DataFrame, gts: DataFrame, k: int = 50, bbox_thr: float = 0.6) -> DataFrame:
+    """:func:`anchor_bags` of :func:`boxloom.operators.pairs.anchor_pairs`, without a row per pair: a truth overlaps thousands of anchors, and k are kept.
+
+    The anchors of a tile size are a fixed table and go to every task; truths are dealt by (image_id, gt_id).
+    """
+    a = anchors.select(F.col("anchor_idx").cast("long").alias("anchor_idx"), *[F.col(c).cast("double").alias(c) for c in XY]).dropna().toArrow()
+    cols = [c.to_numpy() for c in a.columns]
+    index = AnchorIndex(cols[0], np.stack(cols[1:]))
+
+    def run(g):
+        found = [index.overlaps(b) for b in np.stack([g[c] for c in XY], 1)]  # one, but where a truth is repeated
+        ids, v = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(ids):
+            return None
+        if len(v) > k:
+            least = np.partition(v, len(v) - k)[len(v) - k]
+            ids, v = ids[v >= least], v[v >= least]
+        first = np.lexsort((ids, -v))[:k]
+        n = len(first)
+        return [np.repeat(g["image_id"][:1], n), np.repeat(g["gt_id"][:1], n), ids[first], v[first], np.full(n, v.max()), np.arange(1, n + 1, dtype=np.int32)]
+
+    rows = gts.select(*[F.col(c).cast("long").alias(c) for c in ("image_id", "gt_id")], *[F.col(c).cast("double").alias(c) for c in XY]).dropna(subset=XY)
+    t = per_group(rows, ["image_id", "gt_id"], [], run, "image_id long, gt_id long, anchor_idx long, iou double, _best double, rank int")
+    top = F.greatest("_best", F.lit(bbox_thr + 1e-12))
+    return t.select("image_id", "gt_id", "anchor_idx", "iou", F.least(F.greatest((F.col("iou") - bbox_thr) / (top - bbox_thr), F.lit(0.0)), F.lit(1.0)).alias("prob"), "rank")
+
+
 def anchor_targets(assigned: DataFrame, gts: DataFrame, means=(0.0,) * 4, stds=(1.0,) * 4, pos_weight: float = -1.0) -> DataFrame:
     """label, label_weight, d0..d3, bbox_weight of every assigned box; ignored boxes weigh 0."""
     g = gts.select("image_id", "gt_id", F.col("label").alias("g_label"), *[F.col(c).alias("g_" + c) for c in XY])

@@ -229,9 +229,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY gt_id ORDER BY iou DESC, anchor_
 SELECT gt_id, anchor_idx, rank::INT AS rank, floor(iou*1000000+0.5)/1000000 AS iou, floor(least(greatest((iou-0.6::DOUBLE)/(top-0.6::DOUBLE),0),1)*1000000+0.5)/1000000 AS prob FROM r WHERE rank <= 50
 """)
 def j4_a12_anchor_bags(spark, sf_dir):
-    p = pairs.anchor_pairs(grids.anchor_grid(spark, 800, 800), fixture(spark, sf_dir, "fx_gts"))
+    p = assign.best_anchors(grids.anchor_grid(spark, 800, 800), fixture(spark, sf_dir, "fx_gts"))
     half_up = [(F.floor(F.col(c) * 1_000_000 + 0.5) / 1_000_000).alias(c) for c in ("iou", "prob")]  # many are exact halves
-    return assign.anchor_bags(p).select("gt_id", "anchor_idx", "rank", *half_up)
+    return p.select("gt_id", "anchor_idx", "rank", *half_up)
 
 
 COVER = "greatest(least({a}x2,{b}x2)-greatest({a}x1,{b}x1),0)*greatest(least({a}y2,{b}y2)-greatest({a}y1,{b}y1),0)/greatest(({b}x2-{b}x1)*({b}y2-{b}y1),0.000001)"

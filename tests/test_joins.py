@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from boxloom.operators import assign, grids
+from boxloom.operators import assign, grids, pairs
 
 GT = "image_id long, gt_id long, label long, x1 double, y1 double, x2 double, y2 double"
 
@@ -65,3 +65,44 @@ def test_point_targets_broadcast_the_grid_and_never_the_truths(spark, stored):
     assert got.count() == len(want)
     below = broadcasts(got)
     assert len(below) == 1 and "parquet" not in below[0]
+
+
+# ------------------------------------------------------------------ J4, A12
+
+
+def plan(df):
+    return df.select("*")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_anchor_bags_make_no_row_per_pair(spark):
+    """The query joins nothing: a truth overlaps some 3,000 anchors, of which 50 are kept."""
+    from boxloom.plans import catalogue
+
+    assert "Join" not in plan(catalogue.queries()["j4_a12_anchor_bags"](spark, "/root/testdata/sf0.001"))
+
+
+def test_best_anchors_are_the_bags_of_all_pairs(spark):
+    """Truths beside the tile, inside out, repeated, smaller than a pixel, as large as the tile, with fewer than k anchors; ties at rank k."""
+    gts = boxes_of(5, 3, 60, 200, 200) + [(5, 700, 1, -900.0, 0.0, -850.0, 40.0), (5, 701, 1, 60.0, 60.0, 30.0, 30.0), (5, 702, 1, 64.25, 64.25, 64.5, 64.5), (5, 703, 1, 0.0, 0.0, 199.0, 199.0)]
+    gts += [(6, 710, 1, 20.0, 20.0, 60.0, 70.0)] * 2 + [(6, 711, 1, -28.0, -28.0, -20.0, -22.0), (6, 711, 1, 90.0, 90.0, 130.0, 150.0), (6, 712, 0, None, 0.0, 9.0, 9.0)]
+    anchors, g = grids.anchor_grid(spark, 200, 200, (8, 16, 32)), spark.createDataFrame(gts, GT)
+    for k, thr in ((50, 0.6), (7, 0.3)):
+        want = assign.anchor_bags(pairs.anchor_pairs(anchors, g), k, thr).select("image_id", "gt_id", "anchor_idx", "iou", "prob", "rank")
+        got = assign.best_anchors(anchors, g, k, thr)
+        assert got.dtypes == want.dtypes
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    counts = {r.gt_id: r["count"] for r in got.groupBy("gt_id").count().collect()}
+    assert 0 < counts.get(711, 0) <= 7 and not {700, 701, 712} & set(counts) and counts[710] == 7
+
+
+def test_an_anchor_index_forgets_ranges_but_no_anchor(spark, monkeypatch):
+    monkeypatch.setattr(assign.AnchorIndex, "HELD", 40)
+    rng = np.random.default_rng(1)
+    xy = rng.integers(0, 300, (2, 200)).astype(float)
+    boxes = np.concatenate([xy, xy + rng.integers(1, 120, (2, 200))])
+    index = assign.AnchorIndex(np.arange(200) * 3, boxes)
+    for _, _, _, *b in boxes_of(2, 1, 40) * 2:
+        ids, v = index.overlaps(np.array(b))
+        w, h = (np.minimum(boxes[2 + i], b[2 + i]) - np.maximum(boxes[i], b[i]) + 1 for i in (0, 1))
+        assert ids.tolist() == (np.flatnonzero((w > 0) & (h > 0)) * 3).tolist() and (v > 0).all()
+        assert index.held == sum(map(len, index.seen.values()))

@@ -6,10 +6,10 @@ import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.functions.geometry import box, iou
+from boxloom.functions.geometry import box
 from boxloom.operators.groups import per_group
 
 XY = ["x1", "y1", "x2", "y2"]
@@ -19,19 +19,12 @@ TRIALS = 50
 ROUNDS = 40
 ATTEMPTS = 10
 _UNIT = float(1 << 32)
-
-
-def _digest(*ids) -> Column:
-    return F.md5(F.concat_ws(":", *[i if isinstance(i, Column) else F.lit(str(i)) for i in ids]).cast("binary"))
-
-
-def _draw(digest: Column, k: int) -> Column:
-    """The k-th of four whole numbers below 2^32 in a digest."""
-    return F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long")
+#: Truths that are held against the windows of a round at once.
+_PIECE = 20_000
 
 
 def draw(*ids) -> tuple[int, ...]:
-    """The four numbers of :func:`_draw`, for kernels."""
+    """Four whole numbers below 2^32: the md5 of the ids."""
     h = hashlib.md5(":".join(map(str, ids)).encode()).hexdigest()
     return tuple(int(h[8 * k : 8 * k + 8], 16) for k in range(4))
 
@@ -39,49 +32,86 @@ def draw(*ids) -> tuple[int, ...]:
 # ------------------------------------------------------------------ crops by trial
 
 
-def crop_trials(images: DataFrame, seed: int, min_ious: Sequence[float] = MIN_IOUS, min_crop_size: float = 0.3) -> DataFrame:
-    """(image_id, round, trial, min_iou, px1, py1, px2, py2): every window that an image may try, in the order (round, trial).
+def _windows(seed: int, image: int, mode: int, width: float, height: float, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(trials, px1..py2 as columns) of one mode that an image has drawn: whole corners, sides of at least ``least`` of the image's, between half and twice as high as wide."""
+    head = f"{seed}:{image}:{mode}:"
+    u = np.frombuffer(b"".join([hashlib.md5(f"{head}{k}".encode()).digest() for k in range(TRIALS)]), ">u4").reshape(TRIALS, 4) / _UNIT  # as draw()
+    w, h = (least + (1 - least) * u[:, 0]) * width, (least + (1 - least) * u[:, 1]) * height
+    left, top = u[:, 2] * (width - w), u[:, 3] * (height - h)
+    at = np.flatnonzero((h >= w * 0.5) & (h <= w * 2))
+    return at, np.floor(np.stack([left, top, left + w, top + h], 1)[at])
 
-    A round draws one mode: leave the image whole, or one of the least overlaps (0 among them) with ``TRIALS`` windows. Rounds go on to the first
-    "whole". Windows have sides of at least ``min_crop_size`` of the image's, and between half and twice as high as wide.
-    """
-    modes = F.array(*[F.lit(float(m)) for m in (1.0, *min_ious, 0.0)])
-    n = len(min_ious) + 2
-    picks = F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), lambda r: F.pmod(_draw(_digest(seed, "mode", F.col("image_id").cast("string"), r.cast("string")), 0), F.lit(n)).cast("int"))
-    t = images.select("image_id", "width", "height", picks.alias("_picks"))
-    whole = F.array_position("_picks", 0).cast("int")
-    t = t.withColumn("_picks", F.when(whole == 0, F.col("_picks")).otherwise(F.slice("_picks", F.lit(1), F.greatest(whole - 1, F.lit(0)))))
-    t = t.select("image_id", "width", "height", F.posexplode("_picks").alias("round", "_pick"))
-    t = t.select("*", F.explode(F.sequence(F.lit(0), F.lit(TRIALS - 1))).alias("trial"))
-    t = t.withColumn("_d", _digest(seed, F.col("image_id").cast("string"), F.col("round").cast("string"), F.col("trial").cast("string")))
-    u = lambda k: _draw(F.col("_d"), k) / F.lit(_UNIT)
-    t = t.withColumn("_w", (min_crop_size + (1 - min_crop_size) * u(0)) * F.col("width")).withColumn("_h", (min_crop_size + (1 - min_crop_size) * u(1)) * F.col("height"))
-    t = t.where((F.col("_h") >= F.col("_w") * 0.5) & (F.col("_h") <= F.col("_w") * 2))
-    t = t.withColumn("_left", u(2) * (F.col("width") - F.col("_w"))).withColumn("_top", u(3) * (F.col("height") - F.col("_h")))
-    at = {"px1": F.col("_left"), "py1": F.col("_top"), "px2": F.col("_left") + F.col("_w"), "py2": F.col("_top") + F.col("_h")}
-    return t.select("image_id", "round", "trial", F.element_at(modes, F.col("_pick") + 1).alias("min_iou"), *[F.floor(v).cast("double").alias(k) for k, v in at.items()])
 
+def _overlaps(p: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """IoU of windows (rows) with boxes (columns), corners inclusive, in the arithmetic of :func:`boxloom.functions.geometry.iou`; 0 where it has none."""
+    p = p[:, :, None]
+    w = np.maximum(np.minimum(p[:, 2], b[2]) - np.maximum(p[:, 0], b[0]) + 1, 0.0)
+    h = np.maximum(np.minimum(p[:, 3], b[3]) - np.maximum(p[:, 1], b[1]) + 1, 0.0)
+    inter = w * h
+    under = (p[:, 2] - p[:, 0] + 1) * (p[:, 3] - p[:, 1] + 1) + (b[2] - b[0] + 1) * (b[3] - b[1] + 1) - inter
+    v = np.divide(inter, under, out=np.zeros(inter.shape), where=under != 0)
+    return np.where(np.isnan(v), 0.0, v)
 
-def min_iou_crop(images: DataFrame, gts: DataFrame, seed: int = 0, min_ious: Sequence[float] = MIN_IOUS, min_crop_size: float = 0.3) -> tuple[DataFrame, DataFrame]:
-    """(crops, boxes): the first window of an image, in the order (round, trial), that overlaps every box at least as asked for and holds a box's centre.
 
-    crops: image_id, round, trial, px1.., nulls where the image stays whole (its mode, or no window accepted). boxes: the truths whose centre lies
-    inside, clipped to the window and moved to it; all truths of whole images. An image without truths stays whole. ``images``:
-    image_id, width, height. Windows and truths meet on image_id, and the test of a window groups by it too: one shuffle.
+def first_crops(images: DataFrame, gts: DataFrame, seed: int = 0, min_ious: Sequence[float] = MIN_IOUS, min_crop_size: float = 0.3) -> DataFrame:
+    """(image_id, round, trial, px1, py1, px2, py2) of every image: the window that :func:`min_iou_crop` takes, nulls where the image stays whole.
+
+    A round draws one mode: leave the image whole, or one of the least overlaps (0 among them) with ``TRIALS`` windows. Rounds go on to the first
+    "whole". Windows are tried in the order (round, trial) and no further than to the accepted one, so they are never rows; the truths of an image are one group.
     """
+    modes = (1.0, *min_ious, 0.0)
+
+    def run(g):
+        image, width, height = int(g["image_id"][0]), float(g["width"][0]), float(g["height"][0])
+        b = np.stack([g[c] for c in XY]).astype(float)
+        pieces = [b[:, k : k + _PIECE] for k in range(0, b.shape[1], _PIECE)]
+        for mode in range(ROUNDS):
+            pick = draw(seed, "mode", image, mode)[0] % len(modes)
+            if pick == 0:
+                return None
+            trials, p = _windows(seed, image, mode, width, height, min_crop_size)
+            some = np.zeros(len(p), bool)
+            for q in pieces:
+                cx, cy = (q[0] + q[2]) / 2, (q[1] + q[3]) / 2
+                some |= ((cx > p[:, 0:1]) & (cy > p[:, 1:2]) & (cx < p[:, 2:3]) & (cy < p[:, 3:4])).any(1)
+            trials, p = trials[some], p[some]
+            for q in pieces if modes[pick] > 0 else ():  # no overlap is below 0
+                if len(p):
+                    good = (_overlaps(p, q) >= modes[pick]).all(1)
+                    trials, p = trials[good], p[good]
+            if len(p):
+                return [np.array([v]) for v in (image, mode, int(trials[0]), *p[0].tolist())]
+        return None
+
+    n = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    sizes = images.select("image_id", *[F.col(c).cast("double").alias(c) for c in ("width", "height")])
+    rows = gts.select(F.col("image_id"), *[F.col(c).cast("double").alias(c) for c in XY]).repartition(n, "image_id").join(sizes.repartition(n, "image_id").hint("merge"), "image_id")
+    first = per_group(rows.withColumn("image_id", F.col("image_id").cast("long")), ["image_id"], [], run, "image_id long, round int, trial int, px1 double, py1 double, px2 double, py2 double")
+    return images.select("image_id").join(first.hint("merge"), "image_id", "left")
+
+
+def to_crops(gts: DataFrame, crops: DataFrame) -> DataFrame:
+    """``gts`` whose centre lies inside the window of their image, clipped to it and moved to it, with its round and trial; all truths of whole images as they are."""
     p = box("p")
-    t = crop_trials(images, seed, min_ious, min_crop_size).join(gts.select("image_id", *XY), "image_id")
     cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
     inside = (cx > p.x1) & (cy > p.y1) & (cx < p.x2) & (cy < p.y2)
-    ok = t.groupBy("image_id", "round", "trial", "min_iou", *[f"p{c}" for c in XY]).agg(F.min(iou(p, box())).alias("least"), F.bool_or(inside).alias("some"))
-    first = ok.where("some AND least >= min_iou").groupBy("image_id").agg(F.min(F.struct("round", "trial", *[f"p{c}" for c in XY])).alias("f"))
-    crops = images.select("image_id").join(first, "image_id", "left").select("image_id", "f.*")
-    j = gts.join(crops, "image_id").where(F.col("px1").isNull() | inside)
+    j = gts.join(crops.hint("merge"), "image_id").where(F.col("px1").isNull() | inside)
     moved = {}
     for a, lo, hi in (("x1", "px1", "px2"), ("y1", "py1", "py2"), ("x2", "px1", "px2"), ("y2", "py1", "py2")):
         v = F.greatest(F.col(a), F.col(lo)) if a[1] == "1" else F.least(F.col(a), F.col(hi))
         moved[a] = F.when(F.col(lo).isNull(), F.col(a)).otherwise(v - F.col(lo))
-    return crops, j.select(*[c for c in gts.columns if c not in XY], *[v.alias(k) for k, v in moved.items()])
+    return j.select(*[c for c in gts.columns if c not in XY], *[v.alias(k) for k, v in moved.items()], "round", "trial")
+
+
+def min_iou_crop(images: DataFrame, gts: DataFrame, seed: int = 0, min_ious: Sequence[float] = MIN_IOUS, min_crop_size: float = 0.3) -> tuple[DataFrame, DataFrame]:
+    """(crops, boxes): the first window of an image, in the order (round, trial), that overlaps every box at least as asked for and holds a box's centre.
+
+    crops: image_id, round, trial, px1.., nulls where the image stays whole (its mode, or no window accepted). boxes: the truths whose centre lies
+    inside, clipped to the window and moved to it; all truths of whole images. An image without truths stays whole. ``images``:
+    image_id, width, height. Each of the two finds the windows when it is run.
+    """
+    crops = first_crops(images, gts, seed, min_ious, min_crop_size)
+    return crops, to_crops(gts, crops).drop("round", "trial")
 
 
 # ------------------------------------------------------------------ boxes moved one after the other

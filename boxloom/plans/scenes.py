@@ -55,8 +55,8 @@ FROM fx_gts g LEFT JOIN f ON f.image_id = g.image_id
 WHERE f.x1 IS NULL OR ((g.x1+g.x2)/2 > f.x1 AND (g.y1+g.y2)/2 > f.y1 AND (g.x1+g.x2)/2 < f.x2 AND (g.y1+g.y2)/2 < f.y2)
 """)
 def j10_min_iou_crop(spark, sf_dir):
-    crops, boxes = placement.min_iou_crop(_images(spark, sf_dir), fixture(spark, sf_dir, "fx_gts"), 7)
-    return boxes.join(crops.select("image_id", "round", "trial"), "image_id").select("image_id", "gt_id", "label", "round", "trial", *XY)
+    g = fixture(spark, sf_dir, "fx_gts")
+    return placement.to_crops(g, placement.first_crops(_images(spark, sf_dir), g, 7)).select("image_id", "gt_id", "label", "round", "trial", *XY)
 
 
 # ------------------------------------------------------------------ K7

@@ -1,11 +1,12 @@
 """Joins of truths with fixed tables, tiles and windows: against plain loops, and which side of a join goes where."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 
-from boxloom.operators import assign, grids, pairs
+from boxloom.operators import assign, grids, pairs, placement
 
 GT = "image_id long, gt_id long, label long, x1 double, y1 double, x2 double, y2 double"
 
@@ -106,3 +107,61 @@ def test_an_anchor_index_forgets_ranges_but_no_anchor(spark, monkeypatch):
         w, h = (np.minimum(boxes[2 + i], b[2 + i]) - np.maximum(boxes[i], b[i]) + 1 for i in (0, 1))
         assert ids.tolist() == (np.flatnonzero((w > 0) & (h > 0)) * 3).tolist() and (v > 0).all()
         assert index.held == sum(map(len, index.seen.values()))
+
+
+# ------------------------------------------------------------------ J10
+
+
+def test_crop_windows_are_no_rows_and_no_table_of_images_is_broadcast(spark):
+    from boxloom.plans import catalogue
+
+    p = plan(catalogue.queries()["j10_min_iou_crop"](spark, "/root/testdata/sf0.001"))
+    assert "Broadcast" not in p and "explode" not in p and p.count("MapInArrow") == 1
+
+
+def first_window(image, width, height, truths, seed, min_ious):
+    """The accepted window, by trying all in order."""
+    modes = [1.0, *min_ious, 0.0]
+    for mode in range(placement.ROUNDS):
+        pick = placement.draw(seed, "mode", image, mode)[0] % len(modes)
+        if pick == 0:
+            return None
+        for trial in range(placement.TRIALS):
+            u = [v / 2**32 for v in placement.draw(seed, image, mode, trial)]
+            w, h = (0.3 + (1 - 0.3) * u[0]) * width, (0.3 + (1 - 0.3) * u[1]) * height
+            if not w * 0.5 <= h <= w * 2:
+                continue
+            left, top = u[2] * (width - w), u[3] * (height - h)
+            p = [float(math.floor(v)) for v in (left, top, left + w, top + h)]
+            least, some = 1.0, False
+            for b in truths:
+                if None in b:
+                    least = 0.0  # overlaps nothing, has no centre
+                    continue
+                inter = max(min(p[2], b[2]) - max(p[0], b[0]) + 1, 0) * max(min(p[3], b[3]) - max(p[1], b[1]) + 1, 0)
+                under = (p[2] - p[0] + 1) * (p[3] - p[1] + 1) + (b[2] - b[0] + 1) * (b[3] - b[1] + 1) - inter
+                least = min(least, inter / under if under else 0.0)
+                some |= p[0] < (b[0] + b[2]) / 2 < p[2] and p[1] < (b[1] + b[3]) / 2 < p[3]
+            if some and least >= modes[pick]:
+                return (mode, trial, *p)
+    return None
+
+
+def test_crops_by_trying_every_window(spark):
+    """Images of several sizes; one large truth, so that overlaps asked for are met; a truth without corners; more truths than are held against a window at once."""
+    rng = random.Random(8)
+    images = [(i, rng.choice([90, 200]), rng.choice([80, 150])) for i in range(60)] + [(70, 100, 80), (71, 100, 80), (72, 200, 150), (73, 200, 150)]
+    gts = []
+    for i, w, h in images[:60]:
+        gts += [(i, 100 * i, 0, 2.0, 3.0, w - 5.0, h - 4.0)] if i % 2 else [(b[0] + i, 100 * i + b[1], *b[2:]) for b in boxes_of(i, 1, 1 + i % 4, w - 20, h - 20, 40, 0)]
+    gts += [(71, 7100, 0, 2.0, 2.0, 95.0, 75.0), (71, 7101, 0, None, 2.0, 95.0, 75.0)]  # image 70 has none
+    few = [(10.0, 10.0, 190.0, 140.0), (20.0, 5.0, 180.0, 149.0), (0.0, 0.0, 150.0, 149.0)]
+    gts += [(k, 100 * k + j, 0, *few[j % 3]) for k, n in ((72, 3), (73, 2 * placement._PIECE + 7)) for j in range(n)]
+    crops, boxes = placement.min_iou_crop(spark.createDataFrame(images, "image_id long, width int, height int"), spark.createDataFrame(gts, GT), 5, (0.1, 0.3, 0.5))
+    want = {i: first_window(i, w, h, sorted({g[3:] for g in gts if g[0] == i}, key=str), 5, (0.1, 0.3, 0.5)) if i != 70 else None for i, w, h in images}
+    got = {r.image_id: None if r.round is None else tuple(r)[1:] for r in crops.collect()}
+    assert got == want and len({w[0] for w in want.values() if w}) > 2 and None in want.values()
+    n = {r.image_id: r["count"] for r in boxes.groupBy("image_id").count().collect()}
+    for i, p in want.items():
+        assert n.get(i, 0) == sum(p is None or None not in g and p[2] < (g[3] + g[5]) / 2 < p[4] and p[3] < (g[4] + g[6]) / 2 < p[5] for g in gts if g[0] == i)
+    assert boxes.columns == [*[c for c in GT.replace(" long", "").replace(" double", "").split(", ") if c[0] not in "xy"], "x1", "y1", "x2", "y2"]

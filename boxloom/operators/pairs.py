@@ -136,16 +136,23 @@ def crop_boxes_any(windows: DataFrame, gts: DataFrame) -> DataFrame:
 
 
 def gts_to_tiles(tiles: DataFrame, gts: DataFrame, patch: tuple[int, int] = (800, 800), min_coverage: float = 0.5) -> DataFrame:
-    """Every truth in every tile that covers more than ``min_coverage`` of it; they meet in cells of the tile size."""
+    """Every truth in every tile that covers more than ``min_coverage`` of it (0 at least); they meet in the cell of the tile size that holds the tile's first corner.
+
+    A tile is one row. A truth names the cells where a tile may begin that covers more than ``min_coverage`` of either side of it: two along an axis at 0.5.
+    Neither side is broadcast, however small the images or truths that it was made of look to Spark.
+    """
     t = tiles.select("image_id", "tile_idx", F.col("x").cast("double").alias("wx1"), F.col("y").cast("double").alias("wy1"))
     t = t.select("*", (F.col("wx1") + patch[0]).alias("wx2"), (F.col("wy1") + patch[1]).alias("wy2"))
-    cells = lambda lo, hi, n: F.explode(F.sequence(F.floor(F.col(lo) / n), F.floor(F.col(hi) / n)))
-    t = t.withColumn("_cx", cells("wx1", "wx2", patch[0])).withColumn("_cy", cells("wy1", "wy2", patch[1]))
-    # a truth that is covered at all has its centre's cell or a neighbour's in common with the tile: its first cell inside
-    g = gts.withColumn("_cx", cells("x1", "x2", patch[0])).withColumn("_cy", cells("y1", "y2", patch[1]))
-    j = t.join(g, ["image_id", "_cx", "_cy"])
-    at = lambda p, q, n: F.floor(F.greatest(F.col(p), F.col(q)) / n)
-    j = j.where((F.col("_cx") == at("wx1", "x1", patch[0])) & (F.col("_cy") == at("wy1", "y1", patch[1]))).drop("_cx", "_cy")
+    t = t.withColumn("_cx", F.floor(F.col("wx1") / patch[0])).withColumn("_cy", F.floor(F.col("wy1") / patch[1]))
+    share = max(min_coverage, 0.0) * (1 - 1e-9)  # the test itself comes after the join
+
+    def begins(lo, hi, n):
+        part = (F.col(hi) - F.col(lo)) * share
+        first, last = F.floor((F.col(lo) + part - n) / n), F.floor((F.col(hi) - part) / n)
+        return F.explode(F.when(first <= last, F.sequence(first, last)))
+
+    g = gts.withColumn("_cx", begins("x1", "x2", patch[0])).withColumn("_cy", begins("y1", "y2", patch[1]))
+    j = t.hint("merge").join(g, ["image_id", "_cx", "_cy"]).drop("_cx", "_cy")
     return _shifted(j.where(coverage(box("w"), box()) > min_coverage))
 
 

@@ -380,7 +380,8 @@ SELECT tile_idx, gt_id, {CLIPS} FROM g JOIN w USING (image_id) WHERE {COV} > 0.5
 """)
 def j8_truths_to_tiles(spark, sf_dir):
     g = fixture(spark, sf_dir, "fx_gts").select("gt_id", "image_id", *[(F.col(c) * 8).alias(c) for c in XY])
-    return pairs.gts_to_tiles(grids.tile_plan(fixture(spark, sf_dir, "fx_slides")), g).select("tile_idx", "gt_id", *XY)
+    slides = pairs.semi_images(fixture(spark, sf_dir, "fx_slides"), g.select("image_id").distinct().hint("merge"))  # before they have tiles
+    return pairs.gts_to_tiles(grids.tile_plan(slides), g).select("tile_idx", "gt_id", *XY)
 
 
 IOF = "greatest(least(d.x2,g.x2)-greatest(d.x1,g.x1)+1,0)*greatest(least(d.y2,g.y2)-greatest(d.y1,g.y1)+1,0)/nullif((d.x2-d.x1+1)*(d.y2-d.y1+1),0)"

@@ -165,3 +165,32 @@ def test_crops_by_trying_every_window(spark):
     for i, p in want.items():
         assert n.get(i, 0) == sum(p is None or None not in g and p[2] < (g[3] + g[5]) / 2 < p[4] and p[3] < (g[4] + g[6]) / 2 < p[5] for g in gts if g[0] == i)
     assert boxes.columns == [*[c for c in GT.replace(" long", "").replace(" double", "").split(", ") if c[0] not in "xy"], "x1", "y1", "x2", "y2"]
+
+
+# ------------------------------------------------------------------ J8
+
+
+def test_tiles_and_truths_are_never_broadcast(spark):
+    from boxloom.plans import catalogue
+
+    assert "Broadcast" not in plan(catalogue.queries()["j8_truths_to_tiles"](spark, "/root/testdata/sf0.001"))
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 0.5, 0.9])
+def test_truths_in_every_tile_that_covers_them(spark, stored, share):
+    """Tiles that overlap or stick out of small images; truths across cells, beside the image, larger than a tile, without area, inside out, of exactly the share asked for."""
+    images = [(0, 300, 300), (1, 170, 90), (2, 40, 220), (3, 100, 80), (4, 1000, 900)]
+    gts = boxes_of(4, 5, 150, 300, 300, 130, -60) + [(3, 800, 0, 0.0, 0.0, 200.0, 80.0), (3, 801, 0, 50.0, 10.0, 150.0, 60.0), (3, 802, 0, 90.0, 0.0, 190.0, 40.0), (4, 803, 0, 100.0, 80.0, 200.0, 160.0)]
+    gts += [(4, 804, 0, 7.0, 7.0, 7.0, 90.0), (4, 805, 0, 90.0, 90.0, 20.0, 30.0), (9, 806, 0, 1.0, 1.0, 9.0, 9.0), (0, 807, 0, None, 1.0, 9.0, 9.0), (4, 808, 0, 99.9, 79.9, 100.1, 80.1)]
+    tiles = grids.tile_plan(spark.createDataFrame(images, "image_id long, width int, height int"), (100, 80), (60, 80))
+    got = pairs.gts_to_tiles(tiles, stored(gts, GT), (100, 80), share)
+    assert not broadcasts(got)
+    want = []
+    for t in tiles.collect():
+        for image, i, _, *b in gts:
+            if image != t.image_id or None in b:
+                continue
+            w, h = max(min(b[2], t.x + 100.0) - max(b[0], t.x), 0), max(min(b[3], t.y + 80.0) - max(b[1], t.y), 0)
+            if w * h / max((b[2] - b[0]) * (b[3] - b[1]), 1e-6) > share:
+                want.append((image, t.tile_idx, i, *[min(max(v - o, 0.0), n) for v, o, n in zip(b, (t.x, t.y) * 2, (100.0, 80.0) * 2, strict=True)]))
+    assert sorted((r.image_id, r.tile_idx, r.gt_id, r.x1, r.y1, r.x2, r.y2) for r in got.collect()) == sorted(want) and len(want) > 10
